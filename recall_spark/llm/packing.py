@@ -181,8 +181,7 @@ def pack(docs: DataFrame, mixture: dict[str, float] | None = None, sequence: int
     by_block = sums.groupBy("block").agg(F.sum("n").alias("all"))
     running = by_block.withColumn("before", F.coalesce(F.sum("all").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     share = F.create_map(*[F.lit(x) for kv in shares.items() for x in kv]) if shares else F.create_map(F.lit(""), F.lit(0.0))
-    kinds = sums.select("source").distinct()
-    grid = running.select("block", "before").join(F.broadcast(kinds), F.lit(True)).join(sums, ["block", "source"], "left")  # blocks x sources
+    grid = running.select("block", "before", F.explode(F.array(*[F.lit(x) for x in sorted(shares)]) if shares else F.array().cast("array<string>")).alias("source")).join(sums, ["block", "source"], "left")
     served = grid.withColumn("served", F.coalesce(F.sum("n").over(before), F.lit(0)))
     owed = served.groupBy("block").agg(F.collect_list(F.struct("source", (F.col("before") * F.coalesce(share[F.col("source")], F.lit(0.0)) - F.col("served")).alias("owed"))).alias("owed"))
     lined = tokens.join(owed, "block")

@@ -36,10 +36,10 @@ RULES: dict[str, tuple[str, str]] = {
     "capitals": ("10 * n_capitals > 3 * word_chars", "false"),
     "exclaims": ("10 * n_exclaims > n_words", "false"),
 }
-#: What is believed of a rule before the votes are seen: chances of a bad vote, an abstention and a good vote for good
+#: What is believed of a rule before the votes are seen: chances of a bad and of a good vote for good
 #: and for bad documents, worth PRIOR times all documents. It tells EM which side is which.
-BELIEF = {1: {-1: 0.02, 0: 0.49, 1: 0.49}, 0: {-1: 0.40, 0: 0.35, 1: 0.25}}
-PRIOR = 2.0
+BELIEF = {1: {-1: 0.005, 1: 0.495}, 0: {-1: 0.40, 1: 0.25}}
+PRIOR = 1.0
 
 
 def _without(text: str | Column, chars: str) -> Column:
@@ -80,23 +80,24 @@ def votes(counts: DataFrame, rules: dict[str, tuple[str, str]]) -> DataFrame:
 
 
 def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> dict[tuple[int, ...], float]:
-    """Posterior probability of good for each vote pattern (votes, documents), by EM that starts from BELIEF."""
+    """Posterior probability of good for each vote pattern (votes, documents), by EM that starts from BELIEF. An abstention says nothing."""
     if not patterns:
         return {}
     rules, total = range(len(patterns[0][0])), sum(n for _, n in patterns)
     share = 0.8
-    gains = [{v: log(BELIEF[1][v] / BELIEF[0][v]) for v in (-1, 0, 1)} for _ in rules]
+    gains = [{v: log(BELIEF[1][v] / BELIEF[0][v]) if v else 0.0 for v in (-1, 0, 1)} for _ in rules]
     good: dict[tuple[int, ...], float] = {}
     for _ in range(rounds):
         good = {p: 1 / (1 + exp(-max(-50.0, min(50.0, log(share / (1 - share)) + sum(gains[r][p[r]] for r in rules))))) for p, _ in patterns}
         share = (sum(good[p] * n for p, n in patterns) + 2) / (total + 4)
         for r in rules:
-            seen = {(c, v): PRIOR * total * BELIEF[c][v] for c in (0, 1) for v in (-1, 0, 1)}
+            seen = {(c, v): PRIOR * total * BELIEF[c][v] for c in (0, 1) for v in (-1, 1)}
             for p, n in patterns:
-                seen[1, p[r]] += good[p] * n
-                seen[0, p[r]] += (1 - good[p]) * n
-            sums = {c: sum(seen[c, v] for v in (-1, 0, 1)) for c in (0, 1)}
-            gains[r] = {v: log(seen[1, v] / sums[1]) - log(seen[0, v] / sums[0]) for v in (-1, 0, 1)}
+                if p[r]:
+                    seen[1, p[r]] += good[p] * n
+                    seen[0, p[r]] += (1 - good[p]) * n
+            of = {c: total * (PRIOR + (share if c else 1 - share)) for c in (0, 1)}
+            gains[r] = {v: log(seen[1, v] / of[1]) - log(seen[0, v] / of[0]) if v else 0.0 for v in (-1, 0, 1)}
     return good
 
 

@@ -26,7 +26,7 @@ _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: name -> (votes bad, votes good); neither is an abstention. Counts are those of `counted`.
 RULES: dict[str, tuple[str, str]] = {
-    "length": ("n_words < 15", "n_words between 40 and 100000"),
+    "length": ("n_words < 10", "n_words between 40 and 100000"),
     "word_size": ("word_chars < 2.5 * n_words or word_chars > 14 * n_words", "word_chars between 3 * n_words and 11 * n_words"),
     "variety": ("10 * n_distinct < 3 * least(n_words, 200)", "10 * n_distinct >= 5 * least(n_words, 200)"),
     "symbols": ("20 * n_symbols > n_words", "false"),

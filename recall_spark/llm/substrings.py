@@ -36,8 +36,8 @@ _LAST = (1 << 63) - 1
 _POS = np.uint64((1 << 24) - 1)
 
 
-def gram_keys(raw: np.ndarray) -> np.ndarray:
-    """For each k-gram start: 40 bits of hash above 24 bits of place, so that the least key is the first least hash. At most 2**24 bytes."""
+def gram_hashes(raw: np.ndarray) -> np.ndarray:
+    """64-bit hash of the k-gram at every place."""
     h = (raw.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     factor, step = 0xD6E8FEB86659FD93, 1
     while step < GRAM:
@@ -45,45 +45,6 @@ def gram_keys(raw: np.ndarray) -> np.ndarray:
         step *= 2
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
-    return (h & ~_POS) | np.arange(len(h), dtype=np.uint64)
-
-
-def window_anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the anchor of every window, hash of the k-gram there)."""
-    raw = np.frombuffer(text, np.uint8)
-    places, hashes, cut = [], [], 1 << 23
-    for start in range(0, max(1, len(raw) - SPAN + 1), cut):
-        part = raw[start : start + cut + SPAN - 1]
-        if len(part) < SPAN:
-            break
-        low = gram_keys(part)
-        step = 1
-        while step * 2 <= REACH:
-            low = np.minimum(low[:-step], low[step:])
-            step *= 2
-        if step < REACH:
-            low = np.minimum(low[: step - REACH], low[REACH - step :])
-        places.append((low & _POS).astype(np.int64) + start)
-        hashes.append((low >> np.uint64(24)).astype(np.int64))
-    if not places:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(places), np.concatenate(hashes)
-
-
-def anchor_hashes(text: bytes, places: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the k-grams at places, independent of those that chose them."""
-    if not len(places):
-        return np.empty(0, np.uint64)
-    raw = np.frombuffer(text, np.uint8)
-    h = np.zeros(len(places), np.uint64)
-    for k in range(GRAM // 8):
-        word = np.zeros(len(places), np.uint64)
-        for b in range(8):
-            word |= raw[places + 8 * k + b].astype(np.uint64) << np.uint64(8 * b)
-        h = (h ^ word) * np.uint64(0xFF51AFD7ED558CCD)
-        h ^= h >> np.uint64(33)
-        h *= np.uint64(0xC4CEB9FE1A85EC53)
-        h ^= h >> np.uint64(29)
     return h
 
 
@@ -95,6 +56,43 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.r_[0, edges], np.r_[edges, len(values)]
 
 
+def anchor_runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Runs of windows with one anchor, over many texts: (text, first window, behind its last, place of the anchor, hash).
+
+    Places are in the text. Texts are laid end to end; windows over a border don't count.
+    """
+    sizes = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(sizes)
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    if len(raw) < SPAN:
+        return tuple(np.empty(0, d) for d in (np.int64, np.int64, np.int64, np.int64, np.uint64))
+    h = gram_hashes(raw)
+    places, cut = [], 1 << 23
+    for start in range(0, len(raw) - SPAN + 1, cut):
+        part = h[start : start + cut + REACH - 1]
+        low = (part & ~_POS) | np.arange(len(part), dtype=np.uint64)
+        step = 1
+        while step * 2 <= REACH:
+            low = np.minimum(low[:-step], low[step:])
+            step *= 2
+        if step < REACH:
+            low = np.minimum(low[: step - REACH], low[REACH - step :])
+        places.append((low & _POS).astype(np.int64) + start)
+    place = np.concatenate(places)[: len(raw) - SPAN + 1]
+    over = np.zeros(len(place) + 1, np.int32)
+    np.add.at(over, np.clip(ends - SPAN + 1, np.r_[0, ends[:-1]], len(place)), 1)
+    np.add.at(over, np.minimum(ends, len(place)), -1)
+    place[np.cumsum(over[:-1]) > 0] = -1
+    a, b = _runs(place)
+    ok = place[a] >= 0
+    a, b = a[ok], b[ok]
+    p = place[a]
+    own = np.searchsorted(ends, a, side="right")
+    base = (ends - sizes)[own]
+    g = h[p] * np.uint64(0xFF51AFD7ED558CCD)
+    return own, a - base, b - base, p - base, g ^ (g >> np.uint64(33))
+
+
 def _batch(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], names=list(columns))
 
@@ -103,17 +101,17 @@ def _anchors(buckets: int, held_bytes: int = 24_000_000):
     """Step 1, senders: for each bucket of hashes one row with hashes and documents; anchors that a task sees in several documents are told at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, marks, hashes, held = [], [], [], 0
+        docs, marks, owners, hashes, held = [], [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             if not docs:
                 return
-            sizes = [len(x) for x in hashes]
-            h = np.concatenate(hashes)
-            own = np.repeat(np.arange(len(docs)), sizes)
+            h, own = np.concatenate(hashes), np.concatenate(owners)
             doc_ids, mark_ids = np.array(docs, np.int64), np.array(marks, np.int64)
             order = np.lexsort((doc_ids[own], h))
             h, own = h[order], own[order]
+            new = np.r_[True, (h[1:] != h[:-1]) | (own[1:] != own[:-1])][: len(h)]
+            h, own = h[new], own[new]
             starts, ends = _runs(h)
             several = doc_ids[own[starts]] != doc_ids[own[ends - 1]]
             told = np.repeat(several, ends - starts)
@@ -134,18 +132,19 @@ def _anchors(buckets: int, held_bytes: int = 24_000_000):
             for a, b in zip(*_runs(at), strict=True):
                 put(int(at[a]), flags[a:b], first[a:b], one[a:b])
             yield _batch(out)
-            docs.clear(), marks.clear(), hashes.clear()
+            docs.clear(), marks.clear(), owners.clear(), hashes.clear()
 
         for batch in slices(batches):
-            for doc, mark, text in zip(batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), texts_of(batch), strict=True):
-                places, _ = window_anchors(text)
-                docs.append(doc)
-                marks.append(mark)
-                hashes.append(np.unique(anchor_hashes(text, places[_runs(places)[0]])))
-                held += len(text)
-                if held >= held_bytes:
-                    yield from flush()
-                    held = 0
+            texts = texts_of(batch)
+            own, _, _, _, h = anchor_runs(texts)
+            owners.append(own + len(docs))
+            hashes.append(h)
+            docs += batch.column("doc_id").to_pylist()
+            marks += batch.column("mark").to_pylist()
+            held += sum(map(len, texts))
+            if held >= held_bytes:
+                yield from flush()
+                held = 0
         yield from flush()
 
     return run
@@ -183,39 +182,37 @@ def _shared(got: pa.Table) -> pa.Table:
     return pa.table({n: pa.array(v, t) for n, (v, t) in out.items()})
 
 
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 2: (doc_id, mark, text of the document, regions as places, ends and digests, their texts where new to this batch)."""
+    """Step 2: (doc_id, mark, start, digest, body) of each region; the body only where it is new to the slice."""
     for batch in slices(batches):
+        texts = texts_of(batch)
+        docs, marks, lists = (batch.column(c).to_pylist() for c in ("doc_id", "mark", "lists"))
+        lists = [np.concatenate([np.frombuffer(x, np.uint64) for x in own]) for own in lists]
+        known = np.concatenate(lists) ^ (np.repeat(np.arange(len(lists), dtype=np.uint64), [len(x) for x in lists]) * _SPREAD)
+        own, a, b, _, h = anchor_runs(texts)
+        shared = np.isin(h ^ (own.astype(np.uint64) * _SPREAD), known)
+        own, a, b = own[shared], a[shared], b[shared]
+        first = np.r_[True, (own[1:] != own[:-1]) | (a[1:] != b[:-1])][: len(own)]
+        last = np.r_[first[1:], True][: len(own)]
+        owners, starts, ends = own[first].tolist(), a[first].tolist(), (b[last] + SPAN - 1).tolist()
+        bodies = [texts[i][x:y] for i, x, y in zip(owners, starts, ends, strict=True)]
+        digests = [xxhash.xxh3_128_digest(x) for x in bodies]
         seen: set[bytes] = set()
-        out: dict[str, tuple[list, pa.DataType]] = {"doc_id": ([], pa.int64()), "mark": ([], pa.int64()), "start": ([], pa.int64()), "digest": ([], pa.binary()), "body": ([], pa.binary())}
-        for doc, mark, lists, text in zip(batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), batch.column("lists").to_pylist(), texts_of(batch), strict=True):
-            known = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in lists]))
-            places, _ = window_anchors(text)
-            a, b = _runs(places)
-            flags = np.repeat(np.isin(anchor_hashes(text, places[a]), known), b - a)
-            a, b = _runs(flags)
-            for s, e in zip(a[flags[a]].tolist(), b[flags[a]].tolist(), strict=True):
-                body = text[s : e + SPAN - 1]
-                digest = xxhash.xxh3_128_digest(body)
-                for col, v in zip(out.values(), (doc, mark, s, digest, None if digest in seen else body), strict=True):
-                    col[0].append(v)
-                seen.add(digest)
-        yield _batch(out)
+        fresh = [not (d in seen or seen.add(d)) for d in digests]
+        yield _batch({"doc_id": ([docs[i] for i in owners], pa.int64()), "mark": ([marks[i] for i in owners], pa.int64()), "start": (starts, pa.int64()), "digest": (digests, pa.binary()), "body": ([x if new else None for x, new in zip(bodies, fresh, strict=True)], pa.binary())})
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 3: (digest of the region, start in it, id, anchor hash, place of the anchor, bytes, least doc_id)."""
+    """Step 3: (digest of the region, start in it, bytes, anchor hash, context hash, place of the anchor, least doc_id)."""
     for batch in slices(batches, "body"):
-        out: dict[str, tuple[list, pa.DataType]] = {"digest": ([], pa.binary()), "start": ([], pa.int32()), "cid": ([], pa.binary()), "anchor": ([], pa.int64()), "at": ([], pa.int32()), "least": ([], pa.int64()), "body": ([], pa.binary())}
-        for digest, least, body in zip(batch.column("digest").to_pylist(), batch.column("least").to_pylist(), texts_of(batch, "body"), strict=True):
-            places, _ = window_anchors(body)
-            a, b = _runs(places)
-            hashes = anchor_hashes(body, places[a]).view(np.int64).tolist()
-            for s, e, p, h in zip(a.tolist(), b.tolist(), places[a].tolist(), hashes, strict=True):
-                part = body[s : e + SPAN - 1]
-                for col, v in zip(out.values(), (digest, s, xxhash.xxh3_128_digest(part), h, p - s, least, part), strict=True):
-                    col[0].append(v)
-        yield _batch(out)
+        bodies, digests, least = texts_of(batch, "body"), batch.column("digest").to_pylist(), batch.column("least").to_numpy()
+        own, a, b, p, h = anchor_runs(bodies)
+        n = b - a + SPAN - 1
+        cids = np.array([xxhash.xxh3_64_intdigest(bodies[i][x : x + y]) for i, x, y in zip(own.tolist(), a.tolist(), n.tolist(), strict=True)], np.uint64)
+        yield _batch({"digest": ([digests[i] for i in own.tolist()], pa.binary()), "start": (a, pa.int32()), "n": (n, pa.int32()), "anchor": (h.view(np.int64), pa.int64()), "cid": (cids.view(np.int64), pa.int64()), "at": (p - a, pa.int32()), "least": (least[own], pa.int64())})
 
 
 def split_contexts(items: list[tuple[bytes, int, int, int, int]], low: int = 0, high: int = REACH - 1) -> Iterator[list[tuple[bytes, int, list]]]:
@@ -231,7 +228,7 @@ def split_contexts(items: list[tuple[bytes, int, int, int, int]], low: int = 0,
             piece = pieces.setdefault(body[a : b + SPAN], [least, []])
             piece[0] = min(piece[0], least)
             piece[1].append((owner, first + a, at - a))
-    if len(pieces) == 1 or low == high or sum(map(len, pieces)) <= SMALL:
+    if len(pieces) == 1 or low == high or (high - low < REACH - 1 and sum(map(len, pieces)) <= SMALL):
         if low == high:  # one window each
             for body, (least, owners) in pieces.items():
                 yield [(body, least, owners)]
@@ -296,7 +293,7 @@ def least_holders(groups: list[list[tuple[bytes, int, list]]]) -> list[list[np.n
 
 
 def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 4, over contexts sorted by anchor: (cid, least doc_id of every window)."""
+    """Step 4, over contexts sorted by anchor: (anchor, cid, least doc_id of every window)."""
     held: list[tuple] = []
 
     def out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -311,7 +308,7 @@ def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for (_, _, owners), low in zip(group, lows, strict=True):
                 for owner, first, _ in owners:
                     np.minimum(best[owner][first : first + len(low)], low, out=best[owner][first : first + len(low)])
-        yield pa.RecordBatch.from_arrays([pa.array([x[1] for x in rows], pa.binary()), pa.array([x.tobytes() for x in best], pa.binary())], names=["cid", "holders"])
+        yield _batch({"anchor": ([x[0] for x in rows], pa.int64()), "cid": ([x[1] for x in rows], pa.int64()), "holders": ([x.tobytes() for x in best], pa.binary())})
 
     for batch in batches:
         held += zip(*(batch.column(c).to_pylist() for c in ("anchor", "cid", "at", "least", "body")), strict=True)
@@ -330,13 +327,22 @@ def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 5 for regions: (digest, runs of windows with one least doc_id: start, end, doc_id)."""
     for batch in batches:
-        runs = []
-        for parts in batch.column("parts").to_pylist():
-            parts.sort(key=lambda x: x["start"])
-            low = np.concatenate([np.frombuffer(x["holders"], np.int64) for x in parts])
-            a, b = _runs(low)
-            runs.append(np.stack([a, b, low[a]]).astype(np.int64).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(runs, pa.binary())], names=["digest", "runs"])
+        parts = batch.column("parts")
+        own = np.repeat(np.arange(len(parts)), parts.value_lengths().to_numpy())
+        rows = parts.flatten()
+        start, n, low = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("start", "n", "low"))
+        clear = rows.field("holders").is_null().to_numpy(zero_copy_only=False)
+        pieces = [(own[clear], start[clear], start[clear] + n[clear] - SPAN + 1, low[clear])]
+        for i, held in zip(np.flatnonzero(~clear).tolist(), rows.field("holders").drop_null().to_pylist(), strict=True):
+            held = np.frombuffer(held, np.int64)
+            a, b = _runs(held)
+            pieces.append((np.full(len(a), own[i]), a + start[i], b + start[i], held[a]))
+        own, a, b, low = (np.concatenate(x).astype(np.int64) for x in zip(*pieces, strict=True))
+        order = np.lexsort((a, own))
+        own, a, b, low = own[order], a[order], b[order], low[order]
+        edges = np.searchsorted(own, np.arange(len(parts) + 1)).tolist()
+        laid = np.stack([a, b, low])
+        yield _batch({"digest": (batch.column("digest").to_pylist(), pa.binary()), "runs": ([laid[:, x:y].tobytes() for x, y in zip(edges, edges[1:], strict=False)], pa.binary())})
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,8 +378,8 @@ def _finish(columns: int):
             rest = [cut_spans(text, lists or []) for text, lists in zip(texts_of(batch, "_text"), batch.column("_lists").to_pylist(), strict=True)]
             texts = texts_of(batch, "_text")
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:columns], pa.array([len(t) for t in texts], pa.int64()), pa.array([len(t) - len(x) for t, (x, _) in zip(texts, rest, strict=True)], pa.int64()), pa.array([k for _, k in rest], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x, _ in rest], pa.string()), pa.array([x for x, _ in rest], pa.binary())],
-                names=[*batch.schema.names[:columns], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+                [*batch.columns[:columns], pa.array([len(t) for t in texts], pa.int64()), pa.array([len(t) - len(x) for t, (x, _) in zip(texts, rest, strict=True)], pa.int64()), pa.array([k for _, k in rest], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x, _ in rest], pa.string()), pa.array([x.decode("utf-8", "ignore") for x, _ in rest], pa.string())],
+                names=[*batch.schema.names[:columns], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"],
             )
 
     return run
@@ -387,24 +393,31 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     shared = saved(sent.groupBy("bucket").applyInArrow(_shared, "doc_id long, mark long, hashes binary"))
     lists = shared.groupBy("doc_id", "mark").agg(F.collect_list("hashes").alias("lists"))
     regions = saved(docs.join(lists, ["doc_id", "mark"]).mapInArrow(_regions, "doc_id long, mark long, start long, digest binary, body binary"))
-    distinct = regions.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("body").alias("body"))
-    contexts = saved(distinct.mapInArrow(_contexts, "digest binary, start int, cid binary, anchor long, at int, least long, body binary"))
-    unique = contexts.groupBy("anchor", "cid").agg(F.min("least").alias("least"), F.max("at").alias("at"), F.max("body").alias("body"))
-    holders = saved(unique.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_holders, "cid binary, holders binary"))
-    told = contexts.select("digest", "start", "cid").join(holders, "cid")
-    verdicts = told.groupBy("digest").agg(F.collect_list(F.struct("start", "holders")).alias("parts")).mapInArrow(_verdicts, "digest binary, runs binary")
+    distinct = saved(regions.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("body").alias("body")))
+    contexts = saved(distinct.mapInArrow(_contexts, "digest binary, start int, n int, anchor long, cid long, at int, least long"))
+    unique = saved(contexts.groupBy("anchor", "cid").agg(F.min("least").alias("low"), F.min(F.struct("digest", "start", "n", "at")).alias("one")))
+    several = unique.groupBy("anchor").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b").select("anchor")
+    unclear = unique.join(several, "anchor", "left_semi").select("anchor", "cid", "low", "one.*")
+    bodies = unclear.join(distinct.select("digest", "body"), "digest").select("anchor", "cid", "at", F.col("low").alias("least"), F.expr("substring(body, start + 1, n)").alias("body"))
+    holders = saved(bodies.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_holders, "anchor long, cid long, holders binary"))
+    known = unique.select("anchor", "cid", "low").join(holders, ["anchor", "cid"], "left")
+    told = contexts.select("digest", "start", "n", "anchor", "cid").join(known, ["anchor", "cid"])
+    verdicts = told.groupBy("digest").agg(F.collect_list(F.struct("start", "n", "low", "holders")).alias("parts")).mapInArrow(_verdicts, "digest binary, runs binary")
     spans = regions.select("doc_id", "mark", "start", "digest").join(verdicts, "digest").mapInArrow(_spans, "doc_id long, mark long, spans binary")
     return saved(spans.groupBy("doc_id", "mark").agg(F.collect_list("spans").alias("lists")))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes, as binary) for each row; needs doc_id and text."""
+    """docs with n_bytes, n_removed, n_spans, kept_sha256 (of the remaining bytes) and kept_text for each row; needs doc_id and text.
+
+    kept_text leaves out what remains of characters that were cut.
+    """
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.xxhash64("text").alias("mark"), F.coalesce("text", F.lit("")).alias("text"))
     spans = removed_spans(keyed)
-    names = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")]
+    names = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")]
     lined = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("_doc"), F.xxhash64("text").alias("_mark"), F.col("text").alias("_text"))
     both = lined.join(spans.select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"), F.col("lists").alias("_lists")), ["_doc", "_mark"], "left").select(*names, "_text", "_lists")
-    schema = docs.select(*names, *(F.lit(0).cast("long").alias(c) for c in ("n_bytes", "n_removed", "n_spans")), F.lit("").alias("kept_sha256"), F.lit(b"").alias("kept")).schema
+    schema = docs.select(*names, *(F.lit(0).cast("long").alias(c) for c in ("n_bytes", "n_removed", "n_spans")), F.lit("").alias("kept_sha256"), F.lit("").alias("kept_text")).schema
     return both.mapInArrow(_finish(len(names)), schema)
 
 

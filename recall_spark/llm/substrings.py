@@ -219,7 +219,8 @@ def split_contexts(items: list[tuple[bytes, int, int, int, int]], low: int = 0,
     """Groups of (bytes, least, owners) with at most about SMALL bytes, from contexts (bytes, place of the anchor, least, owner, first window).
 
     The windows that have their anchor between low and high bytes from their start share the bytes around it, which deals
-    them out; equal pieces become one. Equal windows always come into the same group.
+    them out; equal pieces become one. Equal windows always come into the same group; windows that no other context can have
+    come into none.
     """
     pieces: dict[bytes, list] = {}
     for body, at, least, owner, first in items:
@@ -243,7 +244,8 @@ def split_contexts(items: list[tuple[bytes, int, int, int, int]], low: int = 0,
             if max(0, at - hi) <= min(len(body) - SPAN, at - lo):
                 dealt.setdefault(body[max(0, at - lo) : at + SPAN - hi], []).extend((body, at, least, owner, first) for owner, first, _ in owners)
         for part in dealt.values():
-            yield from split_contexts(part, lo, hi)
+            if len(part) > 1:  # else its windows are its own
+                yield from split_contexts(part, lo, hi)
 
 
 def least_holders(groups: list[list[tuple[bytes, int, list]]]) -> list[list[np.ndarray]]:

@@ -14,31 +14,33 @@ import numpy as np
 def group_suffixes(sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Phase one: (start of each suffix's final group in the suffix array, previous-smaller pointer), for each row of sym."""
     m, n = sym.shape
-    at = np.arange(n, dtype=np.int32)
+    small = np.int16 if n < 1 << 15 else np.int32
+    at = np.arange(n, dtype=small)
     order = np.argsort(sym, axis=1, kind="stable")
     laid = np.take_along_axis(sym, order, 1)
     new = np.ones((m, n), bool)
     new[:, 1:] = laid[:, 1:] != laid[:, :-1]
-    starts = np.maximum.accumulate(np.where(new, at, 0), axis=1).astype(np.int32)
-    gid = np.empty((m, n), np.int32)
+    starts = np.maximum.accumulate(np.where(new, at, small(0)), axis=1)
+    gid = np.empty((m, n), small)
     np.put_along_axis(gid, order, starts, 1)
     start_of = starts.copy()  # of the group that ends at a position
-    size = np.zeros((m, n), np.int32)
+    size = np.zeros((m, n), small)
     flat = (np.arange(m)[:, None] * n + starts).ravel()
     size.ravel()[:] = np.bincount(flat, minlength=m * n)
-    prev = np.full((m, n), -1, np.int32)
+    prev = np.full((m, n), -1, small)
     rows, end = np.arange(m), np.full(m, n - 1, np.int32)
     while len(rows):
         st = start_of[rows, end]
         g = gid[rows]
-        before = np.maximum.accumulate(np.where(g < st[:, None], at, -1), axis=1)
+        before = np.maximum.accumulate(np.where(g < st[:, None], at, small(-1)), axis=1)
         r, i = np.nonzero(g == st[:, None])
         p = before[r, i]
         prev[rows[r], i] = p
         r, p = r[p >= 0], p[p >= 0]
         if len(r):
             key, times = np.unique(rows[r] * n + p, return_counts=True)
-            row, j = key // n, key % n
+            row = key // n
+            j = key - row * n
             old = gid[row, j]
             by = np.lexsort((-times, old, row))
             row, j, old, times = row[by], j[by], old[by], times[by]
@@ -62,7 +64,7 @@ def group_suffixes(sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             start_of[row[w][some], old[w][some] + left[some] - 1] = old[w][some]
             size[row[heads], fresh[heads]] = count
             start_of[row[heads], fresh[heads] + count - 1] = fresh[heads]
-        end = st - 1
+        end = st.astype(np.int32) - 1
         rows, end = rows[end >= 0], end[end >= 0]
     return gid, prev
 

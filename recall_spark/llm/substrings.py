@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -327,24 +328,37 @@ def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 5 for regions: (digest, runs of windows with one least doc_id: start, end, doc_id)."""
-    for batch in batches:
-        parts = batch.column("parts")
-        own = np.repeat(np.arange(len(parts)), parts.value_lengths().to_numpy())
-        rows = parts.flatten()
-        start, n, low = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("start", "n", "low"))
-        clear = rows.field("holders").is_null().to_numpy(zero_copy_only=False)
+    """Step 5 for regions, over their contexts sorted by digest and start: (digest, runs of windows with one least doc_id)."""
+
+    def out(rows: pa.RecordBatch, digests: list[bytes], ends: np.ndarray) -> pa.RecordBatch:
+        own = np.repeat(np.arange(len(ends)), np.diff(np.r_[0, ends]))
+        start, n, low = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("start", "n", "low"))
+        clear = rows.column("holders").is_null().to_numpy(zero_copy_only=False)
         pieces = [(own[clear], start[clear], start[clear] + n[clear] - SPAN + 1, low[clear])]
-        for i, held in zip(np.flatnonzero(~clear).tolist(), rows.field("holders").drop_null().to_pylist(), strict=True):
+        for i, held in zip(np.flatnonzero(~clear).tolist(), rows.column("holders").drop_null().to_pylist(), strict=True):
             held = np.frombuffer(held, np.int64)
             a, b = _runs(held)
             pieces.append((np.full(len(a), own[i]), a + start[i], b + start[i], held[a]))
         own, a, b, low = (np.concatenate(x).astype(np.int64) for x in zip(*pieces, strict=True))
         order = np.lexsort((a, own))
         own, a, b, low = own[order], a[order], b[order], low[order]
-        edges = np.searchsorted(own, np.arange(len(parts) + 1)).tolist()
+        new = np.r_[True, (own[1:] != own[:-1]) | (low[1:] != low[:-1])][: len(own)]  # contexts that agree make one run
+        last = np.r_[new[1:], True][: len(own)]
+        own, a, b, low = own[new], a[new], b[last], low[new]
+        edges = np.searchsorted(own, np.arange(len(ends) + 1)).tolist()
         laid = np.stack([a, b, low])
-        yield _batch({"digest": (batch.column("digest").to_pylist(), pa.binary()), "runs": ([laid[:, x:y].tobytes() for x, y in zip(edges, edges[1:], strict=False)], pa.binary())})
+        return _batch({"digest": (digests, pa.binary()), "runs": ([laid[:, x:y].tobytes() for x, y in zip(edges, edges[1:], strict=False)], pa.binary())})
+
+    held: pa.RecordBatch | None = None
+    for batch in batches:
+        held = batch if held is None else pa.concat_batches([held, batch])
+        coded = pc.run_end_encode(held.column("digest"))
+        ends, digests = coded.run_ends.to_numpy(), coded.values.to_pylist()
+        if len(ends) > 1:
+            yield out(held.slice(0, int(ends[-2])), digests[:-1], ends[:-1])
+            held = held.slice(int(ends[-2]))
+    if held is not None and held.num_rows:
+        yield out(held, [held.column("digest")[0].as_py()], np.array([held.num_rows]))
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,7 +418,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     holders = saved(bodies.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_holders, "anchor long, cid long, holders binary"))
     known = unique.select("anchor", "cid", "low").join(holders, ["anchor", "cid"], "left")
     told = contexts.select("digest", "start", "n", "anchor", "cid").join(known, ["anchor", "cid"])
-    verdicts = told.groupBy("digest").agg(F.collect_list(F.struct("start", "n", "low", "holders")).alias("parts")).mapInArrow(_verdicts, "digest binary, runs binary")
+    verdicts = told.select("digest", "start", "n", "low", "holders").repartition("digest").sortWithinPartitions("digest", "start").mapInArrow(_verdicts, "digest binary, runs binary")
     spans = regions.select("doc_id", "mark", "start", "digest").join(verdicts, "digest").mapInArrow(_spans, "doc_id long, mark long, spans binary")
     return saved(spans.groupBy("doc_id", "mark").agg(F.collect_list("spans").alias("lists")))
 

@@ -19,15 +19,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, slices, table, texts_of
+from .common import forget, saved, slices, table, texts_of
 from .suffixes import suffix_arrays
 
 SPAN, GRAM = 50, 16
@@ -35,6 +35,7 @@ SPAN, GRAM = 50, 16
 REACH, SMALL = SPAN - GRAM + 1, 640
 _LAST = (1 << 63) - 1
 _POS = np.uint64((1 << 24) - 1)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def gram_hashes(raw: np.ndarray) -> np.ndarray:
@@ -102,13 +103,14 @@ def _anchors(buckets: int, held_bytes: int = 24_000_000):
     """Step 1, senders: for each bucket of hashes one row with hashes and documents; anchors that a task sees in several documents are told at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, marks, owners, hashes, held = [], [], [], [], 0
+        docs, owners, hashes, held = [], [], [], 0
+        direct: dict[int, list] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
             if not docs:
                 return
             h, own = np.concatenate(hashes), np.concatenate(owners)
-            doc_ids, mark_ids = np.array(docs, np.int64), np.array(marks, np.int64)
+            doc_ids = np.array(docs, np.int64)
             order = np.lexsort((doc_ids[own], h))
             h, own = h[order], own[order]
             new = np.r_[True, (h[1:] != h[:-1]) | (own[1:] != own[:-1])][: len(h)]
@@ -116,24 +118,33 @@ def _anchors(buckets: int, held_bytes: int = 24_000_000):
             starts, ends = _runs(h)
             several = doc_ids[own[starts]] != doc_ids[own[ends - 1]]
             told = np.repeat(several, ends - starts)
-            out: dict[str, tuple[list, pa.DataType]] = {"bucket": ([], pa.int64()), "several": ([], pa.binary()), "docs": ([], pa.binary()), "marks": ([], pa.binary()), "hashes": ([], pa.binary())}
+            out: dict[str, tuple[list, pa.DataType]] = {"bucket": ([], pa.int64()), "several": ([], pa.binary()), "docs": ([], pa.binary()), "counts": ([], pa.binary()), "hashes": ([], pa.binary())}
 
-            def put(bucket: int, flags: np.ndarray | None, i: np.ndarray, x: np.ndarray) -> None:
-                for col, v in zip(out.values(), (bucket, None if flags is None else np.packbits(flags).tobytes(), doc_ids[i].tobytes(), mark_ids[i].tobytes(), x.tobytes()), strict=True):
+            def put(bucket: int, flags: np.ndarray | None, d: np.ndarray, x: np.ndarray) -> None:
+                """Documents come in runs, so that each stands there once."""
+                a, b = _runs(d)
+                for col, v in zip(out.values(), (bucket, None if flags is None else np.packbits(flags).tobytes(), d[a].tobytes(), (b - a).astype(np.uint32).tobytes(), short_hashes(x)), strict=True):
                     col[0].append(v)
 
-            by_doc = np.argsort(own[told], kind="stable")
-            i, x = own[told][by_doc], h[told][by_doc]
-            for a, b in zip(*_runs(i), strict=True):
-                put(-1 - int(doc_ids[i[a]] % buckets), None, i[a : a + 1], x[a:b])
-            one, first, flags = h[starts], own[starts], several
+            d, x = doc_ids[own[told]], h[told]
+            by = np.lexsort((x % np.uint64(buckets), d))
+            d, x = d[by], x[by]
+            at = (x % np.uint64(buckets)).astype(np.int64)
+            edges = np.flatnonzero((d[1:] != d[:-1]) | (at[1:] != at[:-1])) + 1
+            for a, b in zip(np.r_[0, edges], np.r_[edges, len(d)], strict=True) if len(d) else ():
+                direct.setdefault(int(d[a]), []).append((int(at[a]), short_hashes(x[a:b])))
+            for doc, parts in direct.items():
+                for col, v in zip(out.values(), (-1 - doc % buckets, np.array([k for k, _ in parts], np.int32).tobytes(), np.array([doc]).tobytes(), np.array([len(v) for _, v in parts], np.uint32).tobytes(), b"".join(v for _, v in parts)), strict=True):
+                    col[0].append(v)
+            direct.clear()
+            one, d, flags = h[starts], doc_ids[own[starts]], several
             at = (one % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(at, kind="stable")
-            one, first, flags, at = one[order], first[order], flags[order], at[order]
+            order = np.lexsort((d, at))
+            one, d, flags, at = one[order], d[order], flags[order], at[order]
             for a, b in zip(*_runs(at), strict=True):
-                put(int(at[a]), flags[a:b], first[a:b], one[a:b])
+                put(int(at[a]), flags[a:b], d[a:b], one[a:b])
             yield _batch(out)
-            docs.clear(), marks.clear(), owners.clear(), hashes.clear()
+            docs.clear(), owners.clear(), hashes.clear()
 
         for batch in slices(batches):
             texts = texts_of(batch)
@@ -141,7 +152,6 @@ def _anchors(buckets: int, held_bytes: int = 24_000_000):
             owners.append(own + len(docs))
             hashes.append(h)
             docs += batch.column("doc_id").to_pylist()
-            marks += batch.column("mark").to_pylist()
             held += sum(map(len, texts))
             if held >= held_bytes:
                 yield from flush()
@@ -151,42 +161,51 @@ def _anchors(buckets: int, held_bytes: int = 24_000_000):
     return run
 
 
+def short_hashes(h: np.ndarray) -> bytes:
+    """Six bytes of each hash; with the bucket they tell anchors apart, and what they confuse is compared byte by byte later."""
+    return np.ascontiguousarray((h >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def long_hashes(raw: bytes, bucket: np.ndarray | int) -> np.ndarray:
+    """Six bytes and the bucket as one number."""
+    h = np.zeros((len(raw) // 6, 8), np.uint8)
+    h[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return (h.view(np.uint64).ravel() << np.uint64(16)) ^ np.asarray(bucket).astype(np.uint64) * _SPREAD
+
+
 def _shared(got: pa.Table) -> pa.Table:
-    """Step 1, receivers: (doc_id, mark, hashes) of the anchors of a bucket that several documents have."""
-    hashes, docs, marks, told = [], [], [], []
-    out: dict[str, tuple[list, pa.DataType]] = {"doc_id": ([], pa.int64()), "mark": ([], pa.int64()), "hashes": ([], pa.binary())}
-    direct = got["bucket"][0].as_py() < 0
-    for flags, d, k, h in zip(got["several"].to_pylist(), got["docs"].to_pylist(), got["marks"].to_pylist(), got["hashes"].to_pylist(), strict=True):
-        d, k = np.frombuffer(d, np.int64), np.frombuffer(k, np.int64)
-        if direct:
-            for col, v in zip(out.values(), (int(d[0]), int(k[0]), h), strict=True):
-                col[0].append(v)
+    """Step 1, receivers: (doc_id, hashes) of the anchors of a bucket that several documents have."""
+    hashes, docs, told = [], [], []
+    out: dict[str, tuple[list, pa.DataType]] = {"doc_id": ([], pa.int64()), "hashes": ([], pa.binary())}
+    bucket = got["bucket"][0].as_py()
+    for flags, d, n, h in zip(got["several"].to_pylist(), got["docs"].to_pylist(), got["counts"].to_pylist(), got["hashes"].to_pylist(), strict=True):
+        d, n = np.frombuffer(d, np.int64), np.frombuffer(n, np.uint32)
+        if bucket < 0:  # told by a sender: buckets of the parts, their sizes in bytes
+            out["doc_id"][0].append(int(d[0]))
+            out["hashes"][0].append(long_hashes(h, np.repeat(np.frombuffer(flags, np.int32), n // 6)).tobytes())
             continue
-        hashes.append(np.frombuffer(h, np.uint64))
+        d = np.repeat(d, n)
+        hashes.append(long_hashes(h, bucket))
         docs.append(d)
-        marks.append(k)
         told.append(np.unpackbits(np.frombuffer(flags, np.uint8), count=len(d)).astype(bool))
-    if not direct:
-        h, d, k, t = (np.concatenate(x) for x in (hashes, docs, marks, told))
+    if bucket >= 0:
+        h, d, t = (np.concatenate(x) for x in (hashes, docs, told))
         order = np.lexsort((d, h))
-        h, d, k, t = h[order], d[order], k[order], t[order]
+        h, d, t = h[order], d[order], t[order]
         starts, ends = _runs(h)
         many = (d[starts] != d[ends - 1]) | np.logical_or.reduceat(t, starts)
         keep = np.repeat(many, ends - starts) & ~t  # what a sender saw in several documents, it has told
-        h, d, k = h[keep], d[keep], k[keep]
-        order = np.lexsort((k, d))
-        h, d, k = h[order], d[order], k[order]
-        edges = np.flatnonzero((d[1:] != d[:-1]) | (k[1:] != k[:-1])) + 1
-        for a, b in zip(np.r_[0, edges], np.r_[edges, len(d)], strict=True) if len(d) else ():
-            for col, v in zip(out.values(), (int(d[a]), int(k[a]), h[a:b].tobytes()), strict=True):
-                col[0].append(v)
+        h, d = h[keep], d[keep]
+        order = np.argsort(d, kind="stable")
+        h, d = h[order], d[order]
+        for a, b in zip(*_runs(d), strict=True):
+            out["doc_id"][0].append(int(d[a]))
+            out["hashes"][0].append(h[a:b].tobytes())
     return pa.table({n: pa.array(v, t) for n, (v, t) in out.items()})
 
 
-_SPREAD = np.uint64(0x9E3779B97F4A7C15)
-
 
-def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _regions(buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 2: (doc_id, mark, start, digest, body) of each region; the body only where it is new to the slice."""
     for batch in slices(batches):
         texts = texts_of(batch)
@@ -194,6 +213,7 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = [np.concatenate([np.frombuffer(x, np.uint64) for x in own]) for own in lists]
         known = np.concatenate(lists) ^ (np.repeat(np.arange(len(lists), dtype=np.uint64), [len(x) for x in lists]) * _SPREAD)
         own, a, b, _, h = anchor_runs(texts)
+        h = ((h >> np.uint64(16) & np.uint64((1 << 48) - 1)) << np.uint64(16)) ^ (h % np.uint64(buckets)) * _SPREAD
         shared = np.isin(h ^ (own.astype(np.uint64) * _SPREAD), known)
         own, a, b = own[shared], a[shared], b[shared]
         first = np.r_[True, (own[1:] != own[:-1]) | (a[1:] != b[:-1])][: len(own)]
@@ -207,13 +227,13 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 3: (digest of the region, start in it, bytes, anchor hash, context hash, place of the anchor, least doc_id)."""
+    """Step 3: (region, start in it, bytes, anchor hash, context hash, place of the anchor, least doc_id)."""
     for batch in slices(batches, "body"):
-        bodies, digests, least = texts_of(batch, "body"), batch.column("digest").to_pylist(), batch.column("least").to_numpy()
+        bodies, rid, least = texts_of(batch, "body"), batch.column("rid").to_numpy(), batch.column("least").to_numpy()
         own, a, b, p, h = anchor_runs(bodies)
         n = b - a + SPAN - 1
         cids = np.array([xxhash.xxh3_64_intdigest(bodies[i][x : x + y]) for i, x, y in zip(own.tolist(), a.tolist(), n.tolist(), strict=True)], np.uint64)
-        yield _batch({"digest": ([digests[i] for i in own.tolist()], pa.binary()), "start": (a, pa.int32()), "n": (n, pa.int32()), "anchor": (h.view(np.int64), pa.int64()), "cid": (cids.view(np.int64), pa.int64()), "at": (p - a, pa.int32()), "least": (least[own], pa.int64())})
+        yield _batch({"rid": (rid[own], pa.int64()), "start": (a, pa.int32()), "n": (n, pa.int32()), "anchor": (h.view(np.int64), pa.int64()), "cid": (cids.view(np.int64), pa.int64()), "at": (p - a, pa.int32()), "least": (least[own], pa.int64())})
 
 
 def split_contexts(items: list[tuple[bytes, int, int, int, int]], low: int = 0, high: int = REACH - 1) -> Iterator[list[tuple[bytes, int, list]]]:
@@ -328,9 +348,9 @@ def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 5 for regions, over their contexts sorted by digest and start: (digest, runs of windows with one least doc_id)."""
+    """Step 5 for regions, over their contexts sorted by region and start: (rid, runs of windows with one least doc_id)."""
 
-    def out(rows: pa.RecordBatch, digests: list[bytes], ends: np.ndarray) -> pa.RecordBatch:
+    def out(rows: pa.RecordBatch, rids: list[int], ends: np.ndarray) -> pa.RecordBatch:
         own = np.repeat(np.arange(len(ends)), np.diff(np.r_[0, ends]))
         start, n, low = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("start", "n", "low"))
         clear = rows.column("holders").is_null().to_numpy(zero_copy_only=False)
@@ -347,18 +367,19 @@ def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, a, b, low = own[new], a[new], b[last], low[new]
         edges = np.searchsorted(own, np.arange(len(ends) + 1)).tolist()
         laid = np.stack([a, b, low])
-        return _batch({"digest": (digests, pa.binary()), "runs": ([laid[:, x:y].tobytes() for x, y in zip(edges, edges[1:], strict=False)], pa.binary())})
+        return _batch({"rid": (rids, pa.int64()), "runs": ([laid[:, x:y].tobytes() for x, y in zip(edges, edges[1:], strict=False)], pa.binary())})
 
     held: pa.RecordBatch | None = None
     for batch in batches:
         held = batch if held is None else pa.concat_batches([held, batch])
-        coded = pc.run_end_encode(held.column("digest"))
-        ends, digests = coded.run_ends.to_numpy(), coded.values.to_pylist()
+        coded = held.column("rid").to_numpy()
+        starts, ends = _runs(coded)
+        rids = coded[starts].tolist()
         if len(ends) > 1:
-            yield out(held.slice(0, int(ends[-2])), digests[:-1], ends[:-1])
+            yield out(held.slice(0, int(ends[-2])), rids[:-1], ends[:-1])
             held = held.slice(int(ends[-2]))
     if held is not None and held.num_rows:
-        yield out(held, [held.column("digest")[0].as_py()], np.array([held.num_rows]))
+        yield out(held, [held.column("rid")[0].as_py()], np.array([held.num_rows]))
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,22 +426,27 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, lists): removed byte spans of documents (doc_id, mark, text) that lose any."""
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(16, size // 12_000_000)
-    sent = docs.mapInArrow(_anchors(buckets), "bucket long, several binary, docs binary, marks binary, hashes binary")
-    shared = saved(sent.groupBy("bucket").applyInArrow(_shared, "doc_id long, mark long, hashes binary"))
-    lists = shared.groupBy("doc_id", "mark").agg(F.collect_list("hashes").alias("lists"))
-    regions = saved(docs.join(lists, ["doc_id", "mark"]).mapInArrow(_regions, "doc_id long, mark long, start long, digest binary, body binary"))
-    distinct = saved(regions.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("body").alias("body")))
-    contexts = saved(distinct.mapInArrow(_contexts, "digest binary, start int, n int, anchor long, cid long, at int, least long"))
-    unique = saved(contexts.groupBy("anchor", "cid").agg(F.min("least").alias("low"), F.min(F.struct("digest", "start", "n", "at")).alias("one")))
-    several = unique.groupBy("anchor").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b").select("anchor")
-    unclear = unique.join(several, "anchor", "left_semi").select("anchor", "cid", "low", "one.*")
-    bodies = unclear.join(distinct.select("digest", "body"), "digest").select("anchor", "cid", "at", F.col("low").alias("least"), F.expr("substring(body, start + 1, n)").alias("body"))
+    sent = docs.select("doc_id", "text").mapInArrow(_anchors(buckets), "bucket long, several binary, docs binary, counts binary, hashes binary")
+    shared = saved(sent.groupBy("bucket").applyInArrow(_shared, "doc_id long, hashes binary"))
+    lists = shared.groupBy("doc_id").agg(F.collect_list("hashes").alias("lists"))
+    regions = saved(docs.join(lists, "doc_id").mapInArrow(partial(_regions, buckets), "doc_id long, mark long, start long, digest binary, body binary"))
+    forget(shared)
+    distinct = saved(regions.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("body").alias("body")).withColumn("rid", F.monotonically_increasing_id()))
+    contexts = saved(distinct.select("rid", "least", "body").mapInArrow(_contexts, "rid long, start int, n int, anchor long, cid long, at int, least long"))
+    anchors = saved(contexts.groupBy("anchor").agg(F.min("least").alias("low"), (F.min("cid") != F.max("cid")).alias("several")))
+    unclear = contexts.join(anchors.where("several").select("anchor"), "anchor", "left_semi").groupBy("anchor", "cid").agg(F.min("least").alias("least"), F.min(F.struct("rid", "start", "n", "at")).alias("one")).select("anchor", "cid", "least", "one.*")
+    bodies = unclear.join(distinct.select("rid", "body"), "rid").select("anchor", "cid", "at", "least", F.expr("substring(body, start + 1, n)").alias("body"))
     holders = saved(bodies.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_holders, "anchor long, cid long, holders binary"))
-    known = unique.select("anchor", "cid", "low").join(holders, ["anchor", "cid"], "left")
-    told = contexts.select("digest", "start", "n", "anchor", "cid").join(known, ["anchor", "cid"])
-    verdicts = told.select("digest", "start", "n", "low", "holders").repartition("digest").sortWithinPartitions("digest", "start").mapInArrow(_verdicts, "digest binary, runs binary")
-    spans = regions.select("doc_id", "mark", "start", "digest").join(verdicts, "digest").mapInArrow(_spans, "doc_id long, mark long, spans binary")
-    return saved(spans.groupBy("doc_id", "mark").agg(F.collect_list("spans").alias("lists")))
+    told = contexts.select("rid", "start", "n", "anchor", "cid").join(anchors.select("anchor", "low"), "anchor").join(holders, ["anchor", "cid"], "left").select("rid", "start", "n", "low", "holders")
+    verdicts = saved(told.repartition("rid").sortWithinPartitions("rid", "start").mapInArrow(_verdicts, "rid long, runs binary"))
+    for done in (contexts, anchors, holders):
+        forget(done)
+    runs = verdicts.join(distinct.select("rid", "digest"), "rid").select("digest", "runs")
+    spans = regions.select("doc_id", "mark", "start", "digest").join(runs, "digest").mapInArrow(_spans, "doc_id long, mark long, spans binary")
+    out = saved(spans.groupBy("doc_id", "mark").agg(F.collect_list("spans").alias("lists")))
+    for done in (regions, distinct, verdicts):
+        forget(done)
+    return out
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

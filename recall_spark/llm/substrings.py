@@ -68,10 +68,11 @@ def anchor_runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     raw = np.frombuffer(b"".join(texts), np.uint8)
     if len(raw) < SPAN:
         return tuple(np.empty(0, d) for d in (np.int64, np.int64, np.int64, np.int64, np.uint64))
-    h = gram_hashes(raw)
-    places, cut = [], 1 << 23
+    h = np.empty(len(raw) - GRAM + 1, np.uint64)
+    places, cut = [], 1 << 15  # pieces that a processor's cache holds
     for start in range(0, len(raw) - SPAN + 1, cut):
-        part = h[start : start + cut + REACH - 1]
+        part = gram_hashes(raw[start : start + cut + SPAN - 1])
+        h[start : start + len(part)] = part
         low = (part & ~_POS) | np.arange(len(part), dtype=np.uint64)
         step = 1
         while step * 2 <= REACH:
@@ -432,19 +433,23 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     regions = saved(docs.join(lists, "doc_id").mapInArrow(partial(_regions, buckets), "doc_id long, mark long, start long, digest binary, body binary"))
     forget(shared)
     distinct = saved(regions.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("body").alias("body")).withColumn("rid", F.monotonically_increasing_id()))
+    places = saved(regions.select("doc_id", "mark", "start", "digest"))
+    forget(regions)
     contexts = saved(distinct.select("rid", "least", "body").mapInArrow(_contexts, "rid long, start int, n int, anchor long, cid long, at int, least long"))
     anchors = saved(contexts.groupBy("anchor").agg(F.min("least").alias("low"), (F.min("cid") != F.max("cid")).alias("several")))
-    unclear = contexts.join(anchors.where("several").select("anchor"), "anchor", "left_semi").groupBy("anchor", "cid").agg(F.min("least").alias("least"), F.min(F.struct("rid", "start", "n", "at")).alias("one")).select("anchor", "cid", "least", "one.*")
+    unclear = contexts.join(anchors.where("several").select("anchor"), "anchor", "left_semi").groupBy("anchor", "cid").agg(F.min("least").alias("least"), F.min(F.struct("rid", "start", "n", "at")).alias("one"))
+    unclear = saved(unclear.select("anchor", "cid", "least", "one.*"))
     bodies = unclear.join(distinct.select("rid", "body"), "rid").select("anchor", "cid", "at", "least", F.expr("substring(body, start + 1, n)").alias("body"))
     holders = saved(bodies.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_holders, "anchor long, cid long, holders binary"))
+    forget(unclear)
     told = contexts.select("rid", "start", "n", "anchor", "cid").join(anchors.select("anchor", "low"), "anchor").join(holders, ["anchor", "cid"], "left").select("rid", "start", "n", "low", "holders")
     verdicts = saved(told.repartition("rid").sortWithinPartitions("rid", "start").mapInArrow(_verdicts, "rid long, runs binary"))
     for done in (contexts, anchors, holders):
         forget(done)
     runs = verdicts.join(distinct.select("rid", "digest"), "rid").select("digest", "runs")
-    spans = regions.select("doc_id", "mark", "start", "digest").join(runs, "digest").mapInArrow(_spans, "doc_id long, mark long, spans binary")
+    spans = places.join(runs, "digest").mapInArrow(_spans, "doc_id long, mark long, spans binary")
     out = saved(spans.groupBy("doc_id", "mark").agg(F.collect_list("spans").alias("lists")))
-    for done in (regions, distinct, verdicts):
+    for done in (places, distinct, verdicts):
         forget(done)
     return out
 

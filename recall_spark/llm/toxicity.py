@@ -30,6 +30,8 @@ DOCS, FOLDS, STEM, PRIOR_WORDS = 2500, 5, 4, 15
 #: so that copies of a text count once.
 DISCOUNT, PAIR_DISCOUNT = 2.5, 3
 TOXIC_WEIGHT = 0.3
+#: The most that one pair of words can say.
+LIMIT = 6.0
 #: ASCII letters in lower case and digits stay, other ASCII parts words; bytes of other characters stay.
 _PARTS = bytes(b if b > 127 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -44,9 +46,11 @@ def stem_of(word: bytes) -> bytes:
 
 
 def labelled(labels: DataFrame, docs_per_class: int = DOCS) -> DataFrame:
-    """(doc_id, toxic) of at most docs_per_class labelled rows a class, chosen by hash; the held-out fold never is."""
+    """(doc_id, toxic) of at most docs_per_class labelled rows a class, as many of either, chosen by hash; the held-out fold never is."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").where(crc_mod(FOLDS) != 0).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    pick = lambda c: known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(docs_per_class)
+    found = [r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()]  # a row for each class
+    size = min([docs_per_class, *found])
+    pick = lambda c: known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
     return pick(0).union(pick(1))
 
 
@@ -101,7 +105,10 @@ class Model:
         self.slope, self.shift = 1.0, 0.0
 
     def evidence(self, text: bytes) -> float:
-        """Toxic minus ordinary log-likelihood, per different pair of words; PRIOR_WORDS without evidence steady short texts."""
+        """Toxic minus ordinary log-likelihood, per different pair of words; PRIOR_WORDS without evidence steady short texts.
+
+        The text's median pair is its zero: a language or subject that one class has more of shifts all words alike.
+        """
         words = words_of(text)
         if not words:
             return 0.0
@@ -114,7 +121,8 @@ class Model:
             rest[i] = self.bow[v[i]] + self.by_stem[self.stems.get(stem_of(words[i]), -1)]
         each = np.where(self.keys[at] == pair, self.by_pair[at], rest) if len(self.keys) else rest
         first = np.unique(pair, return_index=True)[1]  # a pair that a text repeats is evidence once
-        return float(each[first].sum(dtype=np.float64) / (len(first) + PRIOR_WORDS))
+        each = np.clip(each[first], -LIMIT, LIMIT)
+        return float((each - np.median(each)).sum(dtype=np.float64) / (len(first) + PRIOR_WORDS))
 
     def score(self, x: float) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * x + self.shift, -30, 30))))

@@ -356,10 +356,14 @@ def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, n, low = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("start", "n", "low"))
         clear = rows.column("holders").is_null().to_numpy(zero_copy_only=False)
         pieces = [(own[clear], start[clear], start[clear] + n[clear] - SPAN + 1, low[clear])]
-        for i, held in zip(np.flatnonzero(~clear).tolist(), rows.column("holders").drop_null().to_pylist(), strict=True):
-            held = np.frombuffer(held, np.int64)
-            a, b = _runs(held)
-            pieces.append((np.full(len(a), own[i]), a + start[i], b + start[i], held[a]))
+        if not clear.all():
+            flat = np.frombuffer(b"".join(rows.column("holders").drop_null().to_pylist()), np.int64)
+            width = (n[~clear] - SPAN + 1).astype(np.int64)
+            row = np.repeat(np.arange(len(width)), width)
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(width) - width, width) + start[~clear][row]
+            first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (flat[1:] != flat[:-1])])
+            last = np.r_[first[1:], len(flat)] - 1
+            pieces.append((own[~clear][row[first]], place[first], place[last] + 1, flat[first]))
         own, a, b, low = (np.concatenate(x).astype(np.int64) for x in zip(*pieces, strict=True))
         order = np.lexsort((a, own))
         own, a, b, low = own[order], a[order], b[order], low[order]
@@ -426,7 +430,7 @@ def _finish(columns: int):
 def removed_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, lists): removed byte spans of documents (doc_id, mark, text) that lose any."""
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = max(16, size // 12_000_000)
+    buckets = max(64, size // 12_000_000)
     sent = docs.select("doc_id", "text").mapInArrow(_anchors(buckets), "bucket long, several binary, docs binary, counts binary, hashes binary")
     shared = saved(sent.groupBy("bucket").applyInArrow(_shared, "doc_id long, hashes binary"))
     lists = shared.groupBy("doc_id").agg(F.collect_list("hashes").alias("lists"))

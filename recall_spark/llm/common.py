@@ -41,10 +41,15 @@ def saved(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.saved_at = path
+    let_go(df.sparkSession)
+    return out
+
+
+def let_go(spark: SparkSession) -> None:
+    """Shuffle files that nothing on the driver refers to any more go."""
     for _ in range(2):
         gc.collect()
-        df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+        spark.sparkContext._jvm.System.gc()
 
 
 def forget(df: DataFrame) -> None:

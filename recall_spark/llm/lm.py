@@ -1,15 +1,17 @@
 """Language-model scores by a hashed maximum-entropy model with a class-factored softmax.
 
-log P(word | history) = log P(class | history) + log P(word | class). The most frequent words are classes of their own,
-other words fall into classes by their ending. A class is scored by a softmax over features of the history (the word
-before, the word before that, both, and a skip feature that only says which words stand there), hashed into a table of
-weights; within a class a word has its smoothed share of the class's training tokens, which keeps vocabularies of any
-size. Without weights the model is exactly the smoothed unigram model; a word that training lacks always costs
-what it costs there.
-
-Weights are trained by distributed gradient steps on a bounded sample of training documents (`DOCS`): tasks sum
-gradients, the sums are added up. Counts are over all training documents: words are counted by a shuffle, and each
-block of documents gets back the counts of just its own words.
+log P(word | history) = log P(class | history) + log P(word | class, history). The most frequent words are classes of
+their own, other words fall into classes by their ending. A class is scored by a softmax over features of the history
+(the word before, the word before that, both, and a skip feature that only says which words stand there), hashed into
+a table of weights. Within a class the bits of a word's hash are decisions of a binary tree, each scored by the same
+features and hashed into a second table; a part of the tree that training has seen less than `Model.least` times is not
+decided further, and a word has its smoothed share of it. Without weights the model is exactly the smoothed unigram
+model; a word that training lacks always costs what it costs there.
+
+Weights are trained by generalised iterative scaling over all training documents, `PASSES` times: tasks sum what is
+observed and what the model expects, the sums are added up by a shuffle on slabs of weight rows. Tables, classes and
+decisions grow with the training tokens. Counts are over all training documents too: words are counted by a shuffle,
+and each block of documents gets back the counts of just its own words.
 
 Null and empty texts are the end token alone. Rows that repeat a doc_id are scored each; a null doc_id belongs to
 training. With no training tokens every token costs log10(1 / 1).
@@ -27,13 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, saved, slices, table, texts_of
+from .common import crc_mod, let_go, saved, slices, table, texts_of
 
 FOLDS, HELD_OUT = 7, 2
-TOP, ENDINGS, BINS, DOCS, STEPS, RATE = 24, 40, 1 << 13, 800, 8, 0.5
-#: Keeps features that the sample has a few times only from large weights.
-STEADY = 1e-4
-CLASSES = TOP + ENDINGS
+PASSES, CHUNK, STEP = 2, 1 << 13, 0.25
+#: Events at which what a weight row has seen counts as much as what the model says without it.
+STEADY = 40.0
+#: Bits of a word's hash that decisions may use; bytes of weights, about, that one row of partial sums carries.
+DEPTH, SLAB = 24, 1 << 18
 END = b""
 #: Text of a block, about, in characters.
 BLOCK = 12_000_000
@@ -70,27 +73,66 @@ def _block_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 class Model:
-    def __init__(self, top: list[bytes], vocab: int, total: int):
-        self.top = {w: i for i, w in enumerate(top)}
+    def __init__(self, top: list[bytes], endings: int, vocab: int, total: int):
+        grown = math.log2(total + 1)
+        self.top, self.endings, self.classes = {w: i for i, w in enumerate(top)}, endings, len(top) + endings
         self.norm = total + vocab + 1.0  # smoothed mass of all words, with one unknown
-        self.mass = np.ones(CLASSES)
-        self.weights = np.zeros((BINS, CLASSES), np.float32)
+        self.least = max(8.0, math.sqrt(total) / 8)
+        self.bits, self.split_bits = max(13, round(3 + 0.42 * grown)), max(16, round(10 + 0.4 * grown))
+        self.mass = np.full(self.classes, 1e-9)
+        self.nodes, self.odds = np.empty(0, np.int64), np.empty(0, np.float32)
+        self.weights = np.zeros((1 << self.bits, self.classes), np.float32)
+        self.splits = np.zeros(1 << self.split_bits, np.float32)
+
+    @staticmethod
+    def sizes(total: int) -> tuple[int, int]:
+        """How many words are classes of their own, and how many classes of endings there are."""
+        grown = max(1.0, (total / (1 << 24)) ** (1 / 6))
+        return round(24 * grown), round(40 * grown)
 
     def class_of(self, word: bytes) -> int:
         found = self.top.get(word)
-        return TOP + xxhash.xxh3_64_intdigest(word[-3:]) % ENDINGS if found is None else found
+        return len(self.top) + xxhash.xxh3_64_intdigest(word[-3:]) % self.endings if found is None else found
 
     @property
     def prior(self) -> np.ndarray:
         return np.log(self.mass / self.norm).astype(np.float32)
 
     @staticmethod
-    def features(h: np.ndarray) -> list[np.ndarray]:
-        """Rows of the weight table for tokens h[2:], from the hashes of the two before each."""
-        a, b = h[1:-1], h[:-2]
+    def features(a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+        """Hashes of the features of tokens, from the hashes of the word before and the one before that."""
         skip = np.minimum(a, b) ^ (np.maximum(a, b) >> np.uint64(1))
-        shift = np.uint64(64 - int(math.log2(BINS)))
-        return [(((x + np.uint64(k)) * _MIX ^ (x >> np.uint64(31))) * _MIX >> shift).astype(np.int64) for k, x in enumerate((a, b, a * _MIX + b, skip))]
+        return [((x + np.uint64(k)) * _MIX ^ (x >> np.uint64(31))) * _MIX for k, x in enumerate((a, b, a * _MIX + b, skip))]
+
+    def rows(self, mixed: list[np.ndarray]) -> list[np.ndarray]:
+        return [(x >> np.uint64(64 - self.bits)).astype(np.int64) for x in mixed]
+
+    def paths(self, classes: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Decisions that lead to words: how many each has; their nodes and whether they were taken, laid end to end."""
+        at, bit = np.full((len(h), DEPTH), -1, np.int64), np.zeros((len(h), DEPTH), bool)
+        for d in range(DEPTH if len(self.nodes) else 0):
+            key = node_keys(classes, h, d)
+            i = np.minimum(np.searchsorted(self.nodes, key), len(self.nodes) - 1)
+            at[:, d] = np.where(self.nodes[i] == key, i, -1)
+            bit[:, d] = (h >> np.uint64(63 - d)) & np.uint64(1)
+        found = at >= 0
+        return found.sum(axis=1), at[found], bit[found]
+
+    def decisions(self, mixed: list[np.ndarray], words: np.ndarray, paths: tuple) -> tuple:
+        """(token, taken, bins, node) of every decision of tokens."""
+        n, nodes, bits = paths
+        each = n[words]
+        token = np.repeat(np.arange(len(words)), each)
+        at = np.arange(len(token)) + np.repeat((np.cumsum(n) - n)[words] - (np.cumsum(each) - each), each)
+        node = nodes[at]
+        own, shift = self.nodes[node].view(np.uint64) * _MIX, np.uint64(64 - self.split_bits)
+        return token, bits[at], [((x[token] ^ own) * _MIX >> shift).astype(np.int64) for x in mixed], node
+
+    def log_odds(self, bins: list[np.ndarray], node: np.ndarray) -> np.ndarray:
+        z = self.odds[node]
+        for x in bins:
+            z = z + self.splits[x]
+        return z
 
     def log_classes(self, rows: list[np.ndarray], prior: np.ndarray) -> np.ndarray:
         z = self.weights[rows[0]]
@@ -102,61 +144,145 @@ class Model:
         return z
 
 
+def node_keys(classes: np.ndarray, h: np.ndarray, depth: int) -> np.ndarray:
+    """Node of the tree in which words stand after so many bits."""
+    prefix = (h >> np.uint64(64 - depth)).astype(np.int64) if depth else np.zeros(len(h), np.int64)
+    return (classes << 32) | (1 << depth) | prefix
+
+
+def lined(texts: list[np.ndarray], h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of texts end to end, and the hashes of the word before each and the one before that, 0 outside its text."""
+    if not texts:
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
+    words = np.concatenate(texts)
+    at = np.arange(len(words)) - np.repeat(np.cumsum([0, *(len(t) for t in texts[:-1])]), [len(t) for t in texts])
+    own, zero = h[words], np.zeros(2, np.uint64)
+    return words, np.where(at > 0, np.r_[zero[:1], own[:-1]], 0).astype(np.uint64), np.where(at > 1, np.r_[zero, own[:-2]][: len(own)], 0).astype(np.uint64)
+
+
 def hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def train(sample: DataFrame, model: Model) -> Model:
-    """Gradient ascent on the likelihood of classes over a bounded sample (text); a step is one distributed sum."""
-    sc = sample.sparkSession.sparkContext
-    square = np.zeros_like(model.weights)
-    for _ in range(STEPS):
-        shipped = sc.broadcast(model)
+def _sums(shipped, first: bool):
+    """Partial sums of a task, (kind, slab, sums): observed and expected weights of rows of classes (0) and of decisions (1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shipped.value
+        prior, size = m.prior, m.weights.size
+        seen, meant = np.zeros(size, np.float32), np.zeros((1 << m.bits, 1 if first else m.classes), np.float32)
+        split = np.zeros((3, 1 << m.split_bits), np.float32)  # taken, expected to be, all
+
+        def expect(rows: list[np.ndarray]) -> None:
+            p = np.exp(m.log_classes(rows, prior))
+            for r in rows:
+                order = np.argsort(r, kind="stable")
+                own = r[order]
+                begin = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                meant[own[begin]] += np.add.reduceat(p[order], begin, axis=0)
+
+        def add(texts: list[list[bytes]]) -> None:
+            index: dict[bytes, int] = {}
+            ids = [np.array([index.setdefault(w, len(index)) for w in t], np.int64) for t in texts]
+            listed = list(index)
+            h, classes = hashes(listed), np.fromiter(map(m.class_of, listed), np.int64, len(listed))
+            paths = m.paths(classes, h)
+            words, a, b = lined(ids, h)
+            mixed = m.features(a, b)
+            rows, y = m.rows(mixed), classes[words]
+            for r in rows:
+                np.add.at(seen, r * m.classes + y, np.float32(1))
+                if first:
+                    meant[:, 0] += np.bincount(r, minlength=1 << m.bits)
+            if not first:
+                for at in range(0, len(words), CHUNK):
+                    expect([r[at : at + CHUNK] for r in rows])
+            _, taken, bins, node = m.decisions(mixed, words, paths)
+            p = (1 / (1 + np.exp(-m.log_odds(bins, node)))).astype(np.float32)
+            for x in bins:
+                np.add.at(split[0], x[taken], np.float32(1))
+                np.add.at(split[1], x, p)
+                np.add.at(split[2], x, np.float32(1))
+
+        held, n = [], 0
+        for batch in slices(batches):
+            for text in texts_of(batch):
+                held.append(tokens_of(text))
+                n += len(held[-1])
+                if n > 1 << 17:
+                    add(held)
+                    held, n = [], 0
+        if held:
+            add(held)
+        step = max(1, SLAB // m.classes)
+        seen = seen.reshape(-1, m.classes)
+        for i in range(0, 1 << m.bits, step):
+            if meant[i : i + step].any() or seen[i : i + step].any():
+                yield _sum_row(0, i, np.concatenate([seen[i : i + step].ravel(), meant[i : i + step].ravel()]))
+        for i in range(0, 1 << m.split_bits, SLAB):
+            if split[2, i : i + SLAB].any():
+                yield _sum_row(1, i, split[:, i : i + SLAB].ravel())
+
+    return run
 
-        def gradients(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m, grad, n = shipped.value, np.zeros((BINS, CLASSES), np.float32), 0
-            prior = m.prior
-
-            def add(rows: list[list[np.ndarray]], y: list[np.ndarray]) -> int:
-                rows, y = [np.concatenate(r) for r in zip(*rows, strict=True)], np.concatenate(y)
-                d = -np.exp(m.log_classes(rows, prior))
-                d[np.arange(len(y)), y] += 1
-                for r in rows:
-                    order = np.argsort(r, kind="stable")
-                    first = np.flatnonzero(np.r_[True, r[order][1:] != r[order][:-1]])
-                    grad[r[order][first]] += np.add.reduceat(d[order], first, axis=0)
-                return len(y)
-
-            rows, y, held = [], [], 0
-            for batch in slices(batches):
-                for text in texts_of(batch):
-                    words = tokens_of(text)
-                    y.append(np.array([m.class_of(w) for w in words]))
-                    rows.append(m.features(np.r_[np.zeros(2, np.uint64), hashes(words)]))
-                    held += len(words)
-                    if held > 20_000:
-                        n, rows, y, held = n + add(rows, y), [], [], 0
-            if held:
-                n += add(rows, y)
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([grad.tobytes()], pa.binary())], names=["n", "grad"])
-
-        got = sample.mapInArrow(gradients, "n long, grad binary").collect()  # one BINS x CLASSES table for each task of the bounded sample
-        n = sum(r.n for r in got) or 1
-        grad = sum((np.frombuffer(r.grad, np.float32) for r in got), np.zeros(BINS * CLASSES, np.float32)).reshape(BINS, CLASSES) / n
-        square += grad * grad
-        model.weights = model.weights + RATE * grad / (np.sqrt(square) + STEADY)
+
+def _sum_row(kind: int, slab: int, values: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([slab], pa.int64()), pa.array([values.astype(np.float32).tobytes()], pa.binary())], names=["kind", "slab", "sums"])
+
+
+def _moves(shipped, first: bool):
+    """What a slab's weights gain from the sums of all tasks."""
+
+    def run(got: pa.Table) -> pa.Table:
+        m, kind, slab = shipped.value, got["kind"][0].as_py(), got["slab"][0].as_py()
+        total = sum(np.frombuffer(x.as_buffer(), np.float32).astype(np.float64) for x in got["sums"])
+        if kind:
+            taken, meant, n = total.reshape(3, -1)
+            p = np.clip(meant / np.maximum(n, 1), 1e-6, 1 - 1e-6)
+            move = np.where(n > 0, np.log((taken + STEADY * p) / (n - taken + STEADY * (1 - p))) - np.log(p / (1 - p)), 0)
+        else:
+            q = m.mass / m.norm
+            q = q / q.sum()
+            count = min(max(1, SLAB // m.classes), (1 << m.bits) - slab)
+            seen, meant = total[: count * m.classes].reshape(count, -1), total[count * m.classes :].reshape(count, -1)
+            meant = meant * q if first else meant
+            move = np.log((seen + STEADY * q) / (meant + STEADY * q))
+        return pa.table({"kind": pa.array([kind], pa.int32()), "slab": pa.array([slab], pa.int64()), "move": pa.array([(move.ravel() * STEP).astype(np.float32).tobytes()], pa.binary())})
+
+    return run
+
+
+def train(docs: DataFrame, model: Model) -> Model:
+    """Iterative scaling over all of docs (text); a pass is one distributed sum, of which a task gives one partial sum a slab."""
+    sc = docs.sparkSession.sparkContext
+    docs = docs.coalesce(4 * sc.defaultParallelism)
+    for k in range(PASSES):
+        shipped = sc.broadcast(model)
+        sums = docs.mapInArrow(_sums(shipped, k == 0), "kind int, slab long, sums binary")
+        got = sums.groupBy("kind", "slab").applyInArrow(_moves(shipped, k == 0), "kind int, slab long, move binary").toArrow()  # one table of weights
+        for kind, slab, move in zip(*(got[c] for c in ("kind", "slab", "move")), strict=True):
+            flat, x = (model.splits if kind.as_py() else model.weights.reshape(-1)), np.frombuffer(move.as_buffer(), np.float32)
+            at = slab.as_py() * (1 if kind.as_py() else model.classes)
+            flat[at : at + len(x)] += x
         shipped.unpersist()
+        del sums, got
+        let_go(docs.sparkSession)
     return model
 
 
-def _class_mass(model):
+def _node_mass(model):
+    """(node, mass, ones): smoothed mass of the words of a node, and of those whose next bit is 1."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mass = np.zeros(CLASSES)
+        m = model.value
         for batch in batches:
-            at = np.array([model.value.class_of(w) for w in batch.column("word").to_pylist()], np.int64)
-            if len(at):
-                mass += np.bincount(at, batch.column("c").to_numpy() + 1, minlength=CLASSES)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES), pa.int32()), pa.array(mass)], names=["class", "mass"])
+            words = batch.column("word").to_pylist()
+            h, classes = hashes(words), np.fromiter(map(m.class_of, words), np.int64, len(words))
+            mass = batch.column("c").to_numpy() + 1.0
+            for d in range(DEPTH):
+                key, at = np.unique(node_keys(classes, h, d), return_inverse=True)
+                bit = ((h >> np.uint64(63 - d)) & np.uint64(1)).astype(float)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.bincount(at, mass, len(key))), pa.array(np.bincount(at, mass * bit, len(key)))], names=["node", "mass", "ones"])
 
     return run
 
@@ -169,24 +295,40 @@ def _score(shipped, total: int):
         index = {w: i for i, w in enumerate(listed)}
         c = words["c"].to_numpy().astype(float)
         h = hashes(listed)
-        classes = np.array([m.class_of(w) for w in listed], np.int64)
+        classes = np.fromiter(map(m.class_of, listed), np.int64, len(listed))
+        n_paths, nodes, bits = paths = m.paths(classes, h)
         base = np.log((c + 1) / m.norm)
-        inside = np.log((c + 1) / m.mass[classes])
-        out: list[list] = [[], [], [], []]
-        for text in docs["text"].to_pylist():
-            t = np.array([index[w] for w in tokens_of((text or "").encode())], np.int64)
-            known = c[t] > 0
-            score = float(base[t[~known]].sum())
-            seen = np.r_[np.zeros(2, np.uint64), h[t]]
-            for a in range(0, len(t), 1 << 14):
-                part = t[a : a + (1 << 14)]
-                k = np.flatnonzero(known[a : a + (1 << 14)])
-                rows = [r[k] for r in m.features(seen[a : a + len(part) + 2])]
-                score += float(m.log_classes(rows, prior)[np.arange(len(k)), classes[part[k]]].sum(dtype=np.float64) + inside[part[k]].sum())
-            for col, v in zip(out, (len(t), int(known.sum()), float(base[t].sum()) / math.log(10), score / math.log(10)), strict=True):
+        # of a word in the part of its class where decisions end
+        taken = np.where(bits, -np.logaddexp(0, -m.odds[nodes].astype(float)), -np.logaddexp(0, m.odds[nodes].astype(float)))
+        share = np.log((c + 1) / m.mass[classes]) - np.bincount(np.repeat(np.arange(len(listed)), n_paths), taken, len(listed))
+        out: list[list[np.ndarray]] = [[], [], [], []]
+
+        def put(ids: list[np.ndarray]) -> None:
+            t, a, b = lined(ids, h)
+            sizes = np.array([len(x) for x in ids])
+            owner, known = np.repeat(np.arange(len(ids)), sizes), c[t] > 0
+            gain = np.where(known, share[t], base[t])
+            for at in range(0, len(t), CHUNK):
+                k = at + np.flatnonzero(known[at : at + CHUNK])
+                mixed = m.features(a[k], b[k])
+                gain[k] += m.log_classes(m.rows(mixed), prior)[np.arange(len(k)), classes[t[k]]]
+                token, bit, bins, node = m.decisions(mixed, t[k], paths)
+                z = m.log_odds(bins, node).astype(float)
+                gain[k] -= np.bincount(token, np.logaddexp(0, np.where(bit, -z, z)), len(k))
+            for col, v in zip(out, (sizes, np.bincount(owner, known, len(ids)).astype(np.int64), np.bincount(owner, base[t], len(ids)) / math.log(10), np.bincount(owner, gain, len(ids)) / math.log(10)), strict=True):
                 col.append(v)
-        n = docs.num_rows
-        return pa.table({"doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": pa.array(out[0], pa.int64()), "n_known": pa.array(out[1], pa.int64()), "train_tokens": pa.array([total] * n, pa.int64()), "base_score": pa.array(out[2], pa.float64()), "score": pa.array(out[3], pa.float64())})
+
+        held, n = [], 0
+        for text in docs["text"].to_pylist():
+            held.append(np.array([index[w] for w in tokens_of((text or "").encode())], np.int64))
+            n += len(held[-1])
+            if n > 1 << 15:
+                put(held)
+                held, n = [], 0
+        if held:
+            put(held)
+        counted = [np.concatenate(x) if x else np.empty(0) for x in out]
+        return pa.table({"doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": pa.array(counted[0], pa.int64()), "n_known": pa.array(counted[1], pa.int64()), "train_tokens": pa.array([total] * docs.num_rows, pa.int64()), "base_score": pa.array(counted[2], pa.float64()), "score": pa.array(counted[3], pa.float64())})
 
     return run
 
@@ -200,16 +342,20 @@ def scores(docs: DataFrame) -> DataFrame:
     counts = saved(keyed.select("block", "text", (~F.col("held_out")).alias("train")).repartition("block").mapInArrow(_block_counts, "block long, word binary, n long"))
     vocab = saved(counts.groupBy("word").agg(F.sum("n").alias("c")))
     total, known = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    top = [bytes(r.word) for r in vocab.where("c > 0").orderBy(F.desc("c"), "word").limit(TOP).collect()]
-    model = Model(top, known, total)
+    n_top, endings = Model.sizes(total)
+    top = [bytes(r.word) for r in vocab.where("c > 0").orderBy(F.desc("c"), "word").limit(n_top).collect()]
+    model = Model(top, endings, known, total)
     sc = docs.sparkSession.sparkContext
-    mass = vocab.where("c > 0").mapInArrow(_class_mass(sc.broadcast(model)), "class int, mass double").groupBy("class").agg(F.sum("mass").alias("mass")).collect()  # a row for each class
-    model.mass = np.full(CLASSES, 1e-9)
-    for r in mass:
-        model.mass[r["class"]] = max(r.mass, 1e-9)
+    mass = vocab.where("c > 0").mapInArrow(_node_mass(sc.broadcast(model)), "node long, mass double, ones double").groupBy("node").agg(F.sum("mass").alias("mass"), F.sum("ones").alias("ones"))
+    whole = F.col("node").bitwiseAND(F.lit((1 << 32) - 1)) == 1
+    kept = mass.where(whole | ((F.col("mass") >= model.least) & (F.col("ones") > 0) & (F.col("ones") < F.col("mass")))).orderBy("node").toArrow()  # a row for each class and decision
+    node, all_, ones = (kept[x].to_numpy() for x in ("node", "mass", "ones"))
+    at = (node & ((1 << 32) - 1)) == 1
+    model.mass[node[at] >> 32] = all_[at]
+    split = (all_ >= model.least) & (ones > 0) & (ones < all_)
+    model.nodes, model.odds = node[split].astype(np.int64), np.log(ones[split] / (all_[split] - ones[split])).astype(np.float32)
     if total:
-        sample = docs.where(~held_out).orderBy(F.xxhash64("doc_id"), "doc_id").select("text").limit(DOCS)
-        model = train(saved(sample.repartition(4)), model)
+        model = train(docs.where(~held_out).select("text"), model)
     back = counts.select("block", "word").distinct().join(vocab, "word").select("block", "word", "c")
     return keyed.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_score(sc.broadcast(model), total), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

@@ -223,6 +223,15 @@ def test_scores(docs, rows, empty):
     assert lm.scores(empty).count() == 0
 
 
+def test_scores_learn_from_every_document_and_inside_classes(spark):
+    ids = [r.id for r in spark.range(2000).orderBy(F.xxhash64("id"), "id").collect()]
+    filler = " ".join(f"w{i:02d} w{i:02d}" for i in range(30))
+    rows = [(d, filler if k < 800 else filler + (" left seeing", " right baking")[k % 2]) for k, d in enumerate(ids)]
+    same, other = [i for i in range(5000, 5100) if zlib.crc32(str(i).encode()) % lm.FOLDS == lm.HELD_OUT][:2]
+    got = by_id(lm.scores(spark.createDataFrame([*rows, (same, "left seeing"), (other, "left baking")], "doc_id long, text string")), "base_score", "score")
+    assert got[same][1] - got[same][0] > got[other][1] - got[other][0] + 0.5
+
+
 def test_document_fingerprints(docs, rows, empty):
     def fp(text):
         votes, n = [0] * 64, 0

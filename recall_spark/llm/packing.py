@@ -1,10 +1,11 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
-Documents become token ids with an end id behind. Tokens lie in blocks of bounded size. In a block each source
-has a queue; every window of `SEQUENCE` tokens credits each source with its share of the window, serves sources
-while their credit lasts and carries what is left, credit or debt, to the next window. What a source is owed at
-a block's start is its share of all tokens packed in the blocks before, less what those blocks served of it, so
-deficits carry over partitions too. A block's last window, if short, is cut into powers of two and needs no padding.
+Documents become token ids with an end id behind. A source's documents, laid end to end, are dealt to blocks of bounded
+size in proportion to the target, whatever the order of the table; a document may be split between blocks. While all
+sources have tokens, each block holds the target shares; as soon as one has none left, the others share what it had, in
+further blocks. In a block each source has a queue; every window of `SEQUENCE` tokens credits each source with its share
+of the block, serves sources while their credit lasts and carries what is left, credit or debt, to the next window. A
+block's last window, if short, is cut into powers of two and needs no padding.
 
 Shares are the sources' shares of all tokens unless given. Null text is empty (its end id remains); a null source
 is a source of its own. Rows repeat as often as they come. An empty table gives an empty table.
@@ -15,6 +16,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +29,8 @@ from .bpe import vocabulary
 from .common import saved, slices, table
 
 SEQUENCE, END, QUANTUM = 1024, 0, 16
-#: Tokens of a block, about; a longer document makes a longer block.
-BLOCK_TOKENS = 1 << 22
+#: Tokens of a block, at most, and at least if there are as many blocks as input partitions.
+BLOCK_TOKENS, LEAST_TOKENS = 1 << 22, 1 << 16
 _COMMON = re.compile(r"[\n -~À-ÖØ-öø-ÿ]*")
 
 
@@ -62,24 +64,68 @@ class ByteEncoder:
 
 
 def tokens_of(docs: DataFrame, path: str | None = None, ranks_path: str | None = None) -> DataFrame:
-    """(doc_id, source, block, n, ids) in blocks of about BLOCK_TOKENS tokens; ids are 16-bit and end with END."""
+    """(doc_id, source, part, before, n, ids): before counts the source's tokens before in the partition; ids are 16-bit and end with END."""
     path, ranks_path = path or vocabulary("byte_bpe_50k.json"), ranks_path or vocabulary("byte_bpe_50k.tiktoken")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, block, held = None, TaskContext.get().partitionId() << 20, 0
+        enc, part, held = None, TaskContext.get().partitionId(), {}
         end = array("H", [END]).tobytes()
         for batch in slices(batches):
             enc = enc or ByteEncoder(path, ranks_path)
             ids = [enc.encode(t or "") + end for t in batch.column("text").to_pylist()]
-            at = []
-            for x in ids:
-                if held + len(x) // 2 > BLOCK_TOKENS and held:
-                    block, held = block + 1, 0
-                held += len(x) // 2
-                at.append(block)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(at, pa.int64()), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "source", "block", "n", "ids"])
+            before = []
+            for s, x in zip(batch.column("source").to_pylist(), ids, strict=True):
+                before.append(held.get(s, 0))
+                held[s] = before[-1] + len(x) // 2
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array([part] * len(ids), pa.int64()), pa.array(before, pa.int64()), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "source", "part", "before", "n", "ids"])
+
+    return docs.select("doc_id", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("source"), "text").mapInArrow(run, "doc_id long, source string, part long, before long, n long, ids binary")
+
+
+def schedule(sizes: dict[str, int], shares: dict[str, float], block_tokens: int) -> dict[str, list[tuple[int, int, int, int]]]:
+    """For each source its phases (first token, tokens, first block, blocks); a phase ends when a source of the target has no tokens left."""
+    left, out, block = {s: n for s, n in sizes.items() if n}, {s: [] for s in sizes}, 0
+    while left:
+        rates = {s: shares[s] for s in left if shares.get(s, 0.0) > 0} or dict(left)
+        last = min(rates, key=lambda s: (left[s] / rates[s], s))
+        length = left[last] / rates[last]
+        take = {s: left[s] if s == last or left[s] - r * length < 1 else int(r * length) for s, r in rates.items()}
+        blocks = max(1, -(-sum(take.values()) // block_tokens))
+        for s, n in take.items():
+            if n:
+                out[s].append((sizes[s] - left[s], n, block, blocks))
+                left[s] -= n
+        left = {s: n for s, n in left.items() if n}
+        block += blocks
+    return out
+
+
+def spans(phases: list[tuple[int, int, int, int]], at: int, n: int) -> Iterator[tuple[int, int, int]]:
+    """(block, start, length) of the pieces of a document whose first token is its source's token number at."""
+    x, end = at, at + n
+    k = bisect_right(phases, at, key=lambda p: p[0]) - 1
+    while x < end:
+        first, size, block, blocks = phases[k]
+        j = (blocks * (x - first + 1) - 1) // size
+        stop = min(end, first + size * (j + 1) // blocks)
+        yield block + j, x - at, stop - x
+        x = stop
+        k += x == first + size
+
+
+def _deal(shipped):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "source", "block", "at", "start", "n", "doc_tokens", "ids"]
+        for batch in batches:
+            out: list[list] = [[] for _ in names]
+            for doc, s, at, n, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source", "at", "n", "ids")), strict=True):
+                for block, start, length in spans(shipped.value[s], at, n):
+                    for col, x in zip(out, (doc, s, block, at + start, start, length, n, ids[2 * start : 2 * (start + length)]), strict=True):
+                        col.append(x)
+            kinds = (pa.int64(), pa.string(), *[pa.int64()] * 5, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
 
-    return docs.select("doc_id", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("source"), "text").mapInArrow(run, "doc_id long, source string, block long, n long, ids binary")
+    return run
 
 
 def fill(queues: dict[str, list], shares: dict[str, float], owed: dict[str, float], sequence: int = SEQUENCE) -> Iterator[list]:
@@ -128,26 +174,26 @@ def powers(n: int) -> list[int]:
     return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
 
 
-def _pack(shares: dict[str, float], sequence: int):
+def _pack(sequence: int):
     fields = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(got: pa.Table) -> pa.Table:
-        got = got.sort_by([("doc_id", "ascending"), ("n", "ascending")])
+        got = got.sort_by([("source", "ascending"), ("at", "ascending")])
         block = got["block"][0].as_py()
-        owed = dict(got["owed"][0].as_py() or [])
-        ids, docs, sizes = got["ids"].to_pylist(), got["doc_id"].to_pylist(), got["n"].to_pylist()
+        ids, docs, sizes, starts, whole = (got[c].to_pylist() for c in ("ids", "doc_id", "n", "start", "doc_tokens"))
         queues: dict[str, list] = {}
         for i, (s, n) in enumerate(zip(got["source"].to_pylist(), sizes, strict=True)):
             queues.setdefault(s, []).append((i, n))
+        shares = {s: sum(n for _, n in q) / sum(sizes) for s, q in queues.items()}
         seq = block << 20
         out: list[list] = [[] for _ in fields]
 
         def put(i: int, start: int, length: int, seq: int, offset: int) -> None:
             raw = np.frombuffer(ids[i], "<u2", length, 2 * start).astype("<u4").tobytes()
-            for col, x in zip(out, (docs[i], start, length, zlib.crc32(raw), sizes[i], seq, offset), strict=True):
+            for col, x in zip(out, (docs[i], starts[i] + start, length, zlib.crc32(raw), whole[i], seq, offset), strict=True):
                 col.append(x)
 
-        for window in fill(queues, shares, owed, sequence):
+        for window in fill(queues, shares, {}, sequence):
             size = sum(x[2] for x in window)
             ends = [sequence] if size == sequence else np.cumsum(powers(size)).tolist()
             offset, k, begun = 0, 0, 0
@@ -167,25 +213,19 @@ def pack(docs: DataFrame, mixture: dict[str, float] | None = None, sequence: int
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of documents with doc_id, text and source.
 
     mixture: target shares by source, which are scaled to one; sources that it lacks fill what is left. The
-    table of shares has a row for each source and the table of deficits one for each block and source.
+    table of sums has a row for each input partition and source.
     """
     tokens = saved(tokens_of(docs))
-    sums = saved(tokens.groupBy("block", "source").agg(F.sum("n").alias("n")))
-    if mixture is None:
-        shares = {r.source: float(r.n) for r in sums.groupBy("source").agg(F.sum("n").alias("n")).collect()}
-    else:
-        shares = {"=" + k: v for k, v in mixture.items()}
-    whole = sum(shares.values()) or 1.0
-    shares = {k: v / whole for k, v in shares.items()}
-    before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    by_block = sums.groupBy("block").agg(F.sum("n").alias("all"))
-    running = by_block.withColumn("before", F.coalesce(F.sum("all").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    share = F.create_map(*[F.lit(x) for kv in shares.items() for x in kv]) if shares else F.create_map(F.lit(""), F.lit(0.0))
-    grid = running.select("block", "before", F.explode(F.array(*[F.lit(x) for x in sorted(shares)]) if shares else F.array().cast("array<string>")).alias("source")).join(sums, ["block", "source"], "left")
-    served = grid.withColumn("served", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    owed = served.groupBy("block").agg(F.collect_list(F.struct("source", (F.col("before") * F.coalesce(share[F.col("source")], F.lit(0.0)) - F.col("served")).alias("owed"))).alias("owed"))
-    lined = tokens.join(owed, "block")
-    return lined.groupBy("block").applyInArrow(_pack(shares, sequence), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    sums = saved(tokens.groupBy("part", "source").agg(F.sum("n").alias("n")))
+    sizes = {r.source: r.n for r in sums.groupBy("source").agg(F.sum("n").alias("n")).collect()}  # a row for each source
+    shares = {s: float(n) for s, n in sizes.items()} if mixture is None else {"=" + k: v for k, v in mixture.items()}
+    total, parts = sum(sizes.values()), sums.select("part").distinct().count()
+    phases = schedule(sizes, shares, min(BLOCK_TOKENS, max(LEAST_TOKENS, -(-total // max(parts, 1)))))
+    earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select("part", "source", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    placed = tokens.join(base, ["part", "source"]).select("doc_id", "source", (F.col("base") + F.col("before")).alias("at"), "n", "ids")
+    dealt = placed.mapInArrow(_deal(docs.sparkSession.sparkContext.broadcast(phases)), "doc_id long, source string, block long, at long, start long, n long, doc_tokens long, ids binary")
+    return dealt.groupBy("block").applyInArrow(_pack(sequence), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

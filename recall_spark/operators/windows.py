@@ -46,7 +46,7 @@ def greedy_pack(items: DataFrame, key: str, order: str, tokens: str, budget: int
         for pdf in batches:
             out = []
             for k, t in zip(pdf[key], pdf[tokens], strict=True):
-                if k != now:
+                if k != now and (k == k or now == now):  # a null key may come as NaN
                     now, chunk, used = k, 0, 0
                 elif used and used + t > budget:
                     chunk, used = chunk + 1, 0
@@ -58,17 +58,16 @@ def greedy_pack(items: DataFrame, key: str, order: str, tokens: str, budget: int
 
 
 def greedy_pack_folded(items: DataFrame, key: str, order: str, tokens: str, budget: int) -> DataFrame:
-    """The same fold inside the JVM, for keys of bounded length: (key, order, chunk)."""
-    rows = items.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), F.col(tokens).cast("long").alias("t")))).alias("rows"))
-    step = "aggregate(rows, named_struct('used', 0L, 'chunk', 0L, 'out', cast(array() as array<struct<o: bigint, chunk: bigint>>)), (s, r) -> if(s.used > 0 and s.used + r.t > {b}, named_struct('used', r.t, 'chunk', s.chunk + 1, 'out', array_append(s.out, named_struct('o', r.o, 'chunk', s.chunk + 1))), named_struct('used', s.used + r.t, 'chunk', s.chunk, 'out', array_append(s.out, named_struct('o', r.o, 'chunk', s.chunk)))))"
-    return rows.select(key, F.explode(F.expr(step.format(b=budget))["out"]).alias("x")).select(key, F.col("x.o").alias(order), F.col("x.chunk").alias("chunk"))
+    """The same fold as (key, order, chunk), for keys of any length."""
+    rows = items.select(key, F.col(order).cast("long").alias(order), F.col(tokens).cast("long").alias(tokens))
+    return greedy_pack(rows, key, order, tokens, budget).select(key, order, "chunk")
 
 
 def plan_leaf_chunks(items: DataFrame, tail: int, budget: int) -> DataFrame:
     """All leaf chunks of all conversations outside their tails."""
     w = Window.partitionBy("conversation_id").orderBy(F.desc("ordinal"))
     raw = items.withColumn("rn", F.row_number().over(w)).where(F.col("rn") > tail)
-    return greedy_pack_folded(raw, "conversation_id", "ordinal", "token_count", budget)
+    return greedy_pack(raw.select("conversation_id", "ordinal", "token_count"), "conversation_id", "ordinal", "token_count", budget).select("conversation_id", "ordinal", "chunk")
 
 
 def build_leaves(chunks: DataFrame, m: DataFrame) -> DataFrame:

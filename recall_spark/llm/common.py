@@ -59,6 +59,14 @@ def forget(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A column name like name that df doesn't have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def crc_mod(mod: int):
     """crc32 of doc_id as text, modulo mod: the folds that contracts name."""
     return F.crc32(F.col("doc_id").cast("string")) % mod

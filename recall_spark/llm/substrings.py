@@ -2,478 +2,597 @@
 
 A byte goes if a string of `SPAN` bytes over it also starts in a document with a smaller doc_id. To find such
 strings without bringing all suffixes together, every window of SPAN bytes is anchored at its least k-gram by
-hash (the first of equals): equal windows have the same anchor at the same place. The steps are
-
-1. anchors that occur in two documents or more (a hot anchor sends one entry for each task, not one for each document);
-2. regions, the longest runs of windows with such anchors; equal regions become one, with its least doc_id;
-3. contexts, the windows of a region that share an anchor; equal contexts become one, with its least doc_id;
-4. contexts of one anchor are laid end to end and their suffix array brings equal windows together: each window
-   learns the least doc_id that has it;
-5. windows with a smaller doc_id than a region's document cover the bytes that go.
-
-Null text is empty. A null doc_id counts as larger than all others. Rows that repeat a doc_id don't count as
-smaller than each other; identical rows give identical results. Documents without repeats pass in the first scan.
+hash (the first of equals): equal windows have the same anchor at the same place. A context is a run of
+windows of a document with one anchor. The steps are
+
+1. senders: for each bucket of anchors, the hashes of anchors and contexts with the least doc_id that a task sees; a
+   context that an earlier document of the task has is told to go at once;
+2. receivers: a context that a smaller doc_id has goes; contexts whose anchor has others are ambiguous;
+3. documents get back what concerns them, send the bytes of ambiguous contexts to the bucket of their anchor, and note
+   the spans that go;
+4. contexts of one anchor are laid end to end, and their suffix array brings equal windows together: windows that a
+   smaller doc_id has go. Before that, windows go out that share no 33 bytes around the anchor with any other context;
+5. the spans of a document are merged and cut out.
+
+Nothing that one key holds is unbounded: an anchor with more than `MANY` contexts (or `LOCAL` in one task) is hot, and its
+windows are dealt by their own hashes, where those that many documents share have been reduced to one per task.
+
+Null text is empty. A null doc_id counts as larger than all others, and rows without one aren't smaller than each other; nor
+are rows that repeat a doc_id. Identical rows give identical results. Columns of the input that have the name of a
+result column are replaced; others are kept whatever their names. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, saved, slices, table, texts_of
+from .common import forget, saved, slices, spare, table, texts_of
 from .suffixes import suffix_arrays
 
 SPAN, GRAM = 50, 16
-#: Windows that can share an anchor, and the total bytes up to which contexts of an anchor are sorted as they are.
-REACH, SMALL = SPAN - GRAM + 1, 640
+#: Windows that can share an anchor, and the length of the longest context.
+REACH = SPAN - GRAM + 1
+WIDTH = SPAN + REACH - 1
+#: Different contexts from which on an anchor is hot, over all and within one task; symbols of a string that is sorted.
+MANY, LOCAL, SYMBOLS = 4096, 512, 2048
+#: Symbols that are sorted at once, in rows side by side.
+ROW_SYMBOLS = 2_000_000
+#: Text that a sender sums up at a time, and that a bucket has, in bytes, about.
+HELD, BUCKET = 32_000_000, 12_000_000
 _LAST = (1 << 63) - 1
 _POS = np.uint64((1 << 24) - 1)
-_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_MIX, _MUL, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFF51AFD7ED558CCD)
+#: What a document is told about a context.
+GOES, AMBIGUOUS, HOT = 1, 2, 3
+
+
+def _u(x: int) -> np.uint64:
+    return np.uint64(x)
 
 
 def gram_hashes(raw: np.ndarray) -> np.ndarray:
     """64-bit hash of the k-gram at every place."""
-    h = (raw.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    factor, step = 0xD6E8FEB86659FD93, 1
+    h = (raw.astype(np.uint64) + _u(1)) * _MIX
+    step = 1
     while step < GRAM:
-        h = h[:-step] * np.uint64(pow(factor, step, 1 << 64)) + h[step:]
+        h = h[:-step] * _u(pow(int(_MUL), step, 1 << 64)) + h[step:]
         step *= 2
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> _u(32)
+    h *= _MUL
     return h
 
 
-def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, ends) of runs of equal values."""
-    if not len(values):
+def _runs(*values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of runs in which all values stay equal."""
+    n = len(values[0])
+    if not n:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    edges = np.flatnonzero(values[1:] != values[:-1]) + 1
-    return np.r_[0, edges], np.r_[edges, len(values)]
+    change = np.zeros(n - 1, bool)
+    for v in values:
+        change |= v[1:] != v[:-1]
+    edges = np.flatnonzero(change) + 1
+    return np.r_[0, edges], np.r_[edges, n]
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
+class Contexts:
+    """Runs of windows with one anchor over texts laid end to end: own text, first window, behind its last, place and hash of the anchor."""
+
+    def __init__(self, texts: list[bytes]):
+        sizes = np.array([len(t) for t in texts], np.int64)
+        ends = np.cumsum(sizes)
+        self.starts = ends - sizes
+        raw = self.raw = np.frombuffer(b"".join(texts), np.uint8)
+        self.own = self.a = self.b = self.p = np.empty(0, np.int64)
+        self.g = np.empty(0, np.uint64)
+        if len(raw) < SPAN:
+            return
+        h = self.h = np.empty(len(raw) - GRAM + 1, np.uint64)
+        places, cut = [], 1 << 15  # pieces that a processor's cache holds
+        for start in range(0, len(raw) - SPAN + 1, cut):
+            part = gram_hashes(raw[start : start + cut + SPAN - 1])
+            h[start : start + len(part)] = part
+            low = (part & ~_POS) | np.arange(len(part), dtype=np.uint64)
+            step = 1
+            while step * 2 <= REACH:
+                low = np.minimum(low[:-step], low[step:])
+                step *= 2
+            if step < REACH:
+                low = np.minimum(low[: step - REACH], low[REACH - step :])
+            places.append((low & _POS).astype(np.int64) + start)
+        place = np.concatenate(places)[: len(raw) - SPAN + 1]
+        over = np.zeros(len(place) + 1, np.int32)  # windows over the end of a text don't count
+        np.add.at(over, np.clip(ends - SPAN + 1, self.starts, len(place)), 1)
+        np.add.at(over, np.minimum(ends, len(place)), -1)
+        place[np.cumsum(over[:-1]) > 0] = -1
+        a, b = _runs(place)
+        ok = place[a] >= 0
+        self.a, self.b = a[ok], b[ok]
+        self.p = place[self.a]
+        self.own = np.searchsorted(ends, self.a, side="right")
+        g = h[self.p] * _ODD
+        self.g = g ^ (g >> _u(33))
+
+    def _hash(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Of the bytes from first to the end of the k-gram at last, which k-grams cover."""
+        out = self.h[first]
+        for k in range(1, -(-WIDTH // GRAM)):
+            out = (out ^ (out >> _u(29))) * _ODD + self.h[np.minimum(first + GRAM * k, last)]
+        return (out ^ (out >> _u(32))) * _MUL
+
+    def ids(self) -> np.ndarray:
+        """Hash of each context's bytes."""
+        return self._hash(self.a, self.b + SPAN - 1 - GRAM)
+
+    def windows(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(context, place, hash) of every window of contexts k."""
+        n = self.b[k] - self.a[k]
+        at = _ranges(self.a[k], n)
+        return np.repeat(k, n), at, self._hash(at, at + SPAN - GRAM)
+
+
+def _six(h: np.ndarray) -> bytes:
+    """The upper six bytes of each hash; with the bucket they tell anchors apart, and what they confuse is compared byte by byte later."""
+    return np.ascontiguousarray((h >> _u(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _of_six(raw: bytes) -> np.ndarray:
+    h = np.zeros((len(raw) // 6, 8), np.uint8)
+    h[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return h.view(np.uint64).ravel()
 
 
-def anchor_runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one anchor, over many texts: (text, first window, behind its last, place of the anchor, hash).
+def _key(anchor: np.ndarray, bucket: np.ndarray | int, context: np.ndarray) -> np.ndarray:
+    """One number for a context, from the six bytes of its anchor's and its own hash, and the bucket."""
+    x = ((anchor << _u(16)) ^ (np.asarray(bucket).astype(np.uint64) * _MIX)) * _ODD + context * _MUL
+    return (x ^ (x >> _u(31))) * _MIX
+
+
+def _table(columns: dict[str, tuple[list, pa.DataType]], kind=pa.RecordBatch):
+    return kind.from_arrays([pa.array(v, t) for v, t in columns.values()], names=list(columns))
 
-    Places are in the text. Texts are laid end to end; windows over a border don't count.
-    """
-    sizes = np.array([len(t) for t in texts], np.int64)
-    ends = np.cumsum(sizes)
-    raw = np.frombuffer(b"".join(texts), np.uint8)
-    if len(raw) < SPAN:
-        return tuple(np.empty(0, d) for d in (np.int64, np.int64, np.int64, np.int64, np.uint64))
-    h = np.empty(len(raw) - GRAM + 1, np.uint64)
-    places, cut = [], 1 << 15  # pieces that a processor's cache holds
-    for start in range(0, len(raw) - SPAN + 1, cut):
-        part = gram_hashes(raw[start : start + cut + SPAN - 1])
-        h[start : start + len(part)] = part
-        low = (part & ~_POS) | np.arange(len(part), dtype=np.uint64)
-        step = 1
-        while step * 2 <= REACH:
-            low = np.minimum(low[:-step], low[step:])
-            step *= 2
-        if step < REACH:
-            low = np.minimum(low[: step - REACH], low[REACH - step :])
-        places.append((low & _POS).astype(np.int64) + start)
-    place = np.concatenate(places)[: len(raw) - SPAN + 1]
-    over = np.zeros(len(place) + 1, np.int32)
-    np.add.at(over, np.clip(ends - SPAN + 1, np.r_[0, ends[:-1]], len(place)), 1)
-    np.add.at(over, np.minimum(ends, len(place)), -1)
-    place[np.cumsum(over[:-1]) > 0] = -1
-    a, b = _runs(place)
-    ok = place[a] >= 0
-    a, b = a[ok], b[ok]
-    p = place[a]
-    own = np.searchsorted(ends, a, side="right")
-    base = (ends - sizes)[own]
-    g = h[p] * np.uint64(0xFF51AFD7ED558CCD)
-    return own, a - base, b - base, p - base, g ^ (g >> np.uint64(33))
-
-
-def _batch(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], names=list(columns))
-
-
-def _anchors(buckets: int, held_bytes: int = 24_000_000):
-    """Step 1, senders: for each bucket of hashes one row with hashes and documents; anchors that a task sees in several documents are told at once."""
+
+def _ints(*values: np.ndarray) -> list[bytes]:
+    return [np.ascontiguousarray(v).tobytes() for v in values]
+
+
+_SENT = "bucket long, hot boolean, docs binary, tos binary, counts binary, anchors binary, contexts binary"
+_TOLD = "to long, docs binary, keys binary, kinds binary"
+
+
+def _sender(buckets: int, local: int):
+    """Step 1. Rows of a bucket name anchors and contexts, in runs of one document; rows of bucket -1 - to tell documents at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, owners, hashes, held = [], [], [], 0
-        direct: dict[int, list] = {}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if not docs:
-                return
-            h, own = np.concatenate(hashes), np.concatenate(owners)
-            doc_ids = np.array(docs, np.int64)
-            order = np.lexsort((doc_ids[own], h))
-            h, own = h[order], own[order]
-            new = np.r_[True, (h[1:] != h[:-1]) | (own[1:] != own[:-1])][: len(h)]
-            h, own = h[new], own[new]
-            starts, ends = _runs(h)
-            several = doc_ids[own[starts]] != doc_ids[own[ends - 1]]
-            told = np.repeat(several, ends - starts)
-            out: dict[str, tuple[list, pa.DataType]] = {"bucket": ([], pa.int64()), "several": ([], pa.binary()), "docs": ([], pa.binary()), "counts": ([], pa.binary()), "hashes": ([], pa.binary())}
-
-            def put(bucket: int, flags: np.ndarray | None, d: np.ndarray, x: np.ndarray) -> None:
-                """Documents come in runs, so that each stands there once."""
-                a, b = _runs(d)
-                for col, v in zip(out.values(), (bucket, None if flags is None else np.packbits(flags).tobytes(), d[a].tobytes(), (b - a).astype(np.uint32).tobytes(), short_hashes(x)), strict=True):
-                    col[0].append(v)
-
-            d, x = doc_ids[own[told]], h[told]
-            by = np.lexsort((x % np.uint64(buckets), d))
-            d, x = d[by], x[by]
-            at = (x % np.uint64(buckets)).astype(np.int64)
-            edges = np.flatnonzero((d[1:] != d[:-1]) | (at[1:] != at[:-1])) + 1
-            for a, b in zip(np.r_[0, edges], np.r_[edges, len(d)], strict=True) if len(d) else ():
-                direct.setdefault(int(d[a]), []).append((int(at[a]), short_hashes(x[a:b])))
-            for doc, parts in direct.items():
-                for col, v in zip(out.values(), (-1 - doc % buckets, np.array([k for k, _ in parts], np.int32).tobytes(), np.array([doc]).tobytes(), np.array([len(v) for _, v in parts], np.uint32).tobytes(), b"".join(v for _, v in parts)), strict=True):
-                    col[0].append(v)
-            direct.clear()
-            one, d, flags = h[starts], doc_ids[own[starts]], several
-            at = (one % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((d, at))
-            one, d, flags, at = one[order], d[order], flags[order], at[order]
-            for a, b in zip(*_runs(at), strict=True):
-                put(int(at[a]), flags[a:b], d[a:b], one[a:b])
-            yield _batch(out)
-            docs.clear(), owners.clear(), hashes.clear()
+        docs, tos, owners, anchors, ids, held, n = [], [], [], [], [], 0, 0
+
+        def flush() -> pa.RecordBatch:
+            doc_of, to_of, own = np.array(docs, np.int64), np.array(tos, np.int64), np.concatenate(owners)
+            g, c = np.concatenate(anchors), np.concatenate(ids)
+            bucket, g, c, d, t = (g % _u(buckets)).astype(np.int64), g >> _u(16), c >> _u(16), doc_of[own], to_of[own]
+            by = np.lexsort((t, d, c, g, bucket))
+            bucket, g, c, d, t = (x[by] for x in (bucket, g, c, d, t))
+            a, _ = _runs(bucket, g, c, d, t)
+            bucket, g, c, d, t = (x[a] for x in (bucket, g, c, d, t))
+            a, b = _runs(bucket, g, c)
+            later = d > np.repeat(d[a], b - a)
+            a, b = _runs(bucket, g)
+            kinds = np.add.reduceat(_firsts(bucket, g, c), a) if len(a) else a
+            hot = np.repeat(kinds > local, b - a)
+            told = later | hot
+            out: dict[str, tuple[list, pa.DataType]] = {k: ([], x) for k, x in zip(("bucket", "hot", "docs", "tos", "counts", "anchors", "contexts"), (pa.int64(), pa.bool_(), *[pa.binary()] * 5), strict=True)}
+
+            def put(*row) -> None:
+                for col, x in zip(out.values(), row, strict=True):
+                    col[0].append(x)
+
+            if told.any():
+                k = np.flatnonzero(told)
+                k = k[np.lexsort((d[k], t[k]))]
+                keys, what = _key(g[k], bucket[k], c[k]), np.where(later[k], GOES, HOT).astype(np.uint8)
+                for x, y in zip(*_runs(t[k]), strict=True):
+                    u, v = _runs(d[k[x:y]])
+                    put(-1 - int(t[k[x]]), None, *_ints(d[k[x:y]][u]), None, *_ints((v - u).astype(np.uint32), keys[x:y], what[x:y]))
+            a, b = _runs(bucket, g)
+            a = a[kinds > local]
+            for x, y in zip(*_runs(bucket[a]), strict=True):
+                put(int(bucket[a[x]]), True, None, None, None, _six(g[a[x:y]] << _u(16)), None)
+            k = np.flatnonzero(~told)
+            k = k[np.lexsort((t[k], d[k], bucket[k]))]
+            for x, y in zip(*_runs(bucket[k]), strict=True):
+                part = k[x:y]
+                u, v = _runs(d[part], t[part])
+                put(int(bucket[part[0]]), False, *_ints(d[part][u], t[part][u].astype(np.uint32), (v - u).astype(np.uint32)), _six(g[part] << _u(16)), _six(c[part] << _u(16)))
+            return _table(out)
 
         for batch in slices(batches):
             texts = texts_of(batch)
-            own, _, _, _, h = anchor_runs(texts)
-            owners.append(own + len(docs))
-            hashes.append(h)
+            found = Contexts(texts)
+            owners.append(found.own + n)
+            anchors.append(found.g)
+            ids.append(found.ids() if len(found.g) else found.g)
             docs += batch.column("doc_id").to_pylist()
+            tos += batch.column("to").to_pylist()
+            n += len(texts)
             held += sum(map(len, texts))
-            if held >= held_bytes:
-                yield from flush()
-                held = 0
-        yield from flush()
+            if held >= HELD:
+                yield flush()
+                docs, tos, owners, anchors, ids, held, n = [], [], [], [], [], 0, 0
+        if docs:
+            yield flush()
 
     return run
 
 
-def short_hashes(h: np.ndarray) -> bytes:
-    """Six bytes of each hash; with the bucket they tell anchors apart, and what they confuse is compared byte by byte later."""
-    return np.ascontiguousarray((h >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _firsts(*values: np.ndarray) -> np.ndarray:
+    """1 where a run of equal values starts, else 0."""
+    out = np.zeros(len(values[0]), np.int64)
+    out[_runs(*values)[0]] = 1
+    return out
 
 
-def long_hashes(raw: bytes, bucket: np.ndarray | int) -> np.ndarray:
-    """Six bytes and the bucket as one number."""
-    h = np.zeros((len(raw) // 6, 8), np.uint8)
-    h[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return (h.view(np.uint64).ravel() << np.uint64(16)) ^ np.asarray(bucket).astype(np.uint64) * _SPREAD
+def _receiver(many: int, got: pa.Table) -> pa.Table:
+    """Step 2: for the documents of each `to`, what becomes of their contexts with anchors of this bucket."""
+    bucket = got["bucket"][0].as_py()
+    out: dict[str, tuple[list, pa.DataType]] = {"to": ([], pa.int64()), "docs": ([], pa.binary()), "keys": ([], pa.binary()), "kinds": ([], pa.binary())}
+    if bucket < 0:
+        for d, n, keys, kinds in zip(*(got[c].to_pylist() for c in ("docs", "counts", "anchors", "contexts")), strict=True):
+            for col, x in zip(out.values(), (-1 - bucket, np.repeat(np.frombuffer(d, np.int64), np.frombuffer(n, np.uint32)).tobytes(), keys, kinds), strict=True):
+                col[0].append(x)
+        return _table(out, pa.Table)
+    rows = got.select(["hot", "docs", "tos", "counts", "anchors", "contexts"]).to_pylist()
+    hot = np.unique(np.concatenate([np.empty(0, np.uint64), *(_of_six(r["anchors"]) for r in rows if r["hot"])]))
+    rows = [r for r in rows if not r["hot"]]
+    if not rows:
+        return _table(out, pa.Table)
+    sizes = [np.frombuffer(r["counts"], np.uint32) for r in rows]
+    d = np.concatenate([np.repeat(np.frombuffer(r["docs"], np.int64), n) for r, n in zip(rows, sizes, strict=True)])
+    t = np.concatenate([np.repeat(np.frombuffer(r["tos"], np.uint32), n) for r, n in zip(rows, sizes, strict=True)])
+    g, c = (np.concatenate([_of_six(r[k]) for r in rows]) for k in ("anchors", "contexts"))
+    by = np.lexsort((d, c, g))
+    d, t, g, c = d[by], t[by], g[by], c[by]
+    a, b = _runs(g, c)
+    kind = np.where(d > np.repeat(d[a], b - a), GOES, 0).astype(np.uint8)
+    a, b = _runs(g)
+    kinds = np.add.reduceat(_firsts(g, c), a)
+    large = (kinds > many) | np.isin(g[a], hot)
+    other = np.where(large, HOT, np.where(kinds > 1, AMBIGUOUS, 0))
+    kind = np.where(kind == GOES, kind, np.repeat(other, b - a)).astype(np.uint8)
+    k = np.flatnonzero(kind)
+    k = k[np.argsort(t[k], kind="stable")]
+    keys = _key(g[k], bucket, c[k])
+    for x, y in zip(*_runs(t[k]), strict=True):
+        for col, v in zip(out.values(), (int(t[k[x]]), *_ints(d[k[x:y]], keys[x:y], kind[k[x:y]])), strict=True):
+            col[0].append(v)
+    return _table(out, pa.Table)
+
+
+#: bucket -1 has spans that go; others have contexts, or windows of hot anchors, of an anchor's bucket.
+_PARTS = "bucket long, to long, windows boolean, docs binary, marks binary, starts binary, ends binary, anchors binary, bytes binary"
+_NO_SPANS = {"docs": np.int64, "marks": np.int64, "starts": np.int32, "ends": np.int32}
+
+
+def _parts(columns: list[tuple]) -> pa.Table:
+    names = [x.split()[0] for x in _PARTS.split(", ")]
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), *[pa.binary()] * 6)
+    return pa.table({n: pa.array([r[i] for r in columns], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
+
+
+def _documents(buckets: int):
+    """Step 3, over the documents of one `to` and what they are told."""
+
+    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if not told.num_rows or not docs.num_rows:
+            return _parts(out)
+        to = told["to"][0].as_py()
+        key, about, kind = (np.concatenate([np.frombuffer(x, k) for x in told[c].to_pylist()]) for c, k in (("keys", np.uint64), ("docs", np.uint64), ("kinds", np.uint8)))
+        key = key ^ (about * _ODD)
+        by = np.argsort(key)
+        key, kind = key[by], kind[by]
+        for batch in slices(docs.to_batches()):
+            found = Contexts(texts_of(batch))
+            if not len(found.g):
+                continue
+            doc, mark = (batch.column(c).to_numpy() for c in ("doc_id", "mark"))
+            ids, bucket = found.ids(), (found.g % _u(buckets)).astype(np.int64)
+            own = _key(found.g >> _u(16), bucket, ids >> _u(16)) ^ (doc.view(np.uint64) * _ODD)[found.own]
+            i = np.minimum(np.searchsorted(key, own), len(key) - 1)
+            what = np.where(key[i] == own, kind[i], 0)
+            base = found.starts[found.own]
+            k = np.flatnonzero(what == GOES)
+            if len(k):  # neighbours that both go make one span
+                joined = np.r_[False, (found.own[k[1:]] == found.own[k[:-1]]) & (found.a[k[1:]] == found.b[k[:-1]])]
+                head = np.flatnonzero(~joined)
+                last = np.r_[head[1:], len(k)] - 1
+                o = found.own[k[head]]
+                out.append((-1, to, None, *_ints(doc[o], mark[o], (found.a[k[head]] - base[k[head]]).astype(np.int32), (found.b[k[last]] + SPAN - 1 - base[k[head]]).astype(np.int32)), None, None))
+            k = np.flatnonzero(what == AMBIGUOUS)
+            k = k[np.argsort(bucket[k], kind="stable")]
+            for x, y in zip(*_runs(bucket[k]), strict=True):
+                j = k[x:y]
+                o, n = found.own[j], found.b[j] - found.a[j] + SPAN - 1
+                shape = np.stack([found.p[j] - found.a[j], n]).astype(np.uint8)
+                out.append((int(bucket[j[0]]), to, False, *_ints(doc[o], mark[o], (found.a[j] - base[j]).astype(np.int32), shape, found.g[j], found.raw[_ranges(found.a[j], n)])))
+            k = np.flatnonzero(what == HOT)
+            if len(k):
+                j, place, h = found.windows(k)
+                o, start = found.own[j], (place - base[j]).astype(np.int32)
+                by = np.lexsort((doc[o], h))
+                j, o, start, h = j[by], o[by], start[by], h[by]
+                a, b = _runs(h, found.g[j])
+                later = doc[o] > np.repeat(doc[o][a], b - a)
+                if later.any():
+                    out.append((-1, to, None, *_ints(doc[o[later]], mark[o[later]], start[later], start[later] + np.int32(SPAN)), None, None))
+                j, o, start, h = j[~later], o[~later], start[~later], h[~later]
+                dealt = ((h ^ (h >> _u(32))) % _u(buckets)).astype(np.int64)
+                by = np.argsort(dealt, kind="stable")
+                for x, y in zip(*_runs(dealt[by]), strict=True):
+                    z = by[x:y]
+                    out.append((int(dealt[z[0]]), to, True, *_ints(doc[o[z]], mark[o[z]], start[z]), None, *_ints(found.g[j[z]], h[z])))
+        return _parts(out)
 
+    return run
 
-def _shared(got: pa.Table) -> pa.Table:
-    """Step 1, receivers: (doc_id, hashes) of the anchors of a bucket that several documents have."""
-    hashes, docs, told = [], [], []
-    out: dict[str, tuple[list, pa.DataType]] = {"doc_id": ([], pa.int64()), "hashes": ([], pa.binary())}
-    bucket = got["bucket"][0].as_py()
-    for flags, d, n, h in zip(got["several"].to_pylist(), got["docs"].to_pylist(), got["counts"].to_pylist(), got["hashes"].to_pylist(), strict=True):
-        d, n = np.frombuffer(d, np.int64), np.frombuffer(n, np.uint32)
-        if bucket < 0:  # told by a sender: buckets of the parts, their sizes in bytes
-            out["doc_id"][0].append(int(d[0]))
-            out["hashes"][0].append(long_hashes(h, np.repeat(np.frombuffer(flags, np.int32), n // 6)).tobytes())
-            continue
-        d = np.repeat(d, n)
-        hashes.append(long_hashes(h, bucket))
-        docs.append(d)
-        told.append(np.unpackbits(np.frombuffer(flags, np.uint8), count=len(d)).astype(bool))
-    if bucket >= 0:
-        h, d, t = (np.concatenate(x) for x in (hashes, docs, told))
-        order = np.lexsort((d, h))
-        h, d, t = h[order], d[order], t[order]
-        starts, ends = _runs(h)
-        many = (d[starts] != d[ends - 1]) | np.logical_or.reduceat(t, starts)
-        keep = np.repeat(many, ends - starts) & ~t  # what a sender saw in several documents, it has told
-        h, d = h[keep], d[keep]
-        order = np.argsort(d, kind="stable")
-        h, d = h[order], d[order]
-        for a, b in zip(*_runs(d), strict=True):
-            out["doc_id"][0].append(int(d[a]))
-            out["hashes"][0].append(h[a:b].tobytes())
-    return pa.table({n: pa.array(v, t) for n, (v, t) in out.items()})
-
-
-
-def _regions(buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 2: (doc_id, mark, start, digest, body) of each region; the body only where it is new to the slice."""
-    for batch in slices(batches):
-        texts = texts_of(batch)
-        docs, marks, lists = (batch.column(c).to_pylist() for c in ("doc_id", "mark", "lists"))
-        lists = [np.concatenate([np.frombuffer(x, np.uint64) for x in own]) for own in lists]
-        known = np.concatenate(lists) ^ (np.repeat(np.arange(len(lists), dtype=np.uint64), [len(x) for x in lists]) * _SPREAD)
-        own, a, b, _, h = anchor_runs(texts)
-        h = ((h >> np.uint64(16) & np.uint64((1 << 48) - 1)) << np.uint64(16)) ^ (h % np.uint64(buckets)) * _SPREAD
-        shared = np.isin(h ^ (own.astype(np.uint64) * _SPREAD), known)
-        own, a, b = own[shared], a[shared], b[shared]
-        first = np.r_[True, (own[1:] != own[:-1]) | (a[1:] != b[:-1])][: len(own)]
-        last = np.r_[first[1:], True][: len(own)]
-        owners, starts, ends = own[first].tolist(), a[first].tolist(), (b[last] + SPAN - 1).tolist()
-        bodies = [texts[i][x:y] for i, x, y in zip(owners, starts, ends, strict=True)]
-        digests = [xxhash.xxh3_128_digest(x) for x in bodies]
-        seen: set[bytes] = set()
-        fresh = [not (d in seen or seen.add(d)) for d in digests]
-        yield _batch({"doc_id": ([docs[i] for i in owners], pa.int64()), "mark": ([marks[i] for i in owners], pa.int64()), "start": (starts, pa.int64()), "digest": (digests, pa.binary()), "body": ([x if new else None for x, new in zip(bodies, fresh, strict=True)], pa.binary())})
-
-
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 3: (region, start in it, bytes, anchor hash, context hash, place of the anchor, least doc_id)."""
-    for batch in slices(batches, "body"):
-        bodies, rid, least = texts_of(batch, "body"), batch.column("rid").to_numpy(), batch.column("least").to_numpy()
-        own, a, b, p, h = anchor_runs(bodies)
-        n = b - a + SPAN - 1
-        cids = np.array([xxhash.xxh3_64_intdigest(bodies[i][x : x + y]) for i, x, y in zip(own.tolist(), a.tolist(), n.tolist(), strict=True)], np.uint64)
-        yield _batch({"rid": (rid[own], pa.int64()), "start": (a, pa.int32()), "n": (n, pa.int32()), "anchor": (h.view(np.int64), pa.int64()), "cid": (cids.view(np.int64), pa.int64()), "at": (p - a, pa.int32()), "least": (least[own], pa.int64())})
-
-
-def split_contexts(items: list[tuple[bytes, int, int, int, int]], low: int = 0, high: int = REACH - 1) -> Iterator[list[tuple[bytes, int, list]]]:
-    """Groups of (bytes, least, owners) with at most about SMALL bytes, from contexts (bytes, place of the anchor, least, owner, first window).
-
-    The windows that have their anchor between low and high bytes from their start share the bytes around it, which deals
-    them out; equal pieces become one. Equal windows always come into the same group; windows that no other context can have
-    come into none.
+
+_BYTE = np.frombuffer(hashlib.shake_128(b"bytes").digest(2048), np.uint64)
+_POWERS = np.array([pow(int(_MUL), i, 1 << 64) for i in range(WIDTH)], np.uint64)
+
+
+class Strings:
+    """Contexts as rows of bytes, aligned at their anchors; window d of a context starts d bytes before the anchor."""
+
+    def __init__(self, shape: np.ndarray, raw: np.ndarray):
+        self.at, n = (x.astype(np.int64) for x in shape)
+        self.low, self.high = self.at - (n - SPAN), self.at.copy()
+        self.rows = np.zeros((len(n), WIDTH), np.uint8)
+        self.rows[np.repeat(np.arange(len(n)), n), _ranges(REACH - 1 - self.at, n)] = raw
+
+    def hash(self, k: np.ndarray, low: int, high: int, seed: np.ndarray) -> np.ndarray:
+        """Of what windows low to high of contexts k have in common."""
+        x = (_BYTE[self.rows[k, REACH - 1 - low : WIDTH - high]] * _POWERS[: SPAN + low - high]).sum(axis=1, dtype=np.uint64) + seed * _MIX
+        return (x ^ (x >> _u(31))) * _ODD
+
+
+def _shared(key: np.ndarray) -> np.ndarray:
+    """Where a key occurs more than once."""
+    _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
+    return count[inverse] > 1
+
+
+def _strings(s: Strings, anchor: np.ndarray) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Groups of pieces that can share windows, as (whether pieces are one window, context, least window, greatest window, group).
+
+    A group is an anchor's contexts, without windows that share no 33 bytes around the anchor with another context. If a group
+    has more than SYMBOLS bytes, its windows are split in two by their place around the anchor, and grouped by what each half has
+    in common; equal windows stay together.
     """
-    pieces: dict[bytes, list] = {}
-    for body, at, least, owner, first in items:
-        a, b = max(0, at - high), min(len(body) - SPAN, at - low)
-        if a <= b:
-            piece = pieces.setdefault(body[a : b + SPAN], [least, []])
-            piece[0] = min(piece[0], least)
-            piece[1].append((owner, first + a, at - a))
-    if len(pieces) == 1 or low == high or (high - low < REACH - 1 and sum(map(len, pieces)) <= SMALL):
-        if low == high:  # one window each
-            for body, (least, owners) in pieces.items():
-                yield [(body, least, owners)]
-        else:
-            yield [(body, least, owners) for body, (least, owners) in pieces.items()]
+    half = (REACH - 1) // 2
+    k = np.arange(len(anchor))
+    right, left = k[s.low <= half], k[s.high >= half]
+    on_right, on_left = np.zeros(len(k), bool), np.zeros(len(k), bool)
+    on_right[right] = _shared(s.hash(right, 0, half, anchor[right]))
+    on_left[left] = _shared(s.hash(left, half, REACH - 1, anchor[left]))
+    low, high = np.where(on_right, s.low, np.maximum(s.low, half)), np.where(on_left, s.high, np.minimum(s.high, half))
+    k = np.flatnonzero(on_right | on_left)
+    todo, small = [(k, low[k], high[k], anchor[k], 0, REACH - 1)], []
+    while todo:
+        k, low, high, key, first, last = todo.pop()
+        by = np.argsort(key, kind="stable")
+        k, low, high, key = k[by], low[by], high[by], key[by]
+        a, b = _runs(key)
+        if not len(a):
+            continue
+        if first == last:
+            yield True, k, low, high, key
+            continue
+        size = np.add.reduceat(high - low + SPAN + 1, a)
+        large = np.repeat(size > SYMBOLS, b - a)
+        several = np.repeat(b - a > 1, b - a) & ~large
+        small.append((k[several], low[several], high[several], key[several]))
+        if large.any():
+            k, low, high, key = k[large], low[large], high[large], key[large]
+            middle = (first + last) // 2
+            for x, y in ((first, middle), (middle + 1, last)):
+                on = np.flatnonzero((low <= y) & (high >= x))
+                new = s.hash(k[on], x, y, key[on])
+                many = _shared(new)
+                on, new = on[many], new[many]
+                todo.append((k[on], np.maximum(low[on], x), np.minimum(high[on], y), new, x, y))
+    if small:
+        yield False, *(np.concatenate(x) for x in zip(*small, strict=True))
+
+
+def _equal(s: Strings, doc: np.ndarray, k: np.ndarray, d: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(context, window) of pieces of one window each that a smaller document has."""
+    a, b = _runs(key)
+    each = b - a
+    rows = s.rows[k[:, None], REACH - 1 - d[:, None] + np.arange(SPAN)]
+    same = (rows == np.repeat(rows[a], each, axis=0)).all(axis=1)
+    least = np.repeat(np.minimum.reduceat(np.where(same, doc[k], _LAST), a), each)
+    goes = same & (doc[k] > least)
+    return k[goes], d[goes]
+
+
+def _later(s: Strings, doc: np.ndarray, k: np.ndarray, low: np.ndarray, high: np.ndarray, key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(context, window) of all windows of pieces that a smaller document has, by suffix arrays of groups laid end to end in rows."""
+    a, b = _runs(key)
+    if not len(a):
         return
-    middle = (low + high + 1) // 2
-    for lo, hi in ((middle, high), (low, middle - 1)):
-        dealt: dict[bytes, list] = {}
-        for body, (least, owners) in pieces.items():
-            at = owners[0][2]
-            if max(0, at - hi) <= min(len(body) - SPAN, at - lo):
-                dealt.setdefault(body[max(0, at - lo) : at + SPAN - hi], []).extend((body, at, least, owner, first) for owner, first, _ in owners)
-        for part in dealt.values():
-            if len(part) > 1:  # else its windows are its own
-                yield from split_contexts(part, lo, hi)
-
-
-def least_holders(groups: list[list[tuple[bytes, int, list]]]) -> list[list[np.ndarray]]:
-    """For each body of each group: the least doc_id of every window, over the bodies of its group, by suffix arrays."""
-    found: list[list[np.ndarray]] = [[] for _ in groups]
-    sizes = np.array([sum(len(b) + 1 for b, _, _ in g) for g in groups])
-    several = np.array([len(g) > 1 for g in groups], bool)
-    for i in np.flatnonzero(~several):
-        found[i] = [np.full(len(b) - SPAN + 1, least, np.int64) for b, least, _ in groups[i]]
-    todo = np.flatnonzero(several)
-    todo = todo[np.argsort(sizes[todo], kind="stable")]
-    while len(todo):
-        width = int(sizes[todo[0]]) * 5 // 4 + 16
-        rows = todo[: min(2000, int(np.searchsorted(sizes[todo], width, side="right")))]
-        todo = todo[len(rows) :]
-        width = int(sizes[rows[-1]])
-        sym = np.zeros((len(rows), width), np.int16)
-        holder = np.full((len(rows), width), _LAST, np.int64)
-        valid = np.zeros((len(rows), width), bool)
-        for r, i in enumerate(rows.tolist()):
-            at = 0
-            for body, least, _ in groups[i]:
-                n = len(body)
-                sym[r, at : at + n] = np.frombuffer(body, np.uint8)
-                sym[r, at : at + n] += 1
-                holder[r, at : at + n] = least
-                valid[r, at : at + n - SPAN + 1] = True
-                at += n + 1
-        order = suffix_arrays(sym)
-        r, k = np.nonzero(np.take_along_axis(valid, order, 1))
-        p = order[r, k]
-        same = np.zeros(len(r), bool)
-        for a in range(1, len(r), 200_000):
-            b = min(len(r), a + 200_000)
-            span = np.arange(SPAN)
-            rows_of = lambda x, y: sym[r[x:y, None], p[x:y, None] + span]
-            same[a:b] = (r[a:b] == r[a - 1 : b - 1]) & (rows_of(a, b) == rows_of(a - 1, b - 1)).all(axis=1)
-        starts = np.flatnonzero(~same)
-        best = np.minimum.reduceat(holder[r, p], starts)
-        holder[r, p] = np.repeat(best, np.diff(np.r_[starts, len(r)]))
-        for k, i in enumerate(rows.tolist()):
-            at = 0
-            for body, _, _ in groups[i]:
-                found[i].append(holder[k, at : at + len(body) - SPAN + 1].copy())
-                at += len(body) + 1
-    return found
-
-
-def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 4, over contexts sorted by anchor: (anchor, cid, least doc_id of every window)."""
-    held: list[tuple] = []
-
-    def out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        best = [np.full(len(body) - SPAN + 1, least, np.int64) for _, _, _, least, body in rows]
-        groups, a = [], 0
-        for b in range(1, len(rows) + 1):
-            if b == len(rows) or rows[b][0] != rows[a][0]:
-                if b - a > 1:
-                    groups += split_contexts([(rows[i][4], rows[i][2], rows[i][3], i, 0) for i in range(a, b)])
-                a = b
-        for group, lows in zip(groups, least_holders(groups), strict=True):
-            for (_, _, owners), low in zip(group, lows, strict=True):
-                for owner, first, _ in owners:
-                    np.minimum(best[owner][first : first + len(low)], low, out=best[owner][first : first + len(low)])
-        yield _batch({"anchor": ([x[0] for x in rows], pa.int64()), "cid": ([x[1] for x in rows], pa.int64()), "holders": ([x.tobytes() for x in best], pa.binary())})
-
-    for batch in batches:
-        held += zip(*(batch.column(c).to_pylist() for c in ("anchor", "cid", "at", "least", "body")), strict=True)
-        if len(held) < 50_000:
+    n = high - low + SPAN
+    size = np.add.reduceat(n + 1, a)
+    width = max(int(size.max()), min(SYMBOLS, int(size.sum()) // 2000))
+    offset, used, rows = np.empty(len(a), np.int64), width, -1
+    for i, x in enumerate(size.tolist()):
+        if used + x > width:
+            used, rows = 0, rows + 1
+        offset[i] = rows * width + used
+        used += x
+    step = max(1, ROW_SYMBOLS // width) * width
+    cuts = np.searchsorted(offset, np.arange(0, (rows + 1) * width + step, step))
+    for x, y in zip(cuts, cuts[1:], strict=False):
+        if x == y:
             continue
-        cut = len(held)
-        while cut and held[cut - 1][0] == held[-1][0]:
-            cut -= 1
-        if cut:
-            yield from out(held[:cut])
-            held = held[cut:]
-    if held:
-        yield from out(held)
-
-
-def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 5 for regions, over their contexts sorted by region and start: (rid, runs of windows with one least doc_id)."""
-
-    def out(rows: pa.RecordBatch, rids: list[int], ends: np.ndarray) -> pa.RecordBatch:
-        own = np.repeat(np.arange(len(ends)), np.diff(np.r_[0, ends]))
-        start, n, low = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("start", "n", "low"))
-        clear = rows.column("holders").is_null().to_numpy(zero_copy_only=False)
-        pieces = [(own[clear], start[clear], start[clear] + n[clear] - SPAN + 1, low[clear])]
-        if not clear.all():
-            flat = np.frombuffer(b"".join(rows.column("holders").drop_null().to_pylist()), np.int64)
-            width = (n[~clear] - SPAN + 1).astype(np.int64)
-            row = np.repeat(np.arange(len(width)), width)
-            place = np.arange(len(flat)) - np.repeat(np.cumsum(width) - width, width) + start[~clear][row]
-            first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (flat[1:] != flat[:-1])])
-            last = np.r_[first[1:], len(flat)] - 1
-            pieces.append((own[~clear][row[first]], place[first], place[last] + 1, flat[first]))
-        own, a, b, low = (np.concatenate(x).astype(np.int64) for x in zip(*pieces, strict=True))
-        order = np.lexsort((a, own))
-        own, a, b, low = own[order], a[order], b[order], low[order]
-        new = np.r_[True, (own[1:] != own[:-1]) | (low[1:] != low[:-1])][: len(own)]  # contexts that agree make one run
-        last = np.r_[new[1:], True][: len(own)]
-        own, a, b, low = own[new], a[new], b[last], low[new]
-        edges = np.searchsorted(own, np.arange(len(ends) + 1)).tolist()
-        laid = np.stack([a, b, low])
-        return _batch({"rid": (rids, pa.int64()), "runs": ([laid[:, x:y].tobytes() for x, y in zip(edges, edges[1:], strict=False)], pa.binary())})
-
-    held: pa.RecordBatch | None = None
-    for batch in batches:
-        held = batch if held is None else pa.concat_batches([held, batch])
-        coded = held.column("rid").to_numpy()
-        starts, ends = _runs(coded)
-        rids = coded[starts].tolist()
-        if len(ends) > 1:
-            yield out(held.slice(0, int(ends[-2])), rids[:-1], ends[:-1])
-            held = held.slice(int(ends[-2]))
-    if held is not None and held.num_rows:
-        yield out(held, [held.column("rid")[0].as_py()], np.array([held.num_rows]))
-
-
-def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 5 for documents: (doc_id, mark, start, end of removed bytes) of each region."""
-    for batch in batches:
-        out: dict[str, tuple[list, pa.DataType]] = {"doc_id": ([], pa.int64()), "mark": ([], pa.int64()), "spans": ([], pa.binary())}
-        for doc, mark, start, runs in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mark", "start", "runs")), strict=True):
-            a, b, low = np.frombuffer(runs, np.int64).reshape(3, -1)
-            mine = low < doc
-            if mine.any():
-                spans = np.stack([a[mine] + start, b[mine] + start + SPAN - 1])
-                for col, v in zip(out.values(), (doc, mark, spans.tobytes()), strict=True):
-                    col[0].append(v)
-        yield _batch(out)
-
-
-def cut_spans(text: bytes, spans: list[bytes]) -> tuple[bytes, int]:
+        base = offset[x] // width * width
+        j = np.arange(a[x], b[y - 1])  # pieces
+        before = np.cumsum(n[j] + 1) - (n[j] + 1)
+        at = before + np.repeat(offset[x:y] - base - before[a[x:y] - a[x]], b[x:y] - a[x:y])
+        total = (int(offset[y - 1]) - int(base)) // width + 1
+        sym = np.zeros(total * width, np.int16)
+        cells = _ranges(at, n[j])
+        sym[cells] = s.rows[np.repeat(k[j], n[j]), _ranges(REACH - 1 - high[j], n[j])]
+        sym[cells] += 1
+        starts = high[j] - low[j] + 1  # windows of a piece
+        cells = _ranges(at, starts)
+        piece = np.full(len(sym), -1, np.int32)
+        piece[cells] = np.repeat(j, starts)
+        shift = np.zeros(len(sym), np.int16)
+        shift[cells] = _ranges(np.zeros(len(j), np.int64), starts)
+        found = (suffix_arrays(sym.reshape(total, width)) + np.arange(total, dtype=np.int64)[:, None] * width).ravel()
+        found = found[piece[found] >= 0]
+        eight = np.zeros(len(sym) + 8, np.uint64)
+        for i in range(8):
+            eight[: len(sym) - i] |= (sym[i:] - 1).astype(np.uint8).astype(np.uint64) << _u(8 * i)
+        same = np.zeros(len(found), bool)
+        same[1:] = found[1:] // width == found[:-1] // width
+        for i in (*range(0, SPAN - 8, 8), SPAN - 8):
+            on = np.flatnonzero(same)
+            same[on] = eight[found[on] + i] == eight[found[on - 1] + i]
+        begin = np.flatnonzero(~same)
+        holder = doc[k[piece[found]]]
+        least = np.repeat(np.minimum.reduceat(holder, begin), np.diff(np.r_[begin, len(holder)]))
+        goes = found[holder > least]
+        yield k[piece[goes]], high[piece[goes]] - shift[goes]
+
+
+def _windows(got: pa.Table) -> pa.Table:
+    """Step 4, over what one bucket of anchors has: the spans that go, for each `to`."""
+    spans: list[tuple[np.ndarray, ...]] = []
+    read = lambda rows, c, kind: np.concatenate([np.frombuffer(x, kind) for x in rows[c].to_pylist()])
+
+    def columns(rows: pa.Table) -> tuple[np.ndarray, ...]:
+        to = np.repeat(rows["to"].to_numpy(), [len(x) // 8 for x in rows["docs"].to_pylist()])
+        return to, read(rows, "docs", np.int64), read(rows, "marks", np.int64), read(rows, "starts", np.int32), read(rows, "anchors", np.uint64)
+
+    flag = got["windows"].to_numpy(zero_copy_only=False).astype(bool)
+    if flag.any():
+        rows = got.filter(pa.array(flag))
+        to, doc, mark, start, g = columns(rows)
+        h = read(rows, "bytes", np.uint64)
+        by = np.lexsort((doc, g, h))
+        to, doc, mark, start, g, h = (x[by] for x in (to, doc, mark, start, g, h))
+        a, b = _runs(h, g)
+        later = doc > np.repeat(doc[a], b - a)
+        spans.append((to[later], doc[later], mark[later], start[later], start[later] + np.int32(SPAN)))
+    if not flag.all():
+        rows = got.filter(pa.array(~flag))
+        to, doc, mark, start, g = columns(rows)
+        shape = np.concatenate([np.frombuffer(x, np.uint8).reshape(2, -1) for x in rows["ends"].to_pylist()], axis=1)
+        s = Strings(shape, read(rows, "bytes", np.uint8))
+        for single, *pieces in _strings(s, g):
+            for k, d in [_equal(s, doc, *pieces[:2], pieces[3])] if single else _later(s, doc, *pieces):
+                first = start[k] + s.at[k] - d  # of the window in its document
+                by = np.lexsort((first, mark[k], doc[k], to[k]))
+                k, first = k[by], first[by]
+                x = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (first[1:] != first[:-1] + 1)][: len(k)])
+                y = np.r_[x[1:], len(k)] - 1
+                spans.append((to[k[x]], doc[k[x]], mark[k[x]], first[x].astype(np.int32), (first[y[: len(x)]] + SPAN).astype(np.int32)))
+    out: list[tuple] = []
+    if spans:
+        to, *rest = (np.concatenate(x) for x in zip(*spans, strict=True))
+        by = np.argsort(to, kind="stable")
+        for x, y in zip(*_runs(to[by]), strict=True):
+            out.append((-1, int(to[by[x]]), None, *_ints(*(v[by[x:y]] for v in rest)), None, None))
+    return _parts(out)
+
+
+def _merged(got: pa.Table) -> pa.Table:
+    """Step 5: (doc_id, mark, spans) of each document, spans as starts and ends of maximal runs."""
+    doc, mark, a, b = (np.concatenate([np.frombuffer(x, k) for x in got[c].to_pylist()]) for c, k in _NO_SPANS.items())
+    by = np.lexsort((a, mark, doc))
+    doc, mark, a, b = (x[by] for x in (doc, mark, a.astype(np.int64), b.astype(np.int64)))
+    starts, ends = _runs(doc, mark)
+    own = np.repeat(np.arange(len(starts)), ends - starts)
+    wide = np.int64(1) << np.int64(32)
+    reach = np.maximum.accumulate(b + own * wide) - own * wide  # how far the spans so far go
+    head = np.r_[True, (own[1:] != own[:-1]) | (a[1:] > reach[:-1])][: len(a)]
+    first = np.flatnonzero(head)
+    last = np.r_[first[1:], len(a)][: len(first)] - 1
+    laid = np.stack([a[first], reach[last]])
+    edges = np.searchsorted(own[first], np.arange(len(starts) + 1)).tolist()
+    return pa.table({"doc_id": pa.array(doc[starts]), "mark": pa.array(mark[starts]), "spans": pa.array([laid[:, x:y].tobytes() for x, y in zip(edges, edges[1:], strict=False)], pa.binary())})
+
+
+def cut_spans(text: bytes, spans: bytes | None) -> tuple[bytes, int]:
     """(the remaining bytes, number of maximal removed runs)."""
     if not spans:
         return text, 0
-    a, b = np.concatenate([np.frombuffer(x, np.int64).reshape(2, -1) for x in spans], axis=1)
-    depth = np.zeros(len(text) + 1, np.int32)
-    np.add.at(depth, a, 1)
-    np.add.at(depth, b, -1)
-    gone = np.cumsum(depth[:-1]) > 0
-    runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-    return np.frombuffer(text, np.uint8)[~gone].tobytes(), runs
+    a, b = np.frombuffer(spans, np.int64).reshape(2, -1)
+    kept = [text[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(text)], strict=True)]
+    return b"".join(kept), len(a)
+
+
+RESULTS = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
 
 
-def _finish(columns: int):
+def _finish(columns: int, text: str, spans: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
-            rest = [cut_spans(text, lists or []) for text, lists in zip(texts_of(batch, "_text"), batch.column("_lists").to_pylist(), strict=True)]
-            texts = texts_of(batch, "_text")
+        for batch in slices(batches, text):
+            texts = texts_of(batch, text)
+            rest = [cut_spans(t, x) for t, x in zip(texts, batch.column(spans).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:columns], pa.array([len(t) for t in texts], pa.int64()), pa.array([len(t) - len(x) for t, (x, _) in zip(texts, rest, strict=True)], pa.int64()), pa.array([k for _, k in rest], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x, _ in rest], pa.string()), pa.array([x.decode("utf-8", "ignore") for x, _ in rest], pa.string())],
-                names=[*batch.schema.names[:columns], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"],
+                names=[*batch.schema.names[:columns], *RESULTS],
             )
 
     return run
 
 
-def removed_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, lists): removed byte spans of documents (doc_id, mark, text) that lose any."""
+def removed_spans(docs: DataFrame, many: int = MANY, local: int = LOCAL) -> DataFrame:
+    """(doc_id, mark, spans): removed byte spans of documents (doc_id, mark, text) that lose any; mark tells texts of a doc_id apart."""
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = max(64, size // 12_000_000)
-    sent = docs.select("doc_id", "text").mapInArrow(_anchors(buckets), "bucket long, several binary, docs binary, counts binary, hashes binary")
-    shared = saved(sent.groupBy("bucket").applyInArrow(_shared, "doc_id long, hashes binary"))
-    lists = shared.groupBy("doc_id").agg(F.collect_list("hashes").alias("lists"))
-    regions = saved(docs.join(lists, "doc_id").mapInArrow(partial(_regions, buckets), "doc_id long, mark long, start long, digest binary, body binary"))
-    forget(shared)
-    distinct = saved(regions.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("body").alias("body")).withColumn("rid", F.monotonically_increasing_id()))
-    places = saved(regions.select("doc_id", "mark", "start", "digest"))
-    forget(regions)
-    contexts = saved(distinct.select("rid", "least", "body").mapInArrow(_contexts, "rid long, start int, n int, anchor long, cid long, at int, least long"))
-    anchors = saved(contexts.groupBy("anchor").agg(F.min("least").alias("low"), (F.min("cid") != F.max("cid")).alias("several")))
-    unclear = contexts.join(anchors.where("several").select("anchor"), "anchor", "left_semi").groupBy("anchor", "cid").agg(F.min("least").alias("least"), F.min(F.struct("rid", "start", "n", "at")).alias("one"))
-    unclear = saved(unclear.select("anchor", "cid", "least", "one.*"))
-    bodies = unclear.join(distinct.select("rid", "body"), "rid").select("anchor", "cid", "at", "least", F.expr("substring(body, start + 1, n)").alias("body"))
-    holders = saved(bodies.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_holders, "anchor long, cid long, holders binary"))
-    forget(unclear)
-    told = contexts.select("rid", "start", "n", "anchor", "cid").join(anchors.select("anchor", "low"), "anchor").join(holders, ["anchor", "cid"], "left").select("rid", "start", "n", "low", "holders")
-    verdicts = saved(told.repartition("rid").sortWithinPartitions("rid", "start").mapInArrow(_verdicts, "rid long, runs binary"))
-    for done in (contexts, anchors, holders):
-        forget(done)
-    runs = verdicts.join(distinct.select("rid", "digest"), "rid").select("digest", "runs")
-    spans = places.join(runs, "digest").mapInArrow(_spans, "doc_id long, mark long, spans binary")
-    out = saved(spans.groupBy("doc_id", "mark").agg(F.collect_list("spans").alias("lists")))
-    for done in (places, distinct, verdicts):
-        forget(done)
+    buckets = max(64, size // BUCKET)
+    which = F.when(F.col("doc_id") == _LAST, F.col("mark")).otherwise(F.xxhash64("doc_id"))
+    dealt = docs.where(F.octet_length("text") >= SPAN).select("doc_id", "mark", "text", F.pmod(which, F.lit(buckets)).alias("to"))
+    told = saved(dealt.select("doc_id", "to", "text").mapInArrow(_sender(buckets, local), _SENT).groupBy("bucket").applyInArrow(lambda got: _receiver(many, got), _TOLD))
+    parts = saved(dealt.groupBy("to").cogroup(told.groupBy("to")).applyInArrow(_documents(buckets), _PARTS))
+    forget(told)
+    found = saved(parts.where("bucket >= 0").groupBy("bucket").applyInArrow(_windows, _PARTS))
+    spans = parts.where("bucket < 0").union(found).select("to", *_NO_SPANS)
+    out = saved(spans.groupBy("to").applyInArrow(_merged, "doc_id long, mark long, spans binary"))
+    forget(parts)
+    forget(found)
     return out
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, many: int = MANY, local: int = LOCAL) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans, kept_sha256 (of the remaining bytes) and kept_text for each row; needs doc_id and text.
 
     kept_text leaves out what remains of characters that were cut.
     """
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.xxhash64("text").alias("mark"), F.coalesce("text", F.lit("")).alias("text"))
-    spans = removed_spans(keyed)
-    names = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")]
-    lined = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("_doc"), F.xxhash64("text").alias("_mark"), F.col("text").alias("_text"))
-    both = lined.join(spans.select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"), F.col("lists").alias("_lists")), ["_doc", "_mark"], "left").select(*names, "_text", "_lists")
-    schema = docs.select(*names, *(F.lit(0).cast("long").alias(c) for c in ("n_bytes", "n_removed", "n_spans")), F.lit("").alias("kept_sha256"), F.lit("").alias("kept_text")).schema
-    return both.mapInArrow(_finish(len(names)), schema)
+    doc, mark, text, spans = (spare(docs, x) for x in ("doc", "mark", "body", "spans"))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
+    keyed = docs.select(key.alias("doc_id"), F.xxhash64("text").alias("mark"), F.coalesce("text", F.lit("")).alias("text"))
+    found = removed_spans(keyed, many, local).select(F.col("doc_id").alias(doc), F.col("mark").alias(mark), F.col("spans").alias(spans))
+    names = [c for c in docs.columns if c not in RESULTS]
+    lined = docs.select(*(F.col(f"`{c}`") for c in names), key.alias(doc), F.xxhash64("text").alias(mark), F.col("text").alias(text))
+    both = lined.join(found, [doc, mark], "left").select(*(F.col(f"`{c}`") for c in names), text, spans)
+    zero = F.lit(0).cast("long")
+    schema = docs.select(*(F.col(f"`{c}`") for c in names), *(zero.alias(c) for c in RESULTS[:3]), F.lit("").alias("kept_sha256"), F.lit("").alias("kept_text")).schema
+    return both.mapInArrow(_finish(len(names), text, spans), schema)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *RESULTS[:4])
 
 
 QUERIES = {"op1_suffix_dedup": op1_suffix_dedup}

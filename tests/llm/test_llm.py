@@ -76,24 +76,27 @@ def test_removed_spans(docs, rows, empty):
     assert substrings.without_repeats(empty).count() == 0
 
 
-def test_split_contexts_keeps_equal_windows_together():
+def test_removed_spans_with_hot_anchors(docs):
+    """Anchors with more than a few contexts are dealt by window, with the same result."""
+    cols = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert by_id(substrings.without_repeats(docs, many=3, local=1), *cols) == by_id(substrings.without_repeats(docs), *cols)
+
+
+def test_windows_of_one_anchor_are_compared_byte_by_byte():
     rng = np.random.default_rng(5)
     core = bytes(rng.integers(97, 123, 16).astype(np.uint8))
-    items = []
-    for i in range(60):
-        left, right = (bytes(rng.choice([97, 98], 34).astype(np.uint8)) for _ in range(2))
-        items.append((left + core + right, 34, i, i, 0))
-    best = [np.full(len(b) - 49, least) for b, _, least, _, _ in items]
-    groups = list(substrings.split_contexts(items))
-    for group, lows in zip(groups, substrings.least_holders(groups), strict=True):
-        for (_, _, owners), low in zip(group, lows, strict=True):
-            for owner, first, _ in owners:
-                best[owner][first : first + len(low)] = np.minimum(best[owner][first : first + len(low)], low)
-    want = {}
-    for b, _, least, _, _ in items:
-        for j in range(len(b) - 49):
-            want[b[j : j + 50]] = min(least, want.get(b[j : j + 50], least))
-    assert all(best[i][j] == want[b[j : j + 50]] for i, (b, *_) in enumerate(items) for j in range(len(b) - 49))
+    for n in (60, 400):  # the larger group is split
+        bodies = [bytes(rng.choice([97, 98], 34).astype(np.uint8)) + core + bytes(rng.choice([97, 98], 34).astype(np.uint8)) for _ in range(n)]
+        s = substrings.Strings(np.array([[34] * n, [84] * n], np.uint8), np.frombuffer(b"".join(bodies), np.uint8))
+        doc, got = np.arange(n), set()
+        for single, *pieces in substrings._strings(s, np.zeros(n, np.uint64)):
+            for k, d in [substrings._equal(s, doc, *pieces[:2], pieces[3])] if single else substrings._later(s, doc, *pieces):
+                got |= set(zip(k.tolist(), d.tolist(), strict=True))
+        seen, want = set(), set()
+        for i, b in enumerate(bodies):
+            want |= {(i, 34 - j) for j in range(35) if b[j : j + 50] in seen}
+            seen |= {b[j : j + 50] for j in range(35)}
+        assert got == want
 
 
 def test_near_groups(docs, rows, empty):

@@ -1,12 +1,18 @@
 """Quality by weak supervision, in DataFrame operations.
 
-Rules look at a document's counts and vote good, bad or nothing. How often each rule is right, and abstains, for good
-and for bad documents is estimated by expectation-maximisation over all documents, without labels; a
-document is kept if the posterior probability that it is good reaches `KEEP`. As a document matters only by
-its votes, EM runs over the table of vote patterns (at most 3 ** rules rows), which Spark counts.
+Rules look at a document's counts and vote good, bad or nothing. A document is good or junk of one of at most `KINDS` kinds, and
+how often each rule votes good, bad or abstains for each of these is estimated by expectation-maximisation over all
+documents, without labels, until the likelihood stands still; a document is kept if the posterior probability that it is
+good reaches `KEEP`. As a document matters only by its votes, EM runs over the table of vote patterns (at most
+3 ** rules rows), which Spark counts.
+
+EM starts from documents with at most one bad vote as good ones, and from the most frequent patterns in which two rules or more
+vote bad, and that share at most half of their bad votes, as kinds of junk; others start as the kind whose bad votes they
+share. What it finds may differ: a rule's lone bad votes count as it turns out to be right. `PRIOR` documents of each class,
+with all votes alike, keep chances off zero.
 
 Null text has no words. Texts below the base limits (too few words, too many repeated ones) are never kept. Repeated
-rows are judged alike. An empty table gives an empty table.
+rows are judged alike, and each counts. Columns of the input other than those asked for are not read. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -18,7 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import saved, table
 
-KEEP, ROUNDS, WINDOW = 0.5, 40, 5
+KEEP, WINDOW = 0.5, 5
+KINDS, PRIOR, ROUNDS, STILL = 3, 1.0, 1000, 1e-9
 _SPACE = " \t\n\x0b\f\r"
 _GAPS = r"[\x20\x09-\x0D]+"
 _SYMBOLS = "#*$%&|<>"
@@ -36,11 +43,6 @@ RULES: dict[str, tuple[str, str]] = {
     "capitals": ("10 * n_capitals > 3 * word_chars", "false"),
     "exclaims": ("10 * n_exclaims > n_words", "false"),
 }
-#: What is believed of a rule before the votes are seen: chances of a bad and of a good vote for good
-#: and for bad documents, worth PRIOR times all documents. It tells EM which side is which.
-BELIEF = {1: {-1: 0.005, 1: 0.495}, 0: {-1: 0.40, 1: 0.25}}
-PRIOR = 1.0
-
 
 def _without(text: str | Column, chars: str) -> Column:
     return F.translate(text, chars, "")
@@ -79,26 +81,50 @@ def votes(counts: DataFrame, rules: dict[str, tuple[str, str]]) -> DataFrame:
     return counts.withColumns({f"vote_{r}": F.when(F.expr(bad), -1).when(F.expr(good), 1).otherwise(0) for r, (bad, good) in rules.items()})
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> dict[tuple[int, ...], float]:
-    """Posterior probability of good for each vote pattern (votes, documents), by EM that starts from BELIEF. An abstention says nothing."""
-    if not patterns:
-        return {}
-    rules, total = range(len(patterns[0][0])), sum(n for _, n in patterns)
-    share = 0.8
-    gains = [{v: log(BELIEF[1][v] / BELIEF[0][v]) if v else 0.0 for v in (-1, 0, 1)} for _ in rules]
-    good: dict[tuple[int, ...], float] = {}
+Pattern = tuple[int, ...]
+
+
+def seeds(patterns: list[tuple[Pattern, int]], kinds: int = KINDS) -> list[Pattern]:
+    """Frequent patterns in which rules confirm each other's bad votes, unlike each other."""
+    chosen: list[Pattern] = []
+    for p, _ in sorted(patterns, key=lambda x: (-x[1], x[0])):
+        bad = {r for r, v in enumerate(p) if v < 0}
+        others = [{r for r, v in enumerate(q) if v < 0} for q in chosen]
+        if len(bad) > 1 and len(chosen) < kinds and all(2 * len(bad & o) <= len(bad | o) for o in others):
+            chosen.append(p)
+    return chosen
+
+
+def estimate(patterns: list[tuple[Pattern, int]], rounds: int = ROUNDS) -> dict[Pattern, float]:
+    """Posterior probability of good for each vote pattern (votes, documents), by EM over the classes good (0) and kinds of junk."""
+    start = seeds(patterns)
+    if not start:
+        return {p: 1.0 for p, _ in patterns}
+    rules, classes, total = range(len(patterns[0][0])), range(len(start) + 1), sum(n for _, n in patterns)
+    bad = lambda p: {r for r in rules if p[r] < 0}
+    nearest = lambda p: 1 + max(range(len(start)), key=lambda j: len(bad(p) & bad(start[j])) / len(bad(p) | bad(start[j])))
+    member = {p: [float(c == (nearest(p) if len(bad(p)) > 1 else 0)) for c in classes] for p, _ in patterns}
+    before = None
     for _ in range(rounds):
-        good = {p: 1 / (1 + exp(-max(-50.0, min(50.0, log(share / (1 - share)) + sum(gains[r][p[r]] for r in rules))))) for p, _ in patterns}
-        share = (sum(good[p] * n for p, n in patterns) + 2) / (total + 4)
-        for r in rules:
-            seen = {(c, v): PRIOR * total * BELIEF[c][v] for c in (0, 1) for v in (-1, 1)}
-            for p, n in patterns:
-                if p[r]:
-                    seen[1, p[r]] += good[p] * n
-                    seen[0, p[r]] += (1 - good[p]) * n
-            of = {c: total * (PRIOR + (share if c else 1 - share)) for c in (0, 1)}
-            gains[r] = {v: log(seen[1, v] / of[1]) - log(seen[0, v] / of[0]) if v else 0.0 for v in (-1, 0, 1)}
-    return good
+        size = [sum(member[p][c] * n for p, n in patterns) for c in classes]
+        share = [log((size[c] + PRIOR) / (total + PRIOR * len(classes))) for c in classes]
+        chance = [[{v: PRIOR / 3 for v in (-1, 0, 1)} for _ in rules] for _ in classes]
+        for p, n in patterns:
+            for c in classes:
+                for r in rules:
+                    chance[c][r][p[r]] += member[p][c] * n
+        logs = [[{v: log(x / (size[c] + PRIOR)) for v, x in chance[c][r].items()} for r in rules] for c in classes]
+        likely = 0.0
+        for p, n in patterns:
+            each = [share[c] + sum(logs[c][r][p[r]] for r in rules) for c in classes]
+            most = max(each)
+            whole = sum(exp(x - most) for x in each)
+            likely += n * (most + log(whole))
+            member[p] = [exp(x - most) / whole for x in each]
+        if before is not None and abs(likely - before) <= STILL * abs(before):
+            break
+        before = likely
+    return {p: member[p][0] for p, _ in patterns}
 
 
 def judged(docs: DataFrame, keep: list[str], rules: dict[str, tuple[str, str]] | None = None) -> DataFrame:

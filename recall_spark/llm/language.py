@@ -2,14 +2,18 @@
 
 For each language a suffix automaton of labelled text is built. A text is parsed, left to right, into the
 longest phrases that occur in a language's text; the language that needs the fewest phrases, each costing
-the bits that point at a place in its text, wins. Automata are dense transition tables, so that numpy walks
-thousands of text blocks at once.
+the bits that point at a place in its text, wins. Automata keep only the transitions there are, so their size is in
+proportion to the text they learn from, whatever the alphabet.
 
 Learning takes at most `DOCS` documents a language (those with the least hash of doc_id) and `SYMBOLS`
-symbols of them, a bounded sample; every text is parsed whole, in blocks of `BLOCK` symbols. Symbols are
-lower-case letters; what lies between letters counts as one blank. Null texts and texts without a letter
+symbols of them, a bounded sample: from each document a span at a place that the hash of its doc_id chooses. Every text is
+parsed whole. numpy walks pieces of `BLOCK` symbols of many texts at once; a piece whose predecessor ends within a phrase is walked
+again from there until both walks agree, so pieces leave no trace in the result.
+
+Symbols are lower-case letters; what lies between letters counts as one blank. Null texts and texts without a letter
 are `und` with score 0, as is everything when there is nothing to learn from. Ties go to the first language
-in alphabetical order.
+in alphabetical order. Rows that repeat are judged alike; documents without a doc_id are not learnt from, and not held out. Input
+columns named as a result column are replaced. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from .common import crc_mod, slices, table
 
 DOCS, SYMBOLS, BLOCK, FOLDS, HELD_OUT = 64, 24_000, 512, 4, 2
 BLANK, STRANGE = 0, 1
+RESULTS = ["lang_pred", "lang_score", "lang_fits"]
 
 
 def _symbols(text: str, table_: np.ndarray) -> np.ndarray:
@@ -36,8 +41,8 @@ def _symbols(text: str, table_: np.ndarray) -> np.ndarray:
     return ids[keep]
 
 
-def _automaton(ids: list[int], letters: int) -> np.ndarray:
-    """Transitions of the suffix automaton of ids: row = state, column = symbol, 0 = none (nothing leads to the root)."""
+def _automaton(ids: list[int]) -> list[dict[int, int]]:
+    """Transitions of each state of the suffix automaton of ids; state 0 is the root, to which nothing leads."""
     length, link, step = [0], [-1], [{}]
     last = 0
     for c in ids:
@@ -63,11 +68,7 @@ def _automaton(ids: list[int], letters: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[now] = twin
         last = now
-    out = np.zeros((len(step), letters), np.int32)
-    for state, to in enumerate(step):
-        if to:
-            out[state, list(to)] = list(to.values())
-    return out
+    return step
 
 
 class Parser:
@@ -78,16 +79,38 @@ class Parser:
         self.alphabet = "".join(alphabet)
         self.letters = len(alphabet) + 2
         tab = self.table()
-        tables, self.bits = [], []
+        self.bits, self.roots, self.fresh = [], [], []
+        only, to, keys, ends = [], [], [], []  # the one transition of a state, if it has one; transitions of others
         for lang in self.langs:
             ids: list[int] = []
             for t in texts[lang]:
                 ids += [x for x in _symbols(t, tab).tolist() if x != STRANGE] + [BLANK]
             ids = ids[:SYMBOLS]
-            tables.append(_automaton(ids, self.letters))
+            root = len(only)
+            steps = _automaton(ids)
+            first = np.full(self.letters, root, np.int32)
+            first[list(steps[0])] = [root + x for x in steps[0].values()]
+            self.fresh.append(first)
+            for step in steps:
+                one = len(step) == 1
+                if not one:
+                    keys += [len(only) * self.letters + c for c in step]
+                    ends += [root + x for x in step.values()]
+                c, x = next(iter(step.items())) if one else (-1 if step else -2, 0)
+                only.append(c)
+                to.append(root + x)
+            self.roots.append(root)
             self.bits.append(np.log2(len(ids) + 2))
-        self.starts = np.cumsum([0, *(len(t) for t in tables[:-1])]) * self.letters if tables else np.empty(0, int)
-        self.step = np.concatenate([t.ravel() for t in tables]) if tables else np.empty(0, np.int32)
+        self.only, self.to = np.array(only, np.int32), np.array(to, np.int32)
+        self.width = max(4, (4 * len(keys)).bit_length())  # of a hash table that is at most a quarter full
+        self.keys, self.ends = np.full((1 << self.width) + len(keys), -1, np.int64), np.zeros((1 << self.width) + len(keys), np.int32)
+        for key, slot, x in zip(keys, self.slots(np.array(keys, np.int64)).tolist(), ends, strict=True):
+            while self.keys[slot] >= 0:
+                slot += 1
+            self.keys[slot], self.ends[slot] = key, x
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.width)).astype(np.int64)
 
     def table(self) -> np.ndarray:
         """Symbol of every code point."""
@@ -95,35 +118,68 @@ class Parser:
         found[[ord(c) for c in self.alphabet]] = np.arange(2, self.letters)
         return found
 
-    def costs(self, parts: list[np.ndarray]) -> np.ndarray:
-        """Bits per symbol that each language needs, for each text."""
+    def step(self, k: int, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(state behind symbols c in language k, whether a phrase starts with them)."""
+        one = self.only[state]
+        to = np.where(one == c, self.to[state], -1)
+        many = np.flatnonzero(one == -1)
+        if len(many):
+            key = state[many].astype(np.int64) * self.letters + c[many]
+            slot = self.slots(key)
+            found = self.keys[slot]
+            while len(off := np.flatnonzero((found != key) & (found >= 0))):
+                slot[off] += 1
+                found[off] = self.keys[slot[off]]
+            to[many] = np.where(found == key, self.ends[slot], -1)
+        starts = (to < 0) | (state == self.roots[k])
+        return np.where(to < 0, self.fresh[k][c], to).astype(np.int32), starts
+
+    def phrases(self, parts: list[np.ndarray]) -> np.ndarray:
+        """How many phrases each language needs for each text."""
         blocks = [-(-len(x) // BLOCK) for x in parts]
         owner = np.repeat(np.arange(len(parts)), blocks)
-        laid = np.full((len(owner), BLOCK), -1, np.int16)
+        laid = np.zeros((len(owner), BLOCK), np.int16)
+        full = np.zeros(len(owner), np.int64)
         at = 0
         for x, n in zip(parts, blocks, strict=True):
             laid[at : at + n].reshape(-1)[: len(x)] = x
+            full[at : at + n] = np.minimum(BLOCK, len(x) - BLOCK * np.arange(n))
             at += n
-        full = (laid >= 0).sum(axis=1)
         order = np.argsort(-full, kind="stable")  # the blocks still going are always the first ones
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        inner = np.flatnonzero(np.r_[False, owner[1:] == owner[:-1]])  # blocks with one before them
+        this, before = place[inner], place[inner - 1]
         laid, full, owner = np.ascontiguousarray(laid[order].T), full[order], owner[order]
-        phrases = np.zeros((len(self.langs), len(owner)))
-        for k, start in enumerate(self.starts):
-            step, own = self.step[start:], phrases[k]
-            state = np.zeros(len(owner), np.int64)
-            for j in range(int(full.max(initial=0))):
-                live = int(np.searchsorted(-full, -j, side="left"))
-                c = laid[j, :live]
-                to = step[state[:live] * self.letters + c]
-                ended = to == 0
-                fresh = step[c]
-                state[:live] = np.where(ended, fresh, to)
-                own[:live] += ended
-            own += full > 0
-        out = np.zeros((len(parts), len(self.langs)))
-        for k in range(len(self.langs)):
-            out[:, k] = np.bincount(owner, phrases[k], minlength=len(parts)) * self.bits[k]
-        return out / np.maximum(1, [[len(x)] for x in parts])
+        out = np.zeros((len(parts), len(self.langs)), np.int64)
+        if not len(full):
+            return out
+        going = [int(np.searchsorted(-full, -j, side="left")) for j in range(int(full[0]))]
+        trace, starts = np.zeros(laid.shape, np.int32), np.zeros(laid.shape, bool)
+        for k, root in enumerate(self.roots):
+            state = np.full(len(full), root, np.int32)
+            for j, live in enumerate(going):
+                state[:live], starts[j, :live] = self.step(k, state[:live], laid[j, :live])
+                trace[j, :live] = state[:live]
+            entered = np.full(len(full), root, np.int32)
+            while True:
+                leaves = trace[full[before] - 1, before]
+                late = leaves != entered[this]
+                cur, now, j = this[late], leaves[late], 0
+                if not len(cur):
+                    break
+                entered[cur] = now
+                while len(cur):
+                    now, starts[j, cur] = self.step(k, now, laid[j, cur])
+                    on = (trace[j, cur] != now) & (full[cur] > j + 1)
+                    trace[j, cur] = now
+                    cur, now, j = cur[on], now[on], j + 1
+            out[:, k] = np.bincount(owner, starts.sum(axis=0), minlength=len(parts))
+        return out
+
+    def costs(self, parts: list[np.ndarray]) -> np.ndarray:
+        """Bits per symbol that each language needs, for each text."""
+        return self.phrases(parts) * np.array(self.bits) / np.maximum(1, [[len(x)] for x in parts])
 
 
 def _sample(docs: DataFrame) -> dict[str, list[str]]:
@@ -131,17 +187,23 @@ def _sample(docs: DataFrame) -> dict[str, list[str]]:
     counts = known.groupBy("lang").agg(F.count("*").alias("n"))  # a row for each language
     near = known.join(F.broadcast(counts), "lang").withColumn("h", F.xxhash64("doc_id")).where(F.pmod("h", F.lit(1 << 30)) < F.lit(2.0 * DOCS) / F.col("n") * (1 << 30))
     first = near.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("i") <= DOCS)
+    size = (SYMBOLS / F.least("n", F.lit(DOCS))).cast("int")
+    place = (F.pmod(F.xxhash64("doc_id", F.lit("span")), F.greatest(F.length("text") - size, F.lit(0)) + 1) + 1).cast("int")
     texts: dict[str, list[str]] = {}
-    for r in first.select("lang", "i", F.substring("text", 1, SYMBOLS // 8).alias("t")).orderBy("lang", "i").collect():  # at most DOCS rows a language
+    for r in first.select("lang", "i", F.substring(F.col("text"), place, size).alias("t")).orderBy("lang", "i").collect():  # at most DOCS rows and about SYMBOLS characters a language
         texts.setdefault(r.lang, []).append(r.t)
     return {k: v for k, v in texts.items() if any(c.isalpha() for t in v for c in t)}
 
 
 def languages(docs: DataFrame) -> DataFrame:
-    """All columns of docs, lang_pred and lang_score. Needs doc_id, text and lang; lang is read for learning only."""
+    """All columns of docs, lang_pred, lang_score and lang_fits. Needs doc_id, text and lang; lang is read for learning only.
+
+    lang_fits says whether the language's text helps to write the text down: its phrases cost fewer bits than single
+    symbols would. It is false for `und`, and null where there is nothing to learn from.
+    """
     parser = Parser(_sample(docs.select("doc_id", "text", "lang")))
-    docs = docs.drop("lang_pred", "lang_score")
-    schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("lang_score")).schema
+    docs = docs.drop(*RESULTS)
+    schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("lang_score"), F.lit(None).cast("boolean").alias("lang_fits")).schema
     shipped = docs.sparkSession.sparkContext.broadcast(parser)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,23 +211,23 @@ def languages(docs: DataFrame) -> DataFrame:
         for batch in slices(batches):
             tab = p.table() if tab is None else tab
             parts = [_symbols(t or "", tab) for t in batch.column("text").to_pylist()]
+            named = [bool((x > BLANK).any()) and bool(p.langs) for x in parts]
+            preds, scores, fits = ["und"] * len(parts), [0.0] * len(parts), [False if p.langs else None] * len(parts)
             if p.langs:
                 costs = p.costs(parts)
                 best = costs.argmin(axis=1)
-                weights = np.exp(-4 * (costs - costs.min(axis=1, keepdims=True)))
-                score = 1 / weights.sum(axis=1)
-            named = [bool((x > BLANK).any()) and bool(p.langs) for x in parts]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([p.langs[best[i]] if ok else "und" for i, ok in enumerate(named)], pa.string()), pa.array([float(score[i]) if ok else 0.0 for i, ok in enumerate(named)], pa.float64())],
-                names=schema.names,
-            )
+                least = costs.min(axis=1, keepdims=True)
+                score = 1 / np.exp(-4 * (costs - least)).sum(axis=1)
+                for i in np.flatnonzero(named):
+                    preds[i], scores[i], fits[i] = p.langs[best[i]], float(score[i]), bool(least[i, 0] < np.log2(p.letters))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(fits, pa.bool_())], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
-    return found.select("doc_id", (crc_mod(FOLDS) == HELD_OUT).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+    return found.select("doc_id", F.coalesce(crc_mod(FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
 QUERIES = {"op7_language": op7_language}

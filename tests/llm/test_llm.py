@@ -170,10 +170,24 @@ def test_languages(spark, docs, empty):
 
 
 def test_cross_parsing_counts_longest_phrases():
-    p = language.Parser({"a": ["abcabd"], "b": ["xyz"]})
+    rng = np.random.default_rng(2)
+    learnt = {k: "".join(rng.choice(list(letters), 900)) for k, letters in (("a", "abcde"), ("b", "defgh "), ("c", "aé漢"))}
+    p = language.Parser({k: [t] for k, t in learnt.items()})
     tab = p.table()
-    costs = p.costs([language._symbols(t, tab) for t in ("abcabd", "xyzxyz", "")])
-    assert costs[0].argmin() == 0 and costs[1].argmin() == 1
+    texts = ["", "abcd", "zz1z", *("".join(rng.choice(list("abcdefghé漢z "), n)) for n in (3, 511, 512, 513, 2000)), learnt["a"] * 3, "".join(rng.choice(list("abc"), 3000))]
+    parts = [language._symbols(t, tab) for t in texts]
+
+    def count(ids, own):
+        n = i = 0
+        while i < len(ids):
+            k = 1
+            while i + k < len(ids) and "".join(map(chr, ids[i : i + k + 1] + 50)) in own:
+                k += 1
+            n, i = n + 1, i + k
+        return n
+
+    own = ["".join(chr(x + 50) for x in [*(x for x in language._symbols(learnt[k], tab).tolist() if x != 1), 0]) for k in p.langs]
+    assert p.phrases(parts).tolist() == [[count(ids, o) for o in own] for ids in parts]
 
 
 def test_bpe_is_exact(docs, rows, empty):

@@ -1,12 +1,20 @@
 """SimHash near-duplicates by pigeonhole blocks.
 
-A fingerprint has 64 bits. It is cut into `BLOCKS` blocks; two fingerprints that differ in at most `radius`
+`near_groups`: a fingerprint has 64 bits. It is cut into `BLOCKS` blocks; two fingerprints that differ in at most `radius`
 bits agree on at least BLOCKS - radius whole blocks, so they share the key of some choice of that many
 blocks. Fingerprints are keyed once for every choice, keys are shuffled, and inside a key the true
-distances are computed. A key emits the links of a spanning forest, not its pairs.
+distances are computed. A key emits the links of a spanning forest, not its pairs. A key with more than `CROWD`
+fingerprints is cut again: of radius + 1 blocks of its other bits, close ones agree on one.
 
-Nulls and empty texts have fingerprint zero and link like any other; a null doc_id is dropped, since
-no component can be named by it. Repeated rows are kept. An empty table gives an empty table.
+`similar_groups` links texts by the similarity of their shingle sets. A fingerprint of 64 bits can't tell similarities
+of 0.8 by a few bits, so blocks come from the text: shingles are dealt to classes by their hash, and each class
+gives a block. Texts of the similarity differ in few shingles, so some classes have none of them: the blocks agree.
+There are as many classes as leave `AGREE` agreeing blocks on average at the least similarity. Inside a key the Hamming distances of
+SimHash fingerprints of 128 bits choose a spanning forest, nearest first; the similarity of a link's shingle sets is then computed
+from the texts, and links below the least go.
+
+Nulls and empty texts have fingerprint zero, or the empty set of shingles, and link like any other. A null doc_id is
+larger than all others; a component without any doc_id has none. Repeated rows are kept. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,10 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, slices, table, texts_of
+from .common import forget, saved, slices, table, texts_of
 from .components import components
 
 SHINGLE, RADIUS, BLOCKS = 3, 3, 5
+#: Fingerprints from which on a key is cut again.
+CROWD = 2000
+#: Blocks that agree on average at the least similarity; bits of 128 within which a key's fingerprints are linked.
+AGREE, LINKED = 4, 30
+_MIX, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -48,83 +61,232 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fps = np.array([fingerprint(t, shingle) for t in texts_of(batch)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+
+
+def _long(m: int) -> int:
+    return m - (1 << 64) if m >> 63 else m
+
+
+def _cut(bits: list[int], blocks: int) -> list[int]:
+    """Bit masks of bits cut into blocks."""
+    cuts = [round(len(bits) * i / blocks) for i in range(blocks + 1)]
+    return [sum(1 << b for b in bits[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
 
 
 def block_masks(radius: int = RADIUS, blocks: int = BLOCKS) -> list[int]:
     """Bit masks, as signed longs, of every choice of blocks - radius blocks."""
-    cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
-    parts = [((1 << cuts[i + 1]) - 1) ^ ((1 << cuts[i]) - 1) for i in range(blocks)]
-    masks = [sum(chosen) for chosen in combinations(parts, blocks - radius)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+    return [_long(sum(chosen)) for chosen in combinations(_cut(list(range(64)), blocks), blocks - radius)]
 
 
-def _forest(fp: np.ndarray, rep: np.ndarray, radius: int) -> tuple[list, list]:
-    """Links that connect what lies within radius, among the fingerprints of one or more keys laid end to end."""
-    k, ends_a, ends_b = len(fp), [], []
+def finer_masks(mask: int, radius: int) -> list[int]:
+    """mask with each of radius + 1 blocks of the other bits; itself if no bits are left to cut."""
+    other = [b for b in range(64) if not mask >> b & 1]
+    return [_long((mask & (1 << 64) - 1) | m) for m in _cut(other, radius + 1)] if len(other) > radius else [mask]
+
+
+def _forest(fps: list[np.ndarray], ids: np.ndarray, radii: list[int]) -> tuple[list, list]:
+    """Links that connect what lies within the last radius, among the fingerprints (64 bits each of fps) of one key; within smaller radii first."""
+    k, ends_a, ends_b = len(ids), [], []
     root = np.arange(k)
-    for shift in range(1, k):
-        close = np.flatnonzero(np.bitwise_count(fp[shift:] ^ fp[:-shift]) <= radius)
-        a, b = root[close], root[close + shift]
-        if not (apart := a != b).any():
-            continue
-        close, a, b = close[apart], a[apart], b[apart]
-        ends_a.append(rep[close])
-        ends_b.append(rep[close + shift])
-        while (a != b).any():
-            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-            while (root[root] != root).any():
-                root = root[root]
-            a, b = root[a], root[b]
+    for radius in radii:
+        for shift in range(1, k):
+            if not root.any():
+                return ends_a, ends_b  # all are connected
+            distance = sum(np.bitwise_count(fp[shift:] ^ fp[:-shift]).astype(np.int16) for fp in fps)
+            close = np.flatnonzero((distance <= radius) & (root[shift:] != root[:-shift]))
+            a, b = root[close], root[close + shift]
+            while len(close):
+                fresh = np.unique(np.maximum(a, b), return_index=True)[1]  # one link for each root that is moved
+                ends_a.append(ids[close[fresh]])
+                ends_b.append(ids[close[fresh] + shift])
+                root[np.maximum(a, b)[fresh]] = np.minimum(a, b)[fresh]
+                while (root[root] != root).any():
+                    root = root[root]
+                a, b = root[close], root[close + shift]
+                apart = a != b
+                close, a, b = close[apart], a[apart], b[apart]
     return ends_a, ends_b
 
 
-def _links(radius: int):
+def _links(keys: list[str], fps: list[str], node: str, radii: list[int]):
+    """Links (a, b) of the nodes of each key, over rows sorted by keys."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["t", "key", "fp", "rep"]
-        held = [np.empty(0, d) for d in (np.int32, np.int64, np.uint64, np.int64)]
+        names = [*keys, *fps, node]
+        held = [np.empty(0, np.int64) for _ in names]
 
         def out(cols: list[np.ndarray]) -> pa.RecordBatch:
-            t, key, fp, rep = cols
-            ends_a, ends_b = [], []
-            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (t[1:] != t[:-1])]) if len(key) else np.empty(0, int)
-            sizes = np.diff(np.r_[starts, len(key)])
+            key, fp, ids = cols[: len(keys)], [x.view(np.uint64) for x in cols[len(keys) : -1]], cols[-1]
+            ends_a, ends_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            change = np.zeros(max(len(ids) - 1, 0), bool)
+            for x in key:
+                change |= x[1:] != x[:-1]
+            starts = np.flatnonzero(np.r_[True, change][: len(ids)])
+            sizes = np.diff(np.r_[starts, len(ids)])
             two = starts[sizes == 2]
-            two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius]
-            ends_a.append(rep[two])
-            ends_b.append(rep[two + 1])
+            two = two[sum(np.bitwise_count(x[two] ^ x[two + 1]).astype(np.int16) for x in fp) <= radii[-1]] if len(two) else two
+            ends_a.append(ids[two])
+            ends_b.append(ids[two + 1])
             for s, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-                x, y = _forest(fp[s : s + n], rep[s : s + n], radius)
+                x, y = _forest([v[s : s + n] for v in fp], ids[s : s + n], radii)
                 ends_a += x
                 ends_b += y
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(ends_a)), pa.array(np.concatenate(ends_b))], names=["a", "b"])
 
         for batch in batches:
-            new = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
-            new[2] = new[2].view(np.uint64)
-            held = [np.concatenate(x) for x in zip(held, new, strict=True)]
-            last = (held[1] != held[1][-1]) | (held[0] != held[0][-1]) if len(held[1]) else np.empty(0, bool)
-            cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
+            held = [np.concatenate([x, batch.column(n).to_numpy(zero_copy_only=False)]) for x, n in zip(held, names, strict=True)]
+            other = np.zeros(len(held[0]), bool)
+            for x in held[: len(keys)]:
+                other |= x != x[-1]
+            cut = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
             if cut:
                 yield out([x[:cut] for x in held])
                 held = [x[cut:] for x in held]
-        if len(held[1]):
+        if len(held[0]):
             yield out(held)
 
     return run
 
 
-def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+def _split(keyed: DataFrame, radius: int, crowd: int) -> DataFrame:
+    """keyed (m, key, fp) with crowded keys cut by further blocks until none is crowded or bits end."""
+    spark, masks = keyed.sparkSession, None
+    for _ in range(4):
+        crowded = saved(keyed.groupBy("m", "key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("m", "key"))
+        masks = [r.m for r in crowded.select("m").distinct().collect()]  # at most a row for each mask
+        finer = [(m, x) for m in masks for x in finer_masks(m, radius) if x != m]
+        if not finer:
+            forget(crowded)
+            return keyed
+        table_ = F.broadcast(spark.createDataFrame(finer, "m long, x long"))
+        cut = keyed.join(crowded, ["m", "key"], "left_semi").join(table_, "m").select(F.col("x").alias("m"), F.col("fp").bitwiseAND(F.col("x")).alias("key"), "fp")
+        keyed = saved(keyed.join(crowded, ["m", "key"], "left_anti").union(cut))
+        forget(crowded)
+    return keyed
+
+
+def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS, crowd: int = CROWD) -> DataFrame:
     """(doc_id, fp, component_id): the least doc_id reachable over links of at most radius differing bits."""
     fps = saved(fingerprints(docs, shingle))
     nodes = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    masks = F.array(*[F.struct(F.lit(i).alias("t"), F.lit(m).cast("long").alias("m")) for i, m in enumerate(block_masks(radius, blocks))])
-    keyed = nodes.select("fp", "rep", F.explode(masks).alias("x")).select(F.col("x.t").alias("t"), F.col("fp").bitwiseAND(F.col("x.m")).alias("key"), "fp", "rep")
-    links = keyed.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(_links(radius), "a long, b long")
-    groups = nodes.join(components(links), F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    masks = F.array(*[F.lit(m).cast("long") for m in block_masks(radius, blocks)])
+    keyed = nodes.select("fp", F.explode(masks).alias("m")).select("m", F.col("fp").bitwiseAND(F.col("m")).alias("key"), "fp")
+    keyed = _split(keyed, radius, crowd).withColumn("node", F.col("fp"))
+    links = keyed.repartition("m", "key").sortWithinPartitions("m", "key").mapInArrow(_links(["m", "key"], ["fp"], "node", [radius]), "a long, b long")
+    lined = nodes.join(components(links), F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+    least = lined.groupBy("component").agg(F.min("rep").alias("component_id"))
+    groups = lined.join(least, "component").select("fp", "component_id")
     return fps.join(groups, "fp").select("doc_id", "fp", "component_id")
 
 
+def shingles(text: bytes, size: int, known: dict[bytes, int]) -> np.ndarray:
+    """Sorted different hashes of the shingles of words (fewer words: the whole sequence)."""
+    words = text.lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    for w in set(words) - known.keys():
+        known[w] = xxhash.xxh3_64_intdigest(w)
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    k = min(size, len(h))
+    out = np.zeros(len(h) - k + 1, np.uint64)
+    for i in range(k):
+        out = (out ^ (out >> np.uint64(29))) * _ODD + h[i : len(h) - k + 1 + i]
+    out = (out ^ (out >> np.uint64(32))) * _MIX
+    return np.unique(out ^ (out >> np.uint64(29)))
+
+
+def classes(n: int, similarity: float) -> int:
+    """How many classes leave AGREE agreeing blocks on average to sets of n shingles of the similarity."""
+    apart = 2 * (1 - similarity) / (1 + similarity) * n
+    m = 1
+    while m < n and m * np.exp(-apart / m) < AGREE:
+        m += max(1, m // 16)
+    return m
+
+
+def block_keys(h: np.ndarray, similarity: float) -> list[int]:
+    """Keys of the blocks of a set: for sets up to twice the next lower power of two in size, and for those below if they may be similar."""
+    n = len(h)
+    if not n:
+        return [0]
+    band = n.bit_length() - 1
+    out: list[int] = []
+    for k in (band, band - 1) if similarity * n < 1 << band else (band,):
+        m = classes(2 << k, similarity)
+        c = ((h >> np.uint64(20)) * _MIX >> np.uint64(32)) % np.uint64(m)
+        by = np.argsort(c, kind="stable")
+        own, c = h[by], c[by]
+        first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+        block = np.add.reduceat((own ^ (own >> np.uint64(31))) * _ODD, first) + (c[first] + np.uint64(k << 20)) * _MIX
+        out += ((block ^ (block >> np.uint64(32))) * _ODD).view(np.int64).tolist()
+    return out
+
+
+def _sketches(shingle: int, similarity: float):
+    """(doc_id, mark, node, fp, fp2, keys): node names the set of shingles."""
+
+    def votes(h: np.ndarray) -> int:
+        total = np.zeros(64, np.int64)
+        for start in range(0, len(h), 1 << 16):
+            total += np.unpackbits(h[start : start + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        return int(np.packbits(2 * total > len(h), bitorder="little").view(np.int64)[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        for batch in slices(batches):
+            known = known if len(known) < 500_000 else {}
+            sets = [shingles(t, shingle, known) for t in texts_of(batch)]
+            fps = [[votes(h), votes(h * _MIX ^ (h * _MIX >> np.uint64(32)))] for h in sets]
+            nodes = np.array([xxhash.xxh3_64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(nodes), *(pa.array([f[i] for f in fps], pa.int64()) for i in (0, 1)), pa.array([block_keys(h, similarity) for h in sets], pa.list_(pa.int64()))], names=["doc_id", "mark", "node", "fp", "fp2", "keys"])
+
+    return run
+
+
+def _similar(shingle: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known: dict[bytes, int] = {}
+            keep = []
+            for s, t in zip(texts_of(batch, "text_a"), texts_of(batch, "text_b"), strict=True):
+                x, y = shingles(s, shingle, known), shingles(t, shingle, known)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, crowd: int = CROWD) -> DataFrame:
+    """(doc_id, mark, component): rows are linked, directly or over others, if their shingle sets have the similarity or more.
+
+    mark is xxhash64 of the text; component names the group. Needs doc_id and text.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    own = saved(texts.mapInArrow(_sketches(shingle, similarity), "doc_id long, mark long, node long, fp long, fp2 long, keys array<long>"))
+    nodes = saved(own.groupBy("node").agg(F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), F.first("keys").alias("keys"), F.min("mark").alias("mark")))
+    keyed = nodes.select(F.explode("keys").alias("key"), "fp", "fp2", "node")
+    crowded = saved(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("key"))
+    # a crowded key is dealt by the other blocks of its texts: similar ones agree on some of them too
+    again = keyed.join(crowded, "key", "left_semi").select("key", "node").join(nodes, "node").select("key", F.explode("keys").alias("other"), "fp", "fp2", "node").where("key <> other")
+    keyed = keyed.join(crowded, "key", "left_anti").union(again.select(F.xxhash64("key", "other").alias("key"), "fp", "fp2", "node"))
+    found = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_links(["key"], ["fp", "fp2"], "node", [8, 14, 19, 24, LINKED]), "a long, b long")
+    found = saved(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    forget(crowded)
+    marks = nodes.select("node", "mark")
+    asked = found.select(F.col("a").alias("node")).union(found.select("b")).distinct().join(marks, "node")
+    one = saved(texts.join(asked, "mark").groupBy("node").agg(F.first("text").alias("text")))
+    sides = found.join(one.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(one.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    links = saved(sides.mapInArrow(_similar(shingle, similarity), "a long, b long"))
+    for done in (found, one, nodes):
+        forget(done)
+    out = saved(own.select("doc_id", "mark", "node").join(components(links), "node", "left").select("doc_id", "mark", F.coalesce("component", "node").alias("component")))
+    forget(own)
+    forget(links)
+    return out
+
+
 def op3_simhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -125,6 +125,49 @@ def test_near_groups(docs, rows, empty):
     assert near.near_groups(empty).count() == 0
 
 
+def test_crowded_keys_are_cut_without_losing_links(spark, docs):
+    want = {tuple(r) for r in near.near_groups(docs).collect()}
+    assert {tuple(r) for r in near.near_groups(docs, crowd=1).collect()} == want
+
+
+def test_similar_groups_find_planted_copies(spark):
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows, sets = [], {}
+
+    def put(words):
+        rows.append((len(rows), " ".join(words)))
+        sets[len(rows) - 1] = {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+    for n in (30, 60, 120, 250, 600, 1500):
+        for _ in range(8):
+            base = list(rng.choice(vocabulary, n))
+            put(base)
+            for k in range(1, 4):  # copies with some words replaced
+                copy = list(base)
+                for i in rng.choice(n, max(1, n * k // 130), replace=False):
+                    copy[i] = str(rng.choice(vocabulary))
+                put(copy)
+    rows += [(None, None), (None, ""), (9000, rows[0][1]), (9000, rows[5][1])]
+    got = near.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    group = {r.doc_id: r.component for r in got if r.doc_id is not None and r.doc_id < 9000}
+    assert len({r.component for r in got if r.doc_id is None}) == 1
+    assert {r.component for r in got if r.doc_id == 9000} == {group[0], group[5]}
+    similar = [(i, j) for i in sets for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(similar) > 60 and sum(group[i] != group[j] for i, j in similar) <= len(similar) // 50
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in similar:
+        root[find(i)] = find(j)
+    assert all(find(i) == find(j) for i in sets for j in range(i) if group[i] == group[j])  # nothing else is linked
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (3, 1), (9, 8), (8, 7), (7, 7), *((100 + i, 101 + i) for i in range(40)), *((500, 600 + i) for i in range(50))]
     got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))

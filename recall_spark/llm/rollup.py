@@ -1,32 +1,60 @@
 """Token counts as delta-maintained rollups.
 
 A batch of signed changes (an insert adds a document's tokens, a delete takes them away, a revision takes the old count
-away and adds the new one) is summed by source, language and tokenizer version, and committed as one folder named by
-its batch. Totals are the sums over committed folders. Committing a batch again replaces its folder by the same sums, so
-a batch that is retried or sent twice counts once.
+away and adds the new one) is summed by source, language and tokenizer version, and committed under its name. A ledger keeps what
+each document was counted as, so that a revision or a delete needs only the doc_id. Totals are the sums of a base and of the batches behind it;
+compaction adds these up into a new base.
 
-Null sources and languages are groups of their own. Groups whose sums are all zero stay until compaction and are left out
-of totals. A log without batches has no totals.
+A commit writes its files to a folder of its own and then creates the batch's marker, which only one writer can: a batch
+that is retried, sent twice or written by two at once counts once, and files of an interrupted commit are never read.
+
+Null sources and languages are groups of their own. Rows that repeat a doc_id in a batch count each, and later changes
+concern them all; rows without a doc_id are inserted and can't be changed again. Null text has no tokens. Groups whose sums are
+zero are left out of totals. A log without batches has no totals; an empty batch changes nothing. Columns of the input
+other than those named are not read.
 """
 
 from __future__ import annotations
 
 import re
+import time
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, shared_dir, table
+from .bpe import vocabulary
+from .common import saved, shared_dir, slices, table
 
 KEYS = ["source", "lang", "tokenizer"]
-#: Tokenizers by version, as patterns that count the same in every regular-expression engine with Unicode classes.
-TOKENIZERS = {"words-1": r"[^\x20\x09-\x0D]+", "pieces-1": r"[\p{L}\p{N}]+|[!-/:-@\[-`{-~]"}
 SCHEMA = "source string, lang string, tokenizer string, docs long, tokens long"
+LEDGER = "doc_id long, seq long, source string, lang string, tokenizer string, tokens long"
+STALE = 600
+#: Tokenizer versions and the rank files of their vocabularies.
+TOKENIZERS = {"byte-50k": "byte_bpe_50k.tiktoken", "byte-multi-50k": "byte_bpe_multi_50k.tiktoken"}
+
+
+def counted(docs: DataFrame, version: str, path: str | None = None) -> DataFrame:
+    """(doc_id, source, lang, tokenizer, tokens) of documents (doc_id, source, lang, text); path: of the version's rank file."""
+    path = path or vocabulary(TOKENIZERS[version])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import base64
+
+        import public_tokenizers
+        import tiktoken
 
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        encode = tiktoken.Encoding("counts", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        for batch in slices(batches):
+            n = pa.array([len(encode(t)) if t else 0 for t in batch.column("text").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "source", "lang")), pa.array([version] * len(n), pa.string()), n], names=["doc_id", *KEYS, "tokens"])
 
-def tokens(version: str, text: str = "text") -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(TOKENIZERS[version])).cast("long")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), "text")
+    return own.mapInArrow(run, "doc_id long, source string, lang string, tokenizer string, tokens long")
 
 
 class Rollup:
@@ -39,62 +67,103 @@ class Rollup:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Adds changes (source, lang, tokenizer, docs, tokens), signed. False if the batch was committed before: nothing happens then."""
-        if not re.fullmatch(r"[\w.-]+", batch):
-            raise ValueError("a batch is named by letters, digits, '.', '_' and '-'")
-        fs, done = self._fs(f"{self.path}/batch={batch}/_SUCCESS")
-        if fs.exists(done):
+    def _markers(self, kind: str) -> dict[str, str]:
+        """Names of committed batches or bases, and the folder that each marker names."""
+        fs, root = self._fs(f"{self.path}/{kind}")
+        names = [x.getPath().getName() for x in fs.listStatus(root)] if fs.exists(root) else []
+        return dict(n.split("@") for n in names if "@" in n)
+
+    def _mark(self, kind: str, name: str, folder: str) -> bool:
+        """Whether the marker is this folder's: the first writer's claim holds, for STALE seconds if it leaves no marker."""
+        fs, claim = self._fs(f"{self.path}/{kind}/claim={name}")
+        fs.mkdirs(claim.getParent())
+        if fs.exists(claim):
+            if name in self._markers(kind) or time.time() - fs.getFileStatus(claim).getModificationTime() / 1000 < STALE:
+                return False
+            fs.delete(claim, False)
+        try:
+            fs.create(claim, False).close()
+        except Exception:  # another writer was faster
             return False
-        sums = changes.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        sums.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")  # _SUCCESS comes last
+        fs.create(self._fs(f"{self.path}/{kind}/{name}@{folder}")[1], False).close()
         return True
 
     def batches(self) -> list[str]:
-        fs, root = self._fs(self.path)
-        if not fs.exists(root):
-            return []
-        names = [x.getPath().getName() for x in fs.listStatus(root)]
-        return sorted(n[6:] for n in names if n.startswith("batch=") and fs.exists(self._fs(f"{self.path}/{n}/_SUCCESS")[1]))
+        return sorted(self._markers("batches"))
+
+    def commit(self, batch: str, changes: DataFrame, ledger: DataFrame | None = None) -> bool:
+        """Adds changes (source, lang, tokenizer, docs, tokens), signed. False if the batch was committed before: nothing happens then."""
+        if not re.fullmatch(r"[\w.-]+", batch):
+            raise ValueError("a batch is named by letters, digits, '.', '_' and '-'")
+        if batch in self._markers("batches"):
+            return False
+        folder = uuid.uuid4().hex
+        changes.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.parquet(f"{self.path}/sums/{folder}")
+        if ledger is not None:
+            ledger.write.parquet(f"{self.path}/ledger/{folder}")
+        return self._mark("batches", batch, folder)
+
+    def counted_as(self, ids: DataFrame) -> DataFrame:
+        """(doc_id, source, lang, tokenizer, tokens): what documents of ids (doc_id) count as now."""
+        fs, _ = self._fs(self.path)
+        own = [f"{self.path}/ledger/{f}" for f in self._markers("batches").values()]
+        own = [f for f in own if fs.exists(self._fs(f)[1])]
+        rows = self.spark.read.schema(LEDGER).parquet(*own) if own else self.spark.createDataFrame([], LEDGER)
+        rows = rows.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+        last = rows.groupBy("doc_id").agg(F.max("seq").alias("seq"))
+        return rows.join(last, ["doc_id", "seq"]).where("tokenizer is not null").drop("seq")
+
+    def apply(self, batch: str, rows: DataFrame | None = None, deletes: DataFrame | None = None) -> bool:
+        """Inserts or revises rows (doc_id, source, lang, tokenizer, tokens) and takes deletes (doc_id) away."""
+        if batch in self._markers("batches"):
+            return False
+        seq = F.lit(len(self._markers("batches"))).cast("long")
+        none = self.spark.createDataFrame([], "doc_id long, source string, lang string, tokenizer string, tokens long")
+        rows = none if rows is None else rows.select(*none.columns)
+        gone = (none if deletes is None else deletes).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+        old = self.counted_as(rows.select("doc_id").union(gone))
+        signed = lambda df, sign: df.select(*KEYS, F.lit(sign).cast("long").alias("docs"), (F.col("tokens") * sign).alias("tokens"))
+        kept = rows.join(gone, "doc_id", "left_anti")
+        empty = [F.lit(None).cast("string").alias(k) for k in KEYS]
+        ledger = kept.where("doc_id is not null").select("doc_id", seq.alias("seq"), *KEYS, "tokens").union(gone.select("doc_id", seq, *empty, F.lit(None).cast("long")))
+        return self.commit(batch, signed(old, -1).union(signed(kept, 1)), ledger)
+
+    def _base(self) -> tuple[DataFrame | None, set[str]]:
+        """The latest base and the batches in it."""
+        found = self._markers("bases")
+        if not found:
+            return None, set()
+        folder = found[max(found)]
+        held = {r.batch for r in self.spark.read.parquet(f"{self.path}/base/{folder}/batches").collect()}  # a row for each batch
+        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/base/{folder}/sums"), held
 
     def totals(self) -> DataFrame:
-        own = [f"{self.path}/batch={b}" for b in self.batches()]
+        base, held = self._base()
+        own = [f"{self.path}/sums/{f}" for b, f in self._markers("batches").items() if b not in held]
         rows = self.spark.read.schema(SCHEMA).parquet(*own) if own else self.spark.createDataFrame([], SCHEMA)
+        rows = rows if base is None else rows.union(base)
         return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
 
-
-def changes(rows: DataFrame, version: str, count: str, sign: int) -> DataFrame:
-    return rows.select("source", "lang", F.lit(version).alias("tokenizer"), F.lit(sign).cast("long").alias("docs"), (F.col(count) * sign).alias("tokens"))
+    def compact(self) -> bool:
+        """A new base of the last one and all batches behind it; False if another writer was faster."""
+        batches, folder = self.batches(), uuid.uuid4().hex
+        self.totals().write.parquet(f"{self.path}/base/{folder}/sums")
+        self.spark.createDataFrame([(b,) for b in batches], "batch string").write.parquet(f"{self.path}/base/{folder}/batches")
+        return self._mark("bases", f"{len(self._markers('bases')):08d}", folder)
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document is inserted; those not in English are revised to another tokenizer; toxic ones are withdrawn; one batch comes twice."""
     docs = table(spark, sf_dir, "documents")
-    counted = saved(docs.select("doc_id", "source", "lang", tokens("words-1").alias("old"), tokens("pieces-1").alias("new")))
-    revised = ~F.col("lang").eqNullSafe("en")
-    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
-    gone = counted.join(toxic, "doc_id", "left_semi")
     log = Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
-    revision = changes(counted.where(revised), "words-1", "old", -1).union(changes(counted.where(revised), "pieces-1", "new", 1))
-    log.commit("0-insert", changes(counted, "words-1", "old", 1))
-    log.commit("1-revise", revision)
-    log.commit("2-delete", changes(gone.where(revised), "pieces-1", "new", -1).union(changes(gone.where(~revised), "words-1", "old", -1)))
-    log.commit("1-revise", revision)
+    revision = saved(counted(docs.where(~F.col("lang").eqNullSafe("en")), "byte-multi-50k"))
+    log.apply("0-insert", saved(counted(docs, "byte-50k")))
+    log.apply("1-revise", revision)
+    log.compact()
+    log.apply("2-delete", deletes=table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id"))
+    log.apply("1-revise", revision)
     return log.totals()
 
 
-_OP5_SQL = r"""
-WITH counted AS (
-  SELECT doc_id, source, lang,
-         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS old,
-         len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+|[!-/:-@\[-`{-~]')) AS new
-  FROM documents
-  WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)
-)
-SELECT source, lang, CASE WHEN lang IS NOT DISTINCT FROM 'en' THEN 'words-1' ELSE 'pieces-1' END AS tokenizer,
-       count(*) AS docs, CAST(sum(CASE WHEN lang IS NOT DISTINCT FROM 'en' THEN old ELSE new END) AS BIGINT) AS tokens
-FROM counted GROUP BY ALL
-"""
-
 QUERIES = {"op5_token_counts": op5_token_counts}
-ORACLES = {"op5_token_counts": _OP5_SQL}
+ORACLES: dict[str, str] = {}

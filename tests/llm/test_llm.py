@@ -311,6 +311,8 @@ def test_document_fingerprints(docs, rows, empty):
         e = fp(edited)
         want[d] = (len(t), hashlib.sha256(edited.encode()).hexdigest(), f"{fps[d]:016x}", f"{e:016x}", 1 - (fps[d] ^ e).bit_count() / 64, 1 - (fps[d] ^ fps[after[d]]).bit_count() / 64)
     assert by_id(fingerprints.document_fingerprints(docs), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next") == want
+    near_by = {d: (sum((fps[d] ^ x).bit_count() <= 3 for x in fps.values()),) for d in fps}
+    assert by_id(fingerprints.document_fingerprints(docs), "n_within") == near_by
     assert fingerprints.document_fingerprints(empty).count() == 0
 
 
@@ -327,18 +329,45 @@ def test_rollup_counts_a_batch_once(spark, tmp_path):
     log = rollup.Rollup(spark, f"file://{tmp_path}/log")
     assert log.totals().count() == 0
     rows = spark.createDataFrame([("s", "en", "words-1", 1, 5), (None, None, "words-1", 1, 2)], rollup.SCHEMA)
-    assert log.commit("a", rows) and not log.commit("a", rows)
+    assert log.commit("a", rows) and not log.commit("a", rows) and log.compact()
+    rows.write.parquet(f"file://{tmp_path}/log/sums/interrupted")  # no marker names it
     assert log.commit("b", rows.where("source is null").withColumns({"docs": -F.col("docs"), "tokens": -F.col("tokens")}))
     assert [tuple(r) for r in log.totals().collect()] == [("s", "en", "words-1", 1, 5)]
+    assert log.compact() and [tuple(r) for r in log.totals().collect()] == [("s", "en", "words-1", 1, 5)]
 
 
-def test_rollup_oracle(spark):
-    con = duckdb.connect()
-    for t in ("documents", "labels"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    want = con.execute(f"SELECT source, lang, tokenizer, docs, tokens FROM ({rollup.ORACLES['op5_token_counts']})").fetchall()
-    got = rollup.op5_token_counts(spark, SF).select("source", "lang", "tokenizer", "docs", "tokens").collect()
-    assert sorted(map(tuple, got)) == sorted(want)
+def test_rollup_looks_up_what_documents_count_as(spark, tmp_path):
+    log = rollup.Rollup(spark, f"file://{tmp_path}/log")
+    rows = lambda *r: spark.createDataFrame(list(r), "doc_id long, source string, lang string, tokenizer string, tokens long")
+    ids = lambda *r: spark.createDataFrame([(x,) for x in r], "doc_id long")
+    log.apply("0", rows((1, "a", "en", "t", 5), (2, "a", "en", "t", 7), (2, "a", "en", "t", 1), (None, "b", None, "t", 3)))
+    log.apply("1", rows((2, "b", "fr", "u", 9), (4, "a", "en", "t", 2)), ids(1, 99, None))
+    log.apply("1", rows((2, "b", "fr", "u", 100)))
+    log.apply("2", rows(), ids())
+    assert {tuple(r) for r in log.totals().collect()} == {("a", "en", "t", 1, 2), ("b", None, "t", 1, 3), ("b", "fr", "u", 1, 9)}
+    log.apply("3", rows((1, "a", "en", "t", 6)), ids(2))
+    assert {tuple(r) for r in log.totals().collect()} == {("a", "en", "t", 2, 8), ("b", None, "t", 1, 3)}
+
+
+def test_token_counts_against_brute_force(spark):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    def encoder(name):
+        with open(public_tokenizers.path(name), "rb") as f:
+            return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, special_tokens={}).encode_ordinary
+
+    encode = {v: encoder(f) for v, f in rollup.TOKENIZERS.items()}
+    docs = duckdb.sql(f"SELECT source, lang, text FROM '{SF}/documents.parquet' WHERE doc_id NOT IN (SELECT doc_id FROM '{SF}/labels.parquet' WHERE toxic = 1)").fetchall()
+    want = Counter()
+    for source, lang, text in docs:
+        version = "byte-50k" if lang == "en" else "byte-multi-50k"
+        want[source, lang, version, "docs"] += 1
+        want[source, lang, version, "tokens"] += len(encode[version](text or ""))
+    got = {(r.source, r.lang, r.tokenizer, k): r[k] for r in rollup.op5_token_counts(spark, SF).collect() for k in ("docs", "tokens")}
+    assert got == dict(want)
 
 
 def test_pipeline_stages(spark, docs, tmp_path):

@@ -8,9 +8,10 @@ features and hashed into a second table; a part of the tree that training has se
 decided further, and a word has its smoothed share of it. Without weights the model is exactly the smoothed unigram
 model; a word that training lacks always costs what it costs there.
 
-Weights are trained by generalised iterative scaling over all training documents, `PASSES` times: tasks sum what is
-observed and what the model expects, the sums are added up by a shuffle on slabs of weight rows. Tables, classes and
-decisions grow with the training tokens. Counts are over all training documents too: words are counted by a shuffle,
+Weights are trained by one update over all training documents, that of generalised iterative scaling from the model without
+weights: tasks sum what is observed and what the model expects, the sums are added up by a shuffle on slabs of weight rows, and each
+weight moves by `STEP` of the log ratio of the two. A second pass, for which every token needs its softmax, costs more than
+twice the first and is left out. Tables, classes and decisions grow with the training tokens. Counts are over all training documents too: words are counted by a shuffle,
 and each block of documents gets back the counts of just its own words.
 
 Null and empty texts are the end token alone. Rows that repeat a doc_id are scored each; a null doc_id belongs to
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod, let_go, saved, slices, table, texts_of
 
 FOLDS, HELD_OUT = 7, 2
-PASSES, CHUNK, STEP = 2, 1 << 13, 0.25
+CHUNK, STEP = 1 << 13, 0.4
 #: Events at which what a weight row has seen counts as much as what the model says without it.
 STEADY = 40.0
 #: Bits of a word's hash that decisions may use; bytes of weights, about, that one row of partial sums carries.
@@ -75,7 +76,10 @@ def _block_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 class Model:
     def __init__(self, top: list[bytes], endings: int, vocab: int, total: int):
         grown = math.log2(total + 1)
-        self.top, self.endings, self.classes = {w: i for i, w in enumerate(top)}, endings, len(top) + endings
+        self.top, self.endings, self.classes = top, endings, len(top) + endings
+        own = hashes(top)
+        self.top_classes = np.argsort(own)
+        self.top_hashes = own[self.top_classes]
         self.norm = total + vocab + 1.0  # smoothed mass of all words, with one unknown
         self.least = max(8.0, math.sqrt(total) / 8)
         self.bits, self.split_bits = max(13, round(3 + 0.42 * grown)), max(16, round(10 + 0.4 * grown))
@@ -90,9 +94,21 @@ class Model:
         grown = max(1.0, (total / (1 << 24)) ** (1 / 6))
         return round(24 * grown), round(40 * grown)
 
-    def class_of(self, word: bytes) -> int:
-        found = self.top.get(word)
-        return len(self.top) + xxhash.xxh3_64_intdigest(word[-3:]) % self.endings if found is None else found
+    def classes_of(self, words: list[bytes], h: np.ndarray) -> np.ndarray:
+        """Classes of words with hashes h: a frequent word's own, else one of the last three bytes."""
+        if not words:
+            return np.empty(0, np.int64)
+        raw = np.frombuffer(b"\0\0\0" + b"".join(words), np.uint8).astype(np.uint64)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        end = np.cumsum(size) + 3
+        tail = np.zeros(len(words), np.uint64)
+        for i in range(3):
+            tail = tail * np.uint64(257) + np.where(size > i, raw[end - 1 - i] + np.uint64(1), 0)
+        out = len(self.top) + ((tail * _MIX >> np.uint64(33)) % np.uint64(max(self.endings, 1))).astype(np.int64)
+        if len(self.top):
+            i = np.minimum(np.searchsorted(self.top_hashes, h), len(self.top) - 1)
+            out = np.where(self.top_hashes[i] == h, self.top_classes[i], out)
+        return out
 
     @property
     def prior(self) -> np.ndarray:
@@ -110,11 +126,15 @@ class Model:
     def paths(self, classes: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Decisions that lead to words: how many each has; their nodes and whether they were taken, laid end to end."""
         at, bit = np.full((len(h), DEPTH), -1, np.int64), np.zeros((len(h), DEPTH), bool)
+        order = np.lexsort((h, classes))  # neighbours in the tree are neighbours in memory
+        classes, h = classes[order], h[order]
         for d in range(DEPTH if len(self.nodes) else 0):
             key = node_keys(classes, h, d)
             i = np.minimum(np.searchsorted(self.nodes, key), len(self.nodes) - 1)
             at[:, d] = np.where(self.nodes[i] == key, i, -1)
             bit[:, d] = (h >> np.uint64(63 - d)) & np.uint64(1)
+        back = np.argsort(order)
+        at, bit = at[back], bit[back]
         found = at >= 0
         return found.sum(axis=1), at[found], bit[found]
 
@@ -164,61 +184,76 @@ def hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def _sums(shipped, first: bool):
+class Words(dict):
+    """Numbers of words, and what the model says of each, looked up once."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model, self.fresh = model, []
+        self.h, self.classes, self.paths = np.empty(0, np.uint64), np.empty(0, np.int64), (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool))
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
+
+    def ids(self, text: bytes) -> np.ndarray:
+        tokens = tokens_of(text)
+        return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+
+    def settle(self) -> None:
+        """Looks up the words that are new."""
+        if self.fresh:
+            h = hashes(self.fresh)
+            classes = self.model.classes_of(self.fresh, h)
+            self.paths = tuple(np.concatenate(x) for x in zip(self.paths, self.model.paths(classes, h), strict=True))
+            self.h, self.classes, self.fresh = np.r_[self.h, h], np.r_[self.classes, classes], []
+
+
+def _sums(shipped):
     """Partial sums of a task, (kind, slab, sums): observed and expected weights of rows of classes (0) and of decisions (1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
-        prior, size = m.prior, m.weights.size
-        seen, meant = np.zeros(size, np.float32), np.zeros((1 << m.bits, 1 if first else m.classes), np.float32)
+        words = Words(m)
+        seen, rows_seen = np.zeros(m.weights.size, np.float32), np.zeros(1 << m.bits, np.float32)
         split = np.zeros((3, 1 << m.split_bits), np.float32)  # taken, expected to be, all
+        chance = (1 / (1 + np.exp(-m.odds.astype(float)))).astype(np.float32)
 
-        def expect(rows: list[np.ndarray]) -> None:
-            p = np.exp(m.log_classes(rows, prior))
-            for r in rows:
-                order = np.argsort(r, kind="stable")
-                own = r[order]
-                begin = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                meant[own[begin]] += np.add.reduceat(p[order], begin, axis=0)
-
-        def add(texts: list[list[bytes]]) -> None:
-            index: dict[bytes, int] = {}
-            ids = [np.array([index.setdefault(w, len(index)) for w in t], np.int64) for t in texts]
-            listed = list(index)
-            h, classes = hashes(listed), np.fromiter(map(m.class_of, listed), np.int64, len(listed))
-            paths = m.paths(classes, h)
-            words, a, b = lined(ids, h)
+        def add(texts: list[np.ndarray]) -> None:
+            words.settle()
+            ids, a, b = lined(texts, words.h)
             mixed = m.features(a, b)
-            rows, y = m.rows(mixed), classes[words]
-            for r in rows:
-                np.add.at(seen, r * m.classes + y, np.float32(1))
-                if first:
-                    meant[:, 0] += np.bincount(r, minlength=1 << m.bits)
-            if not first:
-                for at in range(0, len(words), CHUNK):
-                    expect([r[at : at + CHUNK] for r in rows])
-            _, taken, bins, node = m.decisions(mixed, words, paths)
-            p = (1 / (1 + np.exp(-m.log_odds(bins, node)))).astype(np.float32)
+            y, seen_, rows_ = words.classes[ids], 0, 0
+            for r in m.rows(mixed):
+                seen_ = seen_ + np.bincount(r * m.classes + y, minlength=len(seen))
+                rows_ = rows_ + np.bincount(r, minlength=len(rows_seen))
+            np.add(seen, seen_, out=seen)
+            np.add(rows_seen, rows_, out=rows_seen)
+            _, taken, bins, node = m.decisions(mixed, ids, words.paths)
+            p = chance[node]
             for x in bins:
-                np.add.at(split[0], x[taken], np.float32(1))
-                np.add.at(split[1], x, p)
-                np.add.at(split[2], x, np.float32(1))
+                split[0] += np.bincount(x[taken], minlength=split.shape[1])
+                split[1] += np.bincount(x, p, split.shape[1])
+                split[2] += np.bincount(x, minlength=split.shape[1])
 
         held, n = [], 0
         for batch in slices(batches):
             for text in texts_of(batch):
-                held.append(tokens_of(text))
+                held.append(words.ids(text))
                 n += len(held[-1])
-                if n > 1 << 17:
+                if n > 1 << 18:
                     add(held)
                     held, n = [], 0
+                    if len(words) > 1 << 20:
+                        words = Words(m)
         if held:
             add(held)
         step = max(1, SLAB // m.classes)
         seen = seen.reshape(-1, m.classes)
         for i in range(0, 1 << m.bits, step):
-            if meant[i : i + step].any() or seen[i : i + step].any():
-                yield _sum_row(0, i, np.concatenate([seen[i : i + step].ravel(), meant[i : i + step].ravel()]))
+            if rows_seen[i : i + step].any():
+                yield _sum_row(0, i, np.concatenate([seen[i : i + step].ravel(), rows_seen[i : i + step]]))
         for i in range(0, 1 << m.split_bits, SLAB):
             if split[2, i : i + SLAB].any():
                 yield _sum_row(1, i, split[:, i : i + SLAB].ravel())
@@ -230,7 +265,7 @@ def _sum_row(kind: int, slab: int, values: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([slab], pa.int64()), pa.array([values.astype(np.float32).tobytes()], pa.binary())], names=["kind", "slab", "sums"])
 
 
-def _moves(shipped, first: bool):
+def _moves(shipped):
     """What a slab's weights gain from the sums of all tasks."""
 
     def run(got: pa.Table) -> pa.Table:
@@ -241,11 +276,9 @@ def _moves(shipped, first: bool):
             p = np.clip(meant / np.maximum(n, 1), 1e-6, 1 - 1e-6)
             move = np.where(n > 0, np.log((taken + STEADY * p) / (n - taken + STEADY * (1 - p))) - np.log(p / (1 - p)), 0)
         else:
-            q = m.mass / m.norm
-            q = q / q.sum()
+            q = m.mass / m.mass.sum()
             count = min(max(1, SLAB // m.classes), (1 << m.bits) - slab)
-            seen, meant = total[: count * m.classes].reshape(count, -1), total[count * m.classes :].reshape(count, -1)
-            meant = meant * q if first else meant
+            seen, meant = total[: count * m.classes].reshape(count, -1), total[count * m.classes :].reshape(count, -1) * q
             move = np.log((seen + STEADY * q) / (meant + STEADY * q))
         return pa.table({"kind": pa.array([kind], pa.int32()), "slab": pa.array([slab], pa.int64()), "move": pa.array([(move.ravel() * STEP).astype(np.float32).tobytes()], pa.binary())})
 
@@ -253,20 +286,18 @@ def _moves(shipped, first: bool):
 
 
 def train(docs: DataFrame, model: Model) -> Model:
-    """Iterative scaling over all of docs (text); a pass is one distributed sum, of which a task gives one partial sum a slab."""
+    """The update over all of docs (text), as one distributed sum, of which a task gives one partial sum a slab."""
     sc = docs.sparkSession.sparkContext
-    docs = docs.coalesce(4 * sc.defaultParallelism)
-    for k in range(PASSES):
-        shipped = sc.broadcast(model)
-        sums = docs.mapInArrow(_sums(shipped, k == 0), "kind int, slab long, sums binary")
-        got = sums.groupBy("kind", "slab").applyInArrow(_moves(shipped, k == 0), "kind int, slab long, move binary").toArrow()  # one table of weights
-        for kind, slab, move in zip(*(got[c] for c in ("kind", "slab", "move")), strict=True):
-            flat, x = (model.splits if kind.as_py() else model.weights.reshape(-1)), np.frombuffer(move.as_buffer(), np.float32)
-            at = slab.as_py() * (1 if kind.as_py() else model.classes)
-            flat[at : at + len(x)] += x
-        shipped.unpersist()
-        del sums, got
-        let_go(docs.sparkSession)
+    shipped = sc.broadcast(model)
+    sums = docs.coalesce(4 * sc.defaultParallelism).mapInArrow(_sums(shipped), "kind int, slab long, sums binary")
+    got = sums.groupBy("kind", "slab").applyInArrow(_moves(shipped), "kind int, slab long, move binary").toArrow()  # one table of weights
+    for kind, slab, move in zip(*(got[c] for c in ("kind", "slab", "move")), strict=True):
+        flat, x = (model.splits if kind.as_py() else model.weights.reshape(-1)), np.frombuffer(move.as_buffer(), np.float32)
+        at = slab.as_py() * (1 if kind.as_py() else model.classes)
+        flat[at : at + len(x)] += x
+    shipped.unpersist()
+    del sums, got
+    let_go(docs.sparkSession)
     return model
 
 
@@ -277,7 +308,8 @@ def _node_mass(model):
         m = model.value
         for batch in batches:
             words = batch.column("word").to_pylist()
-            h, classes = hashes(words), np.fromiter(map(m.class_of, words), np.int64, len(words))
+            h = hashes(words)
+            classes = m.classes_of(words, h)
             mass = batch.column("c").to_numpy() + 1.0
             for d in range(DEPTH):
                 key, at = np.unique(node_keys(classes, h, d), return_inverse=True)
@@ -295,7 +327,7 @@ def _score(shipped, total: int):
         index = {w: i for i, w in enumerate(listed)}
         c = words["c"].to_numpy().astype(float)
         h = hashes(listed)
-        classes = np.fromiter(map(m.class_of, listed), np.int64, len(listed))
+        classes = m.classes_of(listed, h)
         n_paths, nodes, bits = paths = m.paths(classes, h)
         base = np.log((c + 1) / m.norm)
         # of a word in the part of its class where decisions end

@@ -36,8 +36,8 @@ FOLDS, HELD_OUT = 7, 2
 CHUNK, STEP = 1 << 13, 0.4
 #: Events at which what a weight row has seen counts as much as what the model says without it.
 STEADY = 40.0
-#: Bits of a word's hash that decisions may use; bytes of weights, about, that one row of partial sums carries.
-DEPTH, SLAB = 24, 1 << 18
+#: Bits of a word's hash that decisions may use, and those by which words are dealt to count them; bytes of weights, about, that one row of partial sums carries.
+DEPTH, WHOLE, SLAB = 24, 6, 1 << 18
 END = b""
 #: Text of a block, about, in characters.
 BLOCK = 12_000_000
@@ -233,19 +233,19 @@ def _sums(shipped):
             _, taken, bins, node = m.decisions(mixed, ids, words.paths)
             p = chance[node]
             for x in bins:
-                split[0] += np.bincount(x[taken], minlength=split.shape[1])
-                split[1] += np.bincount(x, p, split.shape[1])
-                split[2] += np.bincount(x, minlength=split.shape[1])
+                np.add.at(split[0], x[taken], np.float32(1))
+                np.add.at(split[1], x, p)
+                np.add.at(split[2], x, np.float32(1))
 
         held, n = [], 0
         for batch in slices(batches):
             for text in texts_of(batch):
                 held.append(words.ids(text))
                 n += len(held[-1])
-                if n > 1 << 18:
+                if n > 1 << 16:
                     add(held)
                     held, n = [], 0
-                    if len(words) > 1 << 20:
+                    if len(words) > 1 << 18:
                         words = Words(m)
         if held:
             add(held)
@@ -301,20 +301,39 @@ def train(docs: DataFrame, model: Model) -> Model:
     return model
 
 
-def _node_mass(model):
-    """(node, mass, ones): smoothed mass of the words of a node, and of those whose next bit is 1."""
+def _placed(shipped, parts: int):
+    """(part, class, h, mass) of words: words that share a class and the first WHOLE bits of their hash share a part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
+        m = shipped.value
         for batch in batches:
             words = batch.column("word").to_pylist()
             h = hashes(words)
             classes = m.classes_of(words, h)
-            mass = batch.column("c").to_numpy() + 1.0
-            for d in range(DEPTH):
-                key, at = np.unique(node_keys(classes, h, d), return_inverse=True)
-                bit = ((h >> np.uint64(63 - d)) & np.uint64(1)).astype(float)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.bincount(at, mass, len(key))), pa.array(np.bincount(at, mass * bit, len(key)))], names=["node", "mass", "ones"])
+            part = ((((classes.astype(np.uint64) << np.uint64(WHOLE)) | (h >> np.uint64(64 - WHOLE))) * _MIX >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(classes), pa.array(h.view(np.int64)), pa.array(batch.column("c").to_numpy() + 1.0)], names=["part", "class", "h", "mass"])
+
+    return run
+
+
+def _node_mass(least: float):
+    """(node, mass, ones) of a part: smoothed mass of the words of a node, and of those whose next bit is 1; nodes from WHOLE bits on are whole, and only decisions stay."""
+
+    def run(got: pa.Table) -> pa.Table:
+        classes, h, mass = got["class"].to_numpy(), got["h"].to_numpy().view(np.uint64), got["mass"].to_numpy()
+        out = []
+        for d in range(DEPTH):
+            key, at = np.unique(node_keys(classes, h, d), return_inverse=True)
+            bit = ((h >> np.uint64(63 - d)) & np.uint64(1)).astype(float)
+            all_, ones = np.bincount(at, mass, len(key)), np.bincount(at, mass * bit, len(key))
+            if d >= WHOLE:
+                heavy = all_ >= least  # no node below a light one is heavy
+                on = heavy[at]
+                classes, h, mass = classes[on], h[on], mass[on]
+                keep = heavy & (ones > 0) & (ones < all_)
+                key, all_, ones = key[keep], all_[keep], ones[keep]
+            out.append((key, all_, ones))
+        return pa.table(dict(zip(("node", "mass", "ones"), (pa.array(np.concatenate(x)) for x in zip(*out, strict=True)), strict=True)))
 
     return run
 
@@ -378,7 +397,8 @@ def scores(docs: DataFrame) -> DataFrame:
     top = [bytes(r.word) for r in vocab.where("c > 0").orderBy(F.desc("c"), "word").limit(n_top).collect()]
     model = Model(top, endings, known, total)
     sc = docs.sparkSession.sparkContext
-    mass = vocab.where("c > 0").mapInArrow(_node_mass(sc.broadcast(model)), "node long, mass double, ones double").groupBy("node").agg(F.sum("mass").alias("mass"), F.sum("ones").alias("ones"))
+    placed = vocab.where("c > 0").mapInArrow(_placed(sc.broadcast(model), max(8, known // 200_000)), "part long, class long, h long, mass double")
+    mass = placed.groupBy("part").applyInArrow(_node_mass(model.least), "node long, mass double, ones double").groupBy("node").agg(F.sum("mass").alias("mass"), F.sum("ones").alias("ones"))
     whole = F.col("node").bitwiseAND(F.lit((1 << 32) - 1)) == 1
     kept = mass.where(whole | ((F.col("mass") >= model.least) & (F.col("ones") > 0) & (F.col("ones") < F.col("mass")))).orderBy("node").toArrow()  # a row for each class and decision
     node, all_, ones = (kept[x].to_numpy() for x in ("node", "mass", "ones"))

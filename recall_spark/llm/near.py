@@ -20,6 +20,7 @@ larger than all others; a component without any doc_id has none. Repeated rows a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -196,6 +197,7 @@ def shingles(text: bytes, size: int, known: dict[bytes, int]) -> np.ndarray:
     return np.unique(out ^ (out >> np.uint64(29)))
 
 
+@lru_cache(None)
 def classes(n: int, similarity: float) -> int:
     """How many classes leave AGREE agreeing blocks on average to sets of n shingles of the similarity."""
     apart = 2 * (1 - similarity) / (1 + similarity) * n
@@ -212,7 +214,7 @@ def block_keys(h: np.ndarray, similarity: float) -> list[int]:
         return [0]
     band = n.bit_length() - 1
     out: list[int] = []
-    for k in (band, band - 1) if similarity * n < 1 << band else (band,):
+    for k in (band, band - 1) if band and similarity * n < 1 << band else (band,):
         m = classes(2 << k, similarity)
         c = ((h >> np.uint64(20)) * _MIX >> np.uint64(32)) % np.uint64(m)
         by = np.argsort(c, kind="stable")

@@ -148,7 +148,7 @@ def test_similar_groups_find_planted_copies(spark):
                 for i in rng.choice(n, max(1, n * k // 130), replace=False):
                     copy[i] = str(rng.choice(vocabulary))
                 put(copy)
-    rows += [(None, None), (None, ""), (9000, rows[0][1]), (9000, rows[5][1])]
+    rows += [(None, None), (None, ""), (9000, rows[0][1]), (9000, rows[5][1]), (9001, "one"), (9002, "one two three four five")]
     got = near.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == len(rows)
     group = {r.doc_id: r.component for r in got if r.doc_id is not None and r.doc_id < 9000}

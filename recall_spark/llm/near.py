@@ -181,13 +181,19 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, b
     return fps.join(groups, "fp").select("doc_id", "fp", "component_id")
 
 
-def shingles(text: bytes, size: int, known: dict[bytes, int]) -> np.ndarray:
+class Hashes(dict):
+    """Hashes of words, each computed once."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def shingles(text: bytes, size: int, known: Hashes) -> np.ndarray:
     """Sorted different hashes of the shingles of words (fewer words: the whole sequence)."""
     words = text.lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    for w in set(words) - known.keys():
-        known[w] = xxhash.xxh3_64_intdigest(w)
     h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     k = min(size, len(h))
     out = np.zeros(len(h) - k + 1, np.uint64)
@@ -235,9 +241,9 @@ def _sketches(shingle: int, similarity: float):
         return int(np.packbits(2 * total > len(h), bitorder="little").view(np.int64)[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
+        known = Hashes()
         for batch in slices(batches):
-            known = known if len(known) < 500_000 else {}
+            known = known if len(known) < 500_000 else Hashes()
             sets = [shingles(t, shingle, known) for t in texts_of(batch)]
             fps = [[votes(h), votes(h * _MIX ^ (h * _MIX >> np.uint64(32)))] for h in sets]
             nodes = np.array([xxhash.xxh3_64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
@@ -249,7 +255,7 @@ def _sketches(shingle: int, similarity: float):
 def _similar(shingle: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known: dict[bytes, int] = {}
+            known = Hashes()
             keep = []
             for s, t in zip(texts_of(batch, "text_a"), texts_of(batch, "text_b"), strict=True):
                 x, y = shingles(s, shingle, known), shingles(t, shingle, known)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import recall_spark.plans.store  # noqa: F401  (registers its queries)
 from recall_spark.plans.queries import ORACLES, QUERIES
 
 FLAGSHIP = "x3_search_summaries"

@@ -29,6 +29,8 @@ from .common import crc_mod, slices, table
 
 DOCS, SYMBOLS, BLOCK, FOLDS, HELD_OUT = 64, 24_000, 512, 4, 2
 BLANK, STRANGE = 0, 1
+#: How often pieces are walked again side by side before those still left are walked in order.
+ROUNDS = 3
 RESULTS = ["lang_pred", "lang_score", "lang_fits"]
 
 
@@ -134,6 +136,25 @@ class Parser:
         starts = (to < 0) | (state == self.roots[k])
         return np.where(to < 0, self.fresh[k][c], to).astype(np.int32), starts
 
+    def _walk(self, k: int, state: int, symbols: list[int], trace: np.ndarray, starts: np.ndarray) -> None:
+        """Walks one piece from a state until it agrees with its trace, which it corrects."""
+        root, fresh = self.roots[k], self.fresh[k]
+        for j, c in enumerate(symbols):
+            one, to = self.only.item(state), -1
+            if one == c:
+                to = self.to.item(state)
+            elif one == -1:
+                key = state * self.letters + c
+                slot = (key * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> (64 - self.width)
+                while (found := self.keys.item(slot)) not in (key, -1):
+                    slot += 1
+                to = self.ends.item(slot) if found == key else -1
+            starts[j] = to < 0 or state == root
+            state = fresh.item(c) if to < 0 else to
+            if trace.item(j) == state:
+                return
+            trace[j] = state
+
     def phrases(self, parts: list[np.ndarray]) -> np.ndarray:
         """How many phrases each language needs for each text."""
         blocks = [-(-len(x) // BLOCK) for x in parts]
@@ -162,18 +183,23 @@ class Parser:
                 state[:live], starts[j, :live] = self.step(k, state[:live], laid[j, :live])
                 trace[j, :live] = state[:live]
             entered = np.full(len(full), root, np.int32)
-            while True:
+            for _ in range(ROUNDS):
                 leaves = trace[full[before] - 1, before]
                 late = leaves != entered[this]
                 cur, now, j = this[late], leaves[late], 0
-                if not len(cur):
-                    break
                 entered[cur] = now
                 while len(cur):
                     now, starts[j, cur] = self.step(k, now, laid[j, cur])
                     on = (trace[j, cur] != now) & (full[cur] > j + 1)
                     trace[j, cur] = now
                     cur, now, j = cur[on], now[on], j + 1
+            late = trace[full[before] - 1, before] != entered[this]
+            if late.any():  # phrases longer than pieces: the rest of these texts is walked in order
+                texts = np.isin(owner[this], owner[this[late]])
+                for x, b in zip(before[texts].tolist(), this[texts].tolist(), strict=True):
+                    if (now := trace.item(int(full[x]) - 1, x)) != entered[b]:
+                        entered[b] = now
+                        self._walk(k, now, laid[: full[b], b].tolist(), trace[:, b], starts[:, b])
             out[:, k] = np.bincount(owner, starts.sum(axis=0), minlength=len(parts))
         return out
 

@@ -3,8 +3,9 @@
 log P(word | history) = log P(class | history) + log P(word | class, history). The most frequent words are classes of
 their own, other words fall into classes by their ending. A class is scored by a softmax over features of the history
 (the word before, the word before that, both, and a skip feature that only says which words stand there), hashed into
-a table of weights. Within a class the bits of a word's hash are decisions of a binary tree, each scored by the same
-features and hashed into a second table; a part of the tree that training has seen less than `Model.least` times is not
+a table of weights. Within a class the bits of a word's hash are decisions of a binary tree, each scored by the word
+before and the skip over it to the one before that, hashed into a second table (both words at once are too rare there
+and lose held-out likelihood); a part of the tree that training has seen less than `Model.least` times is not
 decided further, and a word has its smoothed share of it. Without weights the model is exactly the smoothed unigram
 model; a word that training lacks always costs what it costs there.
 
@@ -33,7 +34,9 @@ from pyspark.sql import functions as F
 from .common import crc_mod, let_go, saved, slices, table, texts_of
 
 FOLDS, HELD_OUT = 7, 2
-CHUNK, STEP = 1 << 13, 0.4
+CHUNK, STEP = 1 << 13, 0.6
+#: How many of a token's features decisions use: the word before, and the one before that alone.
+SPLIT_FEATURES = 2
 #: Events at which what a weight row has seen counts as much as what the model says without it.
 STEADY = 40.0
 #: Bits of a word's hash that decisions may use, and those by which words are dealt to count them; bytes of weights, about, that one row of partial sums carries.
@@ -50,26 +53,23 @@ def tokens_of(text: bytes) -> list[bytes]:
 
 
 def _block_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, word, n): how often a word occurs in the training documents of a block; words of other documents with 0."""
-    held: dict[int, Counter] = {}
-    size = 0
+    """(block, word, n): how often a word occurs in the training documents of a block; words of other documents with 0. Rows come sorted by block."""
+    at, own = None, Counter()
 
     def out() -> pa.RecordBatch:
-        blocks = np.repeat(np.array(list(held), np.int64), [len(x) for x in held.values()])
-        return pa.RecordBatch.from_arrays([pa.array(blocks), pa.array([w for own in held.values() for w in own], pa.binary()), pa.array([n for own in held.values() for n in own.values()], pa.int64())], names=["block", "word", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(own), at, np.int64)), pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.int64())], names=["block", "word", "n"])
 
     for batch in slices(batches):
         for block, train, text in zip(batch.column("block").to_pylist(), batch.column("train").to_pylist(), texts_of(batch), strict=True):
-            own = held.setdefault(block, Counter())
+            if block != at:
+                if own:
+                    yield out()
+                at, own = block, Counter()
             if train:
                 own.update(tokens_of(text))
             else:
                 own.update(dict.fromkeys(tokens_of(text), 0))
-            size += len(text)
-        if size > 2 * BLOCK:
-            yield out()
-            held, size = {}, 0
-    if held:
+    if own:
         yield out()
 
 
@@ -84,7 +84,7 @@ class Model:
         self.least = max(8.0, math.sqrt(total) / 8)
         self.bits, self.split_bits = max(13, round(3 + 0.42 * grown)), max(16, round(10 + 0.4 * grown))
         self.mass = np.full(self.classes, 1e-9)
-        self.nodes, self.odds = np.empty(0, np.int64), np.empty(0, np.float32)
+        self.decide(np.empty(0, np.int64), np.empty(0, np.float32))
         self.weights = np.zeros((1 << self.bits, self.classes), np.float32)
         self.splits = np.zeros(1 << self.split_bits, np.float32)
 
@@ -110,6 +110,10 @@ class Model:
             out = np.where(self.top_hashes[i] == h, self.top_classes[i], out)
         return out
 
+    def decide(self, nodes: np.ndarray, odds: np.ndarray) -> None:
+        """Sets which nodes of the tree are decisions, in order, and their log odds."""
+        self.nodes, self.odds, self.node_hashes = nodes, odds, nodes.view(np.uint64) * _MIX
+
     @property
     def prior(self) -> np.ndarray:
         return np.log(self.mass / self.norm).astype(np.float32)
@@ -121,10 +125,10 @@ class Model:
         return [((x + np.uint64(k)) * _MIX ^ (x >> np.uint64(31))) * _MIX for k, x in enumerate((a, b, a * _MIX + b, skip))]
 
     def rows(self, mixed: list[np.ndarray]) -> list[np.ndarray]:
-        return [(x >> np.uint64(64 - self.bits)).astype(np.int64) for x in mixed]
+        return [(x >> np.uint64(64 - self.bits)).view(np.int64) for x in mixed]
 
-    def paths(self, classes: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Decisions that lead to words: how many each has; their nodes and whether they were taken, laid end to end."""
+    def paths(self, classes: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Decisions that lead to words: how many each has; their nodes and whether they were taken, laid end to end; where each word's begin."""
         at, bit = np.full((len(h), DEPTH), -1, np.int64), np.zeros((len(h), DEPTH), bool)
         order = np.lexsort((h, classes))  # neighbours in the tree are neighbours in memory
         classes, h = classes[order], h[order]
@@ -136,32 +140,40 @@ class Model:
         back = np.argsort(order)
         at, bit = at[back], bit[back]
         found = at >= 0
-        return found.sum(axis=1), at[found], bit[found]
+        n = found.sum(axis=1)
+        return n, at[found], bit[found], np.cumsum(n) - n
 
     def decisions(self, mixed: list[np.ndarray], words: np.ndarray, paths: tuple) -> tuple:
         """(token, taken, bins, node) of every decision of tokens."""
-        n, nodes, bits = paths
+        n, nodes, bits, starts = paths
         each = n[words]
         token = np.repeat(np.arange(len(words)), each)
-        at = np.arange(len(token)) + np.repeat((np.cumsum(n) - n)[words] - (np.cumsum(each) - each), each)
-        node = nodes[at]
-        own, shift = self.nodes[node].view(np.uint64) * _MIX, np.uint64(64 - self.split_bits)
-        return token, bits[at], [((x[token] ^ own) * _MIX >> shift).astype(np.int64) for x in mixed], node
+        at = np.arange(len(token)) + np.repeat(starts[words] - (np.cumsum(each) - each), each)
+        node = nodes.take(at)
+        own, shift = self.node_hashes.take(node), np.uint64(64 - self.split_bits)
+        bins = []
+        for x in mixed[:SPLIT_FEATURES]:
+            bin_ = np.repeat(x, each)
+            bin_ ^= own
+            bin_ *= _MIX
+            bin_ >>= shift
+            bins.append(bin_.view(np.int64))
+        return token, bits.take(at), bins, node
 
     def log_odds(self, bins: list[np.ndarray], node: np.ndarray) -> np.ndarray:
-        z = self.odds[node]
+        z = self.odds.take(node)
         for x in bins:
-            z = z + self.splits[x]
+            z += self.splits.take(x)
         return z
 
-    def log_classes(self, rows: list[np.ndarray], prior: np.ndarray) -> np.ndarray:
-        z = self.weights[rows[0]]
+    def log_class(self, rows: list[np.ndarray], prior: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Log share of classes y. A weight is at most STEP times the log of one over its class's share, so that no power overflows."""
+        z = self.weights.take(rows[0], axis=0)
         for r in rows[1:]:
-            z += self.weights[r]
+            z += self.weights.take(r, axis=0)
         z += prior
-        z -= z.max(axis=1, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-        return z
+        own = z[np.arange(len(y)), y]
+        return own - np.log(np.exp(z, out=z).sum(axis=1))
 
 
 def node_keys(classes: np.ndarray, h: np.ndarray, depth: int) -> np.ndarray:
@@ -190,7 +202,7 @@ class Words(dict):
     def __init__(self, model: Model):
         super().__init__()
         self.model, self.fresh = model, []
-        self.h, self.classes, self.paths = np.empty(0, np.uint64), np.empty(0, np.int64), (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool))
+        self.h, self.classes, self.paths = np.empty(0, np.uint64), np.empty(0, np.int64), (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool), np.empty(0, np.int64))
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
@@ -206,7 +218,8 @@ class Words(dict):
         if self.fresh:
             h = hashes(self.fresh)
             classes = self.model.classes_of(self.fresh, h)
-            self.paths = tuple(np.concatenate(x) for x in zip(self.paths, self.model.paths(classes, h), strict=True))
+            *fresh, starts = self.model.paths(classes, h)
+            self.paths = tuple(np.concatenate(x) for x in zip(self.paths, (*fresh, starts + len(self.paths[1])), strict=True))
             self.h, self.classes, self.fresh = np.r_[self.h, h], np.r_[self.classes, classes], []
 
 
@@ -231,9 +244,9 @@ def _sums(shipped):
             np.add(seen, seen_, out=seen)
             np.add(rows_seen, rows_, out=rows_seen)
             _, taken, bins, node = m.decisions(mixed, ids, words.paths)
-            p = chance[node]
+            p, at = chance[node], np.flatnonzero(taken)
             for x in bins:
-                np.add.at(split[0], x[taken], np.float32(1))
+                np.add.at(split[0], x.take(at), np.float32(1))
                 np.add.at(split[1], x, p)
                 np.add.at(split[2], x, np.float32(1))
 
@@ -347,7 +360,7 @@ def _score(shipped, total: int):
         c = words["c"].to_numpy().astype(float)
         h = hashes(listed)
         classes = m.classes_of(listed, h)
-        n_paths, nodes, bits = paths = m.paths(classes, h)
+        n_paths, nodes, bits, _ = paths = m.paths(classes, h)
         base = np.log((c + 1) / m.norm)
         # of a word in the part of its class where decisions end
         taken = np.where(bits, -np.logaddexp(0, -m.odds[nodes].astype(float)), -np.logaddexp(0, m.odds[nodes].astype(float)))
@@ -362,17 +375,20 @@ def _score(shipped, total: int):
             for at in range(0, len(t), CHUNK):
                 k = at + np.flatnonzero(known[at : at + CHUNK])
                 mixed = m.features(a[k], b[k])
-                gain[k] += m.log_classes(m.rows(mixed), prior)[np.arange(len(k)), classes[t[k]]]
+                gain[k] += m.log_class(m.rows(mixed), prior, classes[t[k]])
                 token, bit, bins, node = m.decisions(mixed, t[k], paths)
-                z = m.log_odds(bins, node).astype(float)
-                gain[k] -= np.bincount(token, np.logaddexp(0, np.where(bit, -z, z)), len(k))
+                z = m.log_odds(bins, node)
+                np.negative(z, out=z, where=bit)
+                loss = np.maximum(z, 0) + np.log(1 + np.exp(-np.abs(z)))
+                gain[k] -= np.bincount(token, loss, len(k))
             for col, v in zip(out, (sizes, np.bincount(owner, known, len(ids)).astype(np.int64), np.bincount(owner, base[t], len(ids)) / math.log(10), np.bincount(owner, gain, len(ids)) / math.log(10)), strict=True):
                 col.append(v)
 
         held, n = [], 0
-        for text in docs["text"].to_pylist():
-            held.append(np.array([index[w] for w in tokens_of((text or "").encode())], np.int64))
-            n += len(held[-1])
+        for text in docs["text"].cast(pa.binary()).to_pylist():
+            tokens = tokens_of(text or b"")
+            held.append(np.fromiter(map(index.__getitem__, tokens), np.int64, len(tokens)))
+            n += len(tokens)
             if n > 1 << 15:
                 put(held)
                 held, n = [], 0
@@ -390,7 +406,7 @@ def scores(docs: DataFrame) -> DataFrame:
     blocks = max(1, -(-size // BLOCK))
     held_out = F.coalesce(crc_mod(FOLDS) == HELD_OUT, F.lit(False))
     keyed = docs.select("doc_id", "text", held_out.alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
-    counts = saved(keyed.select("block", "text", (~F.col("held_out")).alias("train")).repartition("block").mapInArrow(_block_counts, "block long, word binary, n long"))
+    counts = saved(keyed.select("block", "text", (~F.col("held_out")).alias("train")).repartition("block").sortWithinPartitions("block").mapInArrow(_block_counts, "block long, word binary, n long"))
     vocab = saved(counts.groupBy("word").agg(F.sum("n").alias("c")))
     total, known = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     n_top, endings = Model.sizes(total)
@@ -405,10 +421,10 @@ def scores(docs: DataFrame) -> DataFrame:
     at = (node & ((1 << 32) - 1)) == 1
     model.mass[node[at] >> 32] = all_[at]
     split = (all_ >= model.least) & (ones > 0) & (ones < all_)
-    model.nodes, model.odds = node[split].astype(np.int64), np.log(ones[split] / (all_[split] - ones[split])).astype(np.float32)
+    model.decide(node[split].astype(np.int64), np.log(ones[split] / (all_[split] - ones[split])).astype(np.float32))
     if total:
         model = train(docs.where(~held_out).select("text"), model)
-    back = counts.select("block", "word").distinct().join(vocab, "word").select("block", "word", "c")
+    back = counts.select("block", "word").join(vocab, "word").select("block", "word", "c")
     return keyed.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_score(sc.broadcast(model), total), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, language, lm, near, packing, quality, rollup, substrings, toxicity
+from . import bpe, chat, collocations, fingerprints, language, lm, near, packing, quality, rollup, structure, substrings, toxicity
 
-_MODULES = (substrings, toxicity, near, quality, rollup, lm, language, bpe, packing, fingerprints)
+_MODULES = (substrings, toxicity, near, quality, rollup, lm, language, bpe, packing, fingerprints, collocations, chat, structure)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

@@ -26,7 +26,7 @@ from .common import forget, saved, slices, table, texts_of
 # Contract of the query: least count, longest phrase, share (percent) at which a longer phrase replaces a shorter one, rows of a language.
 LEAST, LONGEST, REPLACES, TOP = 100, 5, 100, 2000
 #: Bytes of text in a segment; a longer text is a segment of its own.
-SEGMENT = 8_000_000
+SEGMENT = 4_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -133,19 +133,23 @@ def _laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Segment, dict]]:
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Segment, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """(number, segment, (positions, sizes, counts) of its pointers) of each row."""
     for batch in batches:
         for i in range(batch.num_rows):
-            row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-            yield row["seg"], Segment(row["body"], np.frombuffer(row["starts"], np.int64), np.frombuffer(row["doc_lang"], np.int32), row["langs"]), row
+            row = batch.slice(i, 1)
+            number, body, starts, of, langs = (row.column(c)[0].as_py() for c in ("seg", "body", "starts", "doc_lang", "langs"))
+            pointers = tuple(row.column("at").flatten().field(k).to_numpy(zero_copy_only=False) for k in (0, 1)) if "at" in batch.schema.names else (np.zeros(0, np.int64),) * 2
+            yield number, Segment(body, np.frombuffer(starts, np.int64), np.frombuffer(of, np.int32), langs), (pointers[0] >> 3, pointers[0] & 7, pointers[1])
 
 
-_PRINTS = "fp long, cnt long, seg long, pos int, size int"
+#: place: position in the segment times 8 and length of the run.
+_PRINTS = "fp long, seg long, place long, cnt int"
 
 
 def _rows(seg: int, n: int, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
     prints, counts, at = found
-    return pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array(counts.astype(np.int64)), pa.array(np.full(len(at), seg, np.int64)), pa.array(at.astype(np.int32)), pa.array(np.full(len(at), n, np.int32))], ["fp", "cnt", "seg", "pos", "size"])
+    return pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array(np.full(len(at), seg, np.int64)), pa.array(at.astype(np.int64) * 8 + n), pa.array(counts.astype(np.int32))], ["fp", "seg", "place", "cnt"])
 
 
 def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,11 +163,10 @@ def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _long(longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Fingerprints of longer runs whose pairs are all frequent."""
-        for number, seg, row in _opened(batches):
-            pairs = np.array([x["pos"] for x in row["at"] if x["size"] == 2], np.int64)
+        for number, seg, (places, sizes, _) in _opened(batches):
             frequent = np.zeros(len(seg.ids), bool)
             at = seg.inside(2)
-            frequent[at] = np.isin(seg.fingerprints(at, 2), seg.fingerprints(pairs, 2))
+            frequent[at] = np.isin(seg.fingerprints(at, 2), seg.fingerprints(places[sizes == 2].astype(np.int64), 2))
             chain = frequent
             for n in range(3, longest + 1):
                 chain = chain[:-1] & frequent[n - 2 :] if len(chain) > 1 else chain[:0]
@@ -175,16 +178,16 @@ def _long(longest: int):
 
 def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The phrases that frequent fingerprints' pointers lead to, with their counts in the segment."""
-    for _, seg, row in _opened(batches):
-        at = row["at"]
-        if at:
-            yield pa.RecordBatch.from_arrays([pa.array([seg.langs[seg.lang[x["pos"]]] for x in at], pa.string()), pa.array([seg.phrase(x["pos"], x["size"]) for x in at], pa.string()), pa.array([x["size"] for x in at], pa.int32()), pa.array([x["cnt"] for x in at], pa.int64())], ["lang", "phrase", "size", "cnt"])
+    for _, seg, (places, sizes, counts) in _opened(batches):
+        for i in range(0, len(places), 10_000):
+            at, n = places[i : i + 10_000].tolist(), sizes[i : i + 10_000].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([seg.langs[seg.lang[p]] for p in at], pa.string()), pa.array([seg.phrase(p, k) for p, k in zip(at, n, strict=True)], pa.string()), pa.array(n, pa.int32()), pa.array(counts[i : i + 10_000].astype(np.int64))], ["lang", "phrase", "size", "cnt"])
 
 
 def _pointers(prints: DataFrame, least: int) -> DataFrame:
     """(seg, at): pointers of the frequent fingerprints by segment; at most as many as the segment has different runs."""
     total = F.sum("cnt").over(Window.partitionBy("fp"))
-    return prints.withColumn("total", total).where(F.col("total") >= least).groupBy("seg").agg(F.collect_list(F.struct("pos", "size", "cnt")).alias("at"))
+    return prints.withColumn("total", total).where(F.col("total") >= least).groupBy("seg").agg(F.collect_list(F.struct("place", "cnt")).alias("at"))
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:

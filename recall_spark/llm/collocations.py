@@ -5,7 +5,8 @@ modulo 2**64) give the fingerprint of every run of one to five words; a task cou
 comparing every occurrence with the first one's words, and hands (fingerprint, count, segment, position of an
 occurrence) to the shuffle. Fingerprints that reach the least count send their pointers back to the segments, and only there are
 phrases taken from the text. Counts are then summed by the phrase itself, so two phrases that share a fingerprint part again.
-Runs of three to five words enter the shuffle only where all their pairs are frequent, since no phrase is more frequent than its parts.
+Runs of three words enter the shuffle only where both their pairs are frequent, longer ones where all their triples are, since no
+phrase is more frequent than its parts.
 
 Null texts count as empty, a null lang as `und`, rows that repeat count each time, an empty table gives an empty table.
 Columns besides text and lang are ignored, whatever their names. A text is held whole by one task, as Spark does.
@@ -160,18 +161,19 @@ def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _rows(number, n, found)
 
 
-def _long(longest: int):
+def _long(base: int, sizes: range):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Fingerprints of longer runs whose pairs are all frequent."""
-        for number, seg, (places, sizes, _) in _opened(batches):
+        """Fingerprints of longer runs whose runs of `base` words are all frequent."""
+        for number, seg, (places, lengths, _) in _opened(batches):
             frequent = np.zeros(len(seg.ids), bool)
-            at = seg.inside(2)
-            frequent[at] = np.isin(seg.fingerprints(at, 2), seg.fingerprints(places[sizes == 2].astype(np.int64), 2))
+            at = seg.inside(base)
+            frequent[at] = np.isin(seg.fingerprints(at, base), seg.fingerprints(places[lengths == base], base))
             chain = frequent
-            for n in range(3, longest + 1):
-                chain = chain[:-1] & frequent[n - 2 :] if len(chain) > 1 else chain[:0]
-                for found in seg.counted(np.flatnonzero(chain), n):
-                    yield _rows(number, n, found)
+            for n in range(base + 1, sizes.stop):
+                chain = chain[:-1] & frequent[n - base :] if len(chain) > 1 else chain[:0]
+                if n in sizes:
+                    for found in seg.counted(np.flatnonzero(chain), n):
+                        yield _rows(number, n, found)
 
     return run
 
@@ -196,13 +198,13 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -
     segments = saved(body.mapInArrow(_laid, "seg long, body binary, starts binary, doc_lang binary, langs array<string>, words array<long>"))
     sizes = saved(segments.select(F.explode(F.arrays_zip("langs", "words")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.words").alias("n")))
     plain = segments.select("seg", "body", "starts", "doc_lang", "langs")
-    short = saved(_pointers(plain.mapInArrow(_short, _PRINTS), least))
-    with_short = plain.join(short, "seg")
-    long = saved(_pointers(with_short.mapInArrow(_long(longest), _PRINTS), least))
-    found = "lang string, phrase string, size int, cnt long"
-    parts = with_short.mapInArrow(_phrases, found).union(plain.join(long, "seg").mapInArrow(_phrases, found))
+    found = [saved(_pointers(plain.mapInArrow(_short, _PRINTS), least))]
+    for base, sizes in ((2, range(3, 4)), (3, range(4, longest + 1))):
+        found.append(saved(_pointers(plain.join(found[-1], "seg").mapInArrow(_long(base, sizes), _PRINTS), least)))
+    every = found[0].union(found[1]).union(found[2]).groupBy("seg").agg(F.flatten(F.collect_list("at")).alias("at"))
+    parts = plain.join(every, "seg").mapInArrow(_phrases, "lang string, phrase string, size int, cnt long")
     counts = saved(parts.groupBy("lang", "phrase", "size").agg(F.sum("cnt").alias("a")).where(F.col("a") >= least))
-    for t in (segments, short, long):
+    for t in (segments, *found):
         forget(t)
     return counts, sizes
 

@@ -199,8 +199,8 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -
     sizes = saved(segments.select(F.explode(F.arrays_zip("langs", "words")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.words").alias("n")))
     plain = segments.select("seg", "body", "starts", "doc_lang", "langs")
     found = [saved(_pointers(plain.mapInArrow(_short, _PRINTS), least))]
-    for base, sizes in ((2, range(3, 4)), (3, range(4, longest + 1))):
-        found.append(saved(_pointers(plain.join(found[-1], "seg").mapInArrow(_long(base, sizes), _PRINTS), least)))
+    for base, more in ((2, range(3, 4)), (3, range(4, longest + 1))):
+        found.append(saved(_pointers(plain.join(found[-1], "seg").mapInArrow(_long(base, more), _PRINTS), least)))
     every = found[0].union(found[1]).union(found[2]).groupBy("seg").agg(F.flatten(F.collect_list("at")).alias("at"))
     parts = plain.join(every, "seg").mapInArrow(_phrases, "lang string, phrase string, size int, cnt long")
     counts = saved(parts.groupBy("lang", "phrase", "size").agg(F.sum("cnt").alias("a")).where(F.col("a") >= least))

@@ -27,7 +27,7 @@ from .common import forget, saved, slices, table, texts_of
 # Contract of the query: least count, longest phrase, share (percent) at which a longer phrase replaces a shorter one, rows of a language.
 LEAST, LONGEST, REPLACES, TOP = 100, 5, 100, 2000
 #: Bytes of text in a segment; a longer text is a segment of its own.
-SEGMENT = 4_000_000
+SEGMENT = 2_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -47,9 +47,15 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 def polynomials(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Fingerprints of values[start:end] for each pair: the sum of value times base to its place in the run, by prefix sums."""
+    sums, inverse = prefixes(values)
+    return (sums[end] - sums[start]) * inverse[start]
+
+
+def prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(prefix sums of value times base to its place, inverse powers of base)."""
     sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * _powers(_BASE, len(values))[:-1], out=sums[1:])
-    return (sums[end] - sums[start]) * _powers(_INVERSE, len(values))[start]
+    return sums, _powers(_INVERSE, len(values))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -75,7 +81,7 @@ class Segment:
         known = words.dictionary
         places = np.frombuffer(known.buffers()[1], np.int64)[: len(known) + 1]
         letters = np.frombuffer(known.buffers()[2] or b"", np.uint8)[: places[-1] if len(known) else 0]
-        self.values = _mixed(polynomials(_BYTE[letters], places[:-1], places[1:]))[self.ids] if len(known) else np.zeros(0, np.uint64)
+        self.sums, self.inverse = prefixes(_mixed(polynomials(_BYTE[letters], places[:-1], places[1:]))[self.ids] if len(known) else np.zeros(0, np.uint64))
         of_lang = np.array([polynomials(_BYTE[np.frombuffer(x.encode(), np.uint8)], np.array([0]), np.array([len(x.encode())]))[0] for x in langs], np.uint64)
         self.salt = _mixed(of_lang + np.uint64(1))[self.lang] if langs else np.zeros(0, np.uint64)
 
@@ -85,7 +91,7 @@ class Segment:
         return np.flatnonzero(self.piece[:last] == self.piece[n - 1 :][:last]) if last > 0 else np.zeros(0, np.int64)
 
     def fingerprints(self, at: np.ndarray, n: int) -> np.ndarray:
-        return _mixed(polynomials(self.values, at, at + n) ^ self.salt[at]) if len(at) else np.zeros(0, np.uint64)
+        return _mixed((self.sums[at + n] - self.sums[at]) * self.inverse[at] ^ self.salt[at]) if len(at) else np.zeros(0, np.uint64)
 
     def counted(self, at: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(fingerprints, counts, positions) of the different runs that start at `at`; every occurrence's words are compared with the first's."""

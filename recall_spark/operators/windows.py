@@ -33,28 +33,51 @@ def top_contributors(items: DataFrame, k: int) -> DataFrame:
     return items.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def greedy_pack(items: DataFrame, key: str, order: str, tokens: str, budget: int, block: int = 4096) -> DataFrame:
+def greedy_pack(items: DataFrame, key: str | list[str], order: str, tokens: str, budget: int, close_on_fill: bool = False) -> DataFrame:
     """items with chunk: a chunk closes when the next item would exceed the budget; an item may exceed it alone.
 
-    The fold is sequential inside a key. Keys are folded in blocks of rows: a block's fold starts from the state
-    that the block before left, in a Pandas function that streams a key's sorted rows and never holds a key whole.
+    close_on_fill: a chunk that reaches the budget takes no more items, not even empty ones. Null or negative counts are 0.
+    Where a chunk starts depends on all before it, so a key is folded in order, in one task: its sorted rows are streamed and
+    a chunk's end is found in their prefix sums, so no key is ever held whole.
     """
-    import pandas as pd
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    keys = [key] if isinstance(key, str) else key
 
     def run(batches):
-        now, chunk, used = None, 0, 0
-        for pdf in batches:
-            out = []
-            for k, t in zip(pdf[key], pdf[tokens], strict=True):
-                if k != now and (k == k or now == now):  # a null key may come as NaN
-                    now, chunk, used = k, 0, 0
-                elif used and used + t > budget:
-                    chunk, used = chunk + 1, 0
-                used += t
-                out.append(chunk)
-            yield pdf.assign(chunk=pd.Series(out, index=pdf.index, dtype="int64"))
-
-    return items.repartition(key).sortWithinPartitions(key, order).mapInPandas(run, items.withColumn("chunk", F.lit(0).cast("long")).schema)
+        now, chunk, used = object(), 0, 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            sizes = np.maximum(pc.fill_null(batch.column(tokens).cast(pa.int64()), 0).to_numpy(zero_copy_only=False), 0)
+            sums = np.concatenate(([0], np.cumsum(sizes)))
+            codes = [batch.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False) for k in keys]
+            starts = [0, *(np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in codes])) + 1).tolist(), n]
+            out = np.zeros(n, np.int64)
+            for i, end in zip(starts[:-1], starts[1:], strict=True):
+                own = tuple(batch.column(k)[i].as_py() for k in keys)
+                if own != now:
+                    now, chunk, used = own, 0, 0
+                while i < end:
+                    room = sums[i] + budget - used
+                    to = sums.searchsorted(room, "right") - 1
+                    if not used:  # the first item with tokens always fits
+                        to = max(to, sums.searchsorted(sums[i], "right"))
+                    if close_on_fill:
+                        to = min(to, max(sums.searchsorted(room, "left"), i if used else i + 1))
+                    to = min(to, end)
+                    if to <= i:
+                        chunk, used = chunk + 1, 0
+                        continue
+                    out[i:to] = chunk
+                    used += int(sums[to] - sums[i])
+                    i = to
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "chunk"])
+
+    return items.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, items.withColumn("chunk", F.lit(0).cast("long")).schema)
 
 
 def greedy_pack_folded(items: DataFrame, key: str, order: str, tokens: str, budget: int) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import recall_spark.plans.compaction  # noqa: F401  (registers its queries)
 import recall_spark.plans.context  # noqa: F401  (registers its queries)
+import recall_spark.plans.transcript  # noqa: F401  (registers its queries)
 import recall_spark.plans.store  # noqa: F401  (registers its queries)
 from recall_spark.plans.queries import ORACLES, QUERIES
 

@@ -73,7 +73,9 @@ def test_backlog_takes_each_summary_once(spark, tmp_path):
 
 def test_activity_as_a_stream(spark, tmp_path):
     e = V.read(spark, SF, "events")
-    source = spark.readStream.schema(e.schema).parquet(f"{SF}/events[.]parquet")
+    at = F.col("ts").cast("timestamp")
+    source = spark.readStream.schema(e.schema).parquet(f"{SF}/events[.]parquet").withColumn("ts", at)
+    e = e.withColumn("ts", at)
     q = J.activity(source, "ts", "event_type").writeStream.outputMode("complete").format("memory").queryName("seen").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination()
     assert rows(spark.table("seen").select("window.start", "event_type", "n")) == rows(J.activity(e, "ts", "event_type").select("window.start", "event_type", "n"))

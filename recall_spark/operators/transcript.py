@@ -82,4 +82,4 @@ def drop_stale_calls(calls: DataFrame, results: DataFrame, boundary: int) -> Dat
     by_id = results.groupBy("session", "call_id").agg(F.max(F.when(F.col("selected"), F.col("at"))).alias("last"))
     lined = calls.join(by_id.withColumn("any", F.lit(True)), ["session", "call_id"], "left")
     stays = F.coalesce(F.col("last") > F.col("at"), F.lit(False)) | ((F.col("at") >= boundary) & F.col("any").isNull()) | (F.coalesce("call_id", F.lit("")) == "")
-    return lined.where(stays).drop("last", "any")
+    return lined.where(stays).select(*calls.columns)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,3 +62,32 @@ def cosine_from_l2(distance: Column) -> Column:
 def band(cosine: Column) -> Column:
     # Least cosine of each band.
     return F.when(cosine >= 0.65, "high").when(cosine >= 0.50, "medium").when(cosine >= 0.35, "low").otherwise("noise")
+
+
+def truncate_to_tokens(text: str, tokens: int) -> Column:
+    """The longest start of a text that is estimated at no more than so many tokens; nothing for a limit of 0 or less.
+
+    No character weighs less than a quarter token, so only the first 4 * tokens characters are looked at: texts of common
+    characters end there, in others a prefix sum over weights finds the end.
+    """
+    if tokens <= 0:
+        return F.when(F.col(text).isNotNull(), "")
+
+    @F.pandas_udf("int")
+    def fits(heads: pd.Series) -> pd.Series:
+        def length(s: str | None) -> int:
+            points = np.frombuffer((s or "").encode("utf-32-le"), np.uint32)
+            cjk = np.zeros(len(points), bool)
+            for low, high in _CJK_POINTS:
+                cjk |= (points >= low) & (points <= high)
+            weights = np.where(cjk, WEIGHT_CJK, np.where(points >= 0x10000, WEIGHT_BEYOND, WEIGHT_OTHER))
+            return int(np.searchsorted(np.ceil(np.cumsum(weights)), tokens, "right"))
+
+        return heads.map(length).astype("int32")
+
+    head = F.substring(text, 1, 4 * tokens)
+    return F.when(head.rlike(CJK_BASIC) | head.rlike(BEYOND), F.substring(head, F.lit(1), fits(head))).otherwise(head)
+
+
+#: The code points of CJK_BASIC and CJK_EXTRA.
+_CJK_POINTS = [(ord(m[1]), ord(m[2])) for m in re.finditer("(.)-(.)", CJK_BASIC)] + [(int(m[1], 16), int(m[2], 16)) for m in re.finditer(r"\\x\{(\w+)\}-\\x\{(\w+)\}", CJK_EXTRA)]

@@ -148,10 +148,14 @@ def ineffective(passes: DataFrame) -> DataFrame:
     return passes.withColumn("ineffective", (F.col("after") >= F.col("before")) | (F.col("before") - F.col("after") < LEAST_SAVING * F.col("before")))
 
 
-def fit_budget(ranked: DataFrame, budget: int) -> DataFrame:
-    """Candidates of each query (rank, token_count) in order until the budget is full; a first one beyond it is kept alone."""
+def fit_budget(ranked: DataFrame, queries: DataFrame, budget: int) -> DataFrame:
+    """Candidates of each query (query_id, rank, token_count) in order, until one doesn't fit beside those before and the query (query_id, asked) itself.
+
+    Candidates beyond the budget on their own are passed over, wherever they stand. A null count is 0.
+    """
+    small = ranked.withColumn("token_count", F.coalesce("token_count", F.lit(0))).where(F.col("token_count") <= budget).join(queries, "query_id")
     w = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn("running", F.sum("token_count").over(w)).where((F.col("running") <= budget) | (F.col("rank") == 1)).drop("running")
+    return small.withColumn("running", F.sum("token_count").over(w) + F.col("asked")).where(F.col("running") <= budget).drop("running", "asked")
 
 
 def chain_tokens(parts: DataFrame, key: list[str]) -> DataFrame:
@@ -186,11 +190,6 @@ def repair_order(damaged: DataFrame, context: DataFrame) -> DataFrame:
     return lined.withColumn("position", F.row_number().over(w).cast("long")).select("conversation_id", "summary_id", "position")
 
 
-def truncate_to_tokens(text: str, tokens: int) -> Column:
-    """The longest start of common characters that is estimated at so many tokens."""
-    return F.substring(text, 1, 4 * tokens)
-
-
 def new_messages(incoming: DataFrame, cursor: DataFrame) -> DataFrame:
     """Incoming messages from the cursor on."""
     return incoming.join(cursor, "conversation_id", "left").where(F.col("seq") >= F.coalesce("cursor", F.lit(0)))

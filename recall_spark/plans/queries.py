@@ -11,7 +11,9 @@ from recall_spark.functions import text as T
 from recall_spark.operators import conversations as C
 from recall_spark.operators import graph as D
 from recall_spark.operators import integrity as I
+from recall_spark.operators import postings as N
 from recall_spark.operators import search as S
+from recall_spark.operators import vectors as X
 from recall_spark.operators import windows as W
 from recall_spark.sources import views as V
 
@@ -29,10 +31,8 @@ def query(name: str, views: str = "", sql: str | None = None):
     return add
 
 
-# The queries that the search operators are asked, and the clock.
-TERMS = {1: ["thing", "there"], 2: ["tion", "the"], 3: ["einen"], 4: ["ando", "que"]}
+# Fixed value: the clock.
 NOW = "2024-03-01 00:00:00"
-_TERM_ROWS = ", ".join(f"({q}, '{t}')" for q, ts in TERMS.items() for t in ts)
 
 
 # --- conversations -------------------------------------------------------------------------------------------------
@@ -260,18 +260,46 @@ def _(spark, d):
 
 # --- search --------------------------------------------------------------------------------------------------------
 
-_BM25 = f""", terms(query_id, term) AS (VALUES {_TERM_ROWS}), tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
+_WORDS = "regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+')"
+_VISIBLE = "(SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))"
+
+
+def bm25_sql(asked: str = "SELECT item_id AS query_id, text FROM benchmark", texts: str = f"SELECT doc_id, text FROM {_VISIBLE}") -> str:
+    """SQL of every query of `asked` (query_id, text) against `texts` (doc_id, text): all terms, BM25; table bm has ranks."""
+    return f""", terms AS (SELECT query_id, unnest(list_distinct({_WORDS.format(c="text")})) AS term FROM ({asked})), tok AS MATERIALIZED (SELECT doc_id, {_WORDS.format(c="text")} AS w FROM ({texts})),
  st AS (SELECT count(*) AS n, avg(len(w)) AS avg_len FROM tok), ex AS (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM tok),
- tf AS (SELECT doc_id, len, term, count(*) AS tf FROM ex WHERE term IN (SELECT term FROM terms) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+ tf AS MATERIALIZED (SELECT doc_id, len, term, count(*) AS tf FROM ex WHERE term IN (SELECT term FROM terms) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
  sc AS (SELECT query_id, doc_id, count(*) AS hit, round(sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 6) AS score
    FROM tf JOIN df USING (term) JOIN terms USING (term), st GROUP BY 1, 2),
  full_hits AS (SELECT sc.* FROM sc JOIN (SELECT query_id, count(*) AS n_terms FROM terms GROUP BY 1) z ON z.query_id = sc.query_id AND sc.hit = z.n_terms),
  bm AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, score FROM full_hits)"""
 
 
+_BM25 = bm25_sql()
+#: Documents whose id is divisible by 50, as queries by text and by vector.
+_BM25_DOCS = bm25_sql("SELECT doc_id AS query_id, text FROM documents WHERE doc_id % 50 = 0")
+
+
+def visible_docs(spark, d):
+    return V.read(spark, d, "documents").select("doc_id", "text").join(V.read(spark, d, "labels").where("toxic = 1").select("doc_id"), "doc_id", "left_anti")
+
+
+def index(spark, d):
+    return N.index_words(visible_docs(spark, d), "doc_id", "text")
+
+
+def asked(spark, d):
+    """Every benchmark passage as a query."""
+    return V.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), T.words("text").alias("terms"))
+
+
 def _bm25(spark, d):
-    queries = spark.createDataFrame(list(TERMS.items()), "query_id int, terms array<string>")
-    return S.bm25(V.read(spark, d, "documents"), "doc_id", "text", queries, 10).withColumn("rank", F.col("rank").cast("long"))
+    return N.best(N.matches(index(spark, d), asked(spark, d)), "doc_id", 10)
+
+
+def _bm25_docs(spark, d):
+    queries = V.read(spark, d, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), T.words("text").alias("terms"))
+    return N.best(N.matches(index(spark, d), queries), "doc_id", 10)
 
 
 QUERIES["x3_search_summaries"] = _bm25
@@ -317,13 +345,14 @@ def _(spark, d):
     return W.cap_by_chars(V.messages(spark, d).withColumn("size", F.length("content")), "conversation_id", "seq", "size", 1500).select("conversation_id", "seq")
 
 
-_KNN = """ q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id < 5), pairs AS (SELECT query_id, vec_id, round(sqrt(list_sum(list_transform(list_zip(embedding, q), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE))))), 6) AS distance FROM embeddings, q),
+_KNN = """ q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), pairs AS (SELECT query_id, vec_id, round(sqrt(list_sum(list_transform(list_zip(embedding, q), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE))))), 6) AS distance FROM embeddings, q),
  nn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM pairs)"""
 
 
 def _knn(spark, d, k=10):
     e = V.read(spark, d, "embeddings").select("vec_id", "embedding")
-    return S.knn(e, e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), k).withColumn("rank", F.col("rank").cast("long"))
+    centres = X.fit_centres(e, 32)
+    return X.search(X.in_cells(e, "embedding", centres), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), centres, k).select("query_id", "vec_id", "distance", "rank")
 
 
 QUERIES["a1_knn"] = _knn
@@ -336,12 +365,12 @@ def _(spark, d):
     return S.with_bands(_knn(spark, d)).select("query_id", "vec_id", "cosine", "band")
 
 
-@query("a4_hybrid_search", "", "WITH" + _KNN + "," + _BM25.lstrip(", ") + """, u AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, a.rank AS ra, round(coalesce(1.0 / (60 + a.rank - 1), 0.0) + coalesce(1.0 / (60 + b.rank - 1), 0.0), 9) AS score
+@query("a4_hybrid_search", "", "WITH" + _KNN + "," + _BM25_DOCS.lstrip(", ") + """, u AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, a.rank AS ra, round(coalesce(1.0 / (60 + a.rank - 1), 0.0) + coalesce(1.0 / (60 + b.rank - 1), 0.0), 9) AS score
  FROM (SELECT * FROM bm WHERE rank <= 10) a FULL JOIN (SELECT query_id, vec_id AS doc_id, rank FROM nn WHERE rank <= 10) b ON a.query_id = b.query_id AND a.doc_id = b.doc_id)
  SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ra NULLS LAST, doc_id) AS rank FROM u) WHERE rank <= 8""")
 def _(spark, d):
     vec = _knn(spark, d).select(F.col("query_id").cast("long").alias("query_id"), F.col("vec_id").alias("doc_id"), "rank")
-    return S.fuse(_bm25(spark, d).withColumn("query_id", F.col("query_id").cast("long")), vec, "doc_id", 8).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+    return S.fuse(_bm25_docs(spark, d), vec, "doc_id", 8).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("j3_pending_embeddings", "summaries", " SELECT summary_id FROM summaries s WHERE suppressed_at IS NULL AND kind = 'leaf' AND token_count BETWEEN 20 AND 800 AND NOT EXISTS (SELECT 1 FROM embeddings e WHERE s.summary_id = 'sum_' || e.vec_id)")
@@ -350,13 +379,18 @@ def _(spark, d):
     return S.pending(V.summaries(spark, d), done, 20, 800).select("summary_id")
 
 
-@query("v1_recall_at_k", "", "WITH " + _BM25.lstrip(", ") + """, truth AS (SELECT 1 AS query_id, doc_id FROM documents WHERE contains(lower(text), 'there') AND contains(lower(text), 'thing') AND length(text) < 2000),
+@query("v1_recall_at_k", "", "WITH " + _BM25.lstrip(", ") + f""", truth AS (SELECT item_id AS query_id, doc_id FROM {_VISIBLE} d JOIN benchmark b ON contains(lower(d.text), lower(b.text))),
  z AS (SELECT query_id, count(*) AS n FROM truth GROUP BY 1), f AS (SELECT bm.query_id, rank FROM bm JOIN truth USING (query_id, doc_id) WHERE rank <= 10)
- SELECT z.query_id, round(count(rank) FILTER (rank <= 1) / n, 6) AS recall_1, round(count(rank) FILTER (rank <= 5) / n, 6) AS recall_5, round(count(rank) FILTER (rank <= 10) / n, 6) AS recall_10, round(coalesce(1 / min(rank), 0.0), 6) AS rr FROM z LEFT JOIN f USING (query_id) GROUP BY z.query_id, n""")
+ SELECT z.query_id, """ + ", ".join(f"round(count(rank) FILTER (rank <= {k}) / n, 6) AS recall_{k}" for k in (1, 5, 10)) + """, round(coalesce(1 / min(rank), 0.0), 6) AS rr FROM z LEFT JOIN f USING (query_id) GROUP BY z.query_id, n""")
 def _(spark, d):
-    t = F.lower("text")
-    truth = V.read(spark, d, "documents").where(t.contains("there") & t.contains("thing") & (F.length("text") < 2000)).select(F.lit(1).alias("query_id"), "doc_id")
-    return S.recall_at_k(_bm25(spark, d), truth, [1, 5, 10])
+    found = N.matches(index(spark, d), asked(spark, d))
+    return S.recall_at_k(N.best(found, "doc_id", 10), truth(spark, d, found), [1, 5, 10])
+
+
+def truth(spark, d, found):
+    """(query_id, doc_id) of passages and the visible documents that hold them; those have all words of the passage, so only such are looked at."""
+    passages = V.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.lower("text").alias("passage"))
+    return found.select("query_id", "doc_id").join(visible_docs(spark, d), "doc_id").join(passages, "query_id").where(F.contains(F.lower("text"), F.col("passage"))).select("query_id", "doc_id")
 
 
 # --- graph ---------------------------------------------------------------------------------------------------------

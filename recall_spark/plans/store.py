@@ -8,7 +8,10 @@ from recall_spark.operators import integrity as I
 from recall_spark.operators import records as R
 from recall_spark.operators import search as S
 from recall_spark.operators import windows as W
-from recall_spark.plans.queries import _BM25, _ENTITIES, _KNN, _PACK, _RAW, NOW, RULES, _bm25, _knn, query
+from recall_spark.functions import text as T
+from recall_spark.functions.text import words
+from recall_spark.operators import postings as N
+from recall_spark.plans.queries import _BM25, _BM25_DOCS, _ENTITIES, _KNN, _PACK, _RAW, NOW, RULES, _bm25, _bm25_docs, _knn, bm25_sql, query
 from recall_spark.sources import views as V
 
 BM = _BM25.lstrip(", ")
@@ -226,22 +229,49 @@ def _(spark, d):
     return R.page(V.messages(spark, d), "message_id", 100000, 50).select("message_id", "seq")
 
 
-@query("k8_merge_hits", "", "WITH" + _KNN + "," + BM + """ SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.vec_id) AS doc_id, CASE WHEN b.vec_id IS NULL THEN 'text' WHEN a.doc_id IS NULL THEN 'vector' ELSE 'both' END AS source
+@query("k8_merge_hits", "", "WITH" + _KNN + "," + _BM25_DOCS.lstrip(", ") + """ SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.vec_id) AS doc_id, CASE WHEN b.vec_id IS NULL THEN 'text' WHEN a.doc_id IS NULL THEN 'vector' ELSE 'both' END AS source
  FROM (SELECT * FROM bm WHERE rank <= 10) a FULL JOIN (SELECT * FROM nn WHERE rank <= 10) b ON a.query_id = b.query_id AND a.doc_id = b.vec_id""")
 def _(spark, d):
-    vec = _knn(spark, d).select(F.col("query_id").cast("long").alias("query_id"), F.col("vec_id").alias("doc_id"), "rank")
-    return R.merge_hits(_bm25(spark, d).withColumn("query_id", F.col("query_id").cast("long")), vec, "doc_id").select("query_id", "doc_id", "source")
+    vec = _knn(spark, d).select("query_id", F.col("vec_id").alias("doc_id"), "rank")
+    return R.merge_hits(_bm25_docs(spark, d), vec, "doc_id").select("query_id", "doc_id", "source")
 
 
-_MESSAGES_BM = BM.replace("SELECT doc_id, regexp_extract_all(lower(text)", "SELECT message_id AS doc_id, regexp_extract_all(lower(content)").replace("FROM documents)", "FROM messages)")
+@query("x2_search_messages", "messages", bm25_sql("SELECT message_id AS query_id, content AS text FROM messages WHERE message_id % 50 = 0", "SELECT message_id AS doc_id, content AS text FROM messages") + " SELECT query_id, doc_id AS message_id, rank, score FROM bm WHERE rank <= 10")
+def _(spark, d):
+    m = V.messages(spark, d)
+    queries = m.where("message_id % 50 = 0").select(F.col("message_id").alias("query_id"), words("content").alias("terms"))
+    return N.best(N.matches(N.index_words(m, "message_id", "content"), queries), "message_id", 10)
 
 
-@query("x2_search_messages", "messages", ", " + _MESSAGES_BM + " SELECT query_id, doc_id AS message_id, rank, score FROM bm WHERE rank <= 10")
+@query("x4_phrases", "", """WITH q AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark), t AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), ' ') || ' ' AS x FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))
+ SELECT query_id, doc_id FROM q JOIN t ON contains(x, ' ' || array_to_string(w, ' ') || ' ') WHERE len(w) > 0""")
 def _(spark, d):
-    from recall_spark.plans.queries import TERMS
+    from recall_spark.plans.queries import asked, index
+
+    return N.phrases(index(spark, d), asked(spark, d)).select("query_id", "doc_id")
+
+
+# Fixed value: stand-ins for letters, since the given tables have no CJK text.
+_LETTERS, _SIGNS = "abcdefghijklmnopqrstuvwxyz", "的一是不了人我在有他这中大来上个国和也子时道说出而要"
+_CJK = f"translate(lower({{c}}), '{_LETTERS}', '{_SIGNS}')"
+
+
+def _cjk(size, least):
+    windows = f"CASE WHEN length(s) <= {size} THEN [s] ELSE list_transform(range(1, length(s) - {size} + 2), lambda i: substring(s, i, {size})) END"
+    sql = f"""WITH t AS (SELECT doc_id, {_CJK.format(c="text")} || ' ' || source AS x FROM documents), q AS (SELECT n_nationkey AS query_id, list_filter(regexp_split_to_array({_CJK.format(c="n_name || CASE WHEN n_nationkey % 2 = 0 THEN ' thing' ELSE ' ing' END")}, '[^{_SIGNS}]+'), lambda s: length(s) >= {least}) AS segs, 'src' || (n_nationkey % 3) AS latin FROM nation)
+ SELECT CAST(query_id AS BIGINT) AS query_id, doc_id FROM q JOIN t ON contains(x, latin) AND contains(x, CAST(query_id AS VARCHAR)) WHERE len(segs) > 0 AND len(list_filter(segs, lambda s: len(list_filter({windows}, lambda w: contains(x, w))) > 0)) = len(segs)"""
+
+    def run(spark, d):
+        docs = V.read(spark, d, "documents").select("doc_id", F.concat(F.expr(_CJK.format(c="text")), F.lit(" "), "source").alias("text"))
+        queries = V.read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("query_id"), F.concat(F.expr(_CJK.format(c="n_name || CASE WHEN n_nationkey % 2 = 0 THEN ' thing' ELSE ' ing' END")), F.lit(" src"), F.col("n_nationkey") % 3).alias("text"))
+        return N.search_cjk(N.index_cjk(docs, "doc_id", "text"), docs, "doc_id", "text", queries, size)
+
+    return sql, run
+
 
-    queries = spark.createDataFrame(list(TERMS.items()), "query_id int, terms array<string>")
-    return S.bm25(V.messages(spark, d), "message_id", "content", queries, 10).withColumn("rank", F.col("rank").cast("long"))
+for _name, _size, _least in (("x9_cjk_windows", 4, 3), ("x10_cjk_pairs", 2, 1)):
+    _sql, _run = _cjk(_size, _least)
+    query(_name, "", _sql)(_run)
 
 
 @query("x12_verbatim", "messages", " SELECT message_id, role, content FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY seq DESC) AS rank FROM messages WHERE contains(content, 'in') AND role = 'user') WHERE rank <= 20")
@@ -255,11 +285,12 @@ def _(spark, d):
     return R.combined_grep(V.messages(spark, d), V.summaries(spark, d), "[a-z]+ing")
 
 
-@query("a5_fit_budget", "", "WITH " + BM + """, t AS (SELECT bm.*, CAST(ceil(0.25 * length(text)) AS BIGINT) AS token_count FROM bm JOIN documents USING (doc_id) WHERE rank <= 10), r AS (SELECT *, sum(token_count) OVER (PARTITION BY query_id ORDER BY rank) AS running FROM t)
- SELECT query_id, doc_id, rank FROM r WHERE running <= 1500 OR rank = 1""")
+@query("a5_fit_budget", "", "WITH " + BM + """, t AS (SELECT bm.query_id, bm.doc_id, rank, CAST(ceil(0.25 * length(d.text)) AS BIGINT) AS token_count, CAST(ceil(length(b.text) / 4) AS BIGINT) AS asked FROM bm JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = bm.query_id WHERE rank <= 10),
+ r AS (SELECT *, asked + sum(token_count) OVER (PARTITION BY query_id ORDER BY rank) AS running FROM t WHERE token_count <= 3000) SELECT query_id, doc_id, rank FROM r WHERE running <= 3000""")
 def _(spark, d):
     sizes = V.summaries(spark, d).select("doc_id", "token_count")
-    return R.fit_budget(_bm25(spark, d).join(sizes, "doc_id"), 1500).select("query_id", "doc_id", "rank")
+    queries = V.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.ceil(F.length("text") / 4).alias("asked"))
+    return R.fit_budget(_bm25(spark, d).join(sizes, "doc_id"), queries, 3000).select("query_id", "doc_id", "rank")
 
 
 @query("a6_batch_packing", "summaries", _PACK.format(src="(SELECT conversation_id, doc_id AS ordinal, token_count FROM summaries)", b=2000) + "SELECT conversation_id, ordinal AS doc_id, chunk FROM p")
@@ -377,7 +408,7 @@ def _(spark, d):
 
 @query("e3_truncate_tokens", "", "SELECT doc_id, length(substring(text, 1, 800)) AS n, sha256(substring(text, 1, 800)) AS head FROM documents")
 def _(spark, d):
-    return V.read(spark, d, "documents").select("doc_id", R.truncate_to_tokens("text", 200).alias("t")).select("doc_id", F.length("t").cast("long").alias("n"), F.sha2("t", 256).alias("head"))
+    return V.read(spark, d, "documents").select("doc_id", T.truncate_to_tokens("text", 200).alias("t")).select("doc_id", F.length("t").cast("long").alias("n"), F.sha2("t", 256).alias("head"))
 
 
 @query("e5_new_messages", "messages", " SELECT conversation_id, seq FROM messages WHERE seq >= CASE WHEN conversation_id % 3 = 0 THEN 2 ELSE 0 END")

@@ -10,7 +10,6 @@ Nulls: a null token count is 0, rows without a conversation_id stay as they are.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 from recall_spark.functions.text import estimate_tokens
 from recall_spark.operators.context import fallback_summary
 from recall_spark.operators.windows import greedy_pack
+from recall_spark.sources.shared import kept
 
 ITEM = ["conversation_id", "ordinal", "item_type", "ref", "depth", "token_count", "earliest_at", "latest_at", "content", "descendants", "descendant_tokens", "source_tokens"]
 
@@ -48,16 +48,6 @@ class Policy:
         return max(self.condensed_target, int(self.least_share * self.condensed_chunk))
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df as a written table in the folder that the session shares: ends its lineage and survives lost executors."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        raise ValueError("compaction writes its rounds to spark.checkpoint.dir; set it to a folder that all executors see")
-    path = f"{base}/compaction-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def message_items(m: DataFrame) -> DataFrame:
     """Messages (conversation_id, seq, message_id, content, token_count, created_at) as context items."""
     zero = F.lit(0).cast("long")

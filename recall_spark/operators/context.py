@@ -27,7 +27,10 @@ def replace_ranges(items: DataFrame, ranges: DataFrame) -> DataFrame:
 
     Ranges of a conversation don't overlap.
     """
-    covered = items.join(ranges, (items.conversation_id == ranges.conversation_id) & items.ordinal.between(ranges["first"], ranges["last"]), "left_anti")
+    # ranges are laid among the items by where they start; the last one that started says whether an item is inside
+    here = Window.partitionBy("conversation_id").orderBy("ordinal", F.desc("starts")).rowsBetween(Window.unboundedPreceding, 0)
+    every = items.select("conversation_id", "ordinal", "ref", F.lit(False).alias("starts"), F.lit(None).cast("long").alias("end")).union(ranges.select("conversation_id", F.col("first").cast("long"), F.lit(None).cast("string"), F.lit(True), F.col("last").cast("long")))
+    covered = every.withColumn("end", F.last("end", ignorenulls=True).over(here)).where(~F.col("starts") & (F.col("end").isNull() | (F.col("ordinal") > F.col("end"))))
     after = covered.select("conversation_id", "ordinal", "ref").union(ranges.select("conversation_id", "first", "summary"))
     place = F.row_number().over(Window.partitionBy("conversation_id").orderBy("ordinal")) - 1
     return after.select("conversation_id", place.cast("long").alias("ordinal"), "ref")

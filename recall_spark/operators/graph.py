@@ -2,34 +2,36 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _kept(df: DataFrame) -> DataFrame:
-    """df written and read again, in the shared folder if the session names one; loops would else grow their plans."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        return df.cache()
-    path = f"{base}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from recall_spark.sources.shared import kept
 
 
 def expand_to_sources(edges: DataFrame, roots: DataFrame, max_depth: int = 50) -> DataFrame:
-    """(root, summary_id, depth) of all that roots (root) were made from, at the least depth; cycles end by what was visited."""
-    front = _kept(roots.select("root", F.col("root").alias("summary_id"), F.lit(0).alias("depth")))
+    """(root, summary_id, depth) of all that roots (root) were made from, at the least depth; cycles end by what was visited.
+
+    A graph deeper than max_depth is refused, as its nodes would be lost.
+    """
+    return expand_paths(edges.withColumn("ordinal", F.lit(0)), roots, max_depth).select("root", "summary_id", "depth")
+
+
+def expand_paths(edges: DataFrame, roots: DataFrame, max_depth: int = 50) -> DataFrame:
+    """(root, summary_id, depth, path) of all that roots (root) were made from, each once, at its least depth and first path there.
+
+    edges (summary_id, source_summary_id, ordinal); a path is ordinals of four digits with dots between, empty for the root.
+    """
+    front = kept(roots.select("root", F.col("root").alias("summary_id"), F.lit(0).alias("depth"), F.lit("").alias("path")).distinct())
     seen = front
-    for depth in range(1, max_depth + 1):
-        step = front.join(edges, "summary_id").select("root", F.col("source_summary_id").alias("summary_id"), F.lit(depth).alias("depth")).distinct()
-        front = _kept(step.join(seen, ["root", "summary_id"], "left_anti"))
+    steps = edges.select("summary_id", F.col("source_summary_id").alias("next"), F.format_string("%04d", F.col("ordinal").cast("long")).alias("place"))
+    for depth in range(1, max_depth + 2):
+        step = front.join(steps, "summary_id").select("root", F.col("next").alias("summary_id"), F.when(F.col("path") == "", F.col("place")).otherwise(F.concat_ws(".", "path", "place")).alias("path"))
+        step = step.groupBy("root", "summary_id").agg(F.min("path").alias("path")).select("root", "summary_id", F.lit(depth).alias("depth"), "path")
+        front = kept(step.join(seen, ["root", "summary_id"], "left_anti"))
         if front.isEmpty():
-            break
+            return seen
         seen = seen.union(front)
-    return seen
+    raise ValueError(f"the graph goes on below depth {max_depth}")
 
 
 def one_hop(edges: DataFrame) -> DataFrame:
@@ -37,26 +39,33 @@ def one_hop(edges: DataFrame) -> DataFrame:
 
 
 def compute_depths(nodes: DataFrame, edges: DataFrame, max_depth: int = 50) -> DataFrame:
-    """(summary_id, depth): 1 + the deepest source; nodes without sources have 0; what lies on a cycle gets 1."""
-    done = _kept(nodes.join(edges, "summary_id", "left_anti").select("summary_id", F.lit(0).alias("depth")))
-    waiting = _kept(nodes.select("summary_id").join(done, "summary_id", "left_anti"))
-    for _ in range(max_depth):
+    """(summary_id, depth): 1 + the deepest source; of nodes without sources leaves have 0 and condensed ones (kind, if nodes have it) 1, as has what lies on or above a cycle.
+
+    A graph deeper than max_depth is refused.
+    """
+    bottom = F.when(F.col("kind") == "condensed", 1).otherwise(0) if "kind" in nodes.columns else F.lit(0)
+    done = kept(nodes.join(edges, "summary_id", "left_anti").select("summary_id", bottom.alias("depth")))
+    waiting = kept(nodes.select("summary_id").join(done, "summary_id", "left_anti"))
+    for _ in range(max_depth + 1):
         known = edges.join(waiting, "summary_id").join(done.withColumnsRenamed({"summary_id": "source_summary_id"}), "source_summary_id", "left")
-        ready = _kept(known.groupBy("summary_id").agg(F.max("depth").alias("d"), F.count_if(F.col("depth").isNull()).alias("open")).where("open = 0").select("summary_id", (F.col("d") + 1).alias("depth")))
+        ready = kept(known.groupBy("summary_id").agg(F.max("depth").alias("d"), F.count_if(F.col("depth").isNull()).alias("open")).where("open = 0").select("summary_id", (F.col("d") + 1).alias("depth")))
         if ready.isEmpty():
-            break
-        done, waiting = done.union(ready), _kept(waiting.join(ready, "summary_id", "left_anti"))
-    return done.union(waiting.select("summary_id", F.lit(1).alias("depth")))
+            return done.union(waiting.select("summary_id", F.lit(1).alias("depth")))
+        done, waiting = done.union(ready), kept(waiting.join(ready, "summary_id", "left_anti"))
+    raise ValueError(f"the graph goes on above depth {max_depth}")
 
 
 def rollup_tokens(nodes: DataFrame, edges: DataFrame, own: DataFrame, levels: int) -> DataFrame:
-    """(summary_id, n_descendants, tokens): leaves' tokens and descendants summed bottom-up, a level at a time; paths count."""
-    level = nodes.where("depth = 0").join(own, "summary_id", "left").select("summary_id", F.lit(0).cast("long").alias("n_descendants"), F.coalesce("token_count", F.lit(0)).cast("long").alias("tokens"))
-    out = level
-    for _ in range(levels):
-        level = edges.join(level.withColumnRenamed("summary_id", "source_summary_id"), "source_summary_id").groupBy("summary_id").agg(F.sum(F.col("n_descendants") + 1).alias("n_descendants"), F.sum("tokens").alias("tokens"))
-        out = out.union(level)
-    return out
+    """(summary_id, n_descendants, tokens) of nodes (summary_id, depth): leaves' tokens and descendants summed bottom-up; paths count.
+
+    A node of a depth is worked out from all shallower ones, so its sources may lie on several levels.
+    """
+    done = kept(nodes.where("depth = 0").join(own, "summary_id", "left").select("summary_id", F.lit(0).cast("long").alias("n_descendants"), F.coalesce("token_count", F.lit(0)).cast("long").alias("tokens")))
+    for d in range(1, levels + 1):
+        here = edges.join(nodes.where(F.col("depth") == d).select("summary_id"), "summary_id")
+        level = here.join(done.withColumnRenamed("summary_id", "source_summary_id"), "source_summary_id").groupBy("summary_id").agg(F.sum(F.col("n_descendants") + 1).alias("n_descendants"), F.sum("tokens").alias("tokens"))
+        done = done.union(kept(level))
+    return done
 
 
 def child_status(edges: DataFrame, hidden: DataFrame) -> DataFrame:

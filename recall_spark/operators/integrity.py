@@ -39,6 +39,26 @@ def suppress(s: DataFrame, chosen: DataFrame, edges: DataFrame) -> tuple[DataFra
     return s.join(chosen.select("summary_id"), "summary_id", "left_anti"), edges.join(chosen.select(F.col("summary_id").alias("source_summary_id")), "source_summary_id", "left_semi").select("summary_id").distinct()
 
 
+def suppress_everywhere(summaries: DataFrame, edges: DataFrame, links: DataFrame, context: DataFrame, caches: DataFrame, chosen: DataFrame) -> dict[str, DataFrame]:
+    """What goes or changes when leaves (chosen: summary_id) are suppressed, by table.
+
+    summaries (summary_id, suppressed), edges (summary_id, source_summary_id), links (summary_id, message_id), context
+    (conversation_id, ordinal, item_type, ref), caches (cache_id, summary_id). hidden: the leaves; flagged: condensed summaries over one; messages:
+    those that no other visible leaf covers; items: context items of the leaves and of all their messages; caches: those that refer to one.
+    """
+    ids = chosen.select("summary_id").distinct()
+    covered = links.join(ids, "summary_id", "left_semi").select("message_id").distinct()
+    others = links.join(summaries.where(~F.col("suppressed")).select("summary_id"), "summary_id", "left_semi").join(ids, "summary_id", "left_anti").select("message_id").distinct()
+    refs = ids.select(F.lit("summary").alias("item_type"), F.col("summary_id").alias("ref")).union(covered.select(F.lit("message"), F.col("message_id").cast("string")))
+    return {
+        "hidden": summaries.join(ids, "summary_id", "left_semi").select("summary_id"),
+        "flagged": edges.join(ids.withColumnRenamed("summary_id", "source_summary_id"), "source_summary_id", "left_semi").select("summary_id").distinct(),
+        "messages": covered.join(others, "message_id", "left_anti"),
+        "items": context.join(refs, ["item_type", "ref"], "left_semi").select("conversation_id", "ordinal"),
+        "caches": caches.join(ids, "summary_id", "left_semi").select("cache_id").distinct(),
+    }
+
+
 def scan_cleaners(convs: DataFrame, m: DataFrame) -> DataFrame:
     """Conversations by cleaning rule, with messages and the three largest as examples."""
     rule = F.when((F.col("active") == 0) & F.startswith("session_key", F.lit("agent:main:subagent:")), "archived_subagent").when(F.startswith("session_key", F.lit("agent:main:cron:")), "cron").when(F.col("session_key").isNull(), "null_key")
@@ -48,13 +68,11 @@ def scan_cleaners(convs: DataFrame, m: DataFrame) -> DataFrame:
     return hit.withColumn("rank", F.row_number().over(w)).groupBy("rule").agg(F.count("*").alias("n_conversations"), F.sum("n").alias("n_messages"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("rank") <= 3, F.col("conversation_id").cast("string")))), ",").alias("examples"))
 
 
-def extract_entities(s: DataFrame, rules: dict[str, str]) -> DataFrame:
-    """(session_key, summary_id, type, surface) for every match of every rule."""
-    found = [s.select("session_key", "summary_id", F.lit(t).alias("type"), F.explode(F.regexp_extract_all("content", F.lit(p), F.lit(0))).alias("surface")) for t, p in rules.items()]
-    out = found[0]
-    for f in found[1:]:
-        out = out.union(f)
-    return out
+def extract_entities(s: DataFrame, rules: dict[str, str], carry: tuple[str, ...] = ()) -> DataFrame:
+    """(session_key, summary_id, type, surface, ...) for every match of every rule, with columns to carry along; texts are read once."""
+    matches = lambda kind, pattern: F.transform(F.regexp_extract_all("content", F.lit(pattern), F.lit(0)), lambda m: F.struct(F.lit(kind).alias("type"), m.alias("surface")))
+    found = F.flatten(F.array(*[matches(t, p) for t, p in rules.items()]))
+    return s.select("session_key", "summary_id", *carry, F.explode(found).alias("x")).select("session_key", "summary_id", "x.type", "x.surface", *carry)
 
 
 def resolve_entities(found: DataFrame) -> DataFrame:

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recall_spark.functions.text import CJK_BASIC, CJK_EXTRA, words
-from recall_spark.operators.compaction import kept
 from recall_spark.operators.search import B, K1
+from recall_spark.sources.shared import kept
 
 #: A run of CJK characters.
 CJK_RUN = f"(?:{CJK_BASIC}|{CJK_EXTRA})+"

@@ -220,11 +220,26 @@ def stratum_means(scores: DataFrame, metrics: list[str]) -> DataFrame:
     return scores.groupBy("stratum").agg(F.count("*").alias("n"), *means).union(scores.agg(F.lit("overall").alias("stratum"), F.count("*").alias("n"), *means))
 
 
-def drift(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
-    """Change of each query's reciprocal rank between two runs (query_id, stratum, rr), and what it amounts to."""
-    change = F.round(F.col("rr_b") - F.col("rr_a"), 6)
-    both = a.select("query_id", "stratum", F.col("rr").alias("rr_a")).join(b.select("query_id", F.col("rr").alias("rr_b")), "query_id")
-    return both.select("query_id", "stratum", change.alias("change"), F.when(change <= -threshold, "worse").when(change >= threshold, "better").otherwise("same").alias("verdict"))
+def drift(a: DataFrame, b: DataFrame, noise_sd: float | None = None) -> DataFrame:
+    """(query_id, delta, verdict) between two runs (query_id, quality, rr), a before b.
+
+    A query is compared by quality if both runs have it, else by reciprocal rank if both do, else not at all. It drifts if it
+    changed by more than twice the noise, or at all where the noise isn't known. Queries of one run alone stay, without a delta.
+    """
+    both = a.select("query_id", F.col("quality").alias("qa"), F.col("rr").alias("ra")).join(b.select("query_id", F.col("quality").alias("qb"), F.col("rr").alias("rb")), "query_id", "full")
+    delta = F.round(F.coalesce(F.col("qb") - F.col("qa"), F.col("rb") - F.col("ra")), 6)
+    least = 2 * (noise_sd or 0.0)
+    return both.select("query_id", delta.alias("delta")).withColumn("verdict", F.when(F.col("delta").isNull(), "not compared").when(F.abs("delta") <= least, "same").when(F.col("delta") > 0, "improved").otherwise("regressed"))
+
+
+def stratum_drift(drifted: DataFrame, strata: DataFrame, noise_sd: float | None = None) -> DataFrame:
+    """(stratum, n_scored, improved, regressed, cumulative, fell): drift by stratum of (query_id, stratum); queries without one are `unknown`.
+
+    A stratum fell if its deltas sum to less than minus twice the noise.
+    """
+    lined = drifted.join(strata.select("query_id", "stratum"), "query_id", "left").withColumn("stratum", F.coalesce("stratum", F.lit("unknown")))
+    sums = lined.groupBy("stratum").agg(F.count("delta").alias("n_scored"), F.count_if(F.col("verdict") == "improved").alias("improved"), F.count_if(F.col("verdict") == "regressed").alias("regressed"), F.round(F.coalesce(F.sum("delta"), F.lit(0.0)), 6).alias("cumulative"))
+    return sums.withColumn("fell", F.col("cumulative") < -2 * (noise_sd or 0.0))
 
 
 def upsert(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

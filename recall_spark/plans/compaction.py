@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from recall_spark.operators import compaction as K
 from recall_spark.operators import context as C
+from recall_spark.operators import graph as D
+from recall_spark.operators import integrity as I
+from recall_spark.operators import records as R
 from recall_spark.plans.queries import _PACK, _RANKED, _RAW, query
 from recall_spark.sources import views as V
 
@@ -103,3 +106,54 @@ def _(spark, d):
 @query("p10_compact_edges", VIEWS, _BUILT + _LINKS + " SELECT * FROM edges")
 def _(spark, d):
     return built(spark, d)[2]
+
+
+def _edges(edges):
+    return edges.select(F.col("ref").alias("summary_id"), F.col("source_ref").alias("source_summary_id"), "ordinal")
+
+
+_WALK = ", RECURSIVE walk AS (SELECT ref AS root, ref AS summary_id, 0 AS depth, '' AS path FROM nodes WHERE depth > 0 UNION ALL SELECT w.root, e.source_ref, w.depth + 1, CASE WHEN path = '' THEN '' ELSE path || '.' END || lpad(CAST(e.ordinal AS VARCHAR), 4, '0') FROM walk w JOIN edges e ON e.ref = w.summary_id)"
+
+
+@query("d1_expand_built", VIEWS, _BUILT + _NODES + _LINKS + _WALK + " SELECT root, summary_id, depth, path FROM walk")
+def _(spark, d):
+    _, nodes, edges = built(spark, d)
+    return D.expand_paths(_edges(edges), nodes.where("depth > 0").select(F.col("ref").alias("root")))
+
+
+@query("d6_depths_built", VIEWS, _BUILT + _NODES + " SELECT ref AS summary_id, depth FROM nodes")
+def _(spark, d):
+    _, nodes, edges = built(spark, d)
+    inner = _edges(edges).join(nodes.select(F.col("ref").alias("source_summary_id")), "source_summary_id", "left_semi")
+    return D.compute_depths(nodes.select(F.col("ref").alias("summary_id")), inner)
+
+
+@query("q4_lineage_built", VIEWS, _BUILT + _NODES + _LINKS + " SELECT ref AS summary_id FROM nodes WHERE ref NOT IN (SELECT ref FROM edges WHERE NOT ends_with(source_ref, '2'))")
+def _(spark, d):
+    _, nodes, edges = built(spark, d)
+    return R.lineage_gaps(nodes.withColumnRenamed("ref", "summary_id"), _edges(edges).where(~F.endswith("source_summary_id", F.lit("2"))), 0).select("summary_id")
+
+
+@query("q5_orphans_built", VIEWS, _BUILT + _NODES + _LINKS + f" SELECT ref AS summary_id FROM nodes WHERE ref NOT IN (SELECT source_ref FROM edges) AND ref NOT IN (SELECT ref FROM items{ROUNDS} WHERE ordinal % 2 = 0)")
+def _(spark, d):
+    items, nodes, edges = built(spark, d)
+    return R.orphans(nodes.withColumnRenamed("ref", "summary_id"), _edges(edges), items.where("ordinal % 2 = 0").withColumnRenamed("ref", "summary_id")).select("summary_id")
+
+
+@query("u1_suppress_everywhere", VIEWS, _BUILT + _NODES + _LINKS + f""", links2 AS (SELECT ref, source_ref FROM edges WHERE starts_with(ref, 'sum_') AND NOT starts_with(source_ref, 'sum_') UNION ALL SELECT 'extra_' || ref, source_ref FROM edges WHERE NOT starts_with(source_ref, 'sum_') AND CAST(source_ref AS BIGINT) % 3 = 0),
+ chosen AS (SELECT ref FROM nodes WHERE depth = 0 AND ends_with(ref, '_1')), cov AS (SELECT DISTINCT source_ref FROM links2 WHERE ref IN (SELECT ref FROM chosen))
+ SELECT 'hidden' AS step, ref AS id FROM chosen UNION ALL SELECT DISTINCT 'flagged', ref FROM edges WHERE source_ref IN (SELECT ref FROM chosen) UNION ALL SELECT 'messages', source_ref FROM cov WHERE source_ref NOT IN (SELECT source_ref FROM links2 WHERE ref NOT IN (SELECT ref FROM chosen))
+ UNION ALL SELECT 'items', conversation_id || ':' || ordinal FROM items0 WHERE ref IN (SELECT ref FROM chosen) OR ref IN (SELECT source_ref FROM cov) UNION ALL SELECT DISTINCT 'caches', 'day of ' || conversation_id FROM nodes WHERE ref IN (SELECT ref FROM chosen)""")
+def _(spark, d):
+    items, _, _ = swept(spark, d)
+    _, nodes, edges = built(spark, d)
+    leaf = edges.where("source_ref not like 'sum%'").select(F.col("ref").alias("summary_id"), F.col("source_ref").cast("long").alias("message_id"))
+    links = leaf.union(leaf.where("message_id % 3 = 0").select(F.concat(F.lit("extra_"), "summary_id"), "message_id"))
+    s = nodes.select(F.col("ref").alias("summary_id"), F.lit(False).alias("suppressed"))
+    every = s.union(links.where("summary_id like 'extra%'").select("summary_id", F.lit(False)).distinct())
+    caches = nodes.where("depth = 0").select(F.concat(F.lit("day of "), "conversation_id").alias("cache_id"), F.col("ref").alias("summary_id"))
+    chosen = nodes.where("depth = 0").where(F.endswith("ref", F.lit("_1"))).select(F.col("ref").alias("summary_id"))
+    out = I.suppress_everywhere(every, _edges(edges), links, items.select("conversation_id", "ordinal", "item_type", "ref"), caches, chosen)
+    ids = {"hidden": F.col("summary_id"), "flagged": F.col("summary_id"), "messages": F.col("message_id").cast("string"), "items": F.concat_ws(":", "conversation_id", "ordinal"), "caches": F.col("cache_id")}
+    parts = [df.select(F.lit(step).alias("step"), ids[step].alias("id")) for step, df in out.items()]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).union(parts[4])

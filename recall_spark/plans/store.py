@@ -19,7 +19,7 @@ BM = _BM25.lstrip(", ")
 
 def _mentions(spark, d):
     s = V.summaries(spark, d).where("suppressed_at is null")
-    return I.extract_entities(s, RULES).join(s.select("summary_id", "created_at"), "summary_id").distinct()
+    return I.extract_entities(s, RULES, ("created_at",)).distinct()
 
 
 _SEEN = ", visible AS (SELECT * FROM summaries WHERE suppressed_at IS NULL)" + _ENTITIES.replace("FROM summaries", "FROM visible") + ", m AS (SELECT DISTINCT f.*, created_at FROM f JOIN visible USING (summary_id))"
@@ -444,30 +444,48 @@ def _(spark, d):
     return I.period_bounds(e, "now", "UTC").drop("now")
 
 
-def _scores(spark, d):
-    k = F.col("doc_id")
-    return V.read(spark, d, "documents").select(k.alias("query_id"), F.concat(F.lit("st"), k % 3).alias("stratum"), F.round(1.0 / (1 + k % 7), 6).alias("a"), F.round(1.0 / (1 + k % 5), 6).alias("b"))
+#: Two runs of every benchmark passage: the best ten by BM25, and the newest ten of what matches. Every seventh query is in
+#: the second run alone; every fifth has a judged quality, the share of its hits among ten, in both.
+def _runs(spark, d):
+    from recall_spark.plans.queries import asked, index, truth
+    from recall_spark.sources.shared import kept
 
+    found = kept(N.matches(index(spark, d), asked(spark, d)))
+    right = kept(truth(spark, d, found))
+    newest = N.best(found.withColumn("score", F.col("doc_id").cast("double")), "doc_id", 10)
+    runs = []
+    for hits in (N.best(found, "doc_id", 10), newest):
+        quality = hits.groupBy("query_id").agg((F.count("*") / 10).alias("quality"))
+        runs.append(S.recall_at_k(hits, right, [1, 10]).join(quality, "query_id").withColumn("quality", F.when(F.col("query_id") % 5 == 0, F.col("quality"))))
+    return runs[0].where("query_id % 7 <> 0"), runs[1]
 
-_RUNS = "WITH t AS (SELECT doc_id AS query_id, 'st' || (doc_id % 3) AS stratum, round(1.0 / (1 + doc_id % 7), 6) AS a, round(1.0 / (1 + doc_id % 5), 6) AS b FROM documents)"
 
+def _strata(df):
+    return df.withColumn("stratum", F.when(F.col("query_id") % 4 > 0, F.concat(F.lit("st"), F.col("query_id") % 3)))
 
-@query("v2_stratum_means", "", _RUNS + " SELECT stratum, count(*) AS n, round(avg(a), 6) AS a, round(avg(b), 6) AS b FROM t GROUP BY 1 UNION ALL SELECT 'overall', count(*), round(avg(a), 6), round(avg(b), 6) FROM t")
+
+_RUNS = "WITH " + BM + """, hits AS (SELECT query_id, doc_id, rank AS ra, row_number() OVER (PARTITION BY query_id ORDER BY doc_id DESC, doc_id) AS rb FROM bm), truth AS (SELECT item_id AS query_id, doc_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text)) WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+ z AS (SELECT query_id, count(*) AS n FROM truth GROUP BY 1), g AS (SELECT query_id, least(count(*), 10) / 10 AS q, min(ra) FILTER (ra <= 10 AND t) AS ba, min(rb) FILTER (rb <= 10 AND t) AS bb, count(*) FILTER (ra <= 10 AND t) AS ha, count(*) FILTER (rb <= 10 AND t) AS hb
+   FROM (SELECT hits.*, truth.doc_id IS NOT NULL AS t FROM hits LEFT JOIN truth USING (query_id, doc_id)) GROUP BY 1),
+ v AS (SELECT query_id, CASE WHEN query_id % 5 = 0 THEN q END AS quality, round(coalesce(1 / ba, 0), 6) AS ra, round(coalesce(1 / bb, 0), 6) AS rb, round(ha / n, 6) AS recall_a, round(hb / n, 6) AS recall_b, CASE WHEN query_id % 4 > 0 THEN 'st' || (query_id % 3) END AS stratum FROM z JOIN g USING (query_id)),
+ t AS (SELECT query_id, stratum, CASE WHEN query_id % 7 <> 0 THEN round(coalesce(quality - quality, rb - ra), 6) END AS delta FROM v)"""
+
+
+@query("v2_stratum_means", "", _RUNS + """ SELECT coalesce(stratum, 'unknown') AS stratum, count(*) AS n, round(avg(recall_b), 6) AS recall_10, round(avg(rb), 6) AS rr FROM v GROUP BY 1 UNION ALL SELECT 'overall', count(*), round(avg(recall_b), 6), round(avg(rb), 6) FROM v""")
 def _(spark, d):
-    return R.stratum_means(_scores(spark, d), ["a", "b"])
+    b = _strata(_runs(spark, d)[1]).withColumn("stratum", F.coalesce("stratum", F.lit("unknown")))
+    return R.stratum_means(b, ["recall_10", "rr"])
 
 
-@query("v5_drift", "", _RUNS + " SELECT query_id, stratum, round(b - a, 6) AS change, CASE WHEN round(b - a, 6) <= -0.1 THEN 'worse' WHEN round(b - a, 6) >= 0.1 THEN 'better' ELSE 'same' END AS verdict FROM t")
+@query("v5_drift", "", _RUNS + " SELECT query_id, delta, CASE WHEN delta IS NULL THEN 'not compared' WHEN abs(delta) <= 0.1 THEN 'same' WHEN delta > 0 THEN 'improved' ELSE 'regressed' END AS verdict FROM t")
 def _(spark, d):
-    t = _scores(spark, d)
-    return R.drift(t.select("query_id", "stratum", F.col("a").alias("rr")), t.select("query_id", F.col("b").alias("rr")), 0.1)
+    return R.drift(*_runs(spark, d), 0.05)
 
 
-@query("v6_stratum_drift", "", _RUNS + ", x AS (SELECT stratum, round(b - a, 6) AS c FROM t) SELECT stratum, count(*) FILTER (c <= -0.1) AS worse, count(*) FILTER (c >= 0.1) AS better, round(avg(c), 6) < 0 AS regressed FROM x GROUP BY 1")
+@query("v6_stratum_drift", "", _RUNS + """ SELECT coalesce(stratum, 'unknown') AS stratum, count(delta) AS n_scored, count(*) FILTER (delta > 0.1) AS improved, count(*) FILTER (delta < -0.1) AS regressed, round(coalesce(sum(delta), 0), 6) AS cumulative, round(coalesce(sum(delta), 0), 6) < -0.1 AS fell FROM t GROUP BY 1""")
 def _(spark, d):
-    t = _scores(spark, d)
-    x = R.drift(t.select("query_id", "stratum", F.col("a").alias("rr")), t.select("query_id", F.col("b").alias("rr")), 0.1)
-    return x.groupBy("stratum").agg(F.count_if(F.col("verdict") == "worse").alias("worse"), F.count_if(F.col("verdict") == "better").alias("better"), (F.round(F.avg("change"), 6) < 0).alias("regressed"))
+    a, b = _runs(spark, d)
+    return R.stratum_drift(R.drift(a, b, 0.05), _strata(b), 0.05)
 
 
 @query("s4_write_embeddings", "", "SELECT vec_id, label FROM embeddings WHERE vec_id % 3 <> 0 UNION ALL SELECT vec_id, label + 100 FROM embeddings WHERE vec_id % 3 = 0")

@@ -9,14 +9,12 @@ from pyspark.sql import functions as F
 from recall_spark.functions.text import estimate_tokens
 from recall_spark.plans.queries import _PACK, _RAW, query
 from recall_spark.sources import views as V
+from recall_spark.sources.shared import shared_dir
 from recall_spark.streaming import jobs as J
 
 
 def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        raise ValueError("streams write to spark.checkpoint.dir; set it to a folder that all executors see")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _stream(spark, d, name):

@@ -27,7 +27,7 @@ from .common import forget, saved, slices, table, texts_of
 # Contract of the query: least count, longest phrase, share (percent) at which a longer phrase replaces a shorter one, rows of a language.
 LEAST, LONGEST, REPLACES, TOP = 100, 5, 100, 2000
 #: Bytes of text in a segment; a longer text is a segment of its own.
-SEGMENT = 2_000_000
+SEGMENT = 3_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -126,7 +126,7 @@ def _laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = np.array([code[x] for _, x in held], np.int32)
         seg = Segment(text, starts, of, langs)
         words = np.bincount(seg.lang, minlength=len(langs)).tolist()
-        row = [[(task << 24) + number], [text], [starts.tobytes()], [of.tobytes()], [langs], [words]]
+        row = [[(task << 24) + number], [len(text).to_bytes(8, "little") + pa.compress(text, codec="zstd", asbytes=True)], [starts.tobytes()], [of.tobytes()], [langs], [words]]
         number, held, size = number + 1, [], 0
         return pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), pa.array(row[1], pa.binary()), pa.array(row[2], pa.binary()), pa.array(row[3], pa.binary()), pa.array(row[4], pa.list_(pa.string())), pa.array(row[5], pa.list_(pa.int64()))], ["seg", "body", "starts", "doc_lang", "langs", "words"])
 
@@ -146,6 +146,7 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Segment, t
         for i in range(batch.num_rows):
             row = batch.slice(i, 1)
             number, body, starts, of, langs = (row.column(c)[0].as_py() for c in ("seg", "body", "starts", "doc_lang", "langs"))
+            body = pa.decompress(body[8:], decompressed_size=int.from_bytes(body[:8], "little"), codec="zstd", asbytes=True)
             pointers = tuple(row.column("at").flatten().field(k).to_numpy(zero_copy_only=False) for k in (0, 1)) if "at" in batch.schema.names else (np.zeros(0, np.int64),) * 2
             yield number, Segment(body, np.frombuffer(starts, np.int64), np.frombuffer(of, np.int32), langs), (pointers[0] >> 3, pointers[0] & 7, pointers[1])
 

@@ -27,7 +27,7 @@ from .common import forget, saved, slices, table, texts_of
 # Contract of the query: least count, longest phrase, share (percent) at which a longer phrase replaces a shorter one, rows of a language.
 LEAST, LONGEST, REPLACES, TOP = 100, 5, 100, 2000
 #: Bytes of text in a segment; a longer text is a segment of its own.
-SEGMENT = 3_000_000
+SEGMENT = 2_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -147,17 +147,17 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Segment, t
             row = batch.slice(i, 1)
             number, body, starts, of, langs = (row.column(c)[0].as_py() for c in ("seg", "body", "starts", "doc_lang", "langs"))
             body = pa.decompress(body[8:], decompressed_size=int.from_bytes(body[:8], "little"), codec="zstd", asbytes=True)
-            pointers = tuple(row.column("at").flatten().field(k).to_numpy(zero_copy_only=False) for k in (0, 1)) if "at" in batch.schema.names else (np.zeros(0, np.int64),) * 2
-            yield number, Segment(body, np.frombuffer(starts, np.int64), np.frombuffer(of, np.int32), langs), (pointers[0] >> 3, pointers[0] & 7, pointers[1])
+            what = row.column("at").flatten().to_numpy(zero_copy_only=False) if "at" in batch.schema.names else np.zeros(0, np.int64)
+            yield number, Segment(body, np.frombuffer(starts, np.int64), np.frombuffer(of, np.int32), langs), (what >> (COUNT_BITS + 3), what >> COUNT_BITS & 7, what & (1 << COUNT_BITS) - 1)
 
 
-#: place: position in the segment times 8 and length of the run.
-_PRINTS = "fp long, seg long, place long, cnt int"
+#: what: position in the segment, 3 bits of the run's length, COUNT_BITS of its count there; a text has fewer than 2**30 words.
+_PRINTS, COUNT_BITS = "fp long, seg long, what long", 30
 
 
 def _rows(seg: int, n: int, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
     prints, counts, at = found
-    return pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array(np.full(len(at), seg, np.int64)), pa.array(at.astype(np.int64) * 8 + n), pa.array(counts.astype(np.int32))], ["fp", "seg", "place", "cnt"])
+    return pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array(np.full(len(at), seg, np.int64)), pa.array((at.astype(np.int64) * 8 + n) << COUNT_BITS | counts)], ["fp", "seg", "what"])
 
 
 def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,8 +195,8 @@ def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _pointers(prints: DataFrame, least: int) -> DataFrame:
     """(seg, at): pointers of the frequent fingerprints by segment; at most as many as the segment has different runs."""
-    total = F.sum("cnt").over(Window.partitionBy("fp"))
-    return prints.withColumn("total", total).where(F.col("total") >= least).groupBy("seg").agg(F.collect_list(F.struct("place", "cnt")).alias("at"))
+    total = F.sum(F.col("what").bitwiseAND(F.lit((1 << COUNT_BITS) - 1))).over(Window.partitionBy("fp"))
+    return prints.withColumn("total", total).where(F.col("total") >= least).groupBy("seg").agg(F.collect_list("what").alias("at"))
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:

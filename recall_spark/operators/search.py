@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recall_spark.functions.text import band, cosine_from_l2, has_cjk, snippet, words
+from recall_spark.functions.text import band, cosine_from_l2, snippet, words
 
 # BM25's parameters, the rank constant of reciprocal rank fusion, decay per hour of age.
 K1, B, RRF, DECAY = 1.2, 0.75, 60, 0.001
@@ -22,23 +22,11 @@ def parse_query(text: str) -> list[str]:
 def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, key, rank, score) of the k best documents that have all terms of a query (query_id, terms).
 
-    Only postings of queried terms leave the scan; lengths and document counts are exact, over all documents.
+    Makes a posting table for this one call; for several searches make it once (postings.index_words).
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    sizes = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    tokens = docs.select(key, words(text).alias("w"))
-    stats = tokens.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avg_len"))
-    asked = terms.select("term").distinct()
-    tf = tokens.select(key, F.size("w").alias("len"), F.explode("w").alias("term")).join(asked, "term", "left_semi").groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weight = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.when(weight > 0, weight).otherwise(1e-6)
-    part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    one = F.broadcast(stats)  # a single row
-    scored = tf.join(df, "term").join(one).withColumn("part", part).join(terms, "term").groupBy("query_id", key).agg(F.count("*").alias("hit"), F.round(F.sum("part"), 6).alias("score"))
-    full = scored.join(sizes, "query_id").where("hit = n_terms")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return full.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", key, "rank", "score")
+    from recall_spark.operators import postings as N
+
+    return N.best(N.matches(N.index_words(docs, key, text), queries), key, k)
 
 
 def phrase_search(docs: DataFrame, key: str, text: str, phrase: str) -> DataFrame:
@@ -47,30 +35,48 @@ def phrase_search(docs: DataFrame, key: str, text: str, phrase: str) -> DataFram
     return docs.where(F.contains(padded, F.lit(f" {' '.join(phrase.lower().split())} "))).select(key)
 
 
+def like_terms(terms: list[str]) -> list[str]:
+    """Terms in lower case, without punctuation at their edges, each once, in order; nothing is left of mere punctuation."""
+    import re
+
+    return list(dict.fromkeys(t for t in (re.sub(r"^[\W_]+|[\W_]+$", "", t.lower()) for t in terms) if t))
+
+
 def like_search(docs: DataFrame, key: str, text: str, terms: list[str], k: int) -> DataFrame:
-    """Documents that contain all terms, with a snippet, newest key first."""
-    hit = F.lit(True)
+    """Documents that contain all terms, in any case, with a snippet, newest key first; without a term none."""
+    terms, hit = like_terms(terms), F.lit(True)
+    if not terms:
+        return docs.where(F.lit(False)).select(key, F.lit("").alias("snippet"))
     for t in terms:
         hit = hit & F.contains(F.lower(text), F.lit(t))
     return docs.where(hit).select(key, snippet(text, terms).alias("snippet")).orderBy(F.desc(key)).limit(k)
 
 
-def regex_search(docs: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
-    """All documents that a pattern finds, with its first match; long patterns and nested quantifiers are refused."""
+def repeats_a_repetition(pattern: str) -> bool:
+    """Whether a group that is repeated without bound holds such a repetition at any depth, as in (a+)+, ((a+))+ or (a{1,})*."""
     import re
 
-    if len(pattern) > 500 or re.search(r"\([^)]*[+*][^)]*\)[+*]", pattern):
-        raise ValueError("the pattern is too long or repeats a repetition")
-    return docs.where(F.col(text).rlike(pattern)).select(key, F.regexp_extract(text, pattern, 0).alias("found"))
+    bare = re.sub(r"\\.", "x", pattern)
+    bare = re.sub(r"\[\^?\]?[^\]]*\]", "x", bare)
+    again, holds, last = re.compile(r"[+*]|\{\d*,\d*\}"), [False], False
+    for i, c in enumerate(bare):
+        if c == "(":
+            holds.append(False)
+        elif c == ")" and len(holds) > 1:
+            last = holds.pop()
+            if last and again.match(bare, i + 1):
+                return True
+            holds[-1] |= last
+        elif again.match(bare, i):
+            holds[-1] = True
+    return False
 
 
-def cjk_search(docs: DataFrame, key: str, text: str, segments: list[str], size: int = 4) -> DataFrame:
-    """Documents with any window of `size` characters of every segment."""
-    hit = F.lit(True)
-    for s in segments:
-        grams = [s] if len(s) <= size else [s[i : i + size] for i in range(len(s) - size + 1)]
-        hit = hit & F.exists(F.array(*map(F.lit, grams)), lambda g: F.contains(F.col(text), g))
-    return docs.where(has_cjk(text) & hit).select(key)
+def regex_search(docs: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
+    """All documents that a pattern finds, with its first match; long patterns and nested quantifiers are refused."""
+    if len(pattern) > 500 or repeats_a_repetition(pattern):
+        raise ValueError("the pattern is too long or repeats a repetition")
+    return docs.where(F.col(text).rlike(pattern)).select(key, F.regexp_extract(text, pattern, 0).alias("found"))
 
 
 def tf_score(docs: DataFrame, key: str, text: str, prompt: str) -> DataFrame:
@@ -90,17 +96,6 @@ def order_hits(hits: DataFrame, key: str, mode: str, now: str, k: int) -> DataFr
     return hits.withColumn("order_key", F.round(by, 6)).orderBy("order_key", F.desc("created_at"), key).limit(k)
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, rank, distance): the k nearest of (vec_id, embedding) by L2 for each of a few queries (query_id, q).
-
-    Distances are computed where the vectors lie; a task keeps the k best of each query before anything is shuffled.
-    """
-    square = F.aggregate(F.zip_with("embedding", "q", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    pairs = vectors.join(F.broadcast(queries)).select("query_id", "vec_id", F.round(F.sqrt(square), 6).alias("distance"))
-    w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def with_bands(hits: DataFrame) -> DataFrame:
     return hits.withColumn("cosine", F.round(cosine_from_l2(F.col("distance")), 6)).withColumn("band", band(F.col("cosine")))
 

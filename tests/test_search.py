@@ -5,6 +5,7 @@ import math
 from recall_spark.functions import text as T
 from recall_spark.operators import postings as N
 from recall_spark.operators import records as R
+from recall_spark.operators import search as S
 
 DOCS = [(1, "the cat and the dog"), (2, "The dog, the cat!"), (3, None), (4, ""), (5, "sub-agent of the sub agent"), (6, "dog dog dog cat"), (7, "漢字検索のテスト text"), (8, "検索漢字 Text"), (9, "漢字 検索"), (10, "字"), (11, "a漢b字c")]
 
@@ -61,3 +62,20 @@ def test_token_estimates_and_limits(spark):
         for k in (0, 1, 10, 13):
             best = max(n for n in range(len(t) + 1) if math.ceil(sum(map(weight, t[:n]))) <= k)
             assert got[i][f"k{k}"] == t[:best]
+
+
+def test_patterns_that_repeat_a_repetition():
+    for bad in ("(a+)+", "((a+))+", "(a{1,})+", "(x(a*)y)*", "(?:a|b+)*", "((a+)b){2,}"):
+        assert S.repeats_a_repetition(bad), bad
+    for good in ("a+b*", "(ab)+", "[(+]+", r"\(a+\)+", "(a|b)+c*", "a{2,3}", "(a+)b+", "(a+)(b)+"):
+        assert not S.repeats_a_repetition(good), good
+
+
+def test_parsed_and_like_terms(spark):
+    assert S.parse_query('The "sub-agent  x" the ?! "" cat') == ["the", "sub-agent  x", "cat"]
+    assert S.like_terms(["The,", "THE", "?!", "(sub-agent)"]) == ["the", "sub-agent"]
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+    assert [r.doc_id for r in S.like_search(docs, "doc_id", "text", ["DOG!", "cat"], 2).collect()] == [6, 2]
+    assert S.like_search(docs, "doc_id", "text", ["?"], 5).collect() == []
+    queries = spark.createDataFrame([(1, ["dog"])], "query_id long, terms array<string>")
+    assert [r.doc_id for r in S.bm25(docs, "doc_id", "text", queries, 1).collect()] == [6]

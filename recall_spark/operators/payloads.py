@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recall_spark.sources.shared import kept
+
 # Least sizes of payloads, and what they look like. A slash may be escaped as in JSON.
 DATA_URI_CHARS, RUN_CHARS, LEAST_KINDS = 256, 4096, 8
 _SLASH = r"(?:/|\\/|\\u002[fF])"
@@ -108,8 +110,8 @@ def meaningful_text(m: DataFrame) -> DataFrame:
     parsed = m.select("message_id", "content", _json("content").alias("v"))
     level = parsed.where("v is not null").select("message_id", F.array().cast("array<int>").alias("at"), "v")
     found = []
-    for _ in range(MAX_DEPTH):
-        level = level.withColumn("kind", F.schema_of_variant("v"))
+    for _ in range(MAX_DEPTH):  # each level is written, else it would be worked out again for all that is below it
+        level = kept(level).withColumn("kind", F.schema_of_variant("v"))
         found.append(level.where("kind = 'STRING'").select("message_id", "at", strip_media(F.try_variant_get("v", "$", "string")).alias("t")))
         objects = level.where(F.startswith("kind", F.lit("OBJECT"))).withColumn("type", F.lower(F.trim(F.coalesce(_string("v", "$.type"), F.lit(""))))).where(~F.col("type").isin(*REASONING))
         texts = F.array(*[F.struct(F.lit(i).alias("i"), strip_media(_string("v", f"$.{k}")).alias("t")) for i, k in enumerate(TEXT_KEYS)])

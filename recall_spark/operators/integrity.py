@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Markers of damaged summaries and the distance from the end within which they count.
@@ -26,12 +26,16 @@ def duplicate_clusters(items: DataFrame, hash_column: str, k: int = 5) -> DataFr
     return groups.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def damage(content: str) -> Column:
+    """old: the text starts with the fallback marker; truncated, fallback: it has the truncation mark or the marker near its end; else null."""
+    at = lambda mark: F.instr(content, mark)
+    near = lambda mark, window: (at(mark) > 0) & (F.length(content) - at(mark) + 1 < window)
+    return F.when(F.startswith(content, F.lit(FALLBACK_MARKER)), "old").when(near(TRUNCATED_PREFIX, TRUNCATED_WINDOW), "truncated").when(near(FALLBACK_MARKER, FALLBACK_WINDOW), "fallback")
+
+
 def damaged_summaries(s: DataFrame) -> DataFrame:
-    """Summaries that start with the fallback marker (old), or have it (fallback) or the truncation mark near their end."""
-    at = lambda mark: F.instr("content", mark)
-    near = lambda mark, window: (at(mark) > 0) & (F.length("content") - at(mark) + 1 < window)
-    kind = F.when(F.startswith("content", F.lit(FALLBACK_MARKER)), "old").when(near(TRUNCATED_PREFIX, TRUNCATED_WINDOW), "truncated").when(near(FALLBACK_MARKER, FALLBACK_WINDOW), "fallback")
-    return s.withColumn("damage", kind).where("damage is not null")
+    """Damaged summaries, with the kind of damage."""
+    return s.withColumn("damage", damage("content")).where("damage is not null")
 
 
 def suppress(s: DataFrame, chosen: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -9,6 +9,7 @@ from recall_spark.operators import context as C
 from recall_spark.operators import graph as D
 from recall_spark.operators import integrity as I
 from recall_spark.operators import records as R
+from recall_spark.operators import repair as Q
 from recall_spark.plans.queries import _PACK, _RANKED, _RAW, query
 from recall_spark.sources import views as V
 
@@ -157,3 +158,61 @@ def _(spark, d):
     ids = {"hidden": F.col("summary_id"), "flagged": F.col("summary_id"), "messages": F.col("message_id").cast("string"), "items": F.concat_ws(":", "conversation_id", "ordinal"), "caches": F.col("cache_id")}
     parts = [df.select(F.lit(step).alias("step"), ids[step].alias("id")) for step, df in out.items()]
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).union(parts[4])
+
+
+# --- repair -----------------------------------------------------------------------------------------------------------
+
+STEPS = 12  # of the SQL; no conversation has more damaged summaries
+_MARK = I.TRUNCATED_PREFIX + "999 tokens]"
+_HURT = "(conversation_id % 3 = 0 OR ends_with(ref, '_1'))"
+
+
+def graph(spark, d):
+    """The built graph as the tables of repair; in every third conversation all summaries are damaged, elsewhere each second leaf."""
+    items, nodes, edges = (K.kept(x) for x in built(spark, d))
+    hurt = (F.col("conversation_id") % 3 == 0) | F.endswith("ref", F.lit("_1"))
+    text = F.when(hurt, F.concat(F.substring("content", 1, 40), F.lit(_MARK))).otherwise(F.col("content"))
+    s = nodes.select("conversation_id", F.col("ref").alias("summary_id"), "depth", text.alias("content"), "earliest_at", "latest_at", F.col("latest_at").alias("created_at"), "token_count")
+    inner = F.startswith("source_ref", F.lit("sum_"))
+    links = edges.where(~inner).select(F.col("ref").alias("summary_id"), F.col("source_ref").cast("long").alias("message_id"), "ordinal")
+    return s, _edges(edges.where(inner)), links, V.messages(spark, d), items.where("item_type = 'summary'").select("conversation_id", F.col("ref").alias("summary_id"), "ordinal")
+
+
+_GRAPH = _BUILT + _NODES + _LINKS + f""", s AS MATERIALIZED (SELECT conversation_id, ref AS summary_id, depth, CASE WHEN {_HURT} THEN substring(content, 1, 40) || '{_MARK}' ELSE content END AS content, earliest_at, latest_at FROM nodes),
+ inner_edges AS (SELECT * FROM edges WHERE starts_with(source_ref, 'sum_')),
+ by_context AS (SELECT summary_id, lag(summary_id) OVER (PARTITION BY s.conversation_id, s.depth ORDER BY i.ordinal) AS p FROM s JOIN items{ROUNDS} i ON i.ref = s.summary_id),
+ by_siblings AS (SELECT source_ref AS summary_id, lag(source_ref) OVER (PARTITION BY ref ORDER BY ordinal) AS p FROM inner_edges),
+ by_time AS (SELECT summary_id, lag(summary_id) OVER (PARTITION BY conversation_id, depth ORDER BY latest_at, summary_id) AS p FROM s),
+ prev AS MATERIALIZED (SELECT s.summary_id, coalesce(a.p, b.p, c.p) AS previous, CASE WHEN a.p IS NOT NULL THEN 'context' WHEN b.p IS NOT NULL THEN 'siblings' WHEN c.p IS NOT NULL THEN 'time' END AS via
+   FROM s LEFT JOIN by_context a USING (summary_id) LEFT JOIN by_siblings b USING (summary_id) LEFT JOIN by_time c USING (summary_id))"""
+
+
+def _step(i: int) -> str:
+    """Texts after the i-th damaged summary of every conversation is rebuilt."""
+    h = i - 1
+    mark = f"strpos(new, '{I.TRUNCATED_PREFIX}')"
+    return f""", made_of{i} AS (SELECT t.summary_id, string_agg('[' || {_AT.format(c="x.earliest_at")} || ' - ' || {_AT.format(c="x.latest_at")} || ']' || chr(10) || x.content, chr(10) || chr(10) ORDER BY e.ordinal) AS source
+   FROM todo t JOIN inner_edges e ON e.ref = t.summary_id JOIN cur{h} x ON x.summary_id = e.source_ref WHERE t.position = {i} GROUP BY 1),
+ new{i} AS (SELECT t.summary_id, t.depth || '|' || coalesce(substring(p.content, 1, 30), '-') || '|' || substring(coalesce(l.source, m.source), 1, 200) AS new FROM todo t JOIN prev USING (summary_id) LEFT JOIN cur{h} p ON p.summary_id = prev.previous
+   LEFT JOIN leaf_source l ON l.summary_id = t.summary_id AND t.depth = 0 LEFT JOIN made_of{i} m ON m.summary_id = t.summary_id WHERE t.position = {i}),
+ did{i} AS MATERIALIZED (SELECT summary_id, trim(new, ' ' || chr(10) || chr(9)) AS new, ({mark} > 0 AND length(new) - {mark} + 1 < {I.TRUNCATED_WINDOW}) AS skipped FROM new{i}),
+ cur{i} AS MATERIALIZED (SELECT c.* REPLACE (CASE WHEN skipped IS FALSE THEN new ELSE content END AS content) FROM cur{h} c LEFT JOIN did{i} d USING (summary_id))"""
+
+
+_REPAIRED = _GRAPH + f""", todo AS MATERIALIZED (SELECT summary_id, s.depth, row_number() OVER (PARTITION BY s.conversation_id ORDER BY CASE WHEN s.depth > 0 THEN 2 WHEN i.ref IS NULL THEN 1 ELSE 0 END, CASE WHEN s.depth = 0 THEN i.ordinal END, s.depth, s.latest_at, summary_id) AS position
+   FROM s LEFT JOIN items{ROUNDS} i ON i.ref = s.summary_id WHERE strpos(s.content, '{I.TRUNCATED_PREFIX}') > 0),
+ leaf_source AS MATERIALIZED (SELECT e.ref AS summary_id, string_agg('[' || {_AT.format(c="created_at")} || ']' || chr(10) || content, chr(10) || chr(10) ORDER BY e.ordinal) AS source FROM edges e JOIN messages m ON CAST(m.message_id AS VARCHAR) = e.source_ref GROUP BY 1),
+ cur0 AS (SELECT summary_id, content, earliest_at, latest_at FROM s)""" + "".join(_step(i) for i in range(1, STEPS + 1)) + ", did AS (" + " UNION ALL ".join(f"SELECT * FROM did{i}" for i in range(1, STEPS + 1)) + ")"
+
+
+@query("j7_previous_of_three_orders", VIEWS, _GRAPH + " SELECT summary_id, previous, via FROM prev")
+def _(spark, d):
+    s, edges, _, _, context = graph(spark, d)
+    return Q.previous_summaries(s, edges, context)
+
+
+@query("q14_repair_texts", VIEWS, _REPAIRED + """ SELECT summary_id, depth, CASE WHEN skipped THEN 'skipped' ELSE 'repaired' END AS status, CASE WHEN skipped THEN 'rewritten content still contains a doctor marker' END AS reason,
+ CASE WHEN NOT skipped THEN sha256(new) END AS text_hash, CASE WHEN NOT skipped THEN CAST(ceil(0.25 * length(new)) AS BIGINT) END AS token_count FROM did JOIN todo USING (summary_id)""")
+def _(spark, d):
+    rewrite = lambda source, told, depth: F.concat_ws("|", depth.cast("string"), F.coalesce(F.substring(told, 1, 30), F.lit("-")), F.substring(source, 1, 200))
+    return Q.repair_texts(*graph(spark, d), rewrite).select("summary_id", "depth", "status", "reason", F.sha2("content", 256).alias("text_hash"), "token_count")

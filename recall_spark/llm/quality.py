@@ -1,14 +1,15 @@
 """Quality by weak supervision, in DataFrame operations.
 
-Rules look at a document's counts and vote good, bad or nothing. A document is good or junk of one of at most `KINDS` kinds, and
-how often each rule votes good, bad or abstains for each of these is estimated by expectation-maximisation over all
-documents, without labels, until the likelihood stands still; a document is kept if the posterior probability that it is
-good reaches `KEEP`. As a document matters only by its votes, EM runs over the table of vote patterns (at most
-3 ** rules rows), which Spark counts.
+Rules look at a document's counts and vote good, bad or nothing. Rules on one property (size, symbols, repetition, capitals)
+depend on each other, so their votes count as one joint vote. A document is good or junk of one of at most `KINDS` kinds, and how often each
+joint vote is cast for each of these is estimated by expectation-maximisation, without labels, until the likelihood
+stands still; a document is kept if the posterior probability that it is good reaches `KEEP`. EM learns from all documents that
+pass the base limits, as only these are judged; p_good of the others is what it makes of their votes. As a document matters only by
+its votes, EM runs over the table of vote patterns (at most 3 ** rules rows), which Spark counts.
 
 EM starts from documents with at most one bad vote as good ones, and from the most frequent patterns in which two rules or more
 vote bad, and that share at most half of their bad votes, as kinds of junk; others start as the kind whose bad votes they
-share. What it finds may differ: a rule's lone bad votes count as it turns out to be right. `PRIOR` documents of each class,
+share. What it finds may differ: a property's bad votes count as they turn out to be right. `PRIOR` documents of each class,
 with all votes alike, keep chances off zero.
 
 Null text has no words. Texts below the base limits (too few words, too many repeated ones) are never kept. Repeated
@@ -44,6 +45,10 @@ RULES: dict[str, tuple[str, str]] = {
     "exclaims": ("10 * n_exclaims > n_words", "false"),
 }
 
+#: The property that each rule looks at; a rule without one votes alone.
+PROPERTIES = {"length": "size", "word_size": "size", "symbols": "symbols", "symbol_share": "symbols", "variety": "repetition", "lines": "repetition", "repeats": "repetition", "capitals": "capitals", "exclaims": "capitals"}
+
+
 def _without(text: str | Column, chars: str) -> Column:
     return F.translate(text, chars, "")
 
@@ -87,36 +92,51 @@ Pattern = tuple[int, ...]
 def seeds(patterns: list[tuple[Pattern, int]], kinds: int = KINDS) -> list[Pattern]:
     """Frequent patterns in which rules confirm each other's bad votes, unlike each other."""
     chosen: list[Pattern] = []
-    for p, _ in sorted(patterns, key=lambda x: (-x[1], x[0])):
+    for p, n in sorted(patterns, key=lambda x: (-x[1], x[0])):
         bad = {r for r, v in enumerate(p) if v < 0}
         others = [{r for r, v in enumerate(q) if v < 0} for q in chosen]
-        if len(bad) > 1 and len(chosen) < kinds and all(2 * len(bad & o) <= len(bad | o) for o in others):
+        if n and len(bad) > 1 and len(chosen) < kinds and all(2 * len(bad & o) <= len(bad | o) for o in others):
             chosen.append(p)
     return chosen
 
 
-def estimate(patterns: list[tuple[Pattern, int]], rounds: int = ROUNDS) -> dict[Pattern, float]:
-    """Posterior probability of good for each vote pattern (votes, documents), by EM over the classes good (0) and kinds of junk."""
+def together(rules: list[str]) -> list[list[int]]:
+    """Places of the rules that vote as one."""
+    groups: dict[str, list[int]] = {}
+    for i, r in enumerate(rules):
+        groups.setdefault(PROPERTIES.get(r, r), []).append(i)
+    return list(groups.values())
+
+
+def beginning(patterns: list[tuple[Pattern, int]], start: list[Pattern]) -> dict[Pattern, list[float]]:
+    """Membership in good (0) and the kinds of junk that EM starts from."""
+    bad = lambda p: {r for r, v in enumerate(p) if v < 0}
+    nearest = lambda p: 1 + max(range(len(start)), key=lambda j: len(bad(p) & bad(start[j])) / len(bad(p) | bad(start[j])))
+    own = {p: nearest(p) if len(bad(p)) > 1 else 0 for p, _ in patterns}
+    return {p: [float(c == k) for c in range(len(start) + 1)] for p, k in own.items()}
+
+
+def estimate(patterns: list[tuple[Pattern, int]], groups: list[list[int]], rounds: int = ROUNDS) -> dict[Pattern, float]:
+    """Posterior probability of good for each vote pattern (votes, documents to learn from), by EM over the classes good and kinds of junk."""
     start = seeds(patterns)
     if not start:
         return {p: 1.0 for p, _ in patterns}
-    rules, classes, total = range(len(patterns[0][0])), range(len(start) + 1), sum(n for _, n in patterns)
-    bad = lambda p: {r for r in rules if p[r] < 0}
-    nearest = lambda p: 1 + max(range(len(start)), key=lambda j: len(bad(p) & bad(start[j])) / len(bad(p) | bad(start[j])))
-    member = {p: [float(c == (nearest(p) if len(bad(p)) > 1 else 0)) for c in classes] for p, _ in patterns}
-    before = None
+    classes, total = range(len(start) + 1), sum(n for _, n in patterns)
+    member, before = beginning(patterns, start), None
+    joint = {p: [(i, *(p[r] for r in g)) for i, g in enumerate(groups)] for p, _ in patterns}
+    least = [PRIOR / 3 ** len(g) for g in groups]
     for _ in range(rounds):
         size = [sum(member[p][c] * n for p, n in patterns) for c in classes]
         share = [log((size[c] + PRIOR) / (total + PRIOR * len(classes))) for c in classes]
-        chance = [[{v: PRIOR / 3 for v in (-1, 0, 1)} for _ in rules] for _ in classes]
+        cast = [{v: least[v[0]] for p, _ in patterns for v in joint[p]} for _ in classes]
         for p, n in patterns:
             for c in classes:
-                for r in rules:
-                    chance[c][r][p[r]] += member[p][c] * n
-        logs = [[{v: log(x / (size[c] + PRIOR)) for v, x in chance[c][r].items()} for r in rules] for c in classes]
+                for v in joint[p]:
+                    cast[c][v] += member[p][c] * n
+        logs = [{v: log(x / (size[c] + PRIOR)) for v, x in cast[c].items()} for c in classes]
         likely = 0.0
         for p, n in patterns:
-            each = [share[c] + sum(logs[c][r][p[r]] for r in rules) for c in classes]
+            each = [share[c] + sum(logs[c][v] for v in joint[p]) for c in classes]
             most = max(each)
             whole = sum(exp(x - most) for x in each)
             likely += n * (most + log(whole))
@@ -131,13 +151,13 @@ def judged(docs: DataFrame, keep: list[str], rules: dict[str, tuple[str, str]] |
     """keep, the counts, votes, base_failed, p_good and kept of every document."""
     rules = rules or RULES
     names = [f"vote_{r}" for r in rules]
-    voted = saved(votes(counted(docs, keep), rules))
-    patterns = [(tuple(r[n] for n in names), r["count"]) for r in voted.groupBy(*names).count().orderBy(*names).collect()]  # at most 3 ** len(rules) rows
-    posterior = estimate(patterns)
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    voted = saved(votes(counted(docs, keep), rules).withColumn("base_failed", failed))
+    seen = voted.groupBy(*names).agg(F.count_if(~F.col("base_failed")).alias("n")).orderBy(*names).collect()  # at most 3 ** len(rules) rows
+    posterior = estimate([(tuple(r[n] for n in names), r["n"]) for r in seen], together(list(rules)))
     spark = docs.sparkSession
     table_ = spark.createDataFrame([(*p, v) for p, v in posterior.items()], ", ".join([*(f"{n} int" for n in names), "p_good double"]))
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return voted.join(F.broadcast(table_), names).withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("p_good") >= KEEP))
+    return voted.join(F.broadcast(table_), names).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= KEEP))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,6 +190,37 @@ def test_base_counts_and_verdict(docs, rows, empty):
     assert quality.judged(empty, ["doc_id"]).count() == 0
 
 
+def test_em_against_a_version_over_documents(monkeypatch):
+    rng, groups = np.random.default_rng(5), [[0, 1], [2], [3, 4]]
+    chances = {0: [0.05, 0.05, 0.1, 0.02, 0.1], 1: [0.8, 0.9, 0.2, 0.1, 0.1], 2: [0.1, 0.1, 0.7, 0.9, 0.8]}
+    docs = [tuple(-1 if rng.random() < x else int(rng.random() < 0.6) for x in chances[k]) for k in rng.choice(3, 900, p=[0.7, 0.2, 0.1])]
+    patterns = sorted(({(-1, -1, -1, -1, -1): 0} | Counter(docs)).items())
+    start = quality.beginning(patterns, quality.seeds(patterns))
+    m, codes = np.array([start[d] for d in docs]), [np.array([sum((d[r] + 1) * 3**i for i, r in enumerate(g)) for d in docs]) for g in groups]
+    for _ in range(40):
+        weight = np.log((m.sum(0) + quality.PRIOR) / (len(docs) + quality.PRIOR * m.shape[1]))
+        each = np.tile(weight, (len(docs), 1))
+        for g, code in zip(groups, codes):
+            table = np.array([np.bincount(code, m[:, c], 3 ** len(g)) for c in range(m.shape[1])]) + quality.PRIOR / 3 ** len(g)
+            each += np.log(table / (m.sum(0) + quality.PRIOR)[:, None])[:, code].T
+        m = np.exp(each - each.max(1, keepdims=True))
+        m /= m.sum(1, keepdims=True)
+    monkeypatch.setattr(quality, "STILL", -1.0)
+    got = quality.estimate(patterns, groups, 40)
+    assert len(quality.seeds(patterns)) > 1 and np.allclose([got[d] for d in docs], m[:, 0])
+    assert quality.estimate([((1, 0, -1, 0, 0), 5), ((-1, -1, 0, 0, 0), 0)], groups) == {(1, 0, -1, 0, 0): 1.0, (-1, -1, 0, 0, 0): 1.0}
+
+
+def test_em_is_no_worse_than_its_start(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    judged = quality.judged(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), ["doc_id"]).join(labels, "doc_id").where("not base_failed")
+    start = F.aggregate(F.array(*[F.col(f"vote_{r}") for r in quality.RULES]), F.lit(0), lambda n, v: n + (v < 0).cast("int")) < 2
+    wrong = {k: judged.where(c.cast("int") != F.col("quality")).groupBy("quality").count().collect() for k, c in (("start", start), ("end", F.col("kept")))}
+    start, end = ({r.quality: r["count"] for r in wrong[k]} for k in ("start", "end"))
+    assert all(end.get(q, 0) <= start.get(q, 0) for q in (0, 1)) and sum(end.values()) < sum(start.values())
+
+
 def test_toxicity_on_held_out(spark):
     got = toxicity.op2_toxicity(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("held_out")
     r = got.agg(F.avg(F.when(F.col("toxic") == 1, F.col("predicted"))).alias("hit"), F.avg(F.when(F.col("toxic") == 0, F.col("predicted"))).alias("false")).first()

@@ -364,7 +364,55 @@ def test_rollup_counts_a_batch_once(spark, tmp_path):
     rows.write.parquet(f"file://{tmp_path}/log/sums/interrupted")  # no marker names it
     assert log.commit("b", rows.where("source is null").withColumns({"docs": -F.col("docs"), "tokens": -F.col("tokens")}))
     assert [tuple(r) for r in log.totals().collect()] == [("s", "en", "words-1", 1, 5)]
-    assert log.compact() and [tuple(r) for r in log.totals().collect()] == [("s", "en", "words-1", 1, 5)]
+    assert log.compact() and not log.compact() and [tuple(r) for r in log.totals().collect()] == [("s", "en", "words-1", 1, 5)]
+    assert not log.commit("a", rows) and log.batches() == ["a", "b"]
+
+
+def racing(log, step, other):
+    """Runs other in the middle of the log's next call of step."""
+    own, waiting = getattr(log, step), [other]
+
+    def call(*args):
+        if waiting:
+            waiting.pop()()
+        return own(*args)
+
+    setattr(log, step, call)
+
+
+ROWS = "doc_id long, source string, lang string, tokenizer string, tokens long"
+
+
+def test_rollup_with_two_writers(spark, tmp_path):
+    path = f"file://{tmp_path}/log"
+    log, other = rollup.Rollup(spark, path), rollup.Rollup(spark, path)
+    rows = lambda *r: spark.createDataFrame(list(r), ROWS)
+    log.apply("0", rows((1, "a", "en", "t", 5)))
+    racing(log, "totals", lambda: other.apply("1", rows((2, "a", "en", "t", 5))))
+    assert log.compact() and [tuple(r) for r in log.totals().collect()] == [("a", "en", "t", 2, 10)]
+    racing(log, "_publish", lambda: other.apply("2", rows((1, "a", "en", "t", 6))))
+    assert log.apply("3", rows((1, "b", "en", "t", 7)))
+    assert {tuple(r) for r in log.totals().collect()} == {("a", "en", "t", 1, 5), ("b", "en", "t", 1, 7)}
+    racing(log, "_publish", lambda: other.apply("4", rows((1, "b", "en", "t", 9))))
+    assert not log.apply("4", rows((1, "b", "en", "t", 9))) and log.batches() == ["0", "1", "2", "3", "4"]
+    racing(log, "_publish", lambda: other.commit("5", spark.createDataFrame([("c", None, "t", 1, 1)], rollup.SCHEMA)))
+    assert log.commit("6", spark.createDataFrame([("c", None, "t", 1, 2)], rollup.SCHEMA))
+    want = {("a", "en", "t", 1, 5), ("b", "en", "t", 1, 9), ("c", None, "t", 2, 3)}
+    racing(log, "_publish", lambda: other.compact())
+    assert {tuple(r) for r in log.totals().collect()} == want and not log.compact()
+    log.clean()
+    log = rollup.Rollup(spark, path)
+    assert {tuple(r) for r in log.totals().collect()} == want
+    assert log.apply("7", deletes=rows((1, None, None, None, 0)).select("doc_id")) and {tuple(r) for r in log.totals().collect()} == want - {("b", "en", "t", 1, 9)}
+    assert len(list((tmp_path / "log" / "sums").iterdir())) == 1 and len(list((tmp_path / "log" / "ledger").iterdir())) == 1
+
+
+def test_counts_of_odd_texts(spark):
+    schema = "doc_id long, text string, lang string, source string, tokenizer string"
+    docs = spark.createDataFrame([(1, None, "en", "s", "x"), (2, "", None, None, "x"), (3, "word " * 200_000, "en", "s", "x"), (None, "word", "en", "s", "x"), (3, "word", "en", "s", "x")], schema)
+    got = sorted(((r.doc_id or 0, r.tokenizer, r.tokens) for r in rollup.counted(docs, "byte-50k").collect()), key=lambda r: (r[0], r[2]))
+    assert [r[:2] for r in got] == [(i, "byte-50k") for i in (0, 1, 2, 3, 3)] and [r[2] for r in got[:4]] == [1, 0, 0, 1] and got[4][2] >= 200_000
+    assert rollup.counted(docs.limit(0), "byte-50k").count() == 0
 
 
 def test_rollup_looks_up_what_documents_count_as(spark, tmp_path):

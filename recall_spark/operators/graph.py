@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recall_spark.sources.shared import kept
@@ -34,6 +34,28 @@ def expand_paths(edges: DataFrame, roots: DataFrame, max_depth: int = 50) -> Dat
     raise ValueError(f"the graph goes on below depth {max_depth}")
 
 
+def manifest(nodes: DataFrame, edges: DataFrame, roots: DataFrame, budget: int, most: int = 10_000, max_depth: int = 50) -> DataFrame:
+    """What it costs to go down from roots (root, budget; a null budget is `budget`, at least 1): a row for each visible node under each root.
+
+    nodes (summary_id, token_count, descendant_tokens, source_tokens, created_at, suppressed); null or negative tokens are 0. Nodes below a
+    suppressed one are still walked. summaries_only is the node and all below, with_messages its messages too; fits_* say whether
+    that is within the root's budget. before is the node before on the path, n_below the number of edges from the node. A root's first
+    `most` nodes by depth, path and time are listed, n_nodes says how many there are. Edges with swapped columns walk to what was made from a node.
+    """
+    asked = roots.groupBy("root").agg(F.greatest(F.coalesce(F.max("budget"), F.lit(budget)), F.lit(1)).alias("budget"))
+    walked = kept(expand_paths(edges, asked, max_depth))
+    up = F.when(F.col("depth") == 1, "").otherwise(F.regexp_replace("path", r"\.[^.]*$", ""))
+    named = walked.where("depth > 0").withColumn("up", up).join(walked.select("root", F.col("path").alias("up"), F.col("summary_id").alias("before")), ["root", "up"]).select("root", "summary_id", "before")
+    size = lambda c: F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)).cast("long")
+    costs = nodes.where(~F.coalesce("suppressed", F.lit(False))).select("summary_id", (size("token_count") + size("descendant_tokens")).alias("summaries_only"), size("source_tokens").alias("raw"), "created_at")
+    costs = costs.join(edges.groupBy("summary_id").agg(F.count("*").alias("n_below")), "summary_id", "left").withColumn("n_below", F.coalesce("n_below", F.lit(0)))
+    rows = walked.join(costs, "summary_id").join(named, ["root", "summary_id"], "left").join(asked, "root").withColumn("with_messages", F.col("summaries_only") + F.col("raw"))
+    every = Window.partitionBy("root")
+    rows = rows.join(rows.groupBy("root").agg(F.count("*").alias("n_nodes")), "root").withColumn("place", F.row_number().over(every.orderBy("depth", "path", "created_at", "summary_id"))).where(F.col("place") <= most)
+    fits = lambda c: (F.col(c) <= F.col("budget")).alias(f"fits_{c}")
+    return rows.select("root", "summary_id", "before", "depth", "path", "n_below", "summaries_only", "with_messages", fits("summaries_only"), fits("with_messages"), "n_nodes")
+
+
 def one_hop(edges: DataFrame) -> DataFrame:
     return edges.groupBy("summary_id").agg(F.count("*").alias("n_sources"), F.min("ordinal").alias("first"), F.max("ordinal").alias("last"))
 

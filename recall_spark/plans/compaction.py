@@ -122,6 +122,17 @@ def _(spark, d):
     return D.expand_paths(_edges(edges), nodes.where("depth > 0").select(F.col("ref").alias("root")))
 
 
+@query("d4_manifest_built", VIEWS, _BUILT + _NODES + _LINKS + _WALK + """, seen AS (SELECT w.*, n.conversation_id, n.token_count + n.descendant_tokens AS one, n.source_tokens AS raw, n.latest_at FROM walk w JOIN nodes n ON n.ref = w.summary_id WHERE NOT (n.depth = 0 AND ends_with(n.ref, '_2'))),
+ placed AS (SELECT *, count(*) OVER (PARTITION BY root) AS n_nodes, row_number() OVER (PARTITION BY root ORDER BY depth, path, latest_at, summary_id) AS place, CASE WHEN conversation_id % 2 = 0 THEN 300 ELSE 700 END AS budget FROM seen)
+ SELECT root, p.summary_id, CASE WHEN p.depth > 0 THEN e.ref END AS before, depth, path, (SELECT count(*) FROM edges x WHERE x.ref = p.summary_id AND starts_with(x.source_ref, 'sum_')) AS n_below, CAST(one AS BIGINT) AS summaries_only, CAST(one + raw AS BIGINT) AS with_messages, one <= budget AS fits_summaries_only, one + raw <= budget AS fits_with_messages, n_nodes
+ FROM placed p LEFT JOIN edges e ON e.source_ref = p.summary_id WHERE place <= 4""")
+def _(spark, d):
+    _, nodes, edges = built(spark, d)
+    s = nodes.select(F.col("ref").alias("summary_id"), "token_count", "descendant_tokens", "source_tokens", F.col("latest_at").alias("created_at"), ((F.col("depth") == 0) & F.endswith("ref", F.lit("_2"))).alias("suppressed"))
+    roots = nodes.where("depth > 0").select(F.col("ref").alias("root"), F.when(F.col("conversation_id") % 2 == 0, 300).alias("budget"))
+    return D.manifest(s, _edges(edges).where("source_summary_id like 'sum%'"), roots, 700, 4)
+
+
 @query("d6_depths_built", VIEWS, _BUILT + _NODES + " SELECT ref AS summary_id, depth FROM nodes")
 def _(spark, d):
     _, nodes, edges = built(spark, d)

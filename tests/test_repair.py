@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from recall_spark.operators import graph as D
 from recall_spark.operators import repair as R
 
 NODE = "conversation_id long, summary_id string, depth int, content string, earliest_at timestamp, latest_at timestamp, created_at timestamp, token_count long"
@@ -127,3 +128,20 @@ def test_right_texts_and_blank_rewrites(spark):
     whole = frames(spark, tables)
     assert R.repair_texts(whole[0].where("conversation_id = 2"), *whole[1:], rewrite).collect() == []
     assert R.repair_texts(whole[0].limit(0), *[t.limit(0) for t in whole[1:]], rewrite).collect() == []
+
+
+def test_manifest_of_odd_nodes(spark):
+    """A shared node counts once at its least depth, a suppressed one is passed through, a cycle ends, odd sizes are 0."""
+    node = "summary_id string, token_count long, descendant_tokens long, source_tokens long, created_at timestamp, suppressed boolean"
+    nodes = spark.createDataFrame([("a", 10, 40, 100, at(1), None), ("b", 5, None, 7, None, True), ("c", -3, 20, 9, at(1), False), ("d", None, None, None, None, False), ("lone", 1, 1, 1, None, False)], node)
+    edges = spark.createDataFrame([("a", "b", 0), ("a", "c", 1), ("b", "d", 0), ("c", "d", 3), ("d", "a", 0), ("c", "gone", 4)], EDGE)
+    roots = spark.createDataFrame([("a", 50), ("a", 50), ("lone", None), ("gone", 3)], "root string, budget int")
+    got = sorted(map(tuple, D.manifest(nodes, edges, roots, 2).collect()))
+    assert got == [
+        ("a", "a", None, 0, "", 2, 50, 150, True, False, 3),
+        ("a", "c", "a", 1, "0001", 2, 20, 29, True, True, 3),
+        ("a", "d", "b", 2, "0000.0000", 1, 0, 0, True, True, 3),
+        ("lone", "lone", None, 0, "", 0, 2, 3, True, False, 1),
+    ]
+    assert [r.summary_id for r in D.manifest(nodes, edges, roots.where("root = 'a'"), 2, 2).orderBy("depth").collect()] == ["a", "c"]
+    assert D.manifest(nodes, edges, roots.limit(0), 2).count() == 0 and D.manifest(nodes.limit(0), edges, roots, 2).count() == 0

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from recall_spark.functions.text import estimate_tokens
 from recall_spark.operators.compaction import source_text, stamp
 from recall_spark.operators.integrity import damage
+from recall_spark.operators.records import orphans
 from recall_spark.sources.shared import kept
 
 Rewrite = Callable[[Column, Column, Column], Column]
@@ -113,3 +114,36 @@ def with_repairs(nodes: DataFrame, repairs: DataFrame) -> DataFrame:
     """nodes with the texts and token counts of what was repaired."""
     new = repairs.where("status = 'repaired'").select("summary_id", F.col("content").alias("_content"), F.col("token_count").alias("_tokens"))
     return nodes.join(new, "summary_id", "left").withColumns({"content": F.coalesce("_content", "content"), "token_count": F.coalesce("_tokens", "token_count")}).select(*nodes.columns)
+
+
+def repair_plan(conversations: DataFrame, messages: DataFrame, nodes: DataFrame, edges: DataFrame, links: DataFrame, context: DataFrame) -> DataFrame:
+    """(conversation_id, check, suggestion): what to do about every finding of every check, of all conversations.
+
+    context (conversation_id, ordinal, item_type, ref), messages (conversation_id, message_id, seq), nodes (conversation_id, summary_id, depth).
+    Ordinals and seqs must run from 0 without gaps or repeats; rows without a conversation_id aren't checked. Each check is an anti-join
+    or an aggregate that shrinks before it is shuffled; only a repeated reference brings its ordinals together, as its suggestion lists them.
+    """
+    context, messages, nodes = (df.where("conversation_id is not null") for df in (context, messages, nodes))
+    known = messages.select(F.lit("message").alias("item_type"), F.col("message_id").cast("string").alias("ref")).union(nodes.select(F.lit("summary"), "summary_id")).distinct()
+    every = context.select("conversation_id").union(messages.select("conversation_id")).union(nodes.select("conversation_id")).distinct()
+    gaps = lambda df, c: df.groupBy("conversation_id").agg(F.count("*").alias("n"), F.countDistinct(c).alias("kinds"), F.min(c).alias("first"), F.max(c).alias("last")).where("n <> kinds or first <> 0 or last <> n - 1")
+    repeated = context.where("ref is not null").groupBy("conversation_id", "item_type", "ref").agg(F.array_sort(F.collect_list("ordinal")).alias("at")).where("size(at) > 1")
+    rest = F.array_join(F.transform(F.slice("at", F.lit(2), F.size("at")), lambda o: o.cast("string")), ", ")
+    leaf = F.coalesce("depth", F.lit(0)) == 0
+    bare = nodes.where(leaf).join(links.select("summary_id").distinct(), "summary_id", "left_anti").unionByName(nodes.where(~leaf).join(edges.select("summary_id").distinct(), "summary_id", "left_anti"))
+    lone = orphans(nodes, edges, context.where("item_type = 'summary'").select(F.col("ref").alias("summary_id")))
+    # Names of checks and wording of suggestions.
+    found = [
+        ("conversation_exists", every.join(conversations.select("conversation_id"), "conversation_id", "left_anti"), F.format_string("Create or restore conversation %d in the conversations table", "conversation_id")),
+        ("context_items_contiguous", gaps(context, "ordinal"), F.lit("Resequence context items to fix ordinal gaps")),
+        ("context_items_valid_refs", context.join(known, ["item_type", "ref"], "left_anti"), F.format_string("Remove context item at ordinal %d referencing missing %s %s", "ordinal", "item_type", "ref")),
+        ("summaries_have_lineage", bare, F.concat(F.lit("Add missing lineage for "), F.when(leaf, "leaf").otherwise("condensed"), F.lit(" summary "), "summary_id", F.when(leaf, " (link to source messages via summary_messages)").otherwise(" (link to parent summaries via summary_parents)"))),
+        ("no_orphan_summaries", lone, F.concat(F.lit("Remove orphaned summary "), "summary_id", F.lit(" from summaries table"))),
+        ("message_seq_contiguous", gaps(messages, "seq"), F.lit("Resequence message seq values to eliminate gaps (renumber starting from 0)")),
+        ("no_duplicate_context_refs", repeated, F.concat(F.lit("Deduplicate "), "item_type", F.lit(" "), "ref", F.lit(": keep ordinal "), F.element_at("at", 1).cast("string"), F.lit(", remove ordinals "), rest)),
+    ]
+    rows = [df.select("conversation_id", F.lit(name).alias("check"), text.alias("suggestion")) for name, df, text in found]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    return out

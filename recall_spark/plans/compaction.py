@@ -227,3 +227,25 @@ def _(spark, d):
 def _(spark, d):
     rewrite = lambda source, told, depth: F.concat_ws("|", depth.cast("string"), F.coalesce(F.substring(told, 1, 30), F.lit("-")), F.substring(source, 1, 200))
     return Q.repair_texts(*graph(spark, d), rewrite).select("summary_id", "depth", "status", "reason", F.sha2("content", 256).alias("text_hash"), "token_count")
+
+
+@query("q9_repair_plan", VIEWS + " convs", _BUILT + _NODES + _LINKS + f""", cut AS (SELECT conversation_id, CAST(ordinal AS BIGINT) AS ordinal, item_type, CASE WHEN ordinal % 5 = 2 THEN 'none' ELSE ref END AS ref FROM items{ROUNDS} WHERE conversation_id % 6 <> 1 OR ordinal % 3 <> 1),
+ ctx AS MATERIALIZED (SELECT * FROM cut UNION ALL SELECT conversation_id, ordinal + 1000, item_type, ref FROM cut WHERE conversation_id % 4 = 1 AND ordinal % 2 = 1), msg AS (SELECT * FROM messages WHERE conversation_id % 5 <> 2 OR seq % 3 <> 1),
+ lineage AS (SELECT ref, source_ref FROM edges WHERE NOT ends_with(ref, '_1') AND (NOT starts_with(source_ref, 'sum_') OR NOT ends_with(ref, '_2_0'))), every AS (SELECT conversation_id FROM ctx UNION SELECT conversation_id FROM msg UNION SELECT conversation_id FROM nodes),
+ dup AS (SELECT conversation_id, item_type, ref, min(ordinal) AS o, string_agg(CAST(ordinal AS VARCHAR), ', ' ORDER BY ordinal) AS l FROM ctx GROUP BY ALL HAVING count(*) > 1)
+ SELECT conversation_id, 'conversation_exists' AS "check", 'Create or restore conversation ' || conversation_id || ' in the conversations table' AS suggestion FROM every WHERE conversation_id NOT IN (SELECT conversation_id FROM convs WHERE conversation_id % 11 <> 3)
+ UNION ALL SELECT conversation_id, 'context_items_contiguous', 'Resequence context items to fix ordinal gaps' FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY ordinal) - 1 AS place FROM ctx) WHERE place <> ordinal GROUP BY 1
+ UNION ALL SELECT conversation_id, 'context_items_valid_refs', 'Remove context item at ordinal ' || ordinal || ' referencing missing ' || item_type || ' ' || ref FROM ctx WHERE CASE item_type WHEN 'message' THEN ref NOT IN (SELECT CAST(message_id AS VARCHAR) FROM msg) ELSE ref NOT IN (SELECT ref FROM nodes) END
+ UNION ALL SELECT conversation_id, 'summaries_have_lineage', 'Add missing lineage for ' || CASE WHEN depth = 0 THEN 'leaf summary ' || ref || ' (link to source messages via summary_messages)' ELSE 'condensed summary ' || ref || ' (link to parent summaries via summary_parents)' END FROM nodes WHERE ref NOT IN (SELECT ref FROM lineage)
+ UNION ALL SELECT conversation_id, 'no_orphan_summaries', 'Remove orphaned summary ' || ref || ' from summaries table' FROM nodes WHERE ref NOT IN (SELECT source_ref FROM lineage) AND ref NOT IN (SELECT ref FROM ctx)
+ UNION ALL SELECT conversation_id, 'message_seq_contiguous', 'Resequence message seq values to eliminate gaps (renumber starting from 0)' FROM (SELECT conversation_id, seq, row_number() OVER (PARTITION BY conversation_id ORDER BY seq) - 1 AS place FROM msg) WHERE place <> seq GROUP BY 1
+ UNION ALL SELECT conversation_id, 'no_duplicate_context_refs', 'Deduplicate ' || item_type || ' ' || ref || ': keep ordinal ' || o || ', remove ordinals ' || substring(l, length(CAST(o AS VARCHAR)) + 3) FROM dup""")
+def _(spark, d):
+    items, nodes, edges = (K.kept(x) for x in built(spark, d))
+    i0 = items.where("conversation_id % 6 <> 1 or ordinal % 3 <> 1").select("conversation_id", "ordinal", "item_type", F.when(F.col("ordinal") % 5 == 2, "none").otherwise(F.col("ref")).alias("ref"))
+    context = i0.union(i0.where("conversation_id % 4 = 1 and ordinal % 2 = 1").withColumn("ordinal", F.col("ordinal") + 1000))
+    inner = F.startswith("source_ref", F.lit("sum_"))
+    lineage = edges.where(~F.endswith("ref", F.lit("_1")) & (~inner | ~F.endswith("ref", F.lit("_2_0"))))
+    s = nodes.select("conversation_id", F.col("ref").alias("summary_id"), "depth")
+    known = V.conversations(spark, d).where("conversation_id % 11 <> 3")
+    return Q.repair_plan(known, V.messages(spark, d).where("conversation_id % 5 <> 2 or seq % 3 <> 1"), s, _edges(lineage.where(inner)), lineage.where(~inner).select(F.col("ref").alias("summary_id")), context)

@@ -145,3 +145,25 @@ def test_manifest_of_odd_nodes(spark):
     ]
     assert [r.summary_id for r in D.manifest(nodes, edges, roots.where("root = 'a'"), 2, 2).orderBy("depth").collect()] == ["a", "c"]
     assert D.manifest(nodes, edges, roots.limit(0), 2).count() == 0 and D.manifest(nodes.limit(0), edges, roots, 2).count() == 0
+
+
+def test_plan_names_each_finding(spark):
+    tables = [
+        spark.createDataFrame([(1,), (3,)], "conversation_id long"),
+        spark.createDataFrame([(1, 10, 0), (1, 11, 1), (2, 20, 1), (None, 30, 5), (3, 31, 0), (3, 32, 0)], "conversation_id long, message_id long, seq long"),
+        spark.createDataFrame([(1, "a", None), (1, "b", 1), (1, "c", 0)], "conversation_id long, summary_id string, depth int"),
+        spark.createDataFrame([("b", "a", 0)], EDGE), spark.createDataFrame([("c", 10, 0), ("c", 11, 1)], LINK),
+        spark.createDataFrame([(1, 0, "message", "10"), (1, 1, "summary", "b"), (1, 3, "message", "10"), (1, 4, "summary", "none"), (None, 7, "summary", "x")], "conversation_id long, ordinal long, item_type string, ref string"),
+    ]
+    got = sorted(map(tuple, R.repair_plan(*tables).collect()))
+    assert got == sorted([
+        (2, "conversation_exists", "Create or restore conversation 2 in the conversations table"),
+        (1, "context_items_contiguous", "Resequence context items to fix ordinal gaps"),
+        (1, "context_items_valid_refs", "Remove context item at ordinal 4 referencing missing summary none"),
+        (1, "summaries_have_lineage", "Add missing lineage for leaf summary a (link to source messages via summary_messages)"),
+        (1, "no_orphan_summaries", "Remove orphaned summary c from summaries table"),
+        (2, "message_seq_contiguous", "Resequence message seq values to eliminate gaps (renumber starting from 0)"),
+        (3, "message_seq_contiguous", "Resequence message seq values to eliminate gaps (renumber starting from 0)"),
+        (1, "no_duplicate_context_refs", "Deduplicate message 10: keep ordinal 0, remove ordinals 3"),
+    ])
+    assert R.repair_plan(*[t.limit(0) for t in tables]).count() == 0

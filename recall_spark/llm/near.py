@@ -11,7 +11,10 @@ of 0.8 by a few bits, so blocks come from the text: shingles are dealt to classe
 gives a block. Texts of the similarity differ in few shingles, so some classes have none of them: the blocks agree.
 There are as many classes as leave `AGREE` agreeing blocks on average at the least similarity. Inside a key the Hamming distances of
 SimHash fingerprints of 128 bits choose a spanning forest, nearest first; the similarity of a link's shingle sets is then computed
-from the texts, and links below the least go.
+from the texts, and links below the least go. This finds most links, not all: the rest is found without fail by prefixes. Shingles
+have one order, by how many texts' hashes fall to their counter, rarest first. Sets of the similarity share one of their first shingles, so many as could all
+be missing from the other. Sets of different groups that share one meet; a pair goes if the sets' sizes and the place of the first shared shingle, or the parities
+of their shingles by bucket, rule the similarity out, and is else computed from the texts. The counters only choose the order: whatever they hold, no pair is lost.
 
 Nulls and empty texts have fingerprint zero, or the empty set of shingles, and link like any other. A null doc_id is
 larger than all others; a component without any doc_id has none. Repeated rows are kept. An empty table gives an empty table.
@@ -37,6 +40,10 @@ SHINGLE, RADIUS, BLOCKS = 3, 3, 5
 CROWD = 2000
 #: Blocks that agree on average at the least similarity; bits of 128 within which a key's fingerprints are linked.
 AGREE, LINKED = 4, 30
+#: Bits of a shingle's hash that name its counter.
+COUNTER = 20
+#: Pairs that a task gives at a time.
+PAIRS = 1 << 18
 _MIX, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -231,8 +238,51 @@ def block_keys(h: np.ndarray, similarity: float) -> list[int]:
     return out
 
 
-def _sketches(shingle: int, similarity: float):
-    """(doc_id, mark, node, fp, fp2, keys): node names the set of shingles."""
+def _counted(shingle: int):
+    """(slab, counts) of a task: how many shingles fall to each counter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, total = Hashes(), np.zeros(1 << COUNTER, np.int64)
+        for batch in slices(batches):
+            known = known if len(known) < 500_000 else Hashes()
+            found = np.concatenate([shingles(t, shingle, known) for t in texts_of(batch)])
+            total += np.bincount((found >> np.uint64(64 - COUNTER)).view(np.int64), minlength=1 << COUNTER)
+        for slab, part in enumerate(np.split(total, 16)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([slab], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["slab", "counts"])
+
+    return run
+
+
+def _added(got: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in got["counts"])
+    return pa.table({"slab": got["slab"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def counters(texts: DataFrame, shingle: int) -> np.ndarray:
+    """Shingles of all texts by counter; tasks send 1 << COUNTER sums each, whatever the number of texts."""
+    found = texts.select("text").coalesce(4 * texts.sparkSession.sparkContext.defaultParallelism).mapInArrow(_counted(shingle), "slab int, counts binary")
+    got = found.groupBy("slab").applyInArrow(_added, "slab int, counts binary").toArrow()
+    out = np.zeros((16, (1 << COUNTER) // 16), np.int64)
+    for slab, counts in zip(got["slab"].to_pylist(), got["counts"], strict=True):
+        out[slab] = np.frombuffer(counts.as_buffer(), np.int64)
+    return out.ravel()
+
+
+def prefix(h: np.ndarray, similarity: float, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, rarest first: as many as can be missing from a set of the similarity, and one."""
+    size = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1 if len(h) else 0
+    return h[np.lexsort((h, counts[(h >> np.uint64(64 - COUNTER)).view(np.int64)]))[:size]]
+
+
+def parities(h: np.ndarray) -> bytes:
+    """A bit for each of as many buckets as the set has shingles (rounded up to a power of two): whether its number of shingles is odd."""
+    size = max(8, 1 << (len(h) - 1).bit_length()) if len(h) else 8
+    return np.packbits(np.bincount((h >> np.uint64(8) & np.uint64(size - 1)).view(np.int64), minlength=size) & 1, bitorder="little").tobytes()
+
+
+def _sketches(shingle: int, similarity: float, shipped):
+    """(doc_id, mark, node, fp, fp2, keys, n, first, odd): node names the set of n shingles; first is its prefix."""
 
     def votes(h: np.ndarray) -> int:
         total = np.zeros(64, np.int64)
@@ -241,13 +291,16 @@ def _sketches(shingle: int, similarity: float):
         return int(np.packbits(2 * total > len(h), bitorder="little").view(np.int64)[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Hashes()
+        known, counts = Hashes(), shipped.value
         for batch in slices(batches):
             known = known if len(known) < 500_000 else Hashes()
             sets = [shingles(t, shingle, known) for t in texts_of(batch)]
             fps = [[votes(h), votes(h * _MIX ^ (h * _MIX >> np.uint64(32)))] for h in sets]
             nodes = np.array([xxhash.xxh3_64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(nodes), *(pa.array([f[i] for f in fps], pa.int64()) for i in (0, 1)), pa.array([block_keys(h, similarity) for h in sets], pa.list_(pa.int64()))], names=["doc_id", "mark", "node", "fp", "fp2", "keys"])
+            keys = pa.array([block_keys(h, similarity) for h in sets], pa.list_(pa.int64()))
+            first = pa.array([prefix(h, similarity, counts).view(np.int64) for h in sets], pa.list_(pa.int64()))
+            cols = {"doc_id": batch.column("doc_id"), "mark": batch.column("mark"), "node": pa.array(nodes), **{c: pa.array([f[i] for f in fps], pa.int64()) for i, c in enumerate(("fp", "fp2"))}}
+            yield pa.RecordBatch.from_pydict(cols | {"keys": keys, "n": pa.array([len(h) for h in sets], pa.int64()), "first": first, "odd": pa.array([parities(h) for h in sets], pa.binary())})
 
     return run
 
@@ -266,14 +319,97 @@ def _similar(shingle: int, similarity: float):
     return run
 
 
+def _pairs(similarity: float):
+    """Pairs (a, b) of nodes of different groups that share a key, unless it can't be the first that sets of the similarity share. Rows come sorted by key and group."""
+    names = ["key", "group", "node", "n", "at"]
+    least = similarity / (1 + similarity)  # of both sizes together, shared
+
+    def out(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, group, node, n, at = cols
+        changes = key[1:] != key[:-1]
+        left, a, b = n - at, [], []
+
+        def ends(change: np.ndarray) -> np.ndarray:
+            stop = np.r_[np.flatnonzero(change) + 1, len(key)]
+            return np.repeat(stop, np.diff(np.r_[0, stop]))
+
+        end, y = ends(changes), ends(changes | (group[1:] != group[:-1]))
+        x = np.flatnonzero(y < end)
+        y, end = y[x], end[x]
+        while len(x):
+            may = np.minimum(left[x], left[y]) >= least * (n[x] + n[y]) - 1e-6
+            a.append(node[x[may]])
+            b.append(node[y[may]])
+            if sum(map(len, a)) > PAIRS:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                a, b = [], []
+            y = y + 1
+            more = y < end
+            x, y, end = x[more], y[more], end[more]
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64) for _ in names]
+        for batch in batches:
+            held = [np.concatenate([x, batch.column(c).to_numpy(zero_copy_only=False)]) for x, c in zip(held, names, strict=True)]
+            other = np.flatnonzero(held[0] != held[0][-1]) if len(held[0]) else held[0]
+            if len(other):
+                cut = int(other[-1]) + 1
+                yield from out([x[:cut] for x in held])
+                held = [x[cut:] for x in held]
+        if len(held[0]):
+            yield from out(held)
+
+    return run
+
+
+def _may(similarity: float):
+    """Pairs whose parities don't differ in more buckets than sets of the similarity have shingles that the other lacks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, s, t in zip(batch.column("n").to_pylist(), batch.column("odd_a"), batch.column("odd_b"), strict=True):
+                x, y = sorted((np.frombuffer(v.as_buffer(), np.uint8) for v in (s, t)), key=len)
+                while len(y) > len(x):  # the halves' buckets are one
+                    y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+                keep.append(np.bitwise_count(x ^ y).sum(dtype=np.int64) <= (1 - similarity) / (1 + similarity) * n + 1e-6)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _checked(found: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the saved pairs (a, b) of nodes whose sets have the similarity, computed from the texts."""
+    asked = found.select(F.col("a").alias("node")).union(found.select("b")).distinct().join(nodes.select("node", "mark"), "node")
+    one = saved(texts.join(asked, "mark").groupBy("node").agg(F.first("text").alias("text")))
+    sides = found.join(one.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(one.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    links = saved(sides.mapInArrow(_similar(shingle, similarity), "a long, b long"))
+    forget(one)
+    return links
+
+
+def _left_out(nodes: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes of different groups (node, component) that may have the similarity: none that has it is missing."""
+    own = nodes.select("node", "n", "first").join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("group"), "n", F.posexplode("first").alias("at", "key"))
+    keyed = own.select("key", "group", "node", "n", F.col("at").cast("long").alias("at")).repartition("key").sortWithinPartitions("key", "group")
+    found = keyed.mapInArrow(_pairs(similarity), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}"))
+    both = found.join(side("a"), "a").join(side("b"), "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "odd_a", "odd_b")
+    return both.mapInArrow(_may(similarity), "a long, b long")
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, crowd: int = CROWD) -> DataFrame:
     """(doc_id, mark, component): rows are linked, directly or over others, if their shingle sets have the similarity or more.
 
     mark is xxhash64 of the text; component names the group. Needs doc_id and text.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
-    own = saved(texts.mapInArrow(_sketches(shingle, similarity), "doc_id long, mark long, node long, fp long, fp2 long, keys array<long>"))
-    nodes = saved(own.groupBy("node").agg(F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), F.first("keys").alias("keys"), F.min("mark").alias("mark")))
+    shipped = docs.sparkSession.sparkContext.broadcast(counters(texts, shingle))
+    kind = "doc_id long, mark long, node long, fp long, fp2 long, keys array<long>, n long, first array<long>, odd binary"
+    own = saved(texts.mapInArrow(_sketches(shingle, similarity, shipped), kind))
+    nodes = saved(own.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "fp2", "keys", "n", "first", "odd")], F.min("mark").alias("mark")))
     keyed = nodes.select(F.explode("keys").alias("key"), "fp", "fp2", "node")
     crowded = saved(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("key"))
     # a crowded key is dealt by the other blocks of its texts: similar ones agree on some of them too
@@ -282,16 +418,16 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, c
     found = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_links(["key"], ["fp", "fp2"], "node", [8, 14, 19, 24, LINKED]), "a long, b long")
     found = saved(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     forget(crowded)
-    marks = nodes.select("node", "mark")
-    asked = found.select(F.col("a").alias("node")).union(found.select("b")).distinct().join(marks, "node")
-    one = saved(texts.join(asked, "mark").groupBy("node").agg(F.first("text").alias("text")))
-    sides = found.join(one.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(one.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    links = saved(sides.mapInArrow(_similar(shingle, similarity), "a long, b long"))
-    for done in (found, one, nodes):
+    links = _checked(found, texts, nodes, shingle, similarity)
+    groups = components(links)
+    rest = saved(_left_out(nodes, groups, similarity))
+    more = _checked(rest, texts, nodes, shingle, similarity)
+    if not more.isEmpty():
+        groups = components(links.union(more))
+    out = saved(own.select("doc_id", "mark", "node").join(groups, "node", "left").select("doc_id", "mark", F.coalesce("component", "node").alias("component")))
+    for done in (own, nodes, found, rest, links, more):
         forget(done)
-    out = saved(own.select("doc_id", "mark", "node").join(components(links), "node", "left").select("doc_id", "mark", F.coalesce("component", "node").alias("component")))
-    forget(own)
-    forget(links)
+    shipped.unpersist()
     return out
 
 

@@ -462,3 +462,36 @@ def test_pipeline_stages(spark, docs, tmp_path):
             assert ids is None or new <= ids
             ids = new
     assert {r.doc_id for r in now.select("doc_id").distinct().collect()} == ids and 9001 not in ids and 9005 not in ids
+
+
+def test_similar_groups_lose_no_link(spark):
+    """Families around the least similarity, long and short, and sets whose common words hide what they share."""
+    rng = np.random.default_rng(11)
+    vocabulary, rows, sets = [f"w{i}" for i in range(4000)], [], {}
+    for n in (6, 9, 14, 24, 40, 90, 200, 700):
+        for _ in range(12):
+            base = [str(w) for w in rng.choice(vocabulary, n)]
+            for k in range(6):
+                copy = list(base)
+                for i in rng.choice(n, round(n * 0.025 * rng.uniform(0.3, 1.1)), replace=False) if k else []:
+                    copy[i] = str(rng.choice(vocabulary))
+                if k > 3:  # words more at the end
+                    copy += [str(w) for w in rng.choice(vocabulary, int(n * rng.uniform(0, 0.3)))]
+                rows.append((len(rows), " ".join(copy)))
+    for i, text in rows:
+        words = text.split()
+        sets[i] = {tuple(words[j : j + 5]) for j in range(len(words) - 4)}
+    similar = [(i, j) for i in sets for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in similar:
+        root[find(i)] = find(j)
+    for crowd in (near.CROWD, 2):
+        group = {r.doc_id: r.component for r in near.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), crowd=crowd).collect()}
+        assert len(similar) > 200 and [(i, j) for i, j in similar if group[i] != group[j]] == []
+        assert len(set(group.values())) == len({find(i) for i in sets})

@@ -26,7 +26,7 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, k: int) -> Da
     """
     from recall_spark.operators import postings as N
 
-    return N.best(N.matches(N.index_words(docs, key, text), queries), key, k)
+    return N.best(N.matches(N.index_words(docs, key, text, places=False), queries), key, k)
 
 
 def phrase_search(docs: DataFrame, key: str, text: str, phrase: str) -> DataFrame:

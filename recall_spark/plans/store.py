@@ -240,7 +240,7 @@ def _(spark, d):
 def _(spark, d):
     m = V.messages(spark, d)
     queries = m.where("message_id % 50 = 0").select(F.col("message_id").alias("query_id"), words("content").alias("terms"))
-    return N.ranked(N.index_words(m, "message_id", "content"), queries, 10)
+    return N.ranked(N.index_words(m, "message_id", "content", places=False), queries, 10)
 
 
 @query("x4_phrases", "", """WITH q AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark), t AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), ' ') || ' ' AS x FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))
@@ -248,7 +248,7 @@ def _(spark, d):
 def _(spark, d):
     from recall_spark.plans.queries import asked, index
 
-    return N.phrases(index(spark, d), asked(spark, d)).select("query_id", "doc_id")
+    return N.phrases(index(spark, d, places=True), asked(spark, d)).select("query_id", "doc_id")
 
 
 # Fixed value: stand-ins for letters, since the given tables have no CJK text.

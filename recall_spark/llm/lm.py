@@ -22,19 +22,21 @@ training. With no training tokens every token costs log10(1 / 1).
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, let_go, saved, slices, table, texts_of
+from .common import crc_mod, let_go, saved, slices, table
 
 FOLDS, HELD_OUT = 7, 2
 CHUNK, STEP = 1 << 13, 0.6
+#: Tokens whose softmax is worked out at a time, so that it stays in a core's cache.
+PIECE = 1 << 10
 #: How many of a token's features decisions use: the word before, and the one before that alone.
 SPLIT_FEATURES = 2
 #: Events at which what a weight row has seen counts as much as what the model says without it.
@@ -52,24 +54,40 @@ def tokens_of(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
+def dealt(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Lower-case words of a string column end to end, where each stands among the tokens, and how many tokens each text has; the last token of a text is its end."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = pc.list_flatten(split)
+    full = pc.greater(pc.binary_length(words), 0)
+    owner = pc.list_parent_indices(split).filter(full).to_numpy(zero_copy_only=False)
+    sizes = np.bincount(owner, minlength=len(texts)) + 1
+    return words.filter(full).cast(pa.binary()), np.arange(len(owner)) + owner, sizes
+
+
 def _block_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, word, n): how often a word occurs in the training documents of a block; words of other documents with 0. Rows come sorted by block."""
-    at, own = None, Counter()
+    at, held = None, {True: [], False: []}
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(own), at, np.int64)), pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.int64())], names=["block", "word", "n"])
+        own = pa.chunked_array(held[True], pa.binary()).value_counts()
+        words, n = own.field("values"), own.field("counts").to_numpy()
+        other = pa.chunked_array(held[False], pa.binary()).unique()
+        other = other.filter(pc.invert(pc.is_in(other, value_set=words)))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(words) + len(other), at, np.int64)), pa.concat_arrays([words, other]), pa.array(np.r_[n, np.zeros(len(other), np.int64)])], names=["block", "word", "n"])
 
     for batch in slices(batches):
-        for block, train, text in zip(batch.column("block").to_pylist(), batch.column("train").to_pylist(), texts_of(batch), strict=True):
-            if block != at:
-                if own:
+        block, train = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("block", "train"))
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+        for start, stop in zip(cuts, cuts[1:], strict=False):
+            if block[start] != at:
+                if at is not None:
                     yield out()
-                at, own = block, Counter()
-            if train:
-                own.update(tokens_of(text))
-            else:
-                own.update(dict.fromkeys(tokens_of(text), 0))
-    if own:
+                at, held = block[start], {True: [], False: []}
+            for fold in (True, False):
+                rows = np.flatnonzero(train[start:stop] == fold) + start
+                if len(rows):
+                    held[fold] += [dealt(batch.column("text").take(pa.array(rows)))[0], pa.array([END], pa.binary()).take(pa.array(np.zeros(len(rows), np.int64)))]
+    if at is not None:
         yield out()
 
 
@@ -113,6 +131,7 @@ class Model:
     def decide(self, nodes: np.ndarray, odds: np.ndarray) -> None:
         """Sets which nodes of the tree are decisions, in order, and their log odds."""
         self.nodes, self.odds, self.node_hashes = nodes, odds, nodes.view(np.uint64) * _MIX
+        self.deepest = int((nodes & ((1 << 32) - 1)).max(initial=0)).bit_length()
 
     @property
     def prior(self) -> np.ndarray:
@@ -129,10 +148,10 @@ class Model:
 
     def paths(self, classes: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Decisions that lead to words: how many each has; their nodes and whether they were taken, laid end to end; where each word's begin."""
-        at, bit = np.full((len(h), DEPTH), -1, np.int64), np.zeros((len(h), DEPTH), bool)
+        at, bit = np.full((len(h), self.deepest), -1, np.int64), np.zeros((len(h), self.deepest), bool)
         order = np.lexsort((h, classes))  # neighbours in the tree are neighbours in memory
         classes, h = classes[order], h[order]
-        for d in range(DEPTH if len(self.nodes) else 0):
+        for d in range(self.deepest):
             key = node_keys(classes, h, d)
             i = np.minimum(np.searchsorted(self.nodes, key), len(self.nodes) - 1)
             at[:, d] = np.where(self.nodes[i] == key, i, -1)
@@ -168,12 +187,18 @@ class Model:
 
     def log_class(self, rows: list[np.ndarray], prior: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Log share of classes y. A weight is at most STEP times the log of one over its class's share, so that no power overflows."""
-        z = self.weights.take(rows[0], axis=0)
-        for r in rows[1:]:
-            z += self.weights.take(r, axis=0)
-        z += prior
-        own = z[np.arange(len(y)), y]
-        return own - np.log(np.exp(z, out=z).sum(axis=1))
+        out, one = np.empty(len(y), np.float32), np.ones(self.classes, np.float32)
+        z, more = np.empty((2, min(PIECE, len(y)), self.classes), np.float32)
+        for at in range(0, len(y), PIECE):
+            n = min(PIECE, len(y) - at)
+            z, more = z[:n], more[:n]
+            self.weights.take(rows[0][at : at + n], axis=0, out=z, mode="clip")  # rows are within the table; clip needs no copy of out
+            for r in rows[1:]:
+                z += self.weights.take(r[at : at + n], axis=0, out=more, mode="clip")
+            z += prior
+            own = z[np.arange(n), y[at : at + n]]
+            out[at : at + n] = own - np.log(np.exp(z, out=z) @ one)
+        return out
 
 
 def node_keys(classes: np.ndarray, h: np.ndarray, depth: int) -> np.ndarray:
@@ -182,45 +207,58 @@ def node_keys(classes: np.ndarray, h: np.ndarray, depth: int) -> np.ndarray:
     return (classes << 32) | (1 << depth) | prefix
 
 
-def lined(texts: list[np.ndarray], h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words of texts end to end, and the hashes of the word before each and the one before that, 0 outside its text."""
-    if not texts:
-        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
-    words = np.concatenate(texts)
-    at = np.arange(len(words)) - np.repeat(np.cumsum([0, *(len(t) for t in texts[:-1])]), [len(t) for t in texts])
+def lined(words: np.ndarray, sizes: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the word before each word of texts of so many tokens, laid end to end, and of the one before that, 0 outside its text."""
+    at = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     own, zero = h[words], np.zeros(2, np.uint64)
-    return words, np.where(at > 0, np.r_[zero[:1], own[:-1]], 0).astype(np.uint64), np.where(at > 1, np.r_[zero, own[:-2]][: len(own)], 0).astype(np.uint64)
+    return np.where(at > 0, np.r_[zero[:1], own[:-1]], 0).astype(np.uint64), np.where(at > 1, np.r_[zero, own[:-2]][: len(own)], 0).astype(np.uint64)
 
 
 def hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-class Words(dict):
-    """Numbers of words, and what the model says of each, looked up once."""
+class Words:
+    """Numbers of words, and what the model says of each, looked up once. The end is number 0."""
 
     def __init__(self, model: Model):
-        super().__init__()
-        self.model, self.fresh = model, []
+        self.model, self.known = model, pa.array([], pa.binary())
         self.h, self.classes, self.paths = np.empty(0, np.uint64), np.empty(0, np.int64), (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool), np.empty(0, np.int64))
+        self.learn(pa.array([END], pa.binary()))
+
+    def learn(self, fresh: pa.Array) -> None:
+        words = fresh.to_pylist()
+        h = hashes(words)
+        classes = self.model.classes_of(words, h)
+        *paths, starts = self.model.paths(classes, h)
+        self.paths = tuple(np.concatenate(x) for x in zip(self.paths, (*paths, starts + len(self.paths[1])), strict=True))
+        self.h, self.classes, self.known = np.r_[self.h, h], np.r_[self.classes, classes], pa.concat_arrays([self.known, fresh])
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the tokens of texts end to end, and how many each text has."""
+        words, at, sizes = dealt(texts)
+        own = pc.index_in(words, value_set=self.known)
+        if own.null_count:
+            new = words.filter(own.is_null())
+            fresh = new.unique()
+            found = np.array(own.fill_null(-1))
+            found[found < 0] = len(self.known) + pc.index_in(new, value_set=fresh).to_numpy()
+            self.learn(fresh)
+        else:
+            found = own.to_numpy()
+        out = np.zeros(sizes.sum(), np.int64)
+        out[at] = found
+        return out, sizes
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        self.fresh.append(word)
-        return n
-
-    def ids(self, text: bytes) -> np.ndarray:
-        tokens = tokens_of(text)
-        return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
 
-    def settle(self) -> None:
-        """Looks up the words that are new."""
-        if self.fresh:
-            h = hashes(self.fresh)
-            classes = self.model.classes_of(self.fresh, h)
-            *fresh, starts = self.model.paths(classes, h)
-            self.paths = tuple(np.concatenate(x) for x in zip(self.paths, (*fresh, starts + len(self.paths[1])), strict=True))
-            self.h, self.classes, self.fresh = np.r_[self.h, h], np.r_[self.classes, classes], []
+def parts(ids: np.ndarray, sizes: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Whole texts (ids, sizes), some `least` tokens at a time; a longer text is a part of its own."""
+    ends, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        first = ends[start] - sizes[start]
+        stop = max(start + 1, int(np.searchsorted(ends, first + least, "right")))
+        yield ids[first : ends[stop - 1]], sizes[start:stop]
+        start = stop
 
 
 def _sums(shipped):
@@ -229,53 +267,56 @@ def _sums(shipped):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
         words = Words(m)
-        seen, rows_seen = np.zeros(m.weights.size, np.float32), np.zeros(1 << m.bits, np.float32)
-        split = np.zeros((3, 1 << m.split_bits), np.float32)  # taken, expected to be, all
-        chance = (1 / (1 + np.exp(-m.odds.astype(float)))).astype(np.float32)
-
-        def add(texts: list[np.ndarray]) -> None:
-            words.settle()
-            ids, a, b = lined(texts, words.h)
-            mixed = m.features(a, b)
-            y, seen_, rows_ = words.classes[ids], 0, 0
-            for r in m.rows(mixed):
-                seen_ = seen_ + np.bincount(r * m.classes + y, minlength=len(seen))
-                rows_ = rows_ + np.bincount(r, minlength=len(rows_seen))
-            np.add(seen, seen_, out=seen)
-            np.add(rows_seen, rows_, out=rows_seen)
-            _, taken, bins, node = m.decisions(mixed, ids, words.paths)
-            p, at = chance[node], np.flatnonzero(taken)
+        seen, rows_seen = np.zeros(m.weights.size, np.int32), np.zeros(1 << m.bits, np.int32)
+        taken, split = np.zeros(2 << m.split_bits, np.int32), np.zeros(1 << m.split_bits)  # not taken and taken, side by side; expected to be
+        one = np.int32(1)
+        chance = 1 / (1 + np.exp(-m.odds.astype(float)))
+
+        def add(ids: np.ndarray, sizes: np.ndarray) -> None:
+            mixed = m.features(*lined(ids, sizes, words.h))
+            rows, y = np.concatenate(m.rows(mixed)), words.classes[ids]
+            np.add(rows_seen, np.bincount(rows, minlength=len(rows_seen)), out=rows_seen, casting="same_kind")
+            np.add(seen, np.bincount(rows * m.classes + np.tile(y, len(mixed)), minlength=len(seen)), out=seen, casting="same_kind")
+            _, bit, bins, node = m.decisions(mixed, ids, words.paths)
+            p = chance.take(node)
+            bit = bit.astype(np.int64)
             for x in bins:
-                np.add.at(split[0], x.take(at), np.float32(1))
-                np.add.at(split[1], x, p)
-                np.add.at(split[2], x, np.float32(1))
+                np.add.at(split, x, p)
+                np.add.at(taken, 2 * x + bit, one)
 
-        held, n = [], 0
         for batch in slices(batches):
-            for text in texts_of(batch):
-                held.append(words.ids(text))
-                n += len(held[-1])
-                if n > 1 << 16:
-                    add(held)
-                    held, n = [], 0
-                    if len(words) > 1 << 18:
-                        words = Words(m)
-        if held:
-            add(held)
+            for part in parts(*words.ids(batch.column("text")), 1 << 16):
+                add(*part)
+            if len(words.known) > 1 << 18:
+                words = Words(m)
         step = max(1, SLAB // m.classes)
         seen = seen.reshape(-1, m.classes)
         for i in range(0, 1 << m.bits, step):
             if rows_seen[i : i + step].any():
-                yield _sum_row(0, i, np.concatenate([seen[i : i + step].ravel(), rows_seen[i : i + step]]))
+                yield _sum_row(0, i, seen[i : i + step], rows_seen[i : i + step])
         for i in range(0, 1 << m.split_bits, SLAB):
-            if split[2, i : i + SLAB].any():
-                yield _sum_row(1, i, split[:, i : i + SLAB].ravel())
+            own = taken[2 * i : 2 * (i + SLAB)].reshape(-1, 2)
+            if own.any():
+                yield _sum_row(1, i, own[:, 1].copy(), split[i : i + SLAB].astype(np.float32), own.sum(axis=1, dtype=np.int32))
 
     return run
 
 
-def _sum_row(kind: int, slab: int, values: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([slab], pa.int64()), pa.array([values.astype(np.float32).tobytes()], pa.binary())], names=["kind", "slab", "sums"])
+def _sum_row(kind: int, slab: int, *sums: np.ndarray) -> pa.RecordBatch:
+    """Counts, or sums of chances, of 4 bytes each: all first bytes, then all second bytes and so on, so that the shuffle's compression finds the zeros."""
+    planes = np.concatenate([x.ravel().view(np.uint8).reshape(-1, 4) for x in sums]).T
+    return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([slab], pa.int64()), pa.array([planes.tobytes()], pa.binary())], names=["kind", "slab", "sums"])
+
+
+def _whole(sums: bytes | pa.Buffer, kind: int) -> np.ndarray:
+    """What _sum_row put in, as float64: of decisions the middle third are chances."""
+    planes = np.frombuffer(sums, np.uint8).reshape(4, -1)
+    values = np.ascontiguousarray(planes.T).reshape(-1)
+    counts = values.view(np.int32).astype(float)
+    if kind:
+        third = len(counts) // 3
+        counts[third : 2 * third] = values.view(np.float32)[third : 2 * third]
+    return counts
 
 
 def _moves(shipped):
@@ -283,7 +324,7 @@ def _moves(shipped):
 
     def run(got: pa.Table) -> pa.Table:
         m, kind, slab = shipped.value, got["kind"][0].as_py(), got["slab"][0].as_py()
-        total = sum(np.frombuffer(x.as_buffer(), np.float32).astype(np.float64) for x in got["sums"])
+        total = sum(_whole(x.as_buffer(), kind) for x in got["sums"])
         if kind:
             taken, meant, n = total.reshape(3, -1)
             p = np.clip(meant / np.maximum(n, 1), 1e-6, 1 - 1e-6)
@@ -356,21 +397,20 @@ def _score(shipped, total: int):
         m = shipped.value
         prior = m.prior
         listed = words["word"].to_pylist()
-        index = {w: i for i, w in enumerate(listed)}
         c = words["c"].to_numpy().astype(float)
         h = hashes(listed)
         classes = m.classes_of(listed, h)
         n_paths, nodes, bits, _ = paths = m.paths(classes, h)
         base = np.log((c + 1) / m.norm)
         # of a word in the part of its class where decisions end
-        taken = np.where(bits, -np.logaddexp(0, -m.odds[nodes].astype(float)), -np.logaddexp(0, m.odds[nodes].astype(float)))
+        odds = m.odds.astype(float)
+        taken = np.r_[-np.logaddexp(0, odds), -np.logaddexp(0, -odds)].take(nodes + len(odds) * bits)
         share = np.log((c + 1) / m.mass[classes]) - np.bincount(np.repeat(np.arange(len(listed)), n_paths), taken, len(listed))
         out: list[list[np.ndarray]] = [[], [], [], []]
 
-        def put(ids: list[np.ndarray]) -> None:
-            t, a, b = lined(ids, h)
-            sizes = np.array([len(x) for x in ids])
-            owner, known = np.repeat(np.arange(len(ids)), sizes), c[t] > 0
+        def put(t: np.ndarray, sizes: np.ndarray) -> None:
+            a, b = lined(t, sizes, h)
+            owner, known = np.repeat(np.arange(len(sizes)), sizes), c[t] > 0
             gain = np.where(known, share[t], base[t])
             for at in range(0, len(t), CHUNK):
                 k = at + np.flatnonzero(known[at : at + CHUNK])
@@ -381,19 +421,17 @@ def _score(shipped, total: int):
                 np.negative(z, out=z, where=bit)
                 loss = np.maximum(z, 0) + np.log(1 + np.exp(-np.abs(z)))
                 gain[k] -= np.bincount(token, loss, len(k))
-            for col, v in zip(out, (sizes, np.bincount(owner, known, len(ids)).astype(np.int64), np.bincount(owner, base[t], len(ids)) / math.log(10), np.bincount(owner, gain, len(ids)) / math.log(10)), strict=True):
+            for col, v in zip(out, (sizes, np.bincount(owner, known, len(sizes)).astype(np.int64), np.bincount(owner, base[t], len(sizes)) / math.log(10), np.bincount(owner, gain, len(sizes)) / math.log(10)), strict=True):
                 col.append(v)
 
-        held, n = [], 0
-        for text in docs["text"].cast(pa.binary()).to_pylist():
-            tokens = tokens_of(text or b"")
-            held.append(np.fromiter(map(index.__getitem__, tokens), np.int64, len(tokens)))
-            n += len(tokens)
-            if n > 1 << 15:
-                put(held)
-                held, n = [], 0
-        if held:
-            put(held)
+        known_words = words["word"].combine_chunks()
+        end = pc.index_in(pa.scalar(END), value_set=known_words).as_py()
+        for batch in slices(docs.to_batches()):
+            own, at, sizes = dealt(batch.column("text"))
+            ids = np.full(sizes.sum(), end, np.int64)
+            ids[at] = pc.index_in(own, value_set=known_words).to_numpy()
+            for part in parts(ids, sizes, 1 << 15):
+                put(*part)
         counted = [np.concatenate(x) if x else np.empty(0) for x in out]
         return pa.table({"doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": pa.array(counted[0], pa.int64()), "n_known": pa.array(counted[1], pa.int64()), "train_tokens": pa.array([total] * docs.num_rows, pa.int64()), "base_score": pa.array(counted[2], pa.float64()), "score": pa.array(counted[3], pa.float64())})
 

@@ -37,6 +37,8 @@ FOLDS, HELD_OUT = 7, 2
 CHUNK, STEP = 1 << 13, 0.6
 #: Tokens whose softmax is worked out at a time, so that it stays in a core's cache.
 PIECE = 1 << 10
+#: Words whose decisions are found at a time.
+WORDS = 1 << 16
 #: How many of a token's features decisions use: the word before, and the one before that alone.
 SPLIT_FEATURES = 2
 #: Events at which what a weight row has seen counts as much as what the model says without it.
@@ -129,9 +131,13 @@ class Model:
         return out
 
     def decide(self, nodes: np.ndarray, odds: np.ndarray) -> None:
-        """Sets which nodes of the tree are decisions, in order, and their log odds."""
+        """Sets which nodes of the tree are decisions, in order, and their log odds; a node holds a run of places (places)."""
         self.nodes, self.odds, self.node_hashes = nodes, odds, nodes.view(np.uint64) * _MIX
-        self.deepest = int((nodes & ((1 << 32) - 1)).max(initial=0)).bit_length()
+        below = nodes & ((1 << 32) - 1)
+        self.depths = np.frexp(below.astype(float))[1].astype(np.int64) - 1
+        self.deepest = int(self.depths.max(initial=-1)) + 1
+        self.first = ((nodes >> 32) << DEPTH) + ((below ^ (1 << self.depths)) << (DEPTH - self.depths))
+        self.last = self.first + (1 << (DEPTH - self.depths))
 
     @property
     def prior(self) -> np.ndarray:
@@ -148,19 +154,24 @@ class Model:
 
     def paths(self, classes: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Decisions that lead to words: how many each has; their nodes and whether they were taken, laid end to end; where each word's begin."""
-        at, bit = np.full((len(h), self.deepest), -1, np.int64), np.zeros((len(h), self.deepest), bool)
-        order = np.lexsort((h, classes))  # neighbours in the tree are neighbours in memory
-        classes, h = classes[order], h[order]
-        for d in range(self.deepest):
-            key = node_keys(classes, h, d)
-            i = np.minimum(np.searchsorted(self.nodes, key), len(self.nodes) - 1)
-            at[:, d] = np.where(self.nodes[i] == key, i, -1)
-            bit[:, d] = (h >> np.uint64(63 - d)) & np.uint64(1)
-        back = np.argsort(order)
-        at, bit = at[back], bit[back]
+        some = [self._some_paths(classes[i : i + WORDS], h[i : i + WORDS]) for i in range(0, max(len(h), 1), WORDS)]
+        n, nodes, taken = (np.concatenate(x) for x in zip(*some, strict=True))
+        return n, nodes, taken, np.cumsum(n) - n
+
+    def _some_paths(self, classes: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Paths of words without where they begin. Words in order of their places are runs of nodes, so nodes are looked for among words."""
+        place = places(classes, h)
+        order = np.argsort(place)
+        place = place[order]
+        start = np.searchsorted(place, self.first)
+        held = np.searchsorted(place, self.last) - start
+        own = order[np.arange(held.sum()) - np.repeat(np.cumsum(held) - held - start, held)]
+        at = np.full((len(h), self.deepest), -1, np.int32)
+        at[own, np.repeat(self.depths, held)] = np.repeat(np.arange(len(held), dtype=np.int32), held)
         found = at >= 0
-        n = found.sum(axis=1)
-        return n, at[found], bit[found], np.cumsum(n) - n
+        n, nodes = found.sum(axis=1), at[found].astype(np.int64)
+        taken = (np.repeat(h, n) >> (63 - self.depths[nodes]).astype(np.uint64)) & np.uint64(1)
+        return n, nodes, taken.astype(bool)
 
     def decisions(self, mixed: list[np.ndarray], words: np.ndarray, paths: tuple) -> tuple:
         """(token, taken, bins, node) of every decision of tokens."""
@@ -201,6 +212,11 @@ class Model:
         return out
 
 
+def places(classes: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Where words stand at the bottom of the tree: class, then DEPTH bits."""
+    return (classes << DEPTH) | (h >> np.uint64(64 - DEPTH)).astype(np.int64)
+
+
 def node_keys(classes: np.ndarray, h: np.ndarray, depth: int) -> np.ndarray:
     """Node of the tree in which words stand after so many bits."""
     prefix = (h >> np.uint64(64 - depth)).astype(np.int64) if depth else np.zeros(len(h), np.int64)
@@ -214,6 +230,11 @@ def lined(words: np.ndarray, sizes: np.ndarray, h: np.ndarray) -> tuple[np.ndarr
     return np.where(at > 0, np.r_[zero[:1], own[:-1]], 0).astype(np.uint64), np.where(at > 1, np.r_[zero, own[:-2]][: len(own)], 0).astype(np.uint64)
 
 
+def listed(words: pa.Array | pa.ChunkedArray) -> list[bytes]:
+    """to_pylist, without an object for each scalar."""
+    return (words.to_numpy(zero_copy_only=False) if isinstance(words, pa.Array) else words.to_numpy()).tolist()
+
+
 def hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
@@ -227,7 +248,7 @@ class Words:
         self.learn(pa.array([END], pa.binary()))
 
     def learn(self, fresh: pa.Array) -> None:
-        words = fresh.to_pylist()
+        words = listed(fresh)
         h = hashes(words)
         classes = self.model.classes_of(words, h)
         *paths, starts = self.model.paths(classes, h)
@@ -273,16 +294,20 @@ def _sums(shipped):
         chance = 1 / (1 + np.exp(-m.odds.astype(float)))
 
         def add(ids: np.ndarray, sizes: np.ndarray) -> None:
-            mixed = m.features(*lined(ids, sizes, words.h))
-            rows, y = np.concatenate(m.rows(mixed)), words.classes[ids]
-            np.add(rows_seen, np.bincount(rows, minlength=len(rows_seen)), out=rows_seen, casting="same_kind")
-            np.add(seen, np.bincount(rows * m.classes + np.tile(y, len(mixed)), minlength=len(seen)), out=seen, casting="same_kind")
-            _, bit, bins, node = m.decisions(mixed, ids, words.paths)
-            p = chance.take(node)
-            bit = bit.astype(np.int64)
-            for x in bins:
-                np.add.at(split, x, p)
-                np.add.at(taken, 2 * x + bit, one)
+            a, b = lined(ids, sizes, words.h)
+            for at in range(0, len(ids), CHUNK):  # in a core's cache
+                own = ids[at : at + CHUNK]
+                mixed, y = m.features(a[at : at + CHUNK], b[at : at + CHUNK]), words.classes[own]
+                for row in m.rows(mixed):
+                    np.add.at(rows_seen, row, one)
+                    np.add.at(seen, row * m.classes + y, one)
+                _, bit, bins, node = m.decisions(mixed, own, words.paths)
+                p = chance.take(node)
+                for x in bins:
+                    np.add.at(split, x, p)
+                    x <<= 1
+                    x |= bit
+                    np.add.at(taken, x, one)
 
         for batch in slices(batches):
             for part in parts(*words.ids(batch.column("text")), 1 << 16):
@@ -361,7 +386,7 @@ def _placed(shipped, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
         for batch in batches:
-            words = batch.column("word").to_pylist()
+            words = listed(batch.column("word"))
             h = hashes(words)
             classes = m.classes_of(words, h)
             part = ((((classes.astype(np.uint64) << np.uint64(WHOLE)) | (h >> np.uint64(64 - WHOLE))) * _MIX >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
@@ -396,16 +421,19 @@ def _score(shipped, total: int):
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
         m = shipped.value
         prior = m.prior
-        listed = words["word"].to_pylist()
+        known_words = words["word"].combine_chunks()
+        names = listed(known_words)
         c = words["c"].to_numpy().astype(float)
-        h = hashes(listed)
-        classes = m.classes_of(listed, h)
+        h = hashes(names)
+        classes, n_words = m.classes_of(names, h), len(names)
+        del names
         n_paths, nodes, bits, _ = paths = m.paths(classes, h)
         base = np.log((c + 1) / m.norm)
         # of a word in the part of its class where decisions end
         odds = m.odds.astype(float)
         taken = np.r_[-np.logaddexp(0, odds), -np.logaddexp(0, -odds)].take(nodes + len(odds) * bits)
-        share = np.log((c + 1) / m.mass[classes]) - np.bincount(np.repeat(np.arange(len(listed)), n_paths), taken, len(listed))
+        share = np.log((c + 1) / m.mass[classes]) - np.bincount(np.repeat(np.arange(n_words), n_paths), taken, n_words)
+        del taken
         out: list[list[np.ndarray]] = [[], [], [], []]
 
         def put(t: np.ndarray, sizes: np.ndarray) -> None:
@@ -419,12 +447,12 @@ def _score(shipped, total: int):
                 token, bit, bins, node = m.decisions(mixed, t[k], paths)
                 z = m.log_odds(bins, node)
                 np.negative(z, out=z, where=bit)
-                loss = np.maximum(z, 0) + np.log(1 + np.exp(-np.abs(z)))
-                gain[k] -= np.bincount(token, loss, len(k))
+                np.exp(z, out=z)  # log odds stay below 80: counts of 31 bits bound them (_moves), so no power overflows
+                z += 1
+                gain[k] -= np.bincount(token, np.log(z, out=z), len(k))
             for col, v in zip(out, (sizes, np.bincount(owner, known, len(sizes)).astype(np.int64), np.bincount(owner, base[t], len(sizes)) / math.log(10), np.bincount(owner, gain, len(sizes)) / math.log(10)), strict=True):
                 col.append(v)
 
-        known_words = words["word"].combine_chunks()
         end = pc.index_in(pa.scalar(END), value_set=known_words).as_py()
         for batch in slices(docs.to_batches()):
             own, at, sizes = dealt(batch.column("text"))

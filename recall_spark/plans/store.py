@@ -248,7 +248,8 @@ def _(spark, d):
 def _(spark, d):
     from recall_spark.plans.queries import asked, index
 
-    return N.phrases(index(spark, d, places=True), asked(spark, d)).select("query_id", "doc_id")
+    queries = asked(spark, d)
+    return N.phrases(index(spark, d, places=True, asked=queries), queries).select("query_id", "doc_id")
 
 
 # Fixed value: stand-ins for letters, since the given tables have no CJK text.

@@ -37,8 +37,8 @@ FOLDS, HELD_OUT = 7, 2
 CHUNK, STEP = 1 << 13, 0.6
 #: Tokens whose softmax is worked out at a time, so that it stays in a core's cache.
 PIECE = 1 << 10
-#: Words whose decisions are found at a time.
-WORDS = 1 << 16
+#: Words whose decisions are found at a time, words that training looks up before it begins anew, and bytes of text whose tokens are numbered at a time.
+WORDS, KEPT_WORDS, PIECE_BYTES = 1 << 16, 1 << 17, 1 << 21
 #: How many of a token's features decisions use: the word before, and the one before that alone.
 SPLIT_FEATURES = 2
 #: Events at which what a weight row has seen counts as much as what the model says without it.
@@ -309,11 +309,14 @@ def _sums(shipped):
                     x |= bit
                     np.add.at(taken, x, one)
 
-        for batch in slices(batches):
+        for batch in slices(batches, most=PIECE_BYTES):
             for part in parts(*words.ids(batch.column("text")), 1 << 16):
                 add(*part)
-            if len(words.known) > 1 << 18:
+            if len(words.known) > KEPT_WORDS:
+                words = None  # goes before the next is made
                 words = Words(m)
+            pa.default_memory_pool().release_unused()
+        words = None
         step = max(1, SLAB // m.classes)
         seen = seen.reshape(-1, m.classes)
         for i in range(0, 1 << m.bits, step):
@@ -454,12 +457,13 @@ def _score(shipped, total: int):
                 col.append(v)
 
         end = pc.index_in(pa.scalar(END), value_set=known_words).as_py()
-        for batch in slices(docs.to_batches()):
+        for batch in slices(docs.to_batches(), most=PIECE_BYTES):
             own, at, sizes = dealt(batch.column("text"))
             ids = np.full(sizes.sum(), end, np.int64)
             ids[at] = pc.index_in(own, value_set=known_words).to_numpy()
             for part in parts(ids, sizes, 1 << 15):
                 put(*part)
+        pa.default_memory_pool().release_unused()
         counted = [np.concatenate(x) if x else np.empty(0) for x in out]
         return pa.table({"doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": pa.array(counted[0], pa.int64()), "n_known": pa.array(counted[1], pa.int64()), "train_tokens": pa.array([total] * docs.num_rows, pa.int64()), "base_score": pa.array(counted[2], pa.float64()), "score": pa.array(counted[3], pa.float64())})
 

@@ -69,3 +69,21 @@ def test_unlikely_decisions_cost_what_they_cost_in_double():
     z = np.array([-80, -30, -3, 0, 3, 30, 80], np.float32)
     got = np.log(np.exp(z) + np.float32(1))
     assert got.dtype == np.float32 and np.allclose(got, np.logaddexp(0, z.astype(float)), rtol=1e-6, atol=1e-6)
+
+
+def test_training_lets_words_go(monkeypatch):
+    names = [f"w{i}".encode() for i in range(60)]
+    model = grown([lm.END, *names], [200, *range(1, 61)], 9.0)
+
+    class Shipped:
+        value = model
+
+    texts = pa.record_batch({"text": pa.array([" ".join(f"w{(i * j) % 60}" for j in range(30)) for i in range(40)])})
+
+    def sums():
+        return [r["sums"][0].as_py() for r in lm._sums(Shipped)(iter([texts]))]
+
+    whole = sums()
+    monkeypatch.setattr(lm, "KEPT_WORDS", 5)
+    monkeypatch.setattr(lm, "PIECE_BYTES", 300)
+    assert sums() == whole
